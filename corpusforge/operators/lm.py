@@ -60,10 +60,11 @@ def update_unigram(model: UnigramModel, extra: DataFrame, tokens_col: str = "tok
 
 
 def _mean_nll(per_token: DataFrame, key_cols: list[str], n_col: str, nll) -> DataFrame:
+    """Per row: token count, summed and mean negative log probability."""
     return (per_token.groupBy(*key_cols)
             .agg(F.sum(F.col(n_col)).alias("n_tok"),
-                 (F.sum(F.col(n_col) * nll) / F.sum(F.col(n_col))).alias("_loss"))
-            .select(*key_cols, "n_tok", F.round("_loss", LOSS_DECIMALS).alias("loss")))
+                 F.sum(F.col(n_col) * nll).alias("sum_nll"))
+            .withColumn("loss", F.round(F.col("sum_nll") / F.col("n_tok"), LOSS_DECIMALS)))
 
 
 def score_unigram(model: UnigramModel, df: DataFrame, key_cols: list[str],
@@ -110,7 +111,16 @@ def score_bigram(model: BigramModel, df: DataFrame, key_cols: list[str],
     return _mean_nll(j, key_cols, "_n", nll)
 
 
-def split_loss(scored_tokens: DataFrame, batch_col: str, nll_col: str, n_col: str) -> float | None:
-    """AGG6: token-weighted mean inside a batch, unweighted mean over batches."""
-    per_batch = scored_tokens.groupBy(batch_col).agg((F.sum(nll_col) / F.sum(n_col)).alias("b"))
-    return per_batch.agg(F.avg("b")).first()[0]
+def split_loss(scored: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """AGG6: token-weighted mean inside a batch, unweighted mean over batches.
+
+    ``scored`` has one row per example with ``sum_nll`` and ``n_tok``; the
+    result is one row ``(n_batches, split_loss, token_loss)``, where
+    ``token_loss`` is the plain token-weighted mean over the whole split.
+    """
+    per_batch = scored.groupBy(batch_col).agg(
+        F.sum("sum_nll").alias("_s"), F.sum("n_tok").alias("_n"))
+    return per_batch.agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.round(F.avg(F.col("_s") / F.col("_n")), LOSS_DECIMALS).alias("split_loss"),
+        F.round(F.sum("_s") / F.sum("_n"), LOSS_DECIMALS).alias("token_loss"))

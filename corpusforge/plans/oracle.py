@@ -62,6 +62,24 @@ WITH tr AS (SELECT {tok_nds('text')} AS toks FROM ({trusted})),
 SELECT sc.doc_id AS pair_id, sc.loss FROM sc, thr WHERE sc.loss <= thr.t"""
 
 
+def hash_rank(hash_expr: str) -> str:
+    return f"('0x' || substr({hash_expr}, 1, 15))::BIGINT, {hash_expr}"
+
+
+PAIR_TOKENS = f"""
+  SELECT *, {tok_de('deu')} AS src, {tok_nds('nds')} AS tokens FROM ({PAIRS})"""
+EVENT_STATS = """
+  WITH ev AS (SELECT event_type AS run_id,
+                     date_diff('day', (SELECT min(ts::DATE) FROM events), ts::DATE) AS round, value
+              FROM events),
+       d AS (SELECT run_id, round, count(*) AS n, avg(value) AS test_loss FROM ev GROUP BY ALL)
+  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY round
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total_samples FROM d"""
+NEW_SAMPLES = f"""
+  SELECT *, total_samples - lag(total_samples) OVER (PARTITION BY run_id ORDER BY round) AS new_samples
+  FROM ({EVENT_STATS})"""
+
+
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
@@ -88,4 +106,83 @@ GROUP BY d.doc_id""",
     "leak_free_lines": f"""
 SELECT d.doc_id, d.line_no FROM ({DOC_LINES}) d
 WHERE NOT EXISTS (SELECT 1 FROM ({TEST_LINES}) t WHERE t.line IS NOT DISTINCT FROM d.line)""",
+    "split_trusted_docs": f"""
+WITH t AS (SELECT doc_id, md5('1234:documents:' || doc_id) AS h FROM ({TRUSTED_DOCS})),
+     r AS (SELECT doc_id, row_number() OVER (ORDER BY {hash_rank('h')}, doc_id) AS rn,
+                  count(*) OVER () AS n FROM t)
+SELECT doc_id AS pair_id, CASE WHEN rn <= ceil(0.1e0 * n) THEN 'valid' ELSE 'train' END AS split FROM r""",
+    "split_sizes_docs": f"""
+WITH n AS (SELECT count(*) AS n FROM ({TRUSTED_DOCS})),
+     s AS (SELECT ceil(0.1e0 * n)::BIGINT AS n_valid, n - ceil(0.1e0 * n)::BIGINT AS n_train FROM n)
+SELECT n_train, n_valid, ((ceil(n_train / 64) + ceil(n_valid / 64)) * 64)::BIGINT AS total_samples FROM s""",
+    "sample_requests": f"""
+WITH s AS (SELECT conv_id * 1000 + turn AS sent_id, text AS deu FROM conversations
+           WHERE role = 'user' AND {word_count('text')} BETWEEN 1 AND 30),
+     h AS (SELECT *, md5('42:' || sent_id) AS h FROM s)
+SELECT sent_id, deu FROM h QUALIFY row_number() OVER (ORDER BY {hash_rank('h')}, sent_id) <= 50""",
+    "random_round0_docs": f"""
+WITH w AS (SELECT doc_id FROM ({CANDIDATE_DOCS}) QUALIFY row_number() OVER (ORDER BY doc_id) <= 501),
+     h AS (SELECT doc_id, md5('1234:pick0:documents:' || doc_id) AS h FROM w)
+SELECT doc_id AS pair_id FROM h
+QUALIFY row_number() OVER (ORDER BY {hash_rank('h')}, doc_id) <= (SELECT floor(0.25e0 * count(*)) FROM w)""",
+    "window_quantile_docs": f"""
+WITH tr AS (SELECT {tok_nds('text')} AS toks FROM ({TRUSTED_DOCS})),
+     cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(toks) AS tok FROM tr) GROUP BY tok),
+     m AS (SELECT sum(c) + count(*) + 1 AS den FROM cnt),
+     win AS (SELECT doc_id, {tok_nds('text')} AS toks FROM ({CANDIDATE_DOCS})
+             QUALIFY row_number() OVER (ORDER BY doc_id) <= 501),
+     ex AS (SELECT doc_id, unnest(toks) AS tok FROM win),
+     sc AS (SELECT ex.doc_id, round(avg(-ln((coalesce(cnt.c, 0) + 1) / m.den)), 6) AS loss
+            FROM ex LEFT JOIN cnt ON ex.tok = cnt.tok CROSS JOIN m GROUP BY ex.doc_id),
+     allw AS (SELECT win.doc_id, sc.loss FROM win LEFT JOIN sc ON win.doc_id = sc.doc_id)
+SELECT count(*) AS n_window, round(avg(loss), 6) AS residual_loss, max(doc_id) AS last_pair_id,
+       round(quantile_cont(loss, 0.25), 6) AS quantile FROM allw""",
+    "pair_batches": f"""
+WITH p AS ({PAIR_TOKENS}),
+     r AS (SELECT pair_id, len(src) AS batch_len,
+                  (row_number() OVER (ORDER BY len(src), source, pair_id) - 1) // 64 AS batch_id FROM p)
+SELECT pair_id, batch_id, batch_len, max(batch_len) OVER (PARTITION BY batch_id) + 2 AS width FROM r""",
+    "batch_loss_pairs": f"""
+WITH p AS ({PAIR_TOKENS}),
+     tr AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 = 0),
+     cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(tokens) AS tok FROM tr) GROUP BY tok),
+     m AS (SELECT sum(c) + count(*) + 1 AS den FROM cnt),
+     ca AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     b AS (SELECT pair_id, (row_number() OVER (ORDER BY len(src), source, pair_id) - 1) // 64 AS batch_id FROM ca),
+     ex AS (SELECT pair_id, unnest(tokens) AS tok FROM ca),
+     sc AS (SELECT ex.pair_id, sum(-ln((coalesce(cnt.c, 0) + 1) / m.den)) AS s, count(*) AS n
+            FROM ex LEFT JOIN cnt ON ex.tok = cnt.tok CROSS JOIN m GROUP BY ex.pair_id),
+     pb AS (SELECT batch_id, sum(s) AS s, sum(n) AS n FROM sc JOIN b ON sc.pair_id = b.pair_id GROUP BY batch_id)
+SELECT count(*) AS n_batches, round(avg(s / n), 6) AS split_loss, round(sum(s) / sum(n), 6) AS token_loss FROM pb""",
+    "bigram_scores_pairs": f"""
+WITH p AS ({PAIR_TOKENS}),
+     seqs AS (SELECT pair_id, (pair_id // 1000) % 4 = 0 AS trusted, ['<sos>'] || tokens || ['<eos>'] AS s FROM p),
+     idx AS (SELECT pair_id, trusted, s, unnest(range(1, len(s))) AS i FROM seqs),
+     bi AS (SELECT pair_id, trusted, s[i] AS prev, s[i + 1] AS token FROM idx),
+     pc AS (SELECT prev, token, count(*) AS c FROM bi WHERE trusted GROUP BY prev, token),
+     hc AS (SELECT prev, sum(c) AS h FROM pc GROUP BY prev),
+     v AS (SELECT count(DISTINCT token) AS v FROM pc),
+     sc AS (SELECT bi.pair_id, count(*) AS n_tok,
+                   sum(-ln((coalesce(pc.c, 0) + 1) / (coalesce(hc.h, 0) + v.v + 1))) AS s
+            FROM bi LEFT JOIN pc ON bi.prev = pc.prev AND bi.token = pc.token
+                    LEFT JOIN hc ON bi.prev = hc.prev CROSS JOIN v
+            WHERE NOT bi.trusted GROUP BY bi.pair_id)
+SELECT pair_id, n_tok, round(s / n_tok, 6) AS loss FROM sc""",
+    "run_new_samples_events": f"""
+SELECT run_id, round, total_samples, new_samples FROM ({NEW_SAMPLES})""",
+    "run_shares_events": f"""
+WITH ns AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round) AS rn,
+                   count(*) OVER (PARTITION BY run_id) AS cnt FROM ({NEW_SAMPLES}))
+SELECT run_id,
+       round_even(100 * sum(CASE WHEN rn <= 6 THEN new_samples END) / (SELECT count(*) FROM events), 0) AS pct_first,
+       round_even(100 * sum(CASE WHEN rn < cnt THEN new_samples END) / (SELECT count(*) FROM events), 0)
+         AS pct_all_but_last
+FROM ns GROUP BY run_id""",
+    "run_compare_events": f"""
+WITH st AS ({EVENT_STATS}),
+     m AS (SELECT round, test_loss AS m_loss, total_samples AS m_samples FROM st WHERE run_id = 'click'),
+     b AS (SELECT round, test_loss AS b_loss FROM st WHERE run_id = 'view')
+SELECT coalesce(m.round, b.round) AS round, round(m_loss - b_loss, 6) AS loss_delta,
+       round(100 * (m_loss - b_loss) / b_loss, 6) AS loss_delta_pct, m_samples AS samples
+FROM m FULL OUTER JOIN b ON m.round = b.round""",
 }

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import leakage, vocab
-from corpusforge.plans import selection
+from corpusforge.operators import batching, leakage, lm, sampling, vocab
+from corpusforge.operators.ordering import exact_quantile
+from corpusforge.plans import report, selection
 from corpusforge.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,110 @@ def q_leak_free_lines(spark, sf):
     return leakage.remove_leaks(lines, test, ["line"]).select("doc_id", "line_no")
 
 
+def q_split_trusted_docs(spark, sf):
+    """SMP1: seeded 90/10 train/valid split of the trusted documents."""
+    t = tables.trusted_documents(spark, sf)
+    return sampling.train_valid_split(t, ["source", "pair_id"]).select("pair_id", "split")
+
+
+def q_split_sizes_docs(spark, sf):
+    """AGG2 + AGG3: split sizes and the batch-rounded sample count."""
+    t = tables.trusted_documents(spark, sf)
+    s = sampling.train_valid_split(t, ["source", "pair_id"])
+    c = s.groupBy().agg(F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("n_train"),
+                        F.sum(F.when(F.col("split") == "valid", 1).otherwise(0)).alias("n_valid"))
+    b = F.lit(selection.BATCH_SIZE)
+    return c.select("n_train", "n_valid",
+                    ((F.ceil(F.col("n_train") / b) + F.ceil(F.col("n_valid") / b)) * b)
+                    .cast("long").alias("total_samples"))
+
+
+def q_sample_requests(spark, sf):
+    """FLT2 then SMP3: 50 length-filtered untranslated sentences, seed 42."""
+    s = tables.request_sentences(spark, sf).filter(T.word_count("deu").between(1, 30))
+    return sampling.sample_n(s, 50, ["sent_id"], seed=42).select("sent_id", "deu")
+
+
+def q_random_round0_docs(spark, sf):
+    """PIP2 round 0: seeded random pick of int(0.25 * |window|) candidates."""
+    cands = tables.candidate_documents(spark, sf)
+    window = sampling.candidate_window(cands, 0)
+    n = sampling.accept_count(window.count())
+    return sampling.sample_n(window, n, ["source", "pair_id"], salt="pick0").select("pair_id")
+
+
+def q_window_quantile_docs(spark, sf):
+    """WIN2 + AGG5 + AGG4: window size, mean loss and exact 0.25 quantile of round 0."""
+    trusted = selection.with_tokens(tables.trusted_documents(spark, sf))
+    window = sampling.candidate_window(selection.with_tokens(tables.candidate_documents(spark, sf)), 0)
+    _, scored = selection.score_round(trusted, window)
+    q = exact_quantile(scored, "loss", 0.25)
+    agg = scored.agg(F.count(F.lit(1)).alias("n_window"),
+                     F.round(F.avg("loss"), 6).alias("residual_loss"),
+                     F.max("pair_id").alias("last_pair_id"))
+    return agg.withColumn("quantile", F.round(F.lit(q), 6))
+
+
+def _pair_tokens(spark, sf):
+    pairs = tables.conversation_pairs(spark, sf)
+    return pairs.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
+
+
+def q_pair_batches(spark, sf):
+    """WIN3 + ARR3: 64-row batches by source length; width = longest source + 2 specials."""
+    p = _pair_tokens(spark, sf)
+    b = batching.length_batches(p, ["source", "pair_id"], F.size("src"))
+    return b.select("pair_id", "batch_id", "batch_len", (F.col("width") + 2).alias("width"))
+
+
+def q_batch_loss_pairs(spark, sf):
+    """AGG6: unigram model of trusted target sides, loss of candidate pairs by batch."""
+    p = _pair_tokens(spark, sf)
+    model = lm.fit_unigram(tables.trusted_pairs(p))
+    cand = tables.candidate_pairs(p)
+    scored = lm.score_unigram(model, cand, ["source", "pair_id"])
+    b = batching.length_batches(cand.select("source", "pair_id", "src"), ["source", "pair_id"], F.size("src"))
+    return lm.split_loss(scored.join(b.select("source", "pair_id", "batch_id"), ["source", "pair_id"])
+                         .filter(F.col("n_tok") > 0))
+
+
+def q_bigram_scores_pairs(spark, sf):
+    """WIN7 + bigram LM: add-one bigram loss of candidate target sides."""
+    p = _pair_tokens(spark, sf)
+    model = lm.fit_bigram(tables.trusted_pairs(p))
+    return lm.score_bigram(model, tables.candidate_pairs(p), ["pair_id"]).select("pair_id", "n_tok", "loss")
+
+
+def _event_stats(spark, sf):
+    ev = tables.read_table(spark, sf, "events").select("ts", "event_type", "value")
+    day0 = ev.agg(F.min(F.to_date("ts"))).first()[0]
+    daily = (ev.groupBy(F.col("event_type").alias("run_id"),
+                        F.datediff(F.to_date("ts"), F.lit(day0)).alias("round"))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("test_loss")))
+    from pyspark.sql import Window
+    w = Window.partitionBy("run_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    return daily.withColumn("total_samples", F.sum("n").over(w))
+
+
+def q_run_new_samples_events(spark, sf):
+    """WIN1: per-run ``total_samples.diff()`` on event-derived round statistics."""
+    st = report.with_new_samples(_event_stats(spark, sf))
+    return st.select("run_id", "round", "total_samples", "new_samples")
+
+
+def q_run_shares_events(spark, sf):
+    """AGG10: share of all rows absorbed in the first six and all-but-last rounds."""
+    n = tables.read_table(spark, sf, "events").count()
+    return report.absorbed_shares(_event_stats(spark, sf), n)
+
+
+def q_run_compare_events(spark, sf):
+    """JOI5 + MTH3: 'click' run against 'view' run, aligned on round."""
+    c = report.compare_runs(_event_stats(spark, sf), "click", "view")
+    return c.select("round", F.round("loss_delta", 6).alias("loss_delta"),
+                    F.round("loss_delta_pct", 6).alias("loss_delta_pct"), "samples")
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -80,4 +185,15 @@ REGISTRY: dict[str, Query] = {
     "conversation_pairs": q_conversation_pairs,
     "leak_matches": q_leak_matches,
     "leak_free_lines": q_leak_free_lines,
+    "split_trusted_docs": q_split_trusted_docs,
+    "split_sizes_docs": q_split_sizes_docs,
+    "sample_requests": q_sample_requests,
+    "random_round0_docs": q_random_round0_docs,
+    "window_quantile_docs": q_window_quantile_docs,
+    "pair_batches": q_pair_batches,
+    "batch_loss_pairs": q_batch_loss_pairs,
+    "bigram_scores_pairs": q_bigram_scores_pairs,
+    "run_new_samples_events": q_run_new_samples_events,
+    "run_shares_events": q_run_shares_events,
+    "run_compare_events": q_run_compare_events,
 }

@@ -52,7 +52,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", lower: bool = False) -> D
 
 def weighted_loss(scored: DataFrame) -> float | None:
     """Token-weighted mean loss of a scored table."""
-    r = scored.agg((F.sum(F.col("loss") * F.col("n_tok")) / F.sum("n_tok")).alias("l")).first()
+    r = scored.agg((F.sum("sum_nll") / F.sum("n_tok")).alias("l")).first()
     return None if r["l"] is None else float(r["l"])
 
 
