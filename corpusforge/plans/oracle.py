@@ -80,6 +80,76 @@ NEW_SAMPLES = f"""
   FROM ({EVENT_STATS})"""
 
 
+def ibm1_cells(name: str, where: str) -> str:
+    return f"""
+     {name}_seq AS (SELECT pair_id, ['<sos>'] || src || ['<eos>'] AS s, tokens || ['<eos>'] AS t
+                    FROM p WHERE {where}),
+     {name}_se AS (SELECT pair_id, l, e, count(*)::DOUBLE AS ce
+                   FROM (SELECT pair_id, len(s) AS l, unnest(s) AS e FROM {name}_seq) GROUP BY ALL),
+     {name}_tf AS (SELECT pair_id, f, count(*)::DOUBLE AS cf
+                   FROM (SELECT pair_id, unnest(t) AS f FROM {name}_seq) GROUP BY ALL),
+     {name} AS (SELECT a.pair_id, l, e, f, ce, cf FROM {name}_se a JOIN {name}_tf b ON a.pair_id = b.pair_id)"""
+
+
+IBM1 = f"""
+WITH p AS ({PAIR_TOKENS}),
+     {ibm1_cells('cells', '(pair_id // 1000) % 4 = 0')},
+     x1 AS (SELECT e, f, cf * ce / sum(ce) OVER (PARTITION BY pair_id, f) AS x FROM cells),
+     c1 AS (SELECT e, f, sum(x) AS c FROM x1 WHERE x > 0 GROUP BY e, f),
+     t1 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM c1),
+     w2 AS (SELECT cells.pair_id, cells.e, cells.f, cf, ce * coalesce(t1.t, 0) AS w
+            FROM cells LEFT JOIN t1 ON cells.e = t1.e AND cells.f = t1.f),
+     x2 AS (SELECT e, f, cf * w / sum(w) OVER (PARTITION BY pair_id, f) AS x FROM w2),
+     c2 AS (SELECT e, f, sum(x) AS c FROM x2 WHERE x > 0 GROUP BY e, f),
+     t2 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM c2),
+     v AS (SELECT count(DISTINCT f) AS v FROM cells_tf),
+     best AS (SELECT e, f AS best FROM t2 WHERE f <> '<eos>'
+              QUALIFY row_number() OVER (PARTITION BY e ORDER BY round(t, 12) DESC, f ASC) = 1)"""
+
+
+def translate_sql(table: str, key: str, toks: str) -> str:
+    return f"""
+     tx_ex AS (SELECT {key} AS k, generate_subscripts({toks}, 1) AS p, unnest({toks}) AS e FROM {table}),
+     tx_w AS (SELECT tx_ex.k, tx_ex.p, coalesce(best.best, tx_ex.e) AS w FROM tx_ex LEFT JOIN best ON tx_ex.e = best.e),
+     tx_l AS (SELECT k, list(w ORDER BY p) AS l FROM tx_w GROUP BY k),
+     tx AS (SELECT t.{key} AS k, coalesce(list_slice(tx_l.l, 1, 50), []::VARCHAR[]) AS hyp
+            FROM {table} t LEFT JOIN tx_l ON t.{key} = tx_l.k)"""
+
+
+def bleu_sql(src: str) -> str:
+    """``src`` has columns (k, hyp VARCHAR[], ref VARCHAR[])."""
+    def grams(col):
+        return f"""
+        SELECT k, n, g, count(*) AS c FROM (
+          SELECT k, n, unnest(list_transform(range(1, len({col}) - n + 2),
+                                             lambda i: array_to_string({col}[i:i + n - 1], chr(1)))) AS g
+          FROM ({src}) s, range(1, 5) r(n) WHERE len({col}) >= n) GROUP BY ALL"""
+    return f"""
+WITH hg AS ({grams('hyp')}), rg AS ({grams('ref')}),
+     pn AS (SELECT hg.n, sum(least(hg.c, coalesce(rg.c, 0))) AS m, sum(hg.c) AS t
+            FROM hg LEFT JOIN rg ON hg.k = rg.k AND hg.n = rg.n AND hg.g = rg.g GROUP BY hg.n),
+     w AS (SELECT coalesce(max(CASE WHEN n = 1 THEN m END), 0)::BIGINT AS m1,
+                  coalesce(max(CASE WHEN n = 2 THEN m END), 0)::BIGINT AS m2,
+                  coalesce(max(CASE WHEN n = 3 THEN m END), 0)::BIGINT AS m3,
+                  coalesce(max(CASE WHEN n = 4 THEN m END), 0)::BIGINT AS m4,
+                  coalesce(max(CASE WHEN n = 1 THEN t END), 0)::BIGINT AS t1,
+                  coalesce(max(CASE WHEN n = 2 THEN t END), 0)::BIGINT AS t2,
+                  coalesce(max(CASE WHEN n = 3 THEN t END), 0)::BIGINT AS t3,
+                  coalesce(max(CASE WHEN n = 4 THEN t END), 0)::BIGINT AS t4 FROM pn),
+     l AS (SELECT sum(len(hyp))::BIGINT AS hyp_len, sum(len(ref))::BIGINT AS ref_len FROM ({src})),
+     b AS (SELECT *, CASE WHEN hyp_len > ref_len THEN 1.0e0 WHEN hyp_len = 0 THEN 0.0e0
+                          ELSE exp(1 - ref_len / hyp_len) END AS bp FROM w, l)
+SELECT round(CASE WHEN m1 = 0 OR m2 = 0 OR m3 = 0 OR m4 = 0 THEN 0.0e0
+                  ELSE bp * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) END, 6) AS bleu,
+       round(bp, 6) AS bp, hyp_len, ref_len, m1, m2, m3, m4, t1, t2, t3, t4 FROM b"""
+
+
+CAND_TRANSLATIONS = f"""{IBM1},
+     cand AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     {translate_sql('cand', 'pair_id', 'src')}
+SELECT cand.pair_id AS k, cand.nds, tx.hyp, cand.tokens AS ref FROM cand JOIN tx ON cand.pair_id = tx.k"""
+
+
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
@@ -185,4 +255,21 @@ WITH st AS ({EVENT_STATS}),
 SELECT coalesce(m.round, b.round) AS round, round(m_loss - b_loss, 6) AS loss_delta,
        round(100 * (m_loss - b_loss) / b_loss, 6) AS loss_delta_pct, m_samples AS samples
 FROM m FULL OUTER JOIN b ON m.round = b.round""",
+    "ibm1_scores_pairs": f"""{IBM1},
+     {ibm1_cells('sc_cells', '(pair_id // 1000) % 4 <> 0')},
+     pf AS (SELECT c.pair_id, c.f, c.cf, c.l, sum(c.ce * coalesce(t2.t, 0)) AS s
+            FROM sc_cells c LEFT JOIN t2 ON c.e = t2.e AND c.f = t2.f GROUP BY c.pair_id, c.f, c.cf, c.l),
+     sc AS (SELECT pair_id, sum(cf)::BIGINT AS n_tok, sum(cf * -ln(0.9e0 * s / l + 0.1e0 / v.v)) AS nll
+            FROM pf, v GROUP BY pair_id)
+SELECT pair_id, n_tok, round(nll / n_tok, 6) AS loss FROM sc""",
+    "ibm1_best_pairs": f"""{IBM1}
+SELECT e, best FROM best""",
+    "translate_requests": f"""{IBM1},
+     rq AS (SELECT conv_id * 1000 + turn AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
+     {translate_sql('rq', 'sent_id', 'toks')}
+SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
+    "bleu_tokens_pairs": bleu_sql(f"SELECT k, hyp, ref FROM ({CAND_TRANSLATIONS})"),
+    "bleu_chars_pairs": bleu_sql(
+        "SELECT k, list_filter(string_split(array_to_string(hyp, ' '), ''), lambda x: length(x) > 0) AS hyp, "
+        f"list_filter(string_split(nds, ''), lambda x: length(x) > 0) AS ref FROM ({CAND_TRANSLATIONS})"),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import batching, leakage, lm, sampling, vocab
+from corpusforge.operators import batching, bleu, leakage, lexical, lm, sampling, vocab
 from corpusforge.operators.ordering import exact_quantile
 from corpusforge.plans import report, selection
 from corpusforge.sources import tables
@@ -176,6 +176,55 @@ def q_run_compare_events(spark, sf):
                     F.round("loss_delta_pct", 6).alias("loss_delta_pct"), "samples")
 
 
+_KEY = ["source", "pair_id"]
+
+
+def _lexical_model(spark, sf, iterations: int = 2):
+    p = _pair_tokens(spark, sf)
+    model = lexical.fit(tables.trusted_pairs(p), _KEY, "src", "tokens", iterations)
+    return p, model
+
+
+def q_ibm1_scores_pairs(spark, sf):
+    """PIP6b + JOI9: IBM Model 1 (2 EM steps) on trusted pairs, loss of candidate pairs."""
+    p, model = _lexical_model(spark, sf)
+    sc = lexical.score(model, tables.candidate_pairs(p), _KEY, "src", "tokens")
+    return sc.select("pair_id", "n_tok", "loss")
+
+
+def q_ibm1_best_pairs(spark, sf):
+    """TOP1: most probable target token per source token."""
+    _, model = _lexical_model(spark, sf)
+    return lexical.best_translation(model).select("e", "best")
+
+
+def q_translate_requests(spark, sf):
+    """PIP7 + STR4: word-by-word translation of every untranslated sentence (<= 50 tokens)."""
+    _, model = _lexical_model(spark, sf)
+    req = tables.request_sentences(spark, sf).withColumn("toks", T.tokenize_de("deu"))
+    out = lexical.translate(lexical.best_translation(model), req, ["sent_id"], "toks")
+    return out.select("sent_id", T.join_tokens("hyp").alias("ai_nds"))
+
+
+def _candidate_translations(spark, sf):
+    p, model = _lexical_model(spark, sf)
+    cand = tables.candidate_pairs(p)
+    hyp = lexical.translate(lexical.best_translation(model), cand, ["pair_id"], "src")
+    return cand.select("pair_id", "nds", F.col("tokens").alias("ref")).join(hyp, "pair_id")
+
+
+def q_bleu_tokens_pairs(spark, sf):
+    """AGG8: corpus BLEU of lexical translations of candidate pairs (token n-grams)."""
+    return bleu.corpus_bleu(_candidate_translations(spark, sf), ["pair_id"], "hyp", "ref")
+
+
+def q_bleu_chars_pairs(spark, sf):
+    """AGG9: the same corpus BLEU over characters of the joined strings."""
+    d = _candidate_translations(spark, sf).select(
+        "pair_id", bleu.char_units(T.join_tokens("hyp")).alias("hc"), bleu.char_units("nds").alias("rc"))
+    return bleu.corpus_bleu(d, ["pair_id"], "hc", "rc")
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -196,4 +245,9 @@ REGISTRY: dict[str, Query] = {
     "run_new_samples_events": q_run_new_samples_events,
     "run_shares_events": q_run_shares_events,
     "run_compare_events": q_run_compare_events,
+    "ibm1_scores_pairs": q_ibm1_scores_pairs,
+    "ibm1_best_pairs": q_ibm1_best_pairs,
+    "translate_requests": q_translate_requests,
+    "bleu_tokens_pairs": q_bleu_tokens_pairs,
+    "bleu_chars_pairs": q_bleu_chars_pairs,
 }
