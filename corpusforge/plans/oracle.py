@@ -150,6 +150,27 @@ CAND_TRANSLATIONS = f"""{IBM1},
 SELECT cand.pair_id AS k, cand.nds, tx.hyp, cand.tokens AS ref FROM cand JOIN tx ON cand.pair_id = tx.k"""
 
 
+WORDS = f"""
+  SELECT '▁' || x AS word, count(*) AS freq
+  FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '{_q(WHITESPACE)}'), lambda y: length(y) > 0)) AS x
+        FROM ({TRUSTED_DOCS})) GROUP BY 1"""
+SPELLING = f"""
+     tr AS (SELECT {tok_nds('text')} AS toks FROM ({TRUSTED_DOCS})),
+     cnt AS (SELECT tok AS token, count(*) AS freq FROM (SELECT unnest(toks) AS tok FROM tr) GROUP BY tok),
+     pref AS (SELECT lower(token) AS k, token AS preferred FROM cnt
+              QUALIFY row_number() OVER (PARTITION BY lower(token) ORDER BY freq DESC, token) = 1),
+     dict AS (SELECT c.token AS variant, p.preferred FROM cnt c JOIN pref p ON lower(c.token) = p.k
+              WHERE c.token <> p.preferred),
+     ca AS (SELECT doc_id, {tok_nds('text')} AS toks FROM ({CANDIDATE_DOCS})),
+     ex AS (SELECT doc_id, generate_subscripts(toks, 1) AS p, unnest(toks) AS token FROM ca),
+     j AS (SELECT ex.doc_id, ex.p, coalesce(d.preferred, ex.token) AS w, (d.preferred IS NOT NULL)::INT AS chg
+           FROM ex LEFT JOIN dict d ON ex.token = d.variant),
+     agg AS (SELECT doc_id, list(w ORDER BY p) AS l, count(*) AS n_tokens, sum(chg) AS n_changed
+             FROM j GROUP BY doc_id),
+     norm AS (SELECT ca.doc_id, coalesce(agg.n_tokens, 0) AS n_tokens, coalesce(agg.n_changed, 0) AS n_changed,
+                     coalesce(array_to_string(agg.l, ' '), '') AS text FROM ca LEFT JOIN agg ON ca.doc_id = agg.doc_id)"""
+
+
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
@@ -272,4 +293,40 @@ SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
     "bleu_chars_pairs": bleu_sql(
         "SELECT k, list_filter(string_split(array_to_string(hyp, ' '), ''), lambda x: length(x) > 0) AS hyp, "
         f"list_filter(string_split(nds, ''), lambda x: length(x) > 0) AS ref FROM ({CAND_TRANSLATIONS})"),
+    "bpe_pair_counts_trusted": f"""
+WITH w AS ({WORDS}),
+     c AS (SELECT freq, list_filter(string_split(word, ''), lambda y: length(y) > 0) AS s FROM w),
+     pr AS (SELECT freq, s[i] AS a, s[i + 1] AS b FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM c))
+SELECT a, b, sum(freq) AS n FROM pr GROUP BY a, b""",
+    "subword_roundtrip_requests": f"""
+WITH chars AS (SELECT DISTINCT unnest(list_filter(string_split(word, ''), lambda y: length(y) > 0)) AS ch
+               FROM ({WORDS})),
+     rq AS (SELECT conv_id * 1000 + turn AS sent_id, text FROM conversations WHERE role = 'user'),
+     rc AS (SELECT sent_id, unnest(list_filter(string_split(
+                     regexp_replace(text, '{_q(WHITESPACE)}', '', 'g'), ''), lambda y: length(y) > 0)) AS ch FROM rq),
+     bad AS (SELECT DISTINCT sent_id FROM rc WHERE ch NOT IN (SELECT ch FROM chars))
+SELECT sent_id, sent_id NOT IN (SELECT sent_id FROM bad) AS roundtrip_ok FROM rq""",
+    "spelling_normalise_candidates": f"""
+WITH {SPELLING}
+SELECT doc_id, n_tokens, n_changed, text FROM norm""",
+    "spelling_share_candidates": f"""
+WITH {SPELLING}
+SELECT sum(n_tokens) AS n_tokens, sum(n_changed) AS n_changed,
+       round(sum(n_changed) / sum(n_tokens), 6) AS share_changed FROM norm""",
+    "autocorrect_requests": f"""
+WITH {SPELLING},
+     rq AS (SELECT DISTINCT unnest({tok_nds('text')}) AS t FROM conversations WHERE role = 'user'),
+     unk AS (SELECT t, string_split(t, '') AS tc FROM rq WHERE t NOT IN (SELECT token FROM cnt)),
+     voc AS (SELECT token AS w, freq AS wf, string_split(token, '') AS wc FROM cnt),
+     cand AS (SELECT t, tc, w, wf, wc FROM unk JOIN voc ON tc[1] = wc[1]
+              UNION SELECT t, tc, w, wf, wc FROM unk JOIN voc ON tc[-1] = wc[-1]
+              UNION SELECT t, tc, w, wf, wc FROM unk JOIN voc ON len(tc) = 1 AND len(wc) = 1),
+     m AS (SELECT * FROM cand WHERE
+             (len(tc) = len(wc) AND len(list_filter(range(1, len(tc) + 1), lambda i: tc[i] <> wc[i])) <= 1)
+          OR (len(tc) = len(wc) + 1 AND len(list_filter(range(1, len(tc) + 1),
+                lambda i: array_to_string(tc[1:i - 1] || tc[i + 1:len(tc)], '') = w)) > 0)
+          OR (len(wc) = len(tc) + 1 AND len(list_filter(range(1, len(wc) + 1),
+                lambda i: array_to_string(wc[1:i - 1] || wc[i + 1:len(wc)], '') = t)) > 0))
+SELECT t AS token, w AS correction, wf AS freq FROM m
+QUALIFY row_number() OVER (PARTITION BY t ORDER BY wf DESC, w) = 1""",
 }

@@ -12,13 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import batching, bleu, leakage, lexical, lm, sampling, vocab
+from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalise, sampling, subword, vocab
 from corpusforge.operators.ordering import exact_quantile
 from corpusforge.plans import report, selection
 from corpusforge.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_MEMO: dict = {}
+
+
+def _memo(spark, key, build):
+    """Models trained once per session and input folder, shared by several queries."""
+    k = (id(spark), spark.sparkContext.applicationId) + tuple(key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
 
 def q_select_round0_docs(spark, sf):
     """PIP1 round 0 on documents: unigram LM of trusted docs, window 501, quarter cut."""
@@ -181,7 +191,8 @@ _KEY = ["source", "pair_id"]
 
 def _lexical_model(spark, sf, iterations: int = 2):
     p = _pair_tokens(spark, sf)
-    model = lexical.fit(tables.trusted_pairs(p), _KEY, "src", "tokens", iterations)
+    model = _memo(spark, ("ibm1", sf, iterations),
+                  lambda: lexical.fit(tables.trusted_pairs(p), _KEY, "src", "tokens", iterations))
     return p, model
 
 
@@ -225,6 +236,61 @@ def q_bleu_chars_pairs(spark, sf):
     return bleu.corpus_bleu(d, ["pair_id"], "hc", "rc")
 
 
+def _bpe_model(spark, sf):
+    return _memo(spark, ("bpe", sf), lambda: subword.train_bpe(
+        tables.trusted_documents(spark, sf), "text", vocab_size=subword.VOCAB_SIZE, merges_per_round=200))
+
+
+def q_bpe_pair_counts_trusted(spark, sf):
+    """SUB1 first step: symbol pair counts over the word-type table of trusted documents."""
+    w = subword.word_types(tables.trusted_documents(spark, sf), "text")
+    return subword.pair_counts(w).select("a", "b", "n")
+
+
+def q_bpe_vocab_trusted(spark, sf):
+    """SUB1: 10 000-piece subword vocabulary of the trusted documents."""
+    return _bpe_model(spark, sf).vocab.select("piece", "id")
+
+
+def q_subword_roundtrip_requests(spark, sf):
+    """SUB2 + SUB3: encode every request with the trusted-document model and decode it."""
+    model = _bpe_model(spark, sf)
+    req = tables.request_sentences(spark, sf)
+    enc = subword.encode(model, req, ["sent_id"], "deu")
+    dec = subword.decode(model, enc, ["sent_id"], "ids", "back")
+    return req.join(dec, "sent_id").select(
+        "sent_id", (F.col("back") == subword.normalize_spaces(F.col("deu"))).alias("roundtrip_ok"))
+
+
+def _spelling(spark, sf):
+    tr = tables.trusted_documents(spark, sf).select(T.tokenize_nds("text").alias("tokens"))
+    counts = vocab.token_counts(tr, "tokens")
+    return counts, normalise.case_variants(counts)
+
+
+def q_spelling_normalise_candidates(spark, sf):
+    """JOI8 + PIP9: candidate documents with case variants replaced by the preferred form."""
+    _, dictionary = _spelling(spark, sf)
+    c = tables.candidate_documents(spark, sf).withColumn("tokens", T.tokenize_nds("text"))
+    n = normalise.normalise_tokens(c, ["pair_id"], "tokens", dictionary)
+    return n.select(F.col("pair_id").alias("doc_id"), "n_tokens", "n_changed",
+                    T.join_tokens("normalised").alias("text"))
+
+
+def q_spelling_share_candidates(spark, sf):
+    """AGG11: share of candidate-document words the dictionary changed."""
+    _, dictionary = _spelling(spark, sf)
+    c = tables.candidate_documents(spark, sf).withColumn("tokens", T.tokenize_nds("text"))
+    return normalise.changed_share(normalise.normalise_tokens(c, ["pair_id"], "tokens", dictionary))
+
+
+def q_autocorrect_requests(spark, sf):
+    """PIP10: request tokens outside the trusted vocabulary -> most frequent word within edit distance 1."""
+    counts, _ = _spelling(spark, sf)
+    req = tables.request_sentences(spark, sf).select(F.explode(T.tokenize_nds("deu")).alias("token"))
+    return normalise.autocorrect(req, counts)
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -250,4 +316,10 @@ REGISTRY: dict[str, Query] = {
     "translate_requests": q_translate_requests,
     "bleu_tokens_pairs": q_bleu_tokens_pairs,
     "bleu_chars_pairs": q_bleu_chars_pairs,
+    "bpe_pair_counts_trusted": q_bpe_pair_counts_trusted,
+    "bpe_vocab_trusted": q_bpe_vocab_trusted,
+    "subword_roundtrip_requests": q_subword_roundtrip_requests,
+    "spelling_normalise_candidates": q_spelling_normalise_candidates,
+    "spelling_share_candidates": q_spelling_share_candidates,
+    "autocorrect_requests": q_autocorrect_requests,
 }
