@@ -171,6 +171,67 @@ SPELLING = f"""
                      coalesce(array_to_string(agg.l, ' '), '') AS text FROM ca LEFT JOIN agg ON ca.doc_id = agg.doc_id)"""
 
 
+def _score_cte(name: str, train: str, rows: str) -> str:
+    """Unigram add-one loss of ``rows`` (source, pair_id, text) under a model of ``train``."""
+    return f"""
+     {name}_cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest({tok_nds('text')}) AS tok FROM {train}) GROUP BY tok),
+     {name}_den AS (SELECT sum(c) + count(*) + 1 AS den FROM {name}_cnt),
+     {name}_ex AS (SELECT source, pair_id, unnest({tok_nds('text')}) AS tok FROM {rows}),
+     {name}_tok AS (SELECT e.source, e.pair_id, sum(-ln((coalesce(c.c, 0) + 1) / d.den)) AS s, count(*) AS n
+                    FROM {name}_ex e LEFT JOIN {name}_cnt c ON e.tok = c.tok CROSS JOIN {name}_den d
+                    GROUP BY e.source, e.pair_id),
+     {name} AS (SELECT r.source, r.pair_id, t.s, t.n, round(t.s / t.n, 6) AS loss
+                FROM {rows} r LEFT JOIN {name}_tok t ON r.source = t.source AND r.pair_id = t.pair_id)"""
+
+
+def selection_sql(rounds: int, strategy: str) -> str:
+    ctes = [f"""
+     pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({TRUSTED_DOCS})),
+     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({CANDIDATE_DOCS})),
+     test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""]
+    outs = []
+    for i in range(rounds):
+        size = 500 * 2 ** i + 1
+        h = f"md5('1234:{i}:' || source || ':' || pair_id)"
+        ctes.append(f"""
+     split{i} AS (SELECT *, row_number() OVER (ORDER BY {hash_rank(h)}, source, pair_id) AS rn,
+                         count(*) OVER () AS n FROM pool{i}),
+     train{i} AS (SELECT source, pair_id, text FROM split{i} WHERE rn > ceil(0.1e0 * n)),
+     valid{i} AS (SELECT source, pair_id, text FROM split{i} WHERE rn <= ceil(0.1e0 * n)),
+     win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pair_id, source, pair_id) <= {size}),
+     {_score_cte(f'sc{i}', f'train{i}', f'win{i}')},
+     {_score_cte(f'va{i}', f'train{i}', f'valid{i}')},
+     {_score_cte(f'te{i}', f'train{i}', 'test')},
+     q{i} AS (SELECT quantile_cont(loss, 0.25) AS q FROM sc{i})""")
+        if strategy == "loss":
+            ctes.append(f"""
+     acc{i} AS (SELECT s.source, s.pair_id, s.loss FROM sc{i} s, q{i} WHERE s.loss <= q{i}.q)""")
+        else:
+            hp = f"md5('1234:pick{i}:' || source || ':' || pair_id)"
+            ctes.append(f"""
+     acc{i} AS (SELECT source, pair_id, loss FROM sc{i}
+                QUALIFY row_number() OVER (ORDER BY {hash_rank(hp)}, source, pair_id)
+                        <= (SELECT floor(0.25e0 * count(*)) FROM sc{i}))""")
+        ctes.append(f"""
+     pool{i + 1} AS (SELECT source, pair_id, text FROM pool{i}
+                     UNION ALL SELECT w.source, w.pair_id, w.text FROM win{i} w
+                     WHERE EXISTS (SELECT 1 FROM acc{i} a WHERE a.source = w.source AND a.pair_id = w.pair_id)),
+     cand{i + 1} AS (SELECT * FROM cand{i} c
+                     WHERE NOT EXISTS (SELECT 1 FROM acc{i} a WHERE a.source = c.source AND a.pair_id = c.pair_id)),
+     stats{i} AS (SELECT {i} AS round, (SELECT count(*) FROM win{i}) AS n_window,
+                         (SELECT count(*) FROM acc{i}) AS n_accepted,
+                         ((ceil((SELECT count(*) FROM train{i}) / 64) + ceil((SELECT count(*) FROM valid{i}) / 64))
+                           * 64)::BIGINT AS total_samples,
+                         {'round((SELECT q FROM q' + str(i) + '), 6)' if strategy == 'loss' else 'NULL::DOUBLE'} AS quantile,
+                         round((SELECT sum(s) / sum(n) FROM va{i}), 6) AS best_valid_loss,
+                         round((SELECT sum(s) / sum(n) FROM te{i}), 6) AS test_loss,
+                         round((SELECT avg(loss) FROM sc{i}), 6) AS residual_loss)""")
+        outs.append(i)
+    acc = " UNION ALL ".join(f"SELECT {i} AS round, pair_id, loss FROM acc{i}" for i in outs)
+    stats = " UNION ALL ".join(f"SELECT * FROM stats{i}" for i in outs)
+    return "WITH " + ",".join(ctes) + f"\n, accepted AS ({acc}), round_stats AS ({stats})\n"
+
+
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
@@ -329,4 +390,7 @@ WITH {SPELLING},
                 lambda i: array_to_string(wc[1:i - 1] || wc[i + 1:len(wc)], '') = t)) > 0))
 SELECT t AS token, w AS correction, wf AS freq FROM m
 QUALIFY row_number() OVER (PARTITION BY t ORDER BY wf DESC, w) = 1""",
+    "selection_rounds_docs": selection_sql(2, "loss") + "SELECT round, pair_id, loss FROM accepted",
+    "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
+    "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
 }

@@ -291,6 +291,47 @@ def q_autocorrect_requests(spark, sf):
     return normalise.autocorrect(req, counts)
 
 
+def _selection_run(spark, sf, strategy: str, rounds: int = 2):
+    def build():
+        trusted = selection.with_tokens(tables.trusted_documents(spark, sf))
+        cands = selection.with_tokens(tables.candidate_documents(spark, sf))
+        b = tables.read_table(spark, sf, "benchmark")
+        test = selection.with_tokens(b.select(F.lit("benchmark").alias("source"), F.col("item_id").alias("pair_id"),
+                                              F.col("item_id").alias("pos"), "text"))
+        return selection.run_selection(trusted, cands, test, rounds=rounds, strategy=strategy,
+                                       run_id=f"{strategy}-{rounds}")
+    return _memo(spark, ("selection", sf, strategy, rounds), build)
+
+
+def _accepted_with_loss(spark, run):
+    import os
+    acc = spark.read.parquet(os.path.join(run.out_dir, "accepted"))
+    losses = spark.read.parquet(os.path.join(run.out_dir, "losses"))
+    return acc.select("round", "source", "pair_id").join(
+        losses.select("round", "source", "pair_id", "loss"), ["round", "source", "pair_id"], "left") \
+        .select("round", "pair_id", "loss")
+
+
+def q_selection_rounds_docs(spark, sf):
+    """PIP1: two chained selection rounds (split, fit, window, score, quantile cut, grow)."""
+    return _accepted_with_loss(spark, _selection_run(spark, sf, "loss"))
+
+
+def q_selection_stats_docs(spark, sf):
+    """SNK4: deterministic columns of the round statistics of the two-round run."""
+    st = _selection_run(spark, sf, "loss").stats_df(spark)
+    return st.select("round", "n_window", "n_accepted", "total_samples",
+                     F.round("quantile", 6).alias("quantile"),
+                     F.round("best_valid_loss", 6).alias("best_valid_loss"),
+                     F.round("test_loss", 6).alias("test_loss"),
+                     F.round("residual_loss", 6).alias("residual_loss"))
+
+
+def q_random_rounds_docs(spark, sf):
+    """PIP2: two chained rounds of the random-pick baseline."""
+    return _accepted_with_loss(spark, _selection_run(spark, sf, "random")).select("round", "pair_id")
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -322,4 +363,7 @@ REGISTRY: dict[str, Query] = {
     "spelling_normalise_candidates": q_spelling_normalise_candidates,
     "spelling_share_candidates": q_spelling_share_candidates,
     "autocorrect_requests": q_autocorrect_requests,
+    "selection_rounds_docs": q_selection_rounds_docs,
+    "selection_stats_docs": q_selection_stats_docs,
+    "random_rounds_docs": q_random_rounds_docs,
 }
