@@ -346,6 +346,10 @@ FROM m FULL OUTER JOIN b ON m.round = b.round""",
 SELECT pair_id, n_tok, round(nll / n_tok, 6) AS loss FROM sc""",
     "ibm1_best_pairs": f"""{IBM1}
 SELECT e, best FROM best""",
+    "stream_translate_requests": f"""{IBM1},
+     rq AS (SELECT conv_id * 1000 + turn AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
+     {translate_sql('rq', 'sent_id', 'toks')}
+SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
     "translate_requests": f"""{IBM1},
      rq AS (SELECT conv_id * 1000 + turn AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
      {translate_sql('rq', 'sent_id', 'toks')}
@@ -391,6 +395,30 @@ WITH {SPELLING},
 SELECT t AS token, w AS correction, wf AS freq FROM m
 QUALIFY row_number() OVER (PARTITION BY t ORDER BY wf DESC, w) = 1""",
     "selection_rounds_docs": selection_sql(2, "loss") + "SELECT round, pair_id, loss FROM accepted",
+    "loss_summary_docs": selection_sql(2, "loss") + """
+SELECT c.pair_id, s0.loss AS r0, s1.loss AS r1 FROM cand0 c
+LEFT JOIN sc0 s0 ON c.pair_id = s0.pair_id LEFT JOIN sc1 s1 ON c.pair_id = s1.pair_id""",
+    "csv_roundtrip_pairs": f"SELECT pair_id, deu, nds FROM ({PAIRS})",
+    "tsv_positional_pairs": f"SELECT deu AS src, nds AS trg FROM ({PAIRS})",
+    "text_export_trusted": f"SELECT unnest(string_split(text, chr(10))) AS line FROM ({TRUSTED_DOCS})",
+    "shuffle_reindex_pairs": f"""
+SELECT row_number() OVER (ORDER BY {hash_rank("md5('1234:' || source || ':' || pair_id)")}, source, pair_id) - 1
+         AS idx, pair_id FROM ({PAIRS})""",
+    "head_candidates_docs": f"SELECT doc_id AS pair_id FROM ({CANDIDATE_DOCS}) ORDER BY doc_id LIMIT 5",
+    "window_example_docs": f"""
+SELECT doc_id AS pair_id, len({tok_nds('text')}) AS n_tok FROM ({CANDIDATE_DOCS}) ORDER BY doc_id LIMIT 1 OFFSET 8""",
+    "length_limit_pairs": f"SELECT pair_id FROM ({PAIR_TOKENS}) WHERE len(src) + 2 <= 100 AND len(tokens) + 1 <= 100",
+    "numericalize_pairs": f"""
+WITH p AS ({PAIR_TOKENS}),
+     cnt AS (SELECT tok AS token, count(*) AS freq FROM (SELECT unnest(tokens) AS tok FROM p WHERE (pair_id // 1000) % 4 = 0)
+             WHERE tok NOT IN ('<unk>', '<pad>', '<sos>', '<eos>') GROUP BY tok),
+     voc AS (SELECT token, 3 + row_number() OVER (ORDER BY freq DESC, token ASC) AS id FROM cnt),
+     ca AS (SELECT pair_id, tokens FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     ex AS (SELECT pair_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS token FROM ca),
+     j AS (SELECT ex.pair_id, ex.i, coalesce(voc.id, 0) AS id, coalesce(voc.token, '<unk>') AS back
+           FROM ex LEFT JOIN voc ON ex.token = voc.token)
+SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::INT) AS n_unk,
+       string_agg(back, ' ' ORDER BY i) AS back FROM j GROUP BY pair_id""",
     "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
 }

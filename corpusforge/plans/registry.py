@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from corpusforge.functions import text as T
 from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalise, sampling, subword, vocab
 from corpusforge.operators.ordering import exact_quantile
-from corpusforge.plans import report, selection
-from corpusforge.sources import tables
+from corpusforge.operators.ordering import dense_index, first_n, order_statistic
+from corpusforge.plans import assembly, report, selection
+from corpusforge.session import scratch_path
+from corpusforge.sources import files, tables
+from corpusforge.streaming import requests as req_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -332,6 +335,101 @@ def q_random_rounds_docs(spark, sf):
     return _accepted_with_loss(spark, _selection_run(spark, sf, "random")).select("round", "pair_id")
 
 
+def q_csv_roundtrip_pairs(spark, sf):
+    """SRC1: pairs written as pandas-style CSV (quotes, newlines) and read back."""
+    path = scratch_path(spark, "pairs-csv")
+    files.write_pairs_csv(tables.conversation_pairs(spark, sf), path)
+    return files.read_pairs(spark, path)
+
+
+def q_tsv_positional_pairs(spark, sf):
+    """SRC2 + SRC3: TSV written, read back by position (id dropped, src, trg)."""
+    path = scratch_path(spark, "pairs-tsv")
+    files.write_pairs_tsv(tables.conversation_pairs(spark, sf), path)
+    return files.read_positional(spark, path, sep="\t")
+
+
+def q_text_export_trusted(spark, sf):
+    """SNK3: one side exported as plain text lines (no quoting), read back."""
+    path = scratch_path(spark, "side-text")
+    files.export_side(tables.trusted_documents(spark, sf), "text", path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def q_loss_summary_docs(spark, sf):
+    """SNK5 + JOI4: wide loss summary of the two-round run (null where not scored)."""
+    import os
+    run = _selection_run(spark, sf, "loss")
+    losses = spark.read.parquet(os.path.join(run.out_dir, "losses"))
+    cands = tables.candidate_documents(spark, sf).select("source", "pair_id")
+    wide = files.loss_summary_wide(losses, [0, 1], ["source", "pair_id"])
+    return cands.join(wide, ["source", "pair_id"], "left").select(
+        "pair_id", F.col("0").alias("r0"), F.col("1").alias("r1"))
+
+
+def q_shuffle_reindex_pairs(spark, sf):
+    """SMP5 + WIN5: seeded permutation of all pairs with a dense 0-based index."""
+    p = tables.conversation_pairs(spark, sf)
+    return sampling.shuffle_reindex(p, _KEY).select("idx", "pair_id")
+
+
+def q_corpus_assembly_pairs(spark, sf):
+    """PIP4: trusted pairs + word book (best lexical translations), subword models,
+    candidate pairs as monolingual rows filtered to < 60 pieces, shuffled and re-indexed."""
+    p, model = _lexical_model(spark, sf)
+    best = lexical.best_translation(model).filter(~F.col("e").isin("<sos>", "<eos>"))
+    book = dense_index(best, ["e"], "pair_id").select(
+        F.lit("wordbook").alias("source"), "pair_id", F.col("e").alias("deu"), F.col("best").alias("nds"))
+    mono = tables.candidate_pairs(p).withColumn("source", F.lit("mono"))
+    a = assembly.assemble(tables.trusted_pairs(p), book, mono)
+    return a.corpus.select("idx", "source", "pair_id")
+
+
+def q_head_candidates_docs(spark, sf):
+    """FLT7: preview, the first five candidates in file order."""
+    return first_n(tables.candidate_documents(spark, sf), 5, "pos", ["source", "pair_id"]).select("pair_id")
+
+
+def q_window_example_docs(spark, sf):
+    """FLT6: the example at ordinal 8 of the round-0 window, with its token count."""
+    w = selection.with_tokens(sampling.candidate_window(tables.candidate_documents(spark, sf), 0))
+    pos = order_statistic(w, "pos", 9)[0]
+    return w.filter(F.col("pos") == pos).select("pair_id", F.size("tokens").alias("n_tok"))
+
+
+def q_length_limit_pairs(spark, sf):
+    """FLT8: pairs that fit the 100-position limit (source + 2 specials, target + 1)."""
+    p = _pair_tokens(spark, sf)
+    return p.filter((F.size("src") + 2 <= 100) & (F.size("tokens") + 1 <= 100)).select("pair_id")
+
+
+def q_numericalize_pairs(spark, sf):
+    """AGG1 + JOI6 + JOI7: target vocabulary of trusted pairs; candidate targets to ids and back."""
+    p = _pair_tokens(spark, sf)
+    voc = vocab.build_vocab(tables.trusted_pairs(p), "tokens")
+    ids = vocab.numericalize(tables.candidate_pairs(p), ["pair_id"], "tokens", voc)
+    back = vocab.denumericalize(ids, ["pair_id"], "ids", voc)
+    return ids.join(back, "pair_id").select(
+        "pair_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"),
+        F.size(F.filter("ids", lambda x: x == 0)).alias("n_unk"), T.join_tokens("tokens").alias("back"))
+
+
+def q_stream_translate_requests(spark, sf):
+    """PIP8: the request table read as a file stream, translated batch by batch."""
+    import os
+    _, model = _lexical_model(spark, sf)
+    best = _memo(spark, ("best", sf), lambda: lexical.best_translation(model).checkpoint(eager=True))
+    conv = tables.read_table(spark, sf, "conversations")
+    stream = req_stream.request_stream(spark, sf, conv.schema, file_glob="conversations.parquet")
+    reqs = stream.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * tables.TURN_STRIDE + F.col("turn")).cast("long").alias("sent_id"),
+        F.col("text").alias("deu"))
+    sink = scratch_path(spark, "stream-sink")
+    q = req_stream.translate_stream(reqs, best, sink)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("sent_id", "ai_nds")
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -366,4 +464,15 @@ REGISTRY: dict[str, Query] = {
     "selection_rounds_docs": q_selection_rounds_docs,
     "selection_stats_docs": q_selection_stats_docs,
     "random_rounds_docs": q_random_rounds_docs,
+    "csv_roundtrip_pairs": q_csv_roundtrip_pairs,
+    "tsv_positional_pairs": q_tsv_positional_pairs,
+    "text_export_trusted": q_text_export_trusted,
+    "loss_summary_docs": q_loss_summary_docs,
+    "shuffle_reindex_pairs": q_shuffle_reindex_pairs,
+    "corpus_assembly_pairs": q_corpus_assembly_pairs,
+    "head_candidates_docs": q_head_candidates_docs,
+    "window_example_docs": q_window_example_docs,
+    "length_limit_pairs": q_length_limit_pairs,
+    "numericalize_pairs": q_numericalize_pairs,
+    "stream_translate_requests": q_stream_translate_requests,
 }
