@@ -29,7 +29,7 @@ from corpusforge.operators import lm
 from corpusforge.operators.ordering import exact_quantile
 from corpusforge.operators.sampling import (ACCEPT_SHARE, SEED, VALID_SHARE, accept_count,
                                             candidate_window, sample_n, train_valid_split)
-from corpusforge.session import scratch_path
+from corpusforge.session import materialize, scratch_path
 
 KEY = ["source", "pair_id"]
 BATCH_SIZE = 64
@@ -66,6 +66,8 @@ def select_round(trusted_train: DataFrame, candidates: DataFrame, round_i: int,
     """One selection step; returns (scored window, threshold, accepted rows)."""
     window = candidate_window(candidates, round_i)
     _, scored = score_round(trusted_train, window, tokens_col)
+    # the quantile makes several passes over the scores: compute them once
+    scored = materialize(scored)
     threshold = exact_quantile(scored, "loss", q)
     accepted = scored.filter(F.col("loss") <= F.lit(threshold)) if threshold is not None \
         else scored.limit(0)
