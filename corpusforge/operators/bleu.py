@@ -42,20 +42,25 @@ def _ngrams(df: DataFrame, key_cols: list[str], col: str, max_n: int) -> DataFra
 
 def corpus_bleu(df: DataFrame, key_cols: list[str], hyp_col: str, ref_col: str,
                 max_n: int = MAX_N) -> DataFrame:
-    """One row: ``bleu, bp, hyp_len, ref_len, p1..p4, m1..m4, t1..t4``."""
+    """One row: ``bleu, bp, hyp_len, ref_len, m1..m4, t1..t4``.
+
+    Hypothesis and reference n-gram counts meet in one full outer join, so a
+    single aggregation by ``n`` yields clipped matches, hypothesis totals and
+    reference totals; the corpus lengths are the unigram totals.
+    """
     h = _ngrams(df, key_cols, hyp_col, max_n)
     r = _ngrams(df, key_cols, ref_col, max_n).withColumnRenamed("c", "rc")
-    matched = h.join(r, key_cols + ["n", "g"], "left") \
-               .withColumn("m", F.least(F.col("c"), F.coalesce(F.col("rc"), F.lit(0))))
-    per_n = matched.groupBy("n").agg(F.sum("m").alias("m"), F.sum("c").alias("t"))
-    lens = df.agg(F.sum(F.size(hyp_col)).alias("hyp_len"), F.sum(F.size(ref_col)).alias("ref_len"))
+    j = h.join(r, key_cols + ["n", "g"], "full_outer")
+    c, rc = F.coalesce(F.col("c"), F.lit(0)), F.coalesce(F.col("rc"), F.lit(0))
+    per_n = j.groupBy("n").agg(F.sum(F.least(c, rc)).alias("m"), F.sum(c).alias("t"), F.sum(rc).alias("rt"))
     wide = per_n.groupBy().pivot("n", list(range(1, max_n + 1))).agg(
-        F.first("m").alias("m"), F.first("t").alias("t"))
+        F.first("m").alias("m"), F.first("t").alias("t"), F.first("rt").alias("rt"))
     cols = []
     for n in range(1, max_n + 1):
         m, t = F.coalesce(F.col(f"{n}_m"), F.lit(0)), F.coalesce(F.col(f"{n}_t"), F.lit(0))
         cols += [m.cast("long").alias(f"m{n}"), t.cast("long").alias(f"t{n}")]
-    out = _combine(wide.select(*cols), lens)
+    out = wide.select(*cols, F.coalesce(F.col("1_t"), F.lit(0)).cast("long").alias("hyp_len"),
+                      F.coalesce(F.col("1_rt"), F.lit(0)).cast("long").alias("ref_len"))
     logp = sum(F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, max_n + 1)) / max_n
     any_zero = F.greatest(*[F.col(f"m{n}") == 0 for n in range(1, max_n + 1)])
     bp = F.when(F.col("hyp_len") > F.col("ref_len"), F.lit(1.0)) \
@@ -63,13 +68,5 @@ def corpus_bleu(df: DataFrame, key_cols: list[str], hyp_col: str, ref_col: str,
           .otherwise(F.exp(1 - F.col("ref_len") / F.col("hyp_len")))
     return out.select(
         F.round(F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(logp)), 6).alias("bleu"),
-        F.round(bp, 6).alias("bp"), F.col("hyp_len").cast("long").alias("hyp_len"),
-        F.col("ref_len").cast("long").alias("ref_len"),
+        F.round(bp, 6).alias("bp"), "hyp_len", "ref_len",
         *[F.col(f"m{n}") for n in range(1, max_n + 1)], *[F.col(f"t{n}") for n in range(1, max_n + 1)])
-
-
-def _combine(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side by side of two one-row aggregates (both are single global aggregates)."""
-    ka = a.withColumn("_k", F.lit(1))
-    kb = b.withColumn("_k", F.lit(1))
-    return ka.join(kb, "_k").drop("_k")

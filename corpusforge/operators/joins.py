@@ -12,16 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which the right side is never broadcast.
-BROADCAST_ROW_LIMIT = 2_000_000
+# Rows above which a side is never broadcast; a session can lower or raise it
+# with ``corpusforge.broadcast.maxRows``.
+BROADCAST_ROW_LIMIT = 1_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def broadcast_limit(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get("corpusforge.broadcast.maxRows", None)
+    return int(v) if v else BROADCAST_ROW_LIMIT
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
+    limit = broadcast_limit(df) if max_rows is None else max_rows
+    return df.limit(limit + 1).count() <= limit
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.operators.joins import join_small
+from corpusforge.operators.joins import fits_broadcast, join_small
 from corpusforge.operators.sampling import SEED, sample_n
 
 
@@ -26,11 +26,7 @@ def remove_leaks(df: DataFrame, test: DataFrame, text_cols: list[str]) -> DataFr
     for c in text_cols:
         e = F.col(c).eqNullSafe(F.col(f"_t_{c}"))
         cond = e if cond is None else cond & e
-    return df.join(F.broadcast(t) if _small(t) else t, cond, "left_anti")
-
-
-def _small(df: DataFrame, limit: int = 2_000_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(t) if fits_broadcast(t) else t, cond, "left_anti")
 
 
 def leak_probe(df: DataFrame, test: DataFrame, text_col: str, test_key: list[str],
