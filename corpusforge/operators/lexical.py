@@ -76,7 +76,8 @@ def em_step(cells: DataFrame, key_cols: list[str], table: DataFrame | None) -> D
         w = _join_table(cells, table).withColumn("w", F.col("ce") * F.coalesce(F.col("t"), F.lit(0.0)))
     z = F.sum("w").over(Window.partitionBy(*key_cols, "f"))
     expected = w.withColumn("x", F.col("cf") * F.col("w") / z).filter(F.col("x") > 0)
-    counts = expected.groupBy("e", "f").agg(F.sum("x").alias("c"))
+    # counts feed both the numerator and the per-source totals: compute them once
+    counts = materialize(expected.groupBy("e", "f").agg(F.sum("x").alias("c")))
     totals = counts.groupBy("e").agg(F.sum("c").alias("ct"))
     totals = F.broadcast(totals) if fits_broadcast(totals) else totals
     return counts.join(totals, "e").select("e", "f", (F.col("c") / F.col("ct")).alias("t"))
