@@ -132,14 +132,18 @@ def best_translation(model: LexicalModel, exclude: tuple[str, ...] = (EOS,)) ->
 
 
 def translate(model_best: DataFrame, sentences: DataFrame, key_cols: list[str], tokens_col: str,
-              max_len: int = MAX_DECODE) -> DataFrame:
+              max_len: int | None = None) -> DataFrame:
     """PIP7: word-by-word arg-max translation; unknown tokens are copied through.
 
-    Output ``(key, hyp)`` with at most ``max_len`` tokens, in source order.
+    Output ``(key, hyp)`` in source order, one target word per source word,
+    over the whole text.  ``max_len`` re-imposes the neural decoder's step
+    limit (``MAX_DECODE`` = 50) when a caller wants it; a word-by-word
+    translator has no reason to stop early, so it is off by default.
     """
     ex = sentences.select(*key_cols, F.posexplode_outer(F.col(tokens_col)).alias("p", "e"))
     best = F.broadcast(model_best) if fits_broadcast(model_best) else model_best
     j = ex.join(best, "e", "left").withColumn("w", F.coalesce("best", "e"))
     agg = j.groupBy(*key_cols).agg(
         F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("p", "w")))).alias("_s"))
-    return agg.select(*key_cols, F.slice(F.col("_s.w"), 1, max_len).alias("hyp"))
+    hyp = F.col("_s.w") if max_len is None else F.slice(F.col("_s.w"), 1, max_len)
+    return agg.select(*key_cols, hyp.alias("hyp"))

@@ -112,7 +112,7 @@ def translate_sql(table: str, key: str, toks: str) -> str:
      tx_ex AS (SELECT {key} AS k, generate_subscripts({toks}, 1) AS p, unnest({toks}) AS e FROM {table}),
      tx_w AS (SELECT tx_ex.k, tx_ex.p, coalesce(best.best, tx_ex.e) AS w FROM tx_ex LEFT JOIN best ON tx_ex.e = best.e),
      tx_l AS (SELECT k, list(w ORDER BY p) AS l FROM tx_w GROUP BY k),
-     tx AS (SELECT t.{key} AS k, coalesce(list_slice(tx_l.l, 1, 50), []::VARCHAR[]) AS hyp
+     tx AS (SELECT t.{key} AS k, coalesce(tx_l.l, []::VARCHAR[]) AS hyp
             FROM {table} t LEFT JOIN tx_l ON t.{key} = tx_l.k)"""
 
 

@@ -84,7 +84,9 @@ def test_translate_copies_unknown_and_caps(spark):
     best = spark.createDataFrame([("a", "x"), ("b", "y")], "e string, best string")
     s = spark.createDataFrame([(0, ["a", "q", "b"]), (1, ["a"] * 60), (2, [])], "k long, t array<string>")
     got = {r["k"]: r["hyp"] for r in lexical.translate(best, s, ["k"], "t").collect()}
-    assert got[0] == ["x", "q", "y"] and len(got[1]) == 50 and got[2] == []
+    assert got[0] == ["x", "q", "y"] and len(got[1]) == 60 and got[2] == []
+    capped = {r["k"]: r["hyp"] for r in lexical.translate(best, s, ["k"], "t", max_len=50).collect()}
+    assert len(capped[1]) == 50
 
 
 def test_bleu_tokens_fixture(spark):
