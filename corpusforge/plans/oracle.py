@@ -184,24 +184,78 @@ def _score_cte(name: str, train: str, rows: str) -> str:
                 FROM {rows} r LEFT JOIN {name}_tok t ON r.source = t.source AND r.pair_id = t.pair_id)"""
 
 
-def selection_sql(rounds: int, strategy: str) -> str:
-    ctes = [f"""
+def _pair_cells(name: str, rows: str) -> str:
+    return f"""
+     {name}_seq AS (SELECT source, pair_id, ['<sos>'] || src || ['<eos>'] AS s, tokens || ['<eos>'] AS t FROM {rows}),
+     {name}_se AS (SELECT source, pair_id, l, e, count(*)::DOUBLE AS ce
+                   FROM (SELECT source, pair_id, len(s) AS l, unnest(s) AS e FROM {name}_seq) GROUP BY ALL),
+     {name}_tf AS (SELECT source, pair_id, f, count(*)::DOUBLE AS cf
+                   FROM (SELECT source, pair_id, unnest(t) AS f FROM {name}_seq) GROUP BY ALL),
+     {name}_cells AS (SELECT a.source, a.pair_id, l, e, f, ce, cf FROM {name}_se a JOIN {name}_tf b
+                      ON a.source = b.source AND a.pair_id = b.pair_id)"""
+
+
+def _ibm1_fit(name: str, train: str) -> str:
+    """Two EM steps on ``train``; defines ``{name}_t2`` and ``{name}_v``."""
+    return f"""{_pair_cells(name, train)},
+     {name}_x1 AS (SELECT e, f, cf * ce / sum(ce) OVER (PARTITION BY source, pair_id, f) AS x FROM {name}_cells),
+     {name}_c1 AS (SELECT e, f, sum(x) AS c FROM {name}_x1 WHERE x > 0 GROUP BY e, f),
+     {name}_t1 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c1),
+     {name}_w2 AS (SELECT c.source, c.pair_id, c.e, c.f, c.cf, c.ce * coalesce(t1.t, 0) AS w
+                   FROM {name}_cells c LEFT JOIN {name}_t1 t1 ON c.e = t1.e AND c.f = t1.f),
+     {name}_x2 AS (SELECT e, f, cf * w / sum(w) OVER (PARTITION BY source, pair_id, f) AS x FROM {name}_w2),
+     {name}_c2 AS (SELECT e, f, sum(x) AS c FROM {name}_x2 WHERE x > 0 GROUP BY e, f),
+     {name}_t2 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c2),
+     {name}_v AS (SELECT count(DISTINCT f) AS v FROM {name}_tf)"""
+
+
+def _ibm1_score(name: str, model: str, rows: str) -> str:
+    return f"""{_pair_cells(name, rows)},
+     {name}_pf AS (SELECT c.source, c.pair_id, c.f, c.cf, c.l, sum(c.ce * coalesce(m.t, 0)) AS s
+                   FROM {name}_cells c LEFT JOIN {model}_t2 m ON c.e = m.e AND c.f = m.f
+                   GROUP BY c.source, c.pair_id, c.f, c.cf, c.l),
+     {name}_sc AS (SELECT source, pair_id, sum(cf) AS n, sum(cf * -ln(0.9e0 * s / l + 0.1e0 / v.v)) AS s
+                   FROM {name}_pf, {model}_v v GROUP BY source, pair_id),
+     {name} AS (SELECT source, pair_id, s, n, round(s / n, 6) AS loss FROM {name}_sc)"""
+
+
+DOC_INPUTS = f"""
      pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({TRUSTED_DOCS})),
      cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({CANDIDATE_DOCS})),
-     test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""]
+     test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""
+PAIR_INPUTS = f"""
+     pt AS ({PAIR_TOKENS}),
+     pool0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE (pair_id // 1000) % 4 = 0),
+     cand0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE (pair_id // 1000) % 4 <> 0),
+     tl AS ({TEST_LINES}),
+     test AS (SELECT 'benchmark' AS source, a.item_id * 1000 + a.line_no AS pair_id,
+                     {tok_de('a.line')} AS src, {tok_nds('b.line')} AS tokens
+              FROM tl a JOIN tl b ON a.item_id = b.item_id AND b.line_no = a.line_no + 1)"""
+
+
+def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
+    cols = "source, pair_id, text" if kind == "docs" else "source, pair_id, src, tokens"
+    ctes = [DOC_INPUTS if kind == "docs" else PAIR_INPUTS]
     outs = []
     for i in range(rounds):
         size = 500 * 2 ** i + 1
         h = f"md5('1234:{i}:' || source || ':' || pair_id)"
+        if kind == "docs":
+            scores = f"""{_score_cte(f'sc{i}', f'train{i}', f'win{i}')},
+     {_score_cte(f'va{i}', f'train{i}', f'valid{i}')},
+     {_score_cte(f'te{i}', f'train{i}', 'test')}"""
+        else:
+            scores = f"""{_ibm1_fit(f'm{i}', f'train{i}')},
+     {_ibm1_score(f'sc{i}', f'm{i}', f'win{i}')},
+     {_ibm1_score(f'va{i}', f'm{i}', f'valid{i}')},
+     {_ibm1_score(f'te{i}', f'm{i}', 'test')}"""
         ctes.append(f"""
      split{i} AS (SELECT *, row_number() OVER (ORDER BY {hash_rank(h)}, source, pair_id) AS rn,
                          count(*) OVER () AS n FROM pool{i}),
-     train{i} AS (SELECT source, pair_id, text FROM split{i} WHERE rn > ceil(0.1e0 * n)),
-     valid{i} AS (SELECT source, pair_id, text FROM split{i} WHERE rn <= ceil(0.1e0 * n)),
+     train{i} AS (SELECT {cols} FROM split{i} WHERE rn > ceil(0.1e0 * n)),
+     valid{i} AS (SELECT {cols} FROM split{i} WHERE rn <= ceil(0.1e0 * n)),
      win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pair_id, source, pair_id) <= {size}),
-     {_score_cte(f'sc{i}', f'train{i}', f'win{i}')},
-     {_score_cte(f'va{i}', f'train{i}', f'valid{i}')},
-     {_score_cte(f'te{i}', f'train{i}', 'test')},
+     {scores},
      q{i} AS (SELECT quantile_cont(loss, 0.25) AS q FROM sc{i})""")
         if strategy == "loss":
             ctes.append(f"""
@@ -213,8 +267,8 @@ def selection_sql(rounds: int, strategy: str) -> str:
                 QUALIFY row_number() OVER (ORDER BY {hash_rank(hp)}, source, pair_id)
                         <= (SELECT floor(0.25e0 * count(*)) FROM sc{i}))""")
         ctes.append(f"""
-     pool{i + 1} AS (SELECT source, pair_id, text FROM pool{i}
-                     UNION ALL SELECT w.source, w.pair_id, w.text FROM win{i} w
+     pool{i + 1} AS (SELECT {cols} FROM pool{i}
+                     UNION ALL SELECT w.* FROM win{i} w
                      WHERE EXISTS (SELECT 1 FROM acc{i} a WHERE a.source = w.source AND a.pair_id = w.pair_id)),
      cand{i + 1} AS (SELECT * FROM cand{i} c
                      WHERE NOT EXISTS (SELECT 1 FROM acc{i} a WHERE a.source = c.source AND a.pair_id = c.pair_id)),
@@ -421,4 +475,6 @@ SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::IN
        string_agg(back, ' ' ORDER BY i) AS back FROM j GROUP BY pair_id""",
     "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
+    "selection_rounds_pairs": selection_sql(2, "loss", "pairs") + "SELECT round, pair_id, loss FROM accepted",
+    "selection_stats_pairs": selection_sql(2, "loss", "pairs") + "SELECT * FROM round_stats",
 }

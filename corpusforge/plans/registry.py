@@ -306,6 +306,22 @@ def _selection_run(spark, sf, strategy: str, rounds: int = 2):
     return _memo(spark, ("selection", sf, strategy, rounds), build)
 
 
+def _pair_selection_run(spark, sf, rounds: int = 2):
+    def build():
+        p = _pair_tokens(spark, sf)
+        lines = tables.test_lines(spark, sf)
+        # test pairs: consecutive lines of a benchmark item (line i -> line i + 1)
+        nxt = lines.select("item_id", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("nds"))
+        test = lines.join(nxt, ["item_id", "line_no"]).select(
+            F.lit("benchmark").alias("source"), (F.col("item_id") * tables.TURN_STRIDE + F.col("line_no")).alias("pair_id"),
+            (F.col("item_id") * tables.TURN_STRIDE + F.col("line_no")).alias("pos"),
+            F.col("line").alias("deu"), "nds")
+        test = test.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
+        return selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=rounds,
+                                       run_id=f"pairs-{rounds}", scorer=selection.LexicalScorer())
+    return _memo(spark, ("pair-selection", sf, rounds), build)
+
+
 def _accepted_with_loss(spark, run):
     import os
     acc = spark.read.parquet(os.path.join(run.out_dir, "accepted"))
@@ -330,6 +346,21 @@ def q_selection_stats_docs(spark, sf):
                      F.round("residual_loss", 6).alias("residual_loss"))
 
 
+def q_selection_rounds_pairs(spark, sf):
+    """PIP1 on sentence pairs: two rounds scored by IBM Model 1 refitted on each round's train split."""
+    return _accepted_with_loss(spark, _pair_selection_run(spark, sf))
+
+
+def q_selection_stats_pairs(spark, sf):
+    """SNK4 for the pair run: deterministic statistics of both rounds."""
+    st = _pair_selection_run(spark, sf).stats_df(spark)
+    return st.select("round", "n_window", "n_accepted", "total_samples",
+                     F.round("quantile", 6).alias("quantile"),
+                     F.round("best_valid_loss", 6).alias("best_valid_loss"),
+                     F.round("test_loss", 6).alias("test_loss"),
+                     F.round("residual_loss", 6).alias("residual_loss"))
+
+
 def q_random_rounds_docs(spark, sf):
     """PIP2: two chained rounds of the random-pick baseline."""
     return _accepted_with_loss(spark, _selection_run(spark, sf, "random")).select("round", "pair_id")
@@ -464,6 +495,8 @@ REGISTRY: dict[str, Query] = {
     "selection_rounds_docs": q_selection_rounds_docs,
     "selection_stats_docs": q_selection_stats_docs,
     "random_rounds_docs": q_random_rounds_docs,
+    "selection_rounds_pairs": q_selection_rounds_pairs,
+    "selection_stats_pairs": q_selection_stats_pairs,
     "csv_roundtrip_pairs": q_csv_roundtrip_pairs,
     "tsv_positional_pairs": q_tsv_positional_pairs,
     "text_export_trusted": q_text_export_trusted,

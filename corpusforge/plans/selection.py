@@ -74,6 +74,34 @@ def select_round(trusted_train: DataFrame, candidates: DataFrame, round_i: int,
     return scored, threshold, accepted
 
 
+@dataclass
+class UnigramScorer:
+    """Text tables: add-one unigram model over a token column."""
+    tokens_col: str = "tokens"
+
+    def fit(self, train: DataFrame):
+        return lm.fit_unigram(train, self.tokens_col)
+
+    def score(self, model, df: DataFrame) -> DataFrame:
+        return lm.score_unigram(model, df, KEY, self.tokens_col)
+
+
+@dataclass
+class LexicalScorer:
+    """Pair tables: IBM Model 1 fitted by EM on the train split."""
+    src_col: str = "src"
+    trg_col: str = "tokens"
+    iterations: int = 2
+
+    def fit(self, train: DataFrame):
+        from corpusforge.operators import lexical
+        return lexical.fit(train, KEY, self.src_col, self.trg_col, self.iterations)
+
+    def score(self, model, df: DataFrame) -> DataFrame:
+        from corpusforge.operators import lexical
+        return lexical.score(model, df, KEY, self.src_col, self.trg_col)
+
+
 @dataclass
 class SelectionRun:
     run_id: str
@@ -87,15 +115,18 @@ class SelectionRun:
 def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | None,
                   rounds: int = 14, strategy: str = "loss", run_id: str | None = None,
                   out_dir: str | None = None, seed: int = SEED, valid_share: float = VALID_SHARE,
-                  q: float = ACCEPT_SHARE, tokens_col: str = "tokens") -> SelectionRun:
+                  q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None) -> SelectionRun:
     """PIP1 (``strategy='loss'``) or PIP2 (``strategy='random'``).
 
     ``trusted``/``candidates``/``test``: text or pair tables with ``source``,
-    ``pair_id``, ``pos`` and a token array column.  Outputs under ``out_dir``:
+    ``pair_id``, ``pos`` and token array column(s).  ``scorer`` has
+    ``fit(train) -> model`` and ``score(model, df) -> (key, n_tok, sum_nll,
+    loss)``; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
     ``pool/round=i``, ``candidates/round=i``, ``accepted/round=i``,
     ``losses/round=i`` (long loss summary) and ``round_stats``.
     """
     spark = trusted.sparkSession
+    scorer = scorer or UnigramScorer(tokens_col)
     run_id = run_id or time.strftime("%Y%m%d-%H%M%S")
     out_dir = out_dir or scratch_path(spark, f"selection-{run_id}")
     run = SelectionRun(run_id, out_dir)
@@ -118,14 +149,15 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         train = split.filter(F.col("split") == "train")
         valid = split.filter(F.col("split") == "valid")
         n_train, n_valid = train.count(), valid.count()
-        model = lm.fit_unigram(train, tokens_col)
-        valid_loss = weighted_loss(lm.score_unigram(model, valid, KEY, tokens_col))
-        test_loss = weighted_loss(lm.score_unigram(model, test, KEY, tokens_col)) if test is not None else None
+        model = scorer.fit(train)
+        valid_loss = weighted_loss(scorer.score(model, valid))
+        test_loss = weighted_loss(scorer.score(model, test)) if test is not None else None
         fit_secs = time.time() - t0
 
         t1 = time.time()
         window = candidate_window(cands, i)
-        scored = lm.score_unigram(model, window, KEY, tokens_col)
+        # every window row gets a score row (null loss when it has no tokens)
+        scored = window.select(*KEY).join(scorer.score(model, window), KEY, "left")
         scored = persist(scored, "losses", i)
         n_window = scored.count()
         residual_loss = scored.agg(F.avg("loss")).first()[0]
