@@ -45,6 +45,7 @@ class BpeModel:
     merges: list            # [(rank, a, b)]
     vocab: DataFrame        # (piece, id)
     words: DataFrame        # (word, freq, pieces) segmentation of the training words
+    rounds: int = 0
 
 
 def words_of(text: Column) -> Column:
@@ -126,12 +127,17 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
     budget = max(0, vocab_size - len(SPECIAL_PIECES) - n_chars)
     merges: list = []
     rounds = 0
+    stale = None
     while len(merges) < budget:
         # a round may take fewer merges than asked; the loop continues
         k = min(merges_per_round, budget - len(merges))
+        # this job also fills the cache of the current word table
         top = (pair_counts(words).filter(F.col("n") >= min_count)
                .orderBy(F.col("n").desc(), "a", "b").limit(max(k * 4, 16) if k > 1 else 1)
                .collect())
+        if stale is not None:
+            stale.unpersist()
+            stale = None
         if not top:
             break
         chosen = _pick(top, k)
@@ -139,16 +145,16 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
             break
         for a, b, _ in chosen:
             merges.append((len(merges), a, b))
-        prev = words
-        words = words.withColumn("syms", merge_round_expr(F.col("syms"), chosen))
+        nxt = words.withColumn("syms", merge_round_expr(F.col("syms"), chosen))
         rounds += 1
         if rounds % checkpoint_every == 0:
-            words = materialize(words)      # reliable: cuts the lineage
+            nxt = materialize(nxt)          # reliable: cuts the lineage
         else:
-            words = words.persist(StorageLevel.MEMORY_AND_DISK)
-            words.count()
-        prev.unpersist()
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        stale, words = words, nxt
     words = materialize(words)
+    if stale is not None:
+        stale.unpersist()
     base = chars.select("piece", F.lit(0).alias("_g"), (-F.col("n")).alias("_o1"), F.col("piece").alias("_o2"))
     merged = spark.createDataFrame([(a + b, 1, r, "") for r, a, b in merges],
                                    "piece string, _g int, _o1 long, _o2 string")
@@ -159,7 +165,7 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
     vocab = materialize(specials.unionByName(pieces.select("piece", "id"))
                         .groupBy("piece").agg(F.min("id").cast("int").alias("id")))
     seg = words.select("word", "freq", F.col("syms").alias("pieces"))
-    return BpeModel(merges, vocab, seg)
+    return BpeModel(merges, vocab, seg, rounds)
 
 
 def _apply_merges(word: str, ranks: dict) -> list:
