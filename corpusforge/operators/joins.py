@@ -33,12 +33,3 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
-
-
-def null_safe_keys(left: DataFrame, right: DataFrame, cols: list[str]):
-    """Join condition ``l.c <=> r.c`` for every column (pandas merges match nulls)."""
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond

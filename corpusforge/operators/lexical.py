@@ -32,6 +32,8 @@ from corpusforge.session import materialize
 
 LAMBDA = 0.1
 LOSS_DECIMALS = 6
+# Largest number of cells of one sentence pair produced by a single join key.
+CELLS_PER_SPLIT = 1_000_000
 MAX_DECODE = 50
 # Probabilities are compared at this many decimals when picking the best
 # translation, so values that are equal up to float noise count as ties.
@@ -53,15 +55,27 @@ def target_labels(tokens) -> "F.Column":
     return F.concat(tokens, F.array(F.lit(EOS)))
 
 
-def build_cells(pairs: DataFrame, key_cols: list[str], src_col: str, trg_col: str) -> DataFrame:
-    """Per-pair cells ``(key, e, f, ce, cf, l)``; both sides joined on the pair key."""
+def build_cells(pairs: DataFrame, key_cols: list[str], src_col: str, trg_col: str,
+                cells_per_split: int = CELLS_PER_SPLIT) -> DataFrame:
+    """Per-pair cells ``(key, e, f, ce, cf, l)``; both sides joined on the pair key.
+
+    A very long pair would put its whole cross product into one task, so the
+    join key carries a salt: a pair with ``|distinct src| * |distinct trg|``
+    cells gets ``ceil(cells / cells_per_split)`` salts, source types are spread
+    over them by hash and target types are repeated once per salt.  Every cell
+    is produced exactly once.
+    """
     base = pairs.select(*key_cols, source_sequence(F.col(src_col)).alias("_s"),
                         target_labels(F.col(trg_col)).alias("_t"))
-    s = (base.select(*key_cols, F.size("_s").alias("l"), F.explode("_s").alias("e"))
-         .groupBy(*key_cols, "l", "e").agg(F.count(F.lit(1)).cast("double").alias("ce")))
-    t = (base.select(*key_cols, F.explode("_t").alias("f"))
-         .groupBy(*key_cols, "f").agg(F.count(F.lit(1)).cast("double").alias("cf")))
-    return s.join(t, key_cols)
+    n_cells = F.size(F.array_distinct("_s")).cast("long") * F.size(F.array_distinct("_t")).cast("long")
+    base = base.withColumn("_k", F.greatest(F.lit(1), F.ceil(n_cells / F.lit(cells_per_split))).cast("int"))
+    s = (base.select(*key_cols, "_k", F.size("_s").alias("l"), F.explode("_s").alias("e"))
+         .groupBy(*key_cols, "_k", "l", "e").agg(F.count(F.lit(1)).cast("double").alias("ce"))
+         .withColumn("_salt", F.pmod(F.xxhash64("e"), F.col("_k")).cast("int")).drop("_k"))
+    t = (base.select(*key_cols, "_k", F.explode("_t").alias("f"))
+         .groupBy(*key_cols, "_k", "f").agg(F.count(F.lit(1)).cast("double").alias("cf"))
+         .select(*key_cols, "f", "cf", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt")))
+    return s.join(t, key_cols + ["_salt"]).drop("_salt")
 
 
 def _join_table(cells: DataFrame, table: DataFrame) -> DataFrame:

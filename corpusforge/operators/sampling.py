@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.operators.ordering import dense_index, first_n
+from corpusforge.operators.ordering import _le_tuple, dense_index, first_n, order_statistic
 
 # Fixed values from the reference's runs.
 SEED = 1234
@@ -38,17 +38,6 @@ def with_rank_hash(df: DataFrame, seed: int, key_cols: list[str], salt: str | No
               .withColumn("_h60", F.conv(F.substring("_hash", 1, 15), 16, 10).cast("long")))
 
 
-def pick_smallest_hash(df: DataFrame, n: int, seed: int, key_cols: list[str],
-                       salt: str | None = None) -> DataFrame:
-    """Rows with the ``n`` smallest hashes (exact size), plus a ``_picked`` flag."""
-    hd = with_rank_hash(df, seed, key_cols, salt)
-    if n <= 0:
-        return hd.withColumn("_picked", F.lit(False))
-    picked = first_n(hd, n, "_h60", ["_hash"] + key_cols)
-    flag = picked.select(*key_cols).withColumn("_picked", F.lit(True))
-    return hd.join(flag, key_cols, "left").withColumn("_picked", F.coalesce("_picked", F.lit(False)))
-
-
 def train_valid_split(df: DataFrame, key_cols: list[str], seed: int = SEED,
                       valid_share: float = VALID_SHARE, salt: str | None = None) -> DataFrame:
     """SMP1: adds ``split`` = 'valid' for ceil(share * n) rows, else 'train'."""
@@ -57,7 +46,6 @@ def train_valid_split(df: DataFrame, key_cols: list[str], seed: int = SEED,
     hd = with_rank_hash(df, seed, key_cols, salt)
     if n_valid == 0:
         return hd.withColumn("split", F.lit("train")).drop("_hash", "_h60")
-    from corpusforge.operators.ordering import order_statistic, _le_tuple
     cut = order_statistic(hd, "_h60", n_valid, ["_hash"] + key_cols)
     return (hd.withColumn("split", F.when(_le_tuple(["_h60", "_hash"] + key_cols, cut), "valid")
                           .otherwise("train"))

@@ -1,15 +1,15 @@
 """Subword vocabulary: byte-pair-encoding training, encoding and decoding (SUB1-SUB3).
 
-Training works on the *word-type table* ``(word, freq, symbols)``: the text
+Training works on the *word-type table* ``(word, freq, syms)``: the text
 is split into words once (``explode`` + ``groupBy``), and every merge round
-works on distinct words, never on the running corpus.  A word is written as
-its symbols separated by single spaces (words never contain whitespace), so
-a merge is one ``regexp_replace`` over that string.
+works on distinct words, never on the running corpus.
 
 Merge rounds: count adjacent symbol pairs weighted by word frequency
 (``groupBy`` with map-side combine), take up to ``merges_per_round``
-pairs in count order (ties: smaller pair first) that share no symbol with
-a pair already taken this round, apply them, checkpoint the word table.
+pairs in count order (ties: smaller pair first), skipping a pair whose left
+symbol is the right symbol of a pair already taken (or the reverse), apply
+them in one ``aggregate`` fold, persist the word table and checkpoint it
+every few rounds.
 ``merges_per_round=1`` is plain BPE (one merge per count); larger values
 trade exact merge order for fewer rounds, because a pair created by a merge
 is only counted in the next round.
@@ -36,7 +36,6 @@ from corpusforge.session import materialize
 
 VOCAB_SIZE = 10_000
 SPECIAL_PIECES = ("<unk>", "<s>", "</s>", "<pad>")
-TOP_PAIRS_LIMIT = 4096
 PAIR_SEP = "\u0001"
 
 
@@ -106,7 +105,7 @@ def _pick(top: list, k: int) -> list:
     chosen, lefts, rights = [], set(), set()
     for r in top:
         a, b = r["a"], r["b"]
-        if a in rights or b in lefts or (a == b and chosen and (a in lefts or a in rights)):
+        if a in rights or b in lefts:
             continue
         chosen.append((a, b, r["n"]))
         lefts.add(a)

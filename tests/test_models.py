@@ -43,6 +43,14 @@ def test_unigram_fixture(spark):
     assert got == {0: 2.296529, 1: 2.732691}
 
 
+def test_incremental_unigram_equals_refit(spark):
+    a, b = tok_frame(spark, [TRUSTED]), tok_frame(spark, ["se hett mi ."])
+    inc = lm.update_unigram(lm.fit_unigram(a), b)
+    full = lm.fit_unigram(a.unionByName(b))
+    assert (inc.n_tokens, inc.n_types) == (full.n_tokens, full.n_types)
+    assert sorted(map(tuple, inc.counts.collect())) == sorted(map(tuple, full.counts.collect()))
+
+
 def test_bigram_matches_brute_force(spark):
     train = ["a b a c", "b a", "c c a b"]
     test = ["a b", "c a d", ""]
@@ -74,6 +82,14 @@ def test_ibm1_fixture(spark):
     assert sc == {0: 1.121088, 1: 0.873691}
 
 
+def test_ibm1_cells_salted_split_is_exact(spark):
+    pairs = spark.createDataFrame([(0, ["a", "b", "a", "c"], ["x", "y", "x"]), (1, ["a"], ["z"])],
+                                  "pair_id long, src array<string>, trg array<string>")
+    whole = sorted(map(tuple, lexical.build_cells(pairs, ["pair_id"], "src", "trg").collect()))
+    split = sorted(map(tuple, lexical.build_cells(pairs, ["pair_id"], "src", "trg", cells_per_split=2).collect()))
+    assert whole == split and len(whole) == 5 * 3 + 3 * 2
+
+
 def test_ibm1_best_keeps_first_iteration_on_ties(spark):
     pairs = spark.createDataFrame([(0, ["a"], ["x"])], "pair_id long, src array<string>, trg array<string>")
     m = lexical.fit(pairs, ["pair_id"], "src", "trg", iterations=3, valid=pairs)
