@@ -195,24 +195,28 @@ def _pair_cells(name: str, rows: str) -> str:
                       ON a.source = b.source AND a.pair_id = b.pair_id)"""
 
 
-def _ibm1_fit(name: str, train: str) -> str:
-    """Two EM steps on ``train``; defines ``{name}_t2`` and ``{name}_v``."""
-    return f"""{_pair_cells(name, train)},
+def _ibm1_fit(name: str, train: str, iterations: int = 2) -> str:
+    """EM steps on ``train``: defines ``{name}_t1`` .. ``{name}_t<iterations>`` and ``{name}_v``."""
+    parts = [f"""{_pair_cells(name, train)},
      {name}_x1 AS (SELECT e, f, cf * ce / sum(ce) OVER (PARTITION BY source, pair_id, f) AS x FROM {name}_cells),
      {name}_c1 AS (SELECT e, f, sum(x) AS c FROM {name}_x1 WHERE x > 0 GROUP BY e, f),
-     {name}_t1 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c1),
-     {name}_w2 AS (SELECT c.source, c.pair_id, c.e, c.f, c.cf, c.ce * coalesce(t1.t, 0) AS w
-                   FROM {name}_cells c LEFT JOIN {name}_t1 t1 ON c.e = t1.e AND c.f = t1.f),
-     {name}_x2 AS (SELECT e, f, cf * w / sum(w) OVER (PARTITION BY source, pair_id, f) AS x FROM {name}_w2),
-     {name}_c2 AS (SELECT e, f, sum(x) AS c FROM {name}_x2 WHERE x > 0 GROUP BY e, f),
-     {name}_t2 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c2),
-     {name}_v AS (SELECT count(DISTINCT f) AS v FROM {name}_tf)"""
-
-
-def _ibm1_score(name: str, model: str, rows: str) -> str:
+     {name}_t1 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c1)"""]
+    for i in range(2, iterations + 1):
+        parts.append(f"""
+     {name}_w{i} AS (SELECT c.source, c.pair_id, c.e, c.f, c.cf, c.ce * coalesce(p.t, 0) AS w
+                   FROM {name}_cells c LEFT JOIN {name}_t{i - 1} p ON c.e = p.e AND c.f = p.f),
+     {name}_x{i} AS (SELECT e, f, cf * w / sum(w) OVER (PARTITION BY source, pair_id, f) AS x FROM {name}_w{i}),
+     {name}_c{i} AS (SELECT e, f, sum(x) AS c FROM {name}_x{i} WHERE x > 0 GROUP BY e, f),
+     {name}_t{i} AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM {name}_c{i})""")
+    parts.append(f"""
+     {name}_v AS (SELECT count(DISTINCT f) AS v FROM {name}_tf)""")
+    return ",".join(parts)
+
+
+def _ibm1_score(name: str, model: str, rows: str, table: str = "t2") -> str:
     return f"""{_pair_cells(name, rows)},
      {name}_pf AS (SELECT c.source, c.pair_id, c.f, c.cf, c.l, sum(c.ce * coalesce(m.t, 0)) AS s
-                   FROM {name}_cells c LEFT JOIN {model}_t2 m ON c.e = m.e AND c.f = m.f
+                   FROM {name}_cells c LEFT JOIN {model}_{table} m ON c.e = m.e AND c.f = m.f
                    GROUP BY c.source, c.pair_id, c.f, c.cf, c.l),
      {name}_sc AS (SELECT source, pair_id, sum(cf) AS n, sum(cf * -ln(0.9e0 * s / l + 0.1e0 / v.v)) AS s
                    FROM {name}_pf, {model}_v v GROUP BY source, pair_id),
@@ -233,6 +237,24 @@ PAIR_INPUTS = f"""
               FROM tl a JOIN tl b ON a.item_id = b.item_id AND b.line_no = a.line_no + 1)"""
 
 
+def best_iteration_sql(iterations: int = 3) -> str:
+    """AGG7: validation loss after each EM step on the train split; first minimum wins."""
+    h = "md5('1234:' || source || ':' || pair_id)"
+    scores = ",".join(_ibm1_score(f"va{i}", "m", "valid", f"t{i}") for i in range(1, iterations + 1))
+    hist = " UNION ALL ".join(f"SELECT {i} AS iteration, (SELECT sum(s) / sum(n) FROM va{i}) AS l"
+                              for i in range(1, iterations + 1))
+    return (f"WITH {PAIR_INPUTS},\n"
+            f"     split AS (SELECT *, row_number() OVER (ORDER BY {hash_rank(h)}, source, pair_id) AS rn,\n"
+            f"                      count(*) OVER () AS n FROM pool0),\n"
+            f"     train AS (SELECT source, pair_id, src, tokens FROM split WHERE rn > ceil(0.1e0 * n)),\n"
+            f"     valid AS (SELECT source, pair_id, src, tokens FROM split WHERE rn <= ceil(0.1e0 * n)),\n"
+            f"     {_ibm1_fit('m', 'train', iterations)},\n"
+            f"     {scores},\n"
+            f"     hist AS ({hist}),\n"
+            f"     best AS (SELECT min(iteration) AS it FROM hist WHERE l = (SELECT min(l) FROM hist))\n"
+            f"SELECT iteration, round(l, 6) AS valid_loss, iteration = (SELECT it FROM best) AS is_best FROM hist")
+
+
 def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
     cols = "source, pair_id, text" if kind == "docs" else "source, pair_id, src, tokens"
     ctes = [DOC_INPUTS if kind == "docs" else PAIR_INPUTS]
@@ -477,4 +499,5 @@ SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::IN
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
     "selection_rounds_pairs": selection_sql(2, "loss", "pairs") + "SELECT round, pair_id, loss FROM accepted",
     "selection_stats_pairs": selection_sql(2, "loss", "pairs") + "SELECT * FROM round_stats",
+    "ibm1_best_iteration_pairs": best_iteration_sql(3),
 }

@@ -206,6 +206,19 @@ def q_ibm1_scores_pairs(spark, sf):
     return sc.select("pair_id", "n_tok", "loss")
 
 
+def q_ibm1_best_iteration_pairs(spark, sf):
+    """AGG7: three EM steps on the train split of the trusted pairs, validation loss after
+    each; the smallest wins, the first of ties (strict <)."""
+    p = _pair_tokens(spark, sf)
+    split = sampling.train_valid_split(tables.trusted_pairs(p), _KEY)
+    train, valid = split.filter("split = 'train'"), split.filter("split = 'valid'")
+    model = lexical.fit(train, _KEY, "src", "tokens", iterations=3, valid=valid)
+    best = min(model.history, key=lambda h: (h[1], h[0]))[0]
+    rows = [(it, loss, it == best) for it, loss in model.history]
+    return spark.createDataFrame(rows, "iteration int, valid_loss double, is_best boolean") \
+        .withColumn("valid_loss", F.round("valid_loss", 6))
+
+
 def q_ibm1_best_pairs(spark, sf):
     """TOP1: most probable target token per source token."""
     _, model = _lexical_model(spark, sf)
@@ -483,6 +496,7 @@ REGISTRY: dict[str, Query] = {
     "run_compare_events": q_run_compare_events,
     "ibm1_scores_pairs": q_ibm1_scores_pairs,
     "ibm1_best_pairs": q_ibm1_best_pairs,
+    "ibm1_best_iteration_pairs": q_ibm1_best_iteration_pairs,
     "translate_requests": q_translate_requests,
     "bleu_tokens_pairs": q_bleu_tokens_pairs,
     "bleu_chars_pairs": q_bleu_chars_pairs,
