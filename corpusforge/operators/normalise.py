@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.joins import join_small
+from corpusforge.session import materialize
 
 
 def case_variants(counts: DataFrame, token_col: str = "token", freq_col: str = "freq") -> DataFrame:
@@ -67,8 +68,10 @@ def autocorrect(tokens: DataFrame, vocab: DataFrame, token_col: str = "token",
     """PIP10: ``(token, correction, freq)`` for tokens outside ``vocab`` that have a
     vocabulary word within edit distance 1."""
     v = vocab.select(F.col(word_col).alias("w"), F.col(freq_col).alias("wf")).filter(F.col("w").isNotNull())
-    unknown = tokens.select(F.col(token_col).alias("t")).distinct() \
-                    .join(v.select(F.col("w").alias("t")), "t", "left_anti")
+    # the vocabulary and the unknown tokens each feed three joins: compute them once
+    v = materialize(v)
+    unknown = materialize(tokens.select(F.col(token_col).alias("t")).distinct()
+                          .join(v.select(F.col("w").alias("t")), "t", "left_anti"))
     td = _deletions(unknown, "t")
     wd = _deletions(v, "w")
     # token minus one character == word (token has an extra character)

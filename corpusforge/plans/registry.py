@@ -16,7 +16,7 @@ from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalis
 from corpusforge.operators.ordering import exact_quantile
 from corpusforge.operators.ordering import dense_index, first_n, order_statistic
 from corpusforge.plans import assembly, report, selection
-from corpusforge.session import scratch_path
+from corpusforge.session import materialize, scratch_path
 from corpusforge.sources import files, tables
 from corpusforge.streaming import requests as req_stream
 
@@ -279,9 +279,12 @@ def q_subword_roundtrip_requests(spark, sf):
 
 
 def _spelling(spark, sf):
-    tr = tables.trusted_documents(spark, sf).select(T.tokenize_nds("text").alias("tokens"))
-    counts = vocab.token_counts(tr, "tokens")
-    return counts, normalise.case_variants(counts)
+    def build():
+        tr = tables.trusted_documents(spark, sf).select(T.tokenize_nds("text").alias("tokens"))
+        # both tables feed several joins and a size check: compute them once
+        counts = materialize(vocab.token_counts(tr, "tokens"))
+        return counts, materialize(normalise.case_variants(counts))
+    return _memo(spark, ("spelling", sf), build)
 
 
 def q_spelling_normalise_candidates(spark, sf):
