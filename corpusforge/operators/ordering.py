@@ -76,10 +76,13 @@ def order_statistic(df: DataFrame, col: str, k: int, tie_cols: list[str] | None
             below += h["n"]
 
 
-def exact_quantile(df: DataFrame, col: str, q: float):
-    """Exact quantile with linear interpolation between order statistics (AGG4)."""
+def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None):
+    """Exact quantile with linear interpolation between order statistics (AGG4).
+
+    ``n`` (the number of non-null values) may be passed when already known.
+    """
     base = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    n = base.count()
+    n = base.count() if n is None else n
     if n == 0:
         return None
     pos = q * (n - 1)

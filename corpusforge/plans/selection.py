@@ -140,15 +140,16 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
     pool = persist(trusted.select(*cols), "pool", 0)
     cands = persist(candidates.select(*cols), "candidates", 0)
     for i in range(rounds):
-        n_cands = cands.count()
-        if n_cands == 0:
+        if not cands.take(1):
             break
         t0 = time.time()
         split = train_valid_split(pool, KEY, seed, valid_share, salt=str(i))
         split = persist(split, "split", i)
         train = split.filter(F.col("split") == "train")
         valid = split.filter(F.col("split") == "valid")
-        n_train, n_valid = train.count(), valid.count()
+        sizes = split.groupBy("split").count().collect()      # two rows
+        n_train = sum(r["count"] for r in sizes if r["split"] == "train")
+        n_valid = sum(r["count"] for r in sizes if r["split"] == "valid")
         model = scorer.fit(train)
         valid_loss = weighted_loss(scorer.score(model, valid))
         test_loss = weighted_loss(scorer.score(model, test)) if test is not None else None
@@ -159,10 +160,11 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         # every window row gets a score row (null loss when it has no tokens)
         scored = window.select(*KEY).join(scorer.score(model, window), KEY, "left")
         scored = persist(scored, "losses", i)
-        n_window = scored.count()
-        residual_loss = scored.agg(F.avg("loss")).first()[0]
+        w_stats = scored.agg(F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"),
+                             F.avg("loss").alias("avg")).first()
+        n_window, residual_loss = w_stats["n"], w_stats["avg"]
         if strategy == "loss":
-            threshold = exact_quantile(scored, "loss", q)
+            threshold = exact_quantile(scored, "loss", q, n=w_stats["n_scored"])
             acc_keys = scored.filter(F.col("loss") <= F.lit(threshold)).select(*KEY)
         elif strategy == "random":
             threshold = None
