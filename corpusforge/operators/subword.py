@@ -78,25 +78,47 @@ def merge_round_expr(syms: Column, chosen: list) -> Column:
     """Apply a round's merges in one left-to-right pass.
 
     No pair of a round has its left symbol equal to another pair's right
-    symbol (see ``_pick``), so two chosen occurrences can overlap only for a
-    pair ``(x, x)``, which the left-to-right scan resolves like plain BPE; any
-    order of applying the round's merges gives this same result.
+    symbol (see ``_pick``), so two chosen occurrences can only overlap for a
+    self pair ``(x, x)``.  Words without such a symbol take a plain
+    ``transform``: a symbol is dropped when a chosen pair ends on it and
+    joined with its successor when a chosen pair starts on it.  Words with a
+    self-pair symbol take a left-to-right fold, which resolves runs like
+    ``x x x`` as plain BPE does (``xx x``).  Either way the result equals
+    applying the round's merges one after another.
     """
     keys = F.create_map(*[F.lit(v) for a, b, _ in chosen for v in (a + PAIR_SEP + b, True)])
-    init = F.struct(F.array().cast("array<string>").alias("o"), F.lit(False).alias("s"))
-
-    def step(acc, i):
-        cur = F.try_element_at(syms, i)
-        nxt = F.try_element_at(syms, i + 1)
-        hit = F.coalesce(F.try_element_at(keys, F.concat(cur, F.lit(PAIR_SEP), nxt)), F.lit(False))
-        return (F.when(acc["s"], F.struct(acc["o"].alias("o"), F.lit(False).alias("s")))
-                .when(hit, F.struct(F.concat(acc["o"], F.array(F.concat(cur, nxt))).alias("o"),
-                                    F.lit(True).alias("s")))
-                .otherwise(F.struct(F.concat(acc["o"], F.array(cur)).alias("o"), F.lit(False).alias("s"))))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(syms)), init, step, lambda acc: acc["o"])
+    n = F.size(syms)
+
+    def sym(i):
+        return F.try_element_at(syms, i)
+
+    def starts(i):
+        return F.coalesce(F.try_element_at(keys, F.concat(sym(i), F.lit(PAIR_SEP), sym(i + 1))), F.lit(False))
+
+    def out_at(i):
+        ends_here = F.when(i > 1, starts(i - 1)).otherwise(F.lit(False))
+        return (F.when(ends_here, F.lit(None).cast("string"))
+                .when((i < n) & starts(i), F.concat(sym(i), sym(i + 1)))
+                .otherwise(sym(i)))
+
+    fast = F.filter(F.transform(F.sequence(F.lit(1), n), out_at), lambda x: x.isNotNull())
+
+    merged = fast
+    selfs = sorted({a for a, b, _ in chosen if a == b})
+    if selfs:
+        init = F.struct(F.array().cast("array<string>").alias("o"), F.lit(False).alias("s"))
+
+        def step(acc, i):
+            hit = starts(i)
+            return (F.when(acc["s"], F.struct(acc["o"].alias("o"), F.lit(False).alias("s")))
+                    .when(hit, F.struct(F.concat(acc["o"], F.array(F.concat(sym(i), sym(i + 1)))).alias("o"),
+                                        F.lit(True).alias("s")))
+                    .otherwise(F.struct(F.concat(acc["o"], F.array(sym(i))).alias("o"), F.lit(False).alias("s"))))
+
+        folded = F.aggregate(F.sequence(F.lit(1), n), init, step, lambda acc: acc["o"])
+        merged = F.when(F.arrays_overlap(syms, F.array(*[F.lit(x) for x in selfs])), folded).otherwise(fast)
     touched = F.arrays_overlap(syms, F.array(*[F.lit(a) for a in sorted({a for a, _, _ in chosen})]))
-    return F.when((F.size(syms) >= 2) & touched, folded).otherwise(syms)
+    return F.when((n >= 2) & touched, merged).otherwise(syms)
 
 
 def _pick(top: list, k: int) -> list:
@@ -119,7 +141,11 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
               merges_per_round: int = 1, min_count: int = 2, checkpoint_every: int = 8) -> BpeModel:
     """SUB1.  The merge list stays on the driver; it is bounded by ``vocab_size``."""
     spark = df.sparkSession
-    words = materialize(word_types(df, text_col))
+    words = word_types(df, text_col)
+    # the merge fold is CPU work per word: spread the (small) word table over
+    # at least all task slots instead of the few partitions AQE would coalesce to
+    words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism * 2,
+                                              int(spark.conf.get("spark.sql.shuffle.partitions"))), "word"))
     chars = (words.select("freq", F.explode("syms").alias("piece"))
              .groupBy("piece").agg(F.sum("freq").alias("n")))
     n_chars = chars.count()
