@@ -144,7 +144,7 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
     words = word_types(df, text_col)
     # the merge fold is CPU work per word: spread the (small) word table over
     # at least all task slots instead of the few partitions AQE would coalesce to
-    words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism * 2,
+    words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism,
                                               int(spark.conf.get("spark.sql.shuffle.partitions"))), "word"))
     chars = (words.select("freq", F.explode("syms").alias("piece"))
              .groupBy("piece").agg(F.sum("freq").alias("n")))
