@@ -301,7 +301,9 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
                          {'round((SELECT q FROM q' + str(i) + '), 6)' if strategy == 'loss' else 'NULL::DOUBLE'} AS quantile,
                          round((SELECT sum(s) / sum(n) FROM va{i}), 6) AS best_valid_loss,
                          round((SELECT sum(s) / sum(n) FROM te{i}), 6) AS test_loss,
-                         round((SELECT avg(loss) FROM sc{i}), 6) AS residual_loss)""")
+                         round((SELECT avg(loss) FROM sc{i}), 6) AS residual_loss,
+                         round(exp((SELECT sum(s) / sum(n) FROM va{i})), 6) AS valid_ppl,
+                         round(exp((SELECT sum(s) / sum(n) FROM te{i})), 6) AS test_ppl)""")
         outs.append(i)
     acc = " UNION ALL ".join(f"SELECT {i} AS round, pair_id, loss FROM acc{i}" for i in outs)
     stats = " UNION ALL ".join(f"SELECT * FROM stats{i}" for i in outs)
@@ -474,6 +476,14 @@ QUALIFY row_number() OVER (PARTITION BY t ORDER BY wf DESC, w) = 1""",
     "loss_summary_docs": selection_sql(2, "loss") + """
 SELECT c.pair_id, s0.loss AS r0, s1.loss AS r1 FROM cand0 c
 LEFT JOIN sc0 s0 ON c.pair_id = s0.pair_id LEFT JOIN sc1 s1 ON c.pair_id = s1.pair_id""",
+    "leak_probe_docs": f"""
+WITH tl AS ({TEST_LINES}),
+     pr AS (SELECT 1234 AS seed, line FROM tl
+            QUALIFY row_number() OVER (ORDER BY {hash_rank("md5('1234:' || item_id || ':' || line_no)")}, item_id, line_no) = 1
+            UNION ALL
+            SELECT 42 AS seed, line FROM tl
+            QUALIFY row_number() OVER (ORDER BY {hash_rank("md5('42:' || item_id || ':' || line_no)")}, item_id, line_no) = 1)
+SELECT pr.seed, d.doc_id FROM pr JOIN documents d ON contains(d.text, pr.line)""",
     "csv_roundtrip_pairs": f"SELECT pair_id, deu, nds FROM ({PAIRS})",
     "tsv_positional_pairs": f"SELECT deu AS src, nds AS trg FROM ({PAIRS})",
     "text_export_trusted": f"SELECT unnest(string_split(text, chr(10))) AS line FROM ({TRUSTED_DOCS})",

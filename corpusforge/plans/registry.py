@@ -85,6 +85,19 @@ def q_leak_free_lines(spark, sf):
     return leakage.remove_leaks(lines, test, ["line"]).select("doc_id", "line_no")
 
 
+def q_leak_probe_docs(spark, sf):
+    """FLT5: one test line drawn with seed 1234 and one with seed 42; documents containing it."""
+    lines = tables.test_lines(spark, sf)
+    docs = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    out = None
+    for seed in (1234, 42):
+        hits = leakage.leak_probe(docs, lines.withColumnRenamed("line", "text"), "text",
+                                  ["item_id", "line_no"], seed=seed)
+        hits = hits.select(F.lit(seed).alias("seed"), "doc_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def q_split_trusted_docs(spark, sf):
     """SMP1: seeded 90/10 train/valid split of the trusted documents."""
     t = tables.trusted_documents(spark, sf)
@@ -359,7 +372,9 @@ def q_selection_stats_docs(spark, sf):
                      F.round("quantile", 6).alias("quantile"),
                      F.round("best_valid_loss", 6).alias("best_valid_loss"),
                      F.round("test_loss", 6).alias("test_loss"),
-                     F.round("residual_loss", 6).alias("residual_loss"))
+                     F.round("residual_loss", 6).alias("residual_loss"),
+                     F.round(T.perplexity("best_valid_loss"), 6).alias("valid_ppl"),
+                     F.round(T.perplexity("test_loss"), 6).alias("test_ppl"))
 
 
 def q_selection_rounds_pairs(spark, sf):
@@ -374,7 +389,9 @@ def q_selection_stats_pairs(spark, sf):
                      F.round("quantile", 6).alias("quantile"),
                      F.round("best_valid_loss", 6).alias("best_valid_loss"),
                      F.round("test_loss", 6).alias("test_loss"),
-                     F.round("residual_loss", 6).alias("residual_loss"))
+                     F.round("residual_loss", 6).alias("residual_loss"),
+                     F.round(T.perplexity("best_valid_loss"), 6).alias("valid_ppl"),
+                     F.round(T.perplexity("test_loss"), 6).alias("test_ppl"))
 
 
 def q_random_rounds_docs(spark, sf):
@@ -486,6 +503,7 @@ REGISTRY: dict[str, Query] = {
     "conversation_pairs": q_conversation_pairs,
     "leak_matches": q_leak_matches,
     "leak_free_lines": q_leak_free_lines,
+    "leak_probe_docs": q_leak_probe_docs,
     "split_trusted_docs": q_split_trusted_docs,
     "split_sizes_docs": q_split_sizes_docs,
     "sample_requests": q_sample_requests,
