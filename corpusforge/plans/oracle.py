@@ -66,6 +66,15 @@ def hash_rank(hash_expr: str) -> str:
     return f"('0x' || substr({hash_expr}, 1, 15))::BIGINT, {hash_expr}"
 
 
+TRUSTED_CONV = f"""
+  SELECT conv_id FROM (
+    SELECT conv_id, row_number() OVER (ORDER BY {hash_rank("md5('1234:trusted:' || conv_id)")}, conv_id) AS rn,
+           count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL))
+  WHERE rn <= ceil(0.25e0 * n)"""
+TRUSTED_COND = f"(pair_id // 1000) IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
+CANDIDATE_COND = f"(pair_id // 1000) NOT IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
+
+
 PAIR_TOKENS = f"""
   SELECT *, {tok_de('deu')} AS src, {tok_nds('nds')} AS tokens FROM ({PAIRS})"""
 EVENT_STATS = """
@@ -93,7 +102,7 @@ def ibm1_cells(name: str, where: str) -> str:
 
 IBM1 = f"""
 WITH p AS ({PAIR_TOKENS}),
-     {ibm1_cells('cells', '(pair_id // 1000) % 4 = 0')},
+     {ibm1_cells('cells', TRUSTED_COND)},
      x1 AS (SELECT e, f, cf * ce / sum(ce) OVER (PARTITION BY pair_id, f) AS x FROM cells),
      c1 AS (SELECT e, f, sum(x) AS c FROM x1 WHERE x > 0 GROUP BY e, f),
      t1 AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM c1),
@@ -145,7 +154,7 @@ SELECT round(CASE WHEN m1 = 0 OR m2 = 0 OR m3 = 0 OR m4 = 0 THEN 0.0e0
 
 
 CAND_TRANSLATIONS = f"""{IBM1},
-     cand AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     cand AS (SELECT * FROM p WHERE {CANDIDATE_COND}),
      {translate_sql('cand', 'pair_id', 'src')}
 SELECT cand.pair_id AS k, cand.nds, tx.hyp, cand.tokens AS ref FROM cand JOIN tx ON cand.pair_id = tx.k"""
 
@@ -229,8 +238,8 @@ DOC_INPUTS = f"""
      test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""
 PAIR_INPUTS = f"""
      pt AS ({PAIR_TOKENS}),
-     pool0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE (pair_id // 1000) % 4 = 0),
-     cand0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE (pair_id // 1000) % 4 <> 0),
+     pool0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE {TRUSTED_COND}),
+     cand0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE {CANDIDATE_COND}),
      tl AS ({TEST_LINES}),
      test AS (SELECT 'benchmark' AS source, a.item_id * 1000 + a.line_no AS pair_id,
                      {tok_de('a.line')} AS src, {tok_nds('b.line')} AS tokens
@@ -374,10 +383,10 @@ WITH p AS ({PAIR_TOKENS}),
 SELECT pair_id, batch_id, batch_len, max(batch_len) OVER (PARTITION BY batch_id) + 2 AS width FROM r""",
     "batch_loss_pairs": f"""
 WITH p AS ({PAIR_TOKENS}),
-     tr AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 = 0),
+     tr AS (SELECT * FROM p WHERE {TRUSTED_COND}),
      cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(tokens) AS tok FROM tr) GROUP BY tok),
      m AS (SELECT sum(c) + count(*) + 1 AS den FROM cnt),
-     ca AS (SELECT * FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     ca AS (SELECT * FROM p WHERE {CANDIDATE_COND}),
      b AS (SELECT pair_id, (row_number() OVER (ORDER BY len(src), source, pair_id) - 1) // 64 AS batch_id FROM ca),
      ex AS (SELECT pair_id, unnest(tokens) AS tok FROM ca),
      sc AS (SELECT ex.pair_id, sum(-ln((coalesce(cnt.c, 0) + 1) / m.den)) AS s, count(*) AS n
@@ -386,7 +395,7 @@ WITH p AS ({PAIR_TOKENS}),
 SELECT count(*) AS n_batches, round(avg(s / n), 6) AS split_loss, round(sum(s) / sum(n), 6) AS token_loss FROM pb""",
     "bigram_scores_pairs": f"""
 WITH p AS ({PAIR_TOKENS}),
-     seqs AS (SELECT pair_id, (pair_id // 1000) % 4 = 0 AS trusted, ['<sos>'] || tokens || ['<eos>'] AS s FROM p),
+     seqs AS (SELECT pair_id, {TRUSTED_COND} AS trusted, ['<sos>'] || tokens || ['<eos>'] AS s FROM p),
      idx AS (SELECT pair_id, trusted, s, unnest(range(1, len(s))) AS i FROM seqs),
      bi AS (SELECT pair_id, trusted, s[i] AS prev, s[i + 1] AS token FROM idx),
      pc AS (SELECT prev, token, count(*) AS c FROM bi WHERE trusted GROUP BY prev, token),
@@ -416,7 +425,7 @@ SELECT coalesce(m.round, b.round) AS round, round(m_loss - b_loss, 6) AS loss_de
        round(100 * (m_loss - b_loss) / b_loss, 6) AS loss_delta_pct, m_samples AS samples
 FROM m FULL OUTER JOIN b ON m.round = b.round""",
     "ibm1_scores_pairs": f"""{IBM1},
-     {ibm1_cells('sc_cells', '(pair_id // 1000) % 4 <> 0')},
+     {ibm1_cells('sc_cells', CANDIDATE_COND)},
      pf AS (SELECT c.pair_id, c.f, c.cf, c.l, sum(c.ce * coalesce(t2.t, 0)) AS s
             FROM sc_cells c LEFT JOIN t2 ON c.e = t2.e AND c.f = t2.f GROUP BY c.pair_id, c.f, c.cf, c.l),
      sc AS (SELECT pair_id, sum(cf)::BIGINT AS n_tok, sum(cf * -ln(0.9e0 * s / l + 0.1e0 / v.v)) AS nll
@@ -496,10 +505,10 @@ SELECT doc_id AS pair_id, len({tok_nds('text')}) AS n_tok FROM ({CANDIDATE_DOCS}
     "length_limit_pairs": f"SELECT pair_id FROM ({PAIR_TOKENS}) WHERE len(src) + 2 <= 100 AND len(tokens) + 1 <= 100",
     "numericalize_pairs": f"""
 WITH p AS ({PAIR_TOKENS}),
-     cnt AS (SELECT tok AS token, count(*) AS freq FROM (SELECT unnest(tokens) AS tok FROM p WHERE (pair_id // 1000) % 4 = 0)
+     cnt AS (SELECT tok AS token, count(*) AS freq FROM (SELECT unnest(tokens) AS tok FROM p WHERE {TRUSTED_COND})
              WHERE tok NOT IN ('<unk>', '<pad>', '<sos>', '<eos>') GROUP BY tok),
      voc AS (SELECT token, 3 + row_number() OVER (ORDER BY freq DESC, token ASC) AS id FROM cnt),
-     ca AS (SELECT pair_id, tokens FROM p WHERE (pair_id // 1000) % 4 <> 0),
+     ca AS (SELECT pair_id, tokens FROM p WHERE {CANDIDATE_COND}),
      ex AS (SELECT pair_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS token FROM ca),
      j AS (SELECT ex.pair_id, ex.i, coalesce(voc.id, 0) AS id, coalesce(voc.token, '<unk>') AS back
            FROM ex LEFT JOIN voc ON ex.token = voc.token)

@@ -143,7 +143,7 @@ def q_window_quantile_docs(spark, sf):
 
 
 def _pair_tokens(spark, sf):
-    pairs = tables.conversation_pairs(spark, sf)
+    pairs = tables.with_roles(spark, sf, tables.conversation_pairs(spark, sf))
     return pairs.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
 
 

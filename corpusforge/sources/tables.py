@@ -17,9 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import split_lines
+from corpusforge.operators.joins import join_small
+from corpusforge.operators.sampling import SEED, train_valid_split
 
-# Conversation pairs use this turn stride in the pair id.
+# Conversation pairs use this turn stride in the pair id; a
+# quarter of the conversations are the trusted pairs.
 TURN_STRIDE = 1000
+TRUSTED_SHARE = 0.25
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +46,28 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pid.alias("pos"), "deu", "nds"))
 
 
-def trusted_pairs(pairs: DataFrame, modulus: int = 4) -> DataFrame:
-    """Trusted share of the conversation pairs: every ``modulus``-th conversation."""
-    return pairs.filter((F.floor(F.col("pair_id") / TURN_STRIDE) % modulus) == 0)
+def trusted_conversations(spark: SparkSession, sf_dir: str, share: float = TRUSTED_SHARE) -> DataFrame:
+    """A seeded exact ``share`` of the conversations (hash of seed and ``conv_id``)."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id").filter(F.col("conv_id").isNotNull()).distinct()
+    split = train_valid_split(conv, ["conv_id"], SEED, share, salt="trusted")
+    return split.filter(F.col("split") == "valid").select("conv_id")
 
 
-def candidate_pairs(pairs: DataFrame, modulus: int = 4) -> DataFrame:
-    return pairs.filter((F.floor(F.col("pair_id") / TURN_STRIDE) % modulus) != 0)
+def with_roles(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """Adds ``trusted``: the pair belongs to a trusted conversation; all others are candidates."""
+    t = trusted_conversations(spark, sf_dir).select(F.col("conv_id").alias("_cid"), F.lit(True).alias("_t"))
+    p = pairs.withColumn("_cid", F.floor(F.col("pair_id") / TURN_STRIDE).cast("long"))
+    return join_small(p, t, ["_cid"], "left") \
+        .withColumn("trusted", F.coalesce(F.col("_t"), F.lit(False))).drop("_cid", "_t")
+
+
+def trusted_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of trusted conversations (``pairs`` from ``with_roles``)."""
+    return pairs.filter(F.col("trusted"))
+
+
+def candidate_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(~F.col("trusted"))
 
 
 def _docs_as_text(docs: DataFrame) -> DataFrame:
