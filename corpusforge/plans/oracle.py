@@ -79,11 +79,11 @@ PAIR_TOKENS = f"""
   SELECT *, {tok_de('deu')} AS src, {tok_nds('nds')} AS tokens FROM ({PAIRS})"""
 EVENT_STATS = """
   WITH ev AS (SELECT event_type AS run_id,
-                     date_diff('day', (SELECT min(ts::DATE) FROM events), ts::DATE) AS round, value
+                     date_diff('day', (SELECT min(ts::DATE) FROM events), ts::DATE)::INTEGER AS round, value
               FROM events),
        d AS (SELECT run_id, round, count(*) AS n, avg(value) AS test_loss FROM ev GROUP BY ALL)
-  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY round
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total_samples FROM d"""
+  SELECT *, (sum(n) OVER (PARTITION BY run_id ORDER BY round
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS total_samples FROM d"""
 NEW_SAMPLES = f"""
   SELECT *, total_samples - lag(total_samples) OVER (PARTITION BY run_id ORDER BY round) AS new_samples
   FROM ({EVENT_STATS})"""
@@ -174,7 +174,7 @@ SPELLING = f"""
      ex AS (SELECT doc_id, generate_subscripts(toks, 1) AS p, unnest(toks) AS token FROM ca),
      j AS (SELECT ex.doc_id, ex.p, coalesce(d.preferred, ex.token) AS w, (d.preferred IS NOT NULL)::INT AS chg
            FROM ex LEFT JOIN dict d ON ex.token = d.variant),
-     agg AS (SELECT doc_id, list(w ORDER BY p) AS l, count(*) AS n_tokens, sum(chg) AS n_changed
+     agg AS (SELECT doc_id, list(w ORDER BY p) AS l, count(*) AS n_tokens, sum(chg)::BIGINT AS n_changed
              FROM j GROUP BY doc_id),
      norm AS (SELECT ca.doc_id, coalesce(agg.n_tokens, 0) AS n_tokens, coalesce(agg.n_changed, 0) AS n_changed,
                      coalesce(array_to_string(agg.l, ' '), '') AS text FROM ca LEFT JOIN agg ON ca.doc_id = agg.doc_id)"""
@@ -322,13 +322,13 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
-SELECT doc_id, len(t) AS n_tok, array_to_string(t, ' ') AS tokens
+SELECT doc_id, len(t)::INTEGER AS n_tok, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {tok_nds('text')} AS t FROM documents)""",
     "tokenize_de_docs": f"""
-SELECT doc_id, len(t) AS n_tok, array_to_string(t, ' ') AS tokens, array_to_string(tl, ' ') AS tokens_lower
+SELECT doc_id, len(t)::INTEGER AS n_tok, array_to_string(t, ' ') AS tokens, array_to_string(tl, ' ') AS tokens_lower
 FROM (SELECT doc_id, {tok_de('text')} AS t, {tok_de('lower(text)')} AS tl FROM documents)""",
     "length_filter_requests": f"""
-SELECT conv_id * 1000 + turn AS sent_id, {word_count('text')} AS n_parts
+SELECT conv_id * 1000 + turn AS sent_id, ({word_count('text')})::INTEGER AS n_parts
 FROM conversations WHERE role = 'user' AND {word_count('text')} BETWEEN 1 AND 30""",
     "vocab_trusted": f"""
 WITH tr AS (SELECT {tok_nds('text')} AS toks FROM ({TRUSTED_DOCS})),
@@ -343,7 +343,7 @@ SELECT d.doc_id, count(*) AS n_matches
 FROM ({DOC_LINES}) d JOIN (SELECT line FROM ({TEST_LINES})) t ON d.line = t.line
 GROUP BY d.doc_id""",
     "leak_free_lines": f"""
-SELECT d.doc_id, d.line_no FROM ({DOC_LINES}) d
+SELECT d.doc_id, d.line_no::INTEGER AS line_no FROM ({DOC_LINES}) d
 WHERE NOT EXISTS (SELECT 1 FROM ({TEST_LINES}) t WHERE t.line IS NOT DISTINCT FROM d.line)""",
     "split_trusted_docs": f"""
 WITH t AS (SELECT doc_id, md5('1234:documents:' || doc_id) AS h FROM ({TRUSTED_DOCS})),
@@ -378,7 +378,7 @@ SELECT count(*) AS n_window, round(avg(loss), 6) AS residual_loss, max(doc_id) A
        round(quantile_cont(loss, 0.25), 6) AS quantile FROM allw""",
     "pair_batches": f"""
 WITH p AS ({PAIR_TOKENS}),
-     r AS (SELECT pair_id, len(src) AS batch_len,
+     r AS (SELECT pair_id, len(src)::INTEGER AS batch_len,
                   (row_number() OVER (ORDER BY len(src), source, pair_id) - 1) // 64 AS batch_id FROM p)
 SELECT pair_id, batch_id, batch_len, max(batch_len) OVER (PARTITION BY batch_id) + 2 AS width FROM r""",
     "batch_loss_pairs": f"""
@@ -449,7 +449,7 @@ SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
 WITH w AS ({WORDS}),
      c AS (SELECT freq, list_filter(string_split(word, ''), lambda y: length(y) > 0) AS s FROM w),
      pr AS (SELECT freq, s[i] AS a, s[i + 1] AS b FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM c))
-SELECT a, b, sum(freq) AS n FROM pr GROUP BY a, b""",
+SELECT a, b, sum(freq)::BIGINT AS n FROM pr GROUP BY a, b""",
     "subword_roundtrip_requests": f"""
 WITH chars AS (SELECT DISTINCT unnest(list_filter(string_split(word, ''), lambda y: length(y) > 0)) AS ch
                FROM ({WORDS})),
@@ -463,7 +463,7 @@ WITH {SPELLING}
 SELECT doc_id, n_tokens, n_changed, text FROM norm""",
     "spelling_share_candidates": f"""
 WITH {SPELLING}
-SELECT sum(n_tokens) AS n_tokens, sum(n_changed) AS n_changed,
+SELECT sum(n_tokens)::BIGINT AS n_tokens, sum(n_changed)::BIGINT AS n_changed,
        round(sum(n_changed) / sum(n_tokens), 6) AS share_changed FROM norm""",
     "autocorrect_requests": f"""
 WITH {SPELLING},
@@ -501,7 +501,7 @@ SELECT row_number() OVER (ORDER BY {hash_rank("md5('1234:' || source || ':' || p
          AS idx, pair_id FROM ({PAIRS})""",
     "head_candidates_docs": f"SELECT doc_id AS pair_id FROM ({CANDIDATE_DOCS}) ORDER BY doc_id LIMIT 5",
     "window_example_docs": f"""
-SELECT doc_id AS pair_id, len({tok_nds('text')}) AS n_tok FROM ({CANDIDATE_DOCS}) ORDER BY doc_id LIMIT 1 OFFSET 8""",
+SELECT doc_id AS pair_id, len({tok_nds('text')})::INTEGER AS n_tok FROM ({CANDIDATE_DOCS}) ORDER BY doc_id LIMIT 1 OFFSET 8""",
     "length_limit_pairs": f"SELECT pair_id FROM ({PAIR_TOKENS}) WHERE len(src) + 2 <= 100 AND len(tokens) + 1 <= 100",
     "numericalize_pairs": f"""
 WITH p AS ({PAIR_TOKENS}),
@@ -512,7 +512,7 @@ WITH p AS ({PAIR_TOKENS}),
      ex AS (SELECT pair_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS token FROM ca),
      j AS (SELECT ex.pair_id, ex.i, coalesce(voc.id, 0) AS id, coalesce(voc.token, '<unk>') AS back
            FROM ex LEFT JOIN voc ON ex.token = voc.token)
-SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::INT) AS n_unk,
+SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::INT)::INTEGER AS n_unk,
        string_agg(back, ' ' ORDER BY i) AS back FROM j GROUP BY pair_id""",
     "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",

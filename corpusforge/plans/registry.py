@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
 from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalise, sampling, subword, vocab
-from corpusforge.operators.ordering import exact_quantile
-from corpusforge.operators.ordering import dense_index, first_n, order_statistic
+from corpusforge.operators.ordering import dense_index, exact_quantile, first_n, order_statistic
 from corpusforge.plans import assembly, report, selection
 from corpusforge.session import materialize, scratch_path
 from corpusforge.sources import files, tables
