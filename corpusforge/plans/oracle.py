@@ -516,6 +516,8 @@ SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::IN
        string_agg(back, ' ' ORDER BY i) AS back FROM j GROUP BY pair_id""",
     "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
+    "selection_full_docs": selection_sql(14, "loss") + "SELECT round, pair_id, loss FROM accepted",
+    "selection_full_stats_docs": selection_sql(14, "loss") + "SELECT * FROM round_stats",
     "selection_rounds_pairs": selection_sql(2, "loss", "pairs") + "SELECT round, pair_id, loss FROM accepted",
     "selection_stats_pairs": selection_sql(2, "loss", "pairs") + "SELECT * FROM round_stats",
     "ibm1_best_iteration_pairs": best_iteration_sql(3),

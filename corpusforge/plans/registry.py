@@ -393,6 +393,23 @@ def q_selection_stats_pairs(spark, sf):
                      F.round(T.perplexity("test_loss"), 6).alias("test_ppl"))
 
 
+def q_selection_full_docs(spark, sf):
+    """PIP1 with the original run length: 14 chained rounds (windows 501, 1001, ... of what is left)."""
+    return _accepted_with_loss(spark, _selection_run(spark, sf, "loss", rounds=14))
+
+
+def q_selection_full_stats_docs(spark, sf):
+    """SNK4 of the 14-round run."""
+    st = _selection_run(spark, sf, "loss", rounds=14).stats_df(spark)
+    return st.select("round", "n_window", "n_accepted", "total_samples",
+                     F.round("quantile", 6).alias("quantile"),
+                     F.round("best_valid_loss", 6).alias("best_valid_loss"),
+                     F.round("test_loss", 6).alias("test_loss"),
+                     F.round("residual_loss", 6).alias("residual_loss"),
+                     F.round(T.perplexity("best_valid_loss"), 6).alias("valid_ppl"),
+                     F.round(T.perplexity("test_loss"), 6).alias("test_ppl"))
+
+
 def q_random_rounds_docs(spark, sf):
     """PIP2: two chained rounds of the random-pick baseline."""
     return _accepted_with_loss(spark, _selection_run(spark, sf, "random")).select("round", "pair_id")
@@ -529,6 +546,8 @@ REGISTRY: dict[str, Query] = {
     "selection_rounds_docs": q_selection_rounds_docs,
     "selection_stats_docs": q_selection_stats_docs,
     "random_rounds_docs": q_random_rounds_docs,
+    "selection_full_docs": q_selection_full_docs,
+    "selection_full_stats_docs": q_selection_full_stats_docs,
     "selection_rounds_pairs": q_selection_rounds_pairs,
     "selection_stats_pairs": q_selection_stats_pairs,
     "csv_roundtrip_pairs": q_csv_roundtrip_pairs,
