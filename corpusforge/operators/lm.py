@@ -31,6 +31,7 @@ class UnigramModel:
     counts: DataFrame  # (token, c)
     n_tokens: int
     n_types: int
+    broadcastable: bool | None = None   # decided once per model, reused by every scoring call
 
     @property
     def denominator(self) -> float:
@@ -73,7 +74,9 @@ def score_unigram(model: UnigramModel, df: DataFrame, key_cols: list[str],
     toks = df.select(*key_cols, F.explode_outer(tokens_col).alias("token"))
     nll = -F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(model.denominator))
     counts = model.counts
-    if fits_broadcast(counts):
+    if model.broadcastable is None:
+        model.broadcastable = fits_broadcast(counts)
+    if model.broadcastable:
         joined = toks.join(F.broadcast(counts), "token", "left") \
                      .withColumn("_n", F.when(F.col("token").isNotNull(), F.lit(1)))
     else:

@@ -87,8 +87,13 @@ def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None):
         return None
     pos = q * (n - 1)
     lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    v_lo = order_statistic(base, col, lo_rank + 1)[0]
-    v_hi = v_lo if hi_rank == lo_rank else order_statistic(base, col, hi_rank + 1)[0]
+    if n <= COLLECT_LIMIT:
+        # small input: one bounded sorted read gives both order statistics
+        vals = [r[0] for r in base.select(col).orderBy(col).limit(hi_rank + 1).collect()]
+        v_lo, v_hi = vals[lo_rank], vals[hi_rank]
+    else:
+        v_lo = order_statistic(base, col, lo_rank + 1)[0]
+        v_hi = v_lo if hi_rank == lo_rank else order_statistic(base, col, hi_rank + 1)[0]
     return float(v_lo) + (pos - lo_rank) * (float(v_hi) - float(v_lo))
 
 
