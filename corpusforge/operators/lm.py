@@ -114,6 +114,13 @@ def score_bigram(model: BigramModel, df: DataFrame, key_cols: list[str],
     return _mean_nll(j, key_cols, "_n", nll)
 
 
+def mean_of_rounded(col: str, decimals: int = LOSS_DECIMALS):
+    """Mean of values already rounded to ``decimals`` places, summed as exact integers
+    (units of ``10**-decimals``), so the result does not depend on summation order."""
+    scale = float(10 ** decimals)
+    return F.sum(F.round(F.col(col) * scale).cast("long")) / F.count(col) / scale
+
+
 def split_loss(scored: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """AGG6: token-weighted mean inside a batch, unweighted mean over batches.
 

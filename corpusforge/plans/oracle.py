@@ -310,7 +310,8 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
                          {'round((SELECT q FROM q' + str(i) + '), 6)' if strategy == 'loss' else 'NULL::DOUBLE'} AS quantile,
                          round((SELECT sum(s) / sum(n) FROM va{i}), 6) AS best_valid_loss,
                          round((SELECT sum(s) / sum(n) FROM te{i}), 6) AS test_loss,
-                         round((SELECT avg(loss) FROM sc{i}), 6) AS residual_loss,
+                         round((SELECT sum(round(loss * 1e6)::BIGINT) / count(loss) / 1e6 FROM sc{i}), 6)
+                           AS residual_loss,
                          round(exp((SELECT sum(s) / sum(n) FROM va{i})), 6) AS valid_ppl,
                          round(exp((SELECT sum(s) / sum(n) FROM te{i})), 6) AS test_ppl)""")
         outs.append(i)
@@ -374,7 +375,8 @@ WITH tr AS (SELECT {tok_nds('text')} AS toks FROM ({TRUSTED_DOCS})),
      sc AS (SELECT ex.doc_id, round(avg(-ln((coalesce(cnt.c, 0) + 1) / m.den)), 6) AS loss
             FROM ex LEFT JOIN cnt ON ex.tok = cnt.tok CROSS JOIN m GROUP BY ex.doc_id),
      allw AS (SELECT win.doc_id, sc.loss FROM win LEFT JOIN sc ON win.doc_id = sc.doc_id)
-SELECT count(*) AS n_window, round(avg(loss), 6) AS residual_loss, max(doc_id) AS last_pair_id,
+SELECT count(*) AS n_window, round(sum(round(loss * 1e6)::BIGINT) / count(loss) / 1e6, 6) AS residual_loss,
+       max(doc_id) AS last_pair_id,
        round(quantile_cont(loss, 0.25), 6) AS quantile FROM allw""",
     "pair_batches": f"""
 WITH p AS ({PAIR_TOKENS}),

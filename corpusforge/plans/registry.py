@@ -136,7 +136,7 @@ def q_window_quantile_docs(spark, sf):
     _, scored = selection.score_round(trusted, window)
     q = exact_quantile(scored, "loss", 0.25)
     agg = scored.agg(F.count(F.lit(1)).alias("n_window"),
-                     F.round(F.avg("loss"), 6).alias("residual_loss"),
+                     F.round(lm.mean_of_rounded("loss"), 6).alias("residual_loss"),
                      F.max("pair_id").alias("last_pair_id"))
     return agg.withColumn("quantile", F.round(F.lit(q), 6))
 

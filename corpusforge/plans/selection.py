@@ -161,7 +161,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         scored = window.select(*KEY).join(scorer.score(model, window), KEY, "left")
         scored = persist(scored, "losses", i)
         w_stats = scored.agg(F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"),
-                             F.avg("loss").alias("avg")).first()
+                             lm.mean_of_rounded("loss").alias("avg")).first()
         n_window, residual_loss = w_stats["n"], w_stats["avg"]
         if strategy == "loss":
             threshold = exact_quantile(scored, "loss", q, n=w_stats["n_scored"])
