@@ -24,35 +24,38 @@ def char_units(text) -> Column:
     return F.filter(F.split(t, ""), lambda x: F.length(x) > 0)
 
 
-def _gram_at(toks: Column, n: int):
+def _gram_at(toks: Column, n: int, side: int):
     # one-argument lambda: ``transform`` passes the index as a second argument
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), "\u0001").alias("g"))
+    return lambda i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.size(toks).alias("len"),
+                              F.array_join(F.slice(toks, i, n), "\u0001").alias("g"))
 
 
-def _ngrams(df: DataFrame, key_cols: list[str], col: str, max_n: int) -> DataFrame:
-    toks = F.col(col)
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), _gram_at(toks, n))
+def _grams(toks: Column, side: int, max_n: int) -> Column:
+    return F.flatten(F.array(*[
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), _gram_at(toks, n, side))
         for n in range(1, max_n + 1)]))
-    # a row shorter than n still yields one (short) gram at i = 1; drop it
-    ex = df.select(*key_cols, F.size(toks).alias("_len"), F.explode(grams).alias("_g"))
-    ex = ex.filter(F.col("_g.n") <= F.col("_len")).select(*key_cols, F.col("_g.n").alias("n"), F.col("_g.g").alias("g"))
-    return ex.groupBy(*key_cols, "n", "g").agg(F.count(F.lit(1)).alias("c"))
 
 
 def corpus_bleu(df: DataFrame, key_cols: list[str], hyp_col: str, ref_col: str,
                 max_n: int = MAX_N) -> DataFrame:
     """One row: ``bleu, bp, hyp_len, ref_len, m1..m4, t1..t4``.
 
-    Hypothesis and reference n-gram counts meet in one full outer join, so a
-    single aggregation by ``n`` yields clipped matches, hypothesis totals and
-    reference totals; the corpus lengths are the unigram totals.
+    Hypothesis and reference n-grams of a row are emitted in one pass over
+    ``df`` (tagged by side) and counted by ``(row, n, gram)`` in a single
+    aggregation, which yields both counts side by side; a second, tiny
+    aggregation by ``n`` gives clipped matches and totals.  The corpus lengths
+    are the unigram totals.
     """
-    h = _ngrams(df, key_cols, hyp_col, max_n)
-    r = _ngrams(df, key_cols, ref_col, max_n).withColumnRenamed("c", "rc")
-    j = h.join(r, key_cols + ["n", "g"], "full_outer")
-    c, rc = F.coalesce(F.col("c"), F.lit(0)), F.coalesce(F.col("rc"), F.lit(0))
-    per_n = j.groupBy("n").agg(F.sum(F.least(c, rc)).alias("m"), F.sum(c).alias("t"), F.sum(rc).alias("rt"))
+    grams = F.concat(_grams(F.col(hyp_col), 0, max_n), _grams(F.col(ref_col), 1, max_n))
+    ex = df.select(*key_cols, F.explode(grams).alias("_g"))
+    # a row shorter than n still yields one (short) gram at i = 1; drop it
+    ex = ex.filter(F.col("_g.n") <= F.col("_g.len")).select(
+        *key_cols, F.col("_g.side").alias("side"), F.col("_g.n").alias("n"), F.col("_g.g").alias("g"))
+    counts = ex.groupBy(*key_cols, "n", "g").agg(
+        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("c"),
+        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("rc"))
+    c, rc = F.col("c"), F.col("rc")
+    per_n = counts.groupBy("n").agg(F.sum(F.least(c, rc)).alias("m"), F.sum(c).alias("t"), F.sum(rc).alias("rt"))
     wide = per_n.groupBy().pivot("n", list(range(1, max_n + 1))).agg(
         F.first("m").alias("m"), F.first("t").alias("t"), F.first("rt").alias("rt"))
     cols = []
