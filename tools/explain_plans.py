@@ -2,8 +2,9 @@
 
     python tools/explain_plans.py /root/testdata/sf0.1 select_round0_docs leak_free_lines > plans.txt
 
-Each query is executed first (``noop`` sink) so the printed plan is the final
-one chosen by AQE, with broadcast / skew decisions resolved.
+Each query is collected first (through the same DataFrame, so its own adaptive
+plan runs) and the printed plan is the final one chosen by AQE, with
+broadcast / skew decisions resolved.
 """
 
 import os
@@ -21,8 +22,8 @@ def main():
     spark = get_spark("local[4]", shuffle_partitions=8)
     for name in names:
         df = REGISTRY[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        print(f"===== {name}")
+        n = len(df.collect())
+        print(f"===== {name} ({n} rows)")
         df.explain("formatted")
 
 
