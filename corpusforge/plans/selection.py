@@ -21,6 +21,7 @@ import os
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from corpusforge.session import materialize, scratch_path
 KEY = ["source", "pair_id"]
 BATCH_SIZE = 64
 
+_STATS_COLS = ["run_id", "round", "best_valid_loss", "epoch_mins", "epoch_secs", "test_loss", "residual_loss",
+               "residual_mins", "residual_secs", "quantile", "test_bleu", "total_samples", "n_window", "n_accepted"]
 ROUND_STATS_SCHEMA = (
     "run_id string, round int, best_valid_loss double, epoch_mins int, epoch_secs int, "
     "test_loss double, residual_loss double, residual_mins int, residual_secs int, "
@@ -115,7 +118,8 @@ class SelectionRun:
 def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | None,
                   rounds: int = 14, strategy: str = "loss", run_id: str | None = None,
                   out_dir: str | None = None, seed: int = SEED, valid_share: float = VALID_SHARE,
-                  q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None) -> SelectionRun:
+                  q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None,
+                  resume: bool = False) -> SelectionRun:
     """PIP1 (``strategy='loss'``) or PIP2 (``strategy='random'``).
 
     ``trusted``/``candidates``/``test``: text or pair tables with ``source``,
@@ -123,7 +127,11 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
     ``fit(train) -> model`` and ``score(model, df) -> (key, n_tok, sum_nll,
     loss)``; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
     ``pool/round=i``, ``candidates/round=i``, ``accepted/round=i``,
-    ``losses/round=i`` (long loss summary) and ``round_stats``.
+    ``losses/round=i`` (long loss summary) and ``round_stats/round=i``, each
+    written with overwrite so a retried round replaces its own output.
+
+    ``resume=True`` with an existing ``out_dir`` continues after the last round
+    whose statistics row was written, from that round's pool and candidates.
     """
     spark = trusted.sparkSession
     scorer = scorer or UnigramScorer(tokens_col)
@@ -137,9 +145,28 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    pool = persist(trusted.select(*cols), "pool", 0)
-    cands = persist(candidates.select(*cols), "candidates", 0)
-    for i in range(rounds):
+    def exists(name: str, i: int) -> bool:
+        try:
+            spark.read.parquet(os.path.join(out_dir, name, f"round={i}")).schema
+            return True
+        except AnalysisException:
+            return False
+
+    start = 0
+    if resume:
+        while start < rounds and exists("round_stats", start) and exists("pool", start + 1) \
+                and exists("candidates", start + 1):
+            start += 1
+        if start:
+            st = spark.read.parquet(os.path.join(out_dir, "round_stats")).filter(F.col("round") < start)
+            run.stats = [tuple(r[c] for c in _STATS_COLS) for r in st.orderBy("round").collect()]
+    if start:
+        pool = spark.read.parquet(os.path.join(out_dir, "pool", f"round={start}"))
+        cands = spark.read.parquet(os.path.join(out_dir, "candidates", f"round={start}"))
+    else:
+        pool = persist(trusted.select(*cols), "pool", 0)
+        cands = persist(candidates.select(*cols), "candidates", 0)
+    for i in range(start, rounds):
         if not cands.take(1):
             break
         t0 = time.time()
@@ -177,11 +204,14 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
 
         pool = persist(split.select(*cols).unionByName(accepted), "pool", i + 1)
         cands = persist(cands.join(accepted.select(*KEY), KEY, "left_anti"), "candidates", i + 1)
-        run.stats.append((run_id, i, valid_loss, int(fit_secs // 60), int(fit_secs - 60 * (fit_secs // 60)),
-                          test_loss, residual_loss, int(score_secs // 60),
-                          int(score_secs - 60 * (score_secs // 60)), threshold, None,
-                          total_samples(n_train, n_valid), n_window, n_acc))
-    run.stats_df(spark).write.mode("append").parquet(os.path.join(out_dir, "round_stats"))
+        row = (run_id, i, valid_loss, int(fit_secs // 60), int(fit_secs - 60 * (fit_secs // 60)),
+               test_loss, residual_loss, int(score_secs // 60),
+               int(score_secs - 60 * (score_secs // 60)), threshold, None,
+               total_samples(n_train, n_valid), n_window, n_acc)
+        run.stats.append(row)
+        # SNK4: one statistics row per round, written as soon as the round is done
+        spark.createDataFrame([row], ROUND_STATS_SCHEMA).drop("round") \
+            .write.mode("overwrite").parquet(os.path.join(out_dir, "round_stats", f"round={i}"))
     return run
 
 

@@ -24,6 +24,20 @@ def test_selection_invariants(spark):
     assert run.stats_df(spark).count() == len(run.stats)
 
 
+def test_resume_continues_after_last_round(spark):
+    trusted = selection.with_tokens(tables.trusted_documents(spark, SF_SMALL))
+    cands = selection.with_tokens(tables.candidate_documents(spark, SF_SMALL))
+    full = selection.run_selection(trusted, cands, None, rounds=3, run_id="full")
+    part = selection.run_selection(trusted, cands, None, rounds=2, run_id="part")
+    resumed = selection.run_selection(trusted, cands, None, rounds=3, run_id="part", out_dir=part.out_dir,
+                                      resume=True)
+    assert len(resumed.stats) == 3
+    keys = lambda st: [(r[1], r[9], r[11], r[12], r[13]) for r in st]
+    assert keys(resumed.stats) == keys(full.stats)
+    on_disk = spark.read.parquet(os.path.join(part.out_dir, "round_stats")).orderBy("round").collect()
+    assert [r["round"] for r in on_disk] == [0, 1, 2]
+
+
 def test_random_baseline_size(spark):
     trusted = selection.with_tokens(tables.trusted_documents(spark, SF_SMALL))
     cands = selection.with_tokens(tables.candidate_documents(spark, SF_SMALL))
