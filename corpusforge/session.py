@@ -65,7 +65,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="corpusforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - some sessions refuse runtime changes of core settings
+            pass
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
