@@ -104,6 +104,13 @@ class LexicalScorer:
         from corpusforge.operators import lexical
         return lexical.score(model, df, KEY, self.src_col, self.trg_col)
 
+    def bleu(self, model, df: DataFrame) -> float | None:
+        """Corpus BLEU of the word-by-word translations of ``df`` against its targets."""
+        from corpusforge.operators import bleu, lexical
+        hyp = lexical.translate(lexical.best_translation(model), df, KEY, self.src_col)
+        pairs = df.select(*KEY, F.col(self.trg_col).alias("_ref")).join(hyp, KEY)
+        return bleu.corpus_bleu(pairs, KEY, "hyp", "_ref").first()["bleu"]
+
 
 @dataclass
 class SelectionRun:
@@ -119,7 +126,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
                   rounds: int = 14, strategy: str = "loss", run_id: str | None = None,
                   out_dir: str | None = None, seed: int = SEED, valid_share: float = VALID_SHARE,
                   q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None,
-                  resume: bool = False) -> SelectionRun:
+                  resume: bool = False, bleu: bool = False) -> SelectionRun:
     """PIP1 (``strategy='loss'``) or PIP2 (``strategy='random'``).
 
     ``trusted``/``candidates``/``test``: text or pair tables with ``source``,
@@ -132,6 +139,8 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
 
     ``resume=True`` with an existing ``out_dir`` continues after the last round
     whose statistics row was written, from that round's pool and candidates.
+    ``bleu=True`` (scorers with a ``bleu`` method) fills ``test_bleu`` with the
+    corpus BLEU of the round's model on the test table.
     """
     spark = trusted.sparkSession
     scorer = scorer or UnigramScorer(tokens_col)
@@ -180,6 +189,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         model = scorer.fit(train)
         valid_loss = weighted_loss(scorer.score(model, valid))
         test_loss = weighted_loss(scorer.score(model, test)) if test is not None else None
+        test_bleu = scorer.bleu(model, test) if bleu and test is not None and hasattr(scorer, "bleu") else None
         fit_secs = time.time() - t0
 
         t1 = time.time()
@@ -206,7 +216,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         cands = persist(cands.join(accepted.select(*KEY), KEY, "left_anti"), "candidates", i + 1)
         row = (run_id, i, valid_loss, int(fit_secs // 60), int(fit_secs - 60 * (fit_secs // 60)),
                test_loss, residual_loss, int(score_secs // 60),
-               int(score_secs - 60 * (score_secs // 60)), threshold, None,
+               int(score_secs - 60 * (score_secs // 60)), threshold, test_bleu,
                total_samples(n_train, n_valid), n_window, n_acc)
         run.stats.append(row)
         # SNK4: one statistics row per round, written as soon as the round is done

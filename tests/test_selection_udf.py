@@ -38,6 +38,27 @@ def test_resume_continues_after_last_round(spark):
     assert [r["round"] for r in on_disk] == [0, 1, 2]
 
 
+def test_pair_run_records_test_bleu(spark):
+    from pyspark.sql import functions as F
+
+    from corpusforge.functions import text as T
+    from corpusforge.operators import bleu, lexical
+
+    p = tables.with_roles(spark, SF_SMALL, tables.conversation_pairs(spark, SF_SMALL))
+    p = p.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
+    test = tables.candidate_pairs(p).limit(0).unionByName(tables.trusted_pairs(p))
+    run = selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=1,
+                                  strategy="random", scorer=selection.LexicalScorer(), bleu=True)
+    got = run.stats[0][10]
+    # the same number, computed directly from round 0's train split
+    split = spark.read.parquet(os.path.join(run.out_dir, "split", "round=0"))
+    model = lexical.fit(split.filter("split = 'train'"), ["source", "pair_id"], "src", "tokens", 2)
+    hyp = lexical.translate(lexical.best_translation(model), test, ["source", "pair_id"], "src")
+    pairs = test.select("source", "pair_id", F.col("tokens").alias("ref")).join(hyp, ["source", "pair_id"])
+    want = bleu.corpus_bleu(pairs, ["source", "pair_id"], "hyp", "ref").first()["bleu"]
+    assert got is not None and 0.0 <= got <= 1.0 and got == want
+
+
 def test_random_baseline_size(spark):
     trusted = selection.with_tokens(tables.trusted_documents(spark, SF_SMALL))
     cands = selection.with_tokens(tables.candidate_documents(spark, SF_SMALL))
