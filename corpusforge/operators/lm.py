@@ -6,10 +6,11 @@ scoring is a join of exploded tokens with that table followed by a per-row
 mean of negative log probabilities.
 
 Unigram, add-one:  p(w) = (c(w) + 1) / (N + V + 1)
-Bigram, add-one:   p(w | u) = (c(u, w) + 1) / (c(u) + V + 1)
-where N is the number of training tokens and V the number of distinct
-training tokens; the extra 1 is the unknown word.  Bigrams run over
-``<sos> tokens <eos>`` (teacher forcing pairs, WIN7).
+    N training tokens, V distinct training tokens, the extra 1 is the unknown word.
+Bigram, add-one:   p(w | u) = (c(u, w) + 1) / (c(u) + V' + 1)
+    over ``<sos> tokens <eos>`` (teacher forcing pairs, WIN7); c(u) counts u as a
+    history and V' is the number of distinct tokens that follow one (training
+    tokens plus ``<eos>``).
 """
 
 from __future__ import annotations
