@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.text import tokenize_nds
 from corpusforge.operators import lm
+from corpusforge.operators.joins import join_small
 from corpusforge.operators.ordering import exact_quantile
 from corpusforge.operators.sampling import (ACCEPT_SHARE, SEED, VALID_SHARE, accept_count,
                                             candidate_window, sample_n, train_valid_split)
@@ -133,7 +134,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
     ``pair_id``, ``pos`` and token array column(s).  ``scorer`` has
     ``fit(train) -> model`` and ``score(model, df) -> (key, n_tok, sum_nll,
     loss)``; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
-    ``pool/round=i``, ``candidates/round=i``, ``accepted/round=i``,
+    ``pool/round=i``, ``split/round=i``, ``accepted/round=i``,
     ``losses/round=i`` (long loss summary) and ``round_stats/round=i``, each
     written with overwrite so a retried round replaces its own output.
 
@@ -161,21 +162,32 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         except AnalysisException:
             return False
 
+    # The candidate table (the big one) is never rewritten: the candidates left
+    # in round i are the input minus the keys accepted in earlier rounds, a
+    # set that grows by a quarter of each window and is broadcast when small.
+    all_cands = candidates.select(*cols)
+
+    def remaining(i: int) -> DataFrame:
+        if i == 0:
+            return all_cands
+        taken = spark.read.parquet(os.path.join(out_dir, "accepted")) \
+                     .filter(F.col("round") < i).select(*KEY)
+        return join_small(all_cands, taken, KEY, "left_anti")
+
     start = 0
     if resume:
         while start < rounds and exists("round_stats", start) and exists("pool", start + 1) \
-                and exists("candidates", start + 1):
+                and exists("accepted", start):
             start += 1
         if start:
             st = spark.read.parquet(os.path.join(out_dir, "round_stats")).filter(F.col("round") < start)
             run.stats = [tuple(r[c] for c in _STATS_COLS) for r in st.orderBy("round").collect()]
     if start:
         pool = spark.read.parquet(os.path.join(out_dir, "pool", f"round={start}"))
-        cands = spark.read.parquet(os.path.join(out_dir, "candidates", f"round={start}"))
     else:
         pool = persist(trusted.select(*cols), "pool", 0)
-        cands = persist(candidates.select(*cols), "candidates", 0)
     for i in range(start, rounds):
+        cands = remaining(i)
         if not cands.take(1):
             break
         t0 = time.time()
@@ -213,7 +225,6 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         score_secs = time.time() - t1
 
         pool = persist(split.select(*cols).unionByName(accepted), "pool", i + 1)
-        cands = persist(cands.join(accepted.select(*KEY), KEY, "left_anti"), "candidates", i + 1)
         row = (run_id, i, valid_loss, int(fit_secs // 60), int(fit_secs - 60 * (fit_secs // 60)),
                test_loss, residual_loss, int(score_secs // 60),
                int(score_secs - 60 * (score_secs // 60)), threshold, test_bleu,

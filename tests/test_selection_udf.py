@@ -15,9 +15,12 @@ def test_selection_invariants(spark):
     n_t, n_c = trusted.count(), cands.count()
     run = selection.run_selection(trusted, cands, None, rounds=3)
     pools = [spark.read.parquet(os.path.join(run.out_dir, "pool", f"round={i}")).count() for i in range(len(run.stats) + 1)]
-    rest = [spark.read.parquet(os.path.join(run.out_dir, "candidates", f"round={i}")).count()
-            for i in range(len(run.stats) + 1)]
-    assert all(p + c == n_t + n_c for p, c in zip(pools, rest))
+    acc = spark.read.parquet(os.path.join(run.out_dir, "accepted"))
+    for i, n_pool in enumerate(pools):
+        taken = acc.filter(f"round < {i}")
+        # pool + remaining candidates is constant; accepted rows are never taken twice
+        assert n_pool + (n_c - taken.count()) == n_t + n_c
+        assert taken.select("source", "pair_id").distinct().count() == taken.count()
     for st in run.stats:
         n_window, n_accepted = st[-2], st[-1]
         assert n_window <= 500 * 2 ** st[1] + 1 and 0 < n_accepted <= n_window
