@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,7 @@ from corpusforge.session import scratch_path
 
 # Python tasks work on slices of an Arrow batch that hold about this much text
 # (or one row, if that row alone is larger).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size_col: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that column ``size_col`` of each slice holds about ``SLICE_BYTES``."""
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column without nulls, and the offsets of its texts (one more than rows)."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw[at[0]:at[-1]], at - at[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], size_col: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts in column ``size_col`` of a slice hold at most ``limit`` bytes, or are one text."""
     for batch in batches:
-        per_row = max(1, batch.column(size_col).nbytes // max(1, batch.num_rows))
-        step = max(1, SLICE_BYTES // per_row)
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        if not batch.num_rows:
+            continue
+        _, offsets = text_buffer(batch.column(size_col))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_codec, exact_dedup, sharding
+from corpusforge.llm import bpe_codec, exact_dedup, html_extract, quality, sharding, toxicity
 from corpusforge.llm.common import read
 
+# Scores from here on count as label 1.
+THRESHOLD = 0.3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -23,11 +25,22 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of the ids and of the decoded bytes."""
     return encoded_digests(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document after its obfuscated words are restored."""
+    out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document: which row stays, and the size of its group."""
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"), hash_all=True)
@@ -40,10 +53,19 @@ def op9_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    out = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 QUERIES = {
+    "op3_main_text": op3_main_text,
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_vector_shards": op9_vector_shards,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
