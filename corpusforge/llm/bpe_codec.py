@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import slices
 
+# Distinct pieces whose ids a Python worker keeps at hand.
+PIECES = 200_000
+
 
 def byte_chars() -> list[str]:
     """The character that stands for each byte: itself where printable, else the next from U+0100."""
@@ -61,10 +65,12 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class Codec:
-    """A model that tasks receive as text and build once per Python worker."""
+    """The model as text, which Python workers build once, and the bytes of each id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.model = tokenizer_json(ranks, pattern)
+        self.pattern = pattern
+        self.tokens = token_bytes(json.loads(self.model)["model"]["vocab"])
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -78,11 +84,69 @@ def _tokenizer(model: str):
     return Tokenizer.from_str(model)
 
 
+def latin1_pattern(pattern: str) -> str | None:
+    """``pattern`` for the standard library, equal to it on texts of U+0000 to U+00FF; None if it can't be said so."""
+    import regex
+
+    def ranges(name: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c)))
+
+    out, in_class = [], False
+    for part in regex.findall(r"\\[pP]\{\w+\}|\\.|[^\\]", pattern, flags=regex.S):
+        if part in ("[", "]"):
+            in_class = part == "["
+        if part.startswith(("\\p", "\\P")) or part in ("\\s", "\\S"):
+            part = ranges(part) if in_class else f"[{ranges(part)}]"
+        elif part.startswith("\\") and part[1:].isalpha():
+            return None
+        out.append(part)
+    return "".join(out)
+
+
+class Pieces:
+    """Ids of the pieces that the pattern cuts a text into, each distinct piece merged once.
+
+    The library merges a piece; the ids of the last ``PIECES`` distinct pieces are kept, so that words
+    that come back cost one look-up.
+    """
+
+    def __init__(self, model: str, pattern: str):
+        import regex
+
+        self.find_any = regex.compile(pattern).findall
+        simple = latin1_pattern(pattern)
+        self.find_latin1 = re.compile(simple).findall if simple else self.find_any
+        self.merge = _tokenizer(model).model.tokenize
+        self.shown = dict(enumerate(byte_chars()))
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+            pieces = self.find_latin1(text)
+        except UnicodeEncodeError:
+            pieces = self.find_any(text)
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            if len(known) > PIECES:
+                known.clear()
+        for p in pieces:
+            if p not in known:
+                chars = p.encode().decode("latin-1").translate(self.shown)
+                known[p] = np.array([t.id for t in self.merge(chars)], dtype="<u4").tobytes()
+        return b"".join(map(known.__getitem__, pieces))
+
+
 @lru_cache(maxsize=2)
-def _token_bytes(model: str) -> list[bytes]:
+def _pieces(model: str, pattern: str) -> Pieces:
+    return Pieces(model, pattern)
+
+
+def token_bytes(vocab: dict[str, int]) -> list[bytes]:
     """Bytes of each id: the byte table in reverse, character by character."""
     back = {c: b for b, c in enumerate(byte_chars())}
-    vocab = json.loads(model)["model"]["vocab"]
     out = [b""] * (max(vocab.values(), default=-1) + 1)
     for token, i in vocab.items():
         out[i] = bytes(back[c] for c in token)
@@ -97,21 +161,22 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     text counts as empty and gives no tokens; special tokens' strings are ordinary text.
     One row out per row in, whatever the ids; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(codec.model)
+    model = docs.sparkSession.sparkContext.broadcast((codec.model, codec.pattern))
     kind = next(f.dataType for f in docs.schema.fields if f.name == id_col)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     extra = ", starts array<int>, ends array<int>" if offsets else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        t = _tokenizer(model.value)
+        pieces = _pieces(*model.value)
         for b in slices(batches, 1):
             texts = b.column(1).to_pylist()
-            found = t.encode_batch(texts, add_special_tokens=False) if offsets else t.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [np.array(e.ids, dtype="<u4") for e in found]
-            cols = [b.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
+            if offsets:
+                t = _tokenizer(model.value[0])
+                found = [t.encode(x, add_special_tokens=False) for x in texts]
+                ids = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            else:
+                ids = [pieces.ids(x) for x in texts]
+            cols = [b.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
             names = ["id", "ids", "n_tokens"]
             if offsets:
                 cols += [pa.array([[o[k] for o in e.offsets] for e in found], pa.list_(pa.int32())) for k in (0, 1)]
@@ -129,13 +194,13 @@ def decode(tokens: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
     Characters split over tokens come together again as their bytes are joined before
     anything is read as text; see ``decoded_text`` for ids that end inside a character.
     """
-    model = tokens.sparkSession.sparkContext.broadcast(codec.model)
+    table_of = tokens.sparkSession.sparkContext.broadcast(codec.tokens)
     rest = [F.col(c) for c in tokens.columns if c != "decoded"]
     schema = tokens.select(*rest).schema.add("decoded", "binary")
     at = [c for c in tokens.columns if c != "decoded"].index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(model.value)
+        table = table_of.value
         for b in slices(batches, at):
             out = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, dtype="<u4").tolist()))
                    for x in b.column(at).to_pylist()]
