@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_codec, exact_dedup, html_extract, quality, sharding, toxicity
+from corpusforge.llm import bpe_codec, decontaminate, exact_dedup, html_extract, ngram_join, quality, sharding, toxicity
 from corpusforge.llm.common import read
 
 # Scores from here on count as label 1.
@@ -25,6 +25,11 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
@@ -46,6 +51,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 0.75 on 5-word shingles."""
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"))
+
+
 def op9_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards with near equal bytes, tokens and rows; equal texts share a shard."""
     out = sharding.shard(read(spark, sf_dir, "documents"), 8)
@@ -60,15 +70,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_main_text": op3_main_text,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_vector_shards": op9_vector_shards,
     "op10_quality": op10_quality,
 }
 
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 SQL = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+        item_windows AS (SELECT DISTINCT item_id, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS words
+                         FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        doc_windows AS (SELECT doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS words
+                        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, words)),
+        covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        listed AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
