@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import exact_dedup, queries
+from corpusforge.llm import decontaminate, exact_dedup, ngram_join, quality, queries
 from corpusforge.llm.common import read, stored
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on these documents' labels, does not reject."""
+    return quality.drop_rejected(docs, read(spark, sf_dir, "labels"), queries.THRESHOLD)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a similarity of at least 0.75 on 5-word shingles the one with the smallest id stays."""
+    return ngram_join.drop_similar(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in passages of the benchmark."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining text encoded and decoded; digests of the ids and of the decoded bytes."""
     return queries.encoded_digests(docs)
 
 
 STAGES = [
+    ("quality classifier", good_quality),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", uncontaminated),
     ("byte-level BPE", tokens),
 ]
 
-# A trained classifier and component searches decide which rows stay, which SQL cannot express.
+# A trained classifier decides which rows stay, which SQL cannot express.
 ORACLE_SQL = None
 
 

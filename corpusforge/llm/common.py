@@ -8,12 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusforge.session import scratch_path
 
 # Python tasks work on slices of an Arrow batch that hold about this much text
 # (or one row, if that row alone is larger).
 SLICE_BYTES = 1 << 20
+# Tables with more rows are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted; narrow rows are expected."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its texts (one more than rows)."""
     _, offsets, data = column.buffers()

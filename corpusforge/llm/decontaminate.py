@@ -16,12 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import stored
+from corpusforge.llm.common import broadcast_if_small, stored
 
 WINDOW = 13
 GRAM = 8
-# Tables of the benchmark with more rows are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 # What separates words once A-Z is lower-cased.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,10 +63,6 @@ def _fingerprints(hashes: Column, window: int) -> Column:
         F.transform(_numbers(1, F.size(grams) - (n - 1)), lambda i: F.array_min(F.slice(grams, i, n)))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def matched_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                     item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``text_key, first, size, item``: every item window that occurs in a text, from word ``first`` (1-based) on.
@@ -93,12 +87,12 @@ def matched_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", i
     for n in sizes:
         own = lists.filter(F.col("size") == n).select(F.explode(marks_of(F.col("w"), [n])).alias("mark"))
         marks = own if marks is None else marks.unionByName(own)
-    marks = _small(stored(marks.distinct(), "bench-marks"))
+    marks = broadcast_if_small(stored(marks.distinct(), "bench-marks"))
     # 1. texts that share a fingerprint with an item
     own = text.select("text_key", F.explode(marks_of(words_of(F.col("text")), sizes)).alias("mark"))
     suspects = stored(own.join(marks, "mark", "left_semi").select("text_key").distinct(), "suspects")
     # 2. in these, the words around every gram that is a fingerprint
-    texts = text.join(_small(suspects), "text_key", "left_semi")
+    texts = text.join(broadcast_if_small(suspects), "text_key", "left_semi")
     found = None
     for n in sizes:
         k = _gram_size(n)
@@ -115,7 +109,7 @@ def matched_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", i
         spans = hits.select("text_key", "near", F.col("first").alias("from"), F.explode(_numbers(F.col("first"), F.col("last"))).alias("first")) \
             .select("text_key", "first", F.lit(n).alias("size"), F.array_join(F.slice("near", F.col("first") - F.col("from") + 1, F.lit(n)), " ").alias("words"))
         found = spans if found is None else found.unionByName(spans)
-    return found.join(_small(item_windows), ["size", "words"]).select("text_key", "first", "size", "item").distinct()
+    return found.join(broadcast_if_small(item_windows), ["size", "words"]).select("text_key", "first", "size", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -154,4 +148,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                           items, "id", "text")
     bad = stored(marks.filter("contaminated").select(F.col("id").alias("_bad")).distinct(), "contaminated")
     key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
-    return docs.join(_small(bad), key == F.col("_bad"), "left_anti")
+    return docs.join(broadcast_if_small(bad), key == F.col("_bad"), "left_anti")

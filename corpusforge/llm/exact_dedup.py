@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import stored
+from corpusforge.llm.common import broadcast_if_small, stored
 
 PREFIX_CHARS = 64
 
@@ -65,11 +65,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where an id occurs with several texts, the kept ``(id, text)`` pairs stay; exact
     repeats of such a pair leave one row.
     """
-    marks = stored(exact_duplicates(docs, id_col, text_col, hash_all=True), "dedup-marks")
-    kept = marks.filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    tagged = docs.withColumn("_ksha0", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    out = tagged.join(kept, tagged[id_col].eqNullSafe(F.col("_kid")) & (tagged["_ksha0"] == F.col("_ksha")), "left_semi")
-    repeats = marks.groupBy(id_col, "text_sha256").count().filter("count > 1").limit(1).count()
-    if repeats:
-        out = out.dropDuplicates([id_col, "_ksha0"])
-    return out.drop("_ksha0")
+    marks = exact_duplicates(docs, id_col, text_col, hash_all=True)
+    pairs = stored(marks.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
+        F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-marks")
+    gone = broadcast_if_small(pairs.filter("NOT kept").select("_id", "_sha"))
+    tagged = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    out = tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged["_text_sha"] == gone["_sha"]), "left_anti")
+    if not pairs.filter("kept AND n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_text_sha"])
+    return out.drop("_text_sha")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import slices, stored, text_buffer
+from corpusforge.llm.common import broadcast_if_small, slices, stored, text_buffer
 from corpusforge.llm.components import components
 
 NGRAM = 5
@@ -40,8 +40,6 @@ MAX_LATE = 1 << 16
 WINDOW_SLICES = 16
 # Keys met once are dropped at the source by a bit map of this size.
 SIEVE_BITS = 1 << 24
-# Tables with more rows are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 _SPACES = words.space_classes()
 _MULTIPLIERS = words.numbers(64, 3) | np.uint64(1)
 
@@ -162,10 +160,6 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(x != y))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -292,7 +286,8 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([_signed(digest), pa.array([p.tobytes() for p in parts], pa.binary()),
                                                   pa.array([sketch(p) for p in parts], pa.binary())], ["node", "grams", "sketch"])
 
-        texts = self.rows.join(_small(wanted.select("id").distinct()), "id", "left_semi").select("text")
+        ids = broadcast_if_small(wanted.select(F.col("id").alias("wanted")).distinct())
+        texts = self.rows.join(ids, self.rows["id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
         found = texts.mapInArrow(run, "node bigint, grams binary, sketch binary")
         return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -392,4 +387,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = similar_components(docs, id_col, text_col)
     gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "similar")
-    return docs.join(_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(broadcast_if_small(gone), docs[id_col] == F.col("_gone"), "left_anti")

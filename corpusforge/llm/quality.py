@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import slices, stored, text_buffer
+from corpusforge.llm.common import broadcast_if_small, slices, stored, text_buffer
 
 SHAPES = 16
 BUCKETS = 2048 - SHAPES
@@ -97,9 +97,10 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def features(docs: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, x``: the pooled vector of every document (zeros but for the statistics without words)."""
+    """``id, text_key, x``: the MD5 of the text and the pooled vector of every document (zeros but for the statistics without words)."""
     table = docs.sparkSession.sparkContext.broadcast(np.hstack([index_vectors(), contexts]).astype(np.float32))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = table.value
@@ -124,10 +125,10 @@ def features(docs: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text
                                      np.linalg.norm(pooled, axis=1)])
             x = np.hstack([pooled, stats]).astype(np.float32)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["id", "text_key", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, x array<float>")
+    return rows.mapInArrow(run, f"id {kind}, text_key string, x array<float>")
 
 
 class Network:
@@ -175,10 +176,10 @@ def learnable(id_col: Column, parts: int, held: int) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           parts: int = 5, held: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``id_col, held_out, score``, one row per document; the score is that of label 1.
+    """``id_col, held_out, score, text_key``, one row per document; the score is that of label 1.
 
     Only labels of ids with ``crc32(id) mod parts <> held`` are learnt, at most ``max_train``
-    of them.  Null and empty texts are scored by their (zero) vector; null labels are
+    of them.  ``text_key`` is the MD5 of the text, of which alone the score depends.  Null and empty texts are scored by their (zero) vector; null labels are
     ignored and of several labels of an id the largest counts; an id that occurs in several rows
     trains with each; null ids are never learnt and count as held out.
     Without labels the score is 0.5, with labels of one class that class's
@@ -202,10 +203,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
             s = model.value.scores(x) if isinstance(model.value, Network) else np.full(len(x), model.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(s, 6))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(s, 6))], ["id", "text_key", "score"])
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id {kind}, score double").select(
-        F.col("id").alias(id_col), (~learnable(F.col("id"), parts, held)).alias("held_out"), "score")
+    return vectors.mapInArrow(run, f"id {kind}, text_key string, score double").select(
+        F.col("id").alias(id_col), (~learnable(F.col("id"), parts, held)).alias("held_out"), "score", "text_key")
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that score less than ``least``, all columns kept."""
+    scores = score(docs, labels, id_col, text_col)
+    bad = stored(scores.filter(F.col("score") < least).select(F.col("text_key").alias("_bad")).distinct(), "quality-rejected")
+    return docs.join(broadcast_if_small(bad), F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("_bad"), "left_anti")

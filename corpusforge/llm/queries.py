@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_codec, decontaminate, exact_dedup, html_extract, ngram_join, quality, sharding, toxicity
+from corpusforge.llm import bpe_codec, decontaminate, exact_dedup, html_extract, ngram_join, pii, quality, sharding, toxicity, warc
 from corpusforge.llm.common import read
 
 # Scores from here on count as label 1.
@@ -30,6 +30,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its validated numbers and dates under pseudonyms (by a key that is only for show)."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), b"corpusforge demonstration key")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
@@ -40,6 +45,13 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits among the captures of all pages, resolved; headers as sorted ``name: value`` lines."""
+    out = warc.resolve_revisits(warc.captures(read(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return out.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document after its obfuscated words are restored."""
     out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -65,14 +77,16 @@ def op9_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
-    out = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    out = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii": op2_pii,
     "op3_main_text": op3_main_text,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
