@@ -3,9 +3,8 @@
 ``row_number() OVER (ORDER BY x)`` and a global ``percentile`` both funnel the
 whole table through a single task.  The helpers here keep the work spread:
 
-* ``order_statistic`` finds the k-th smallest value by repeated range
-  histograms (one small aggregation per pass, at most ``buckets`` groups,
-  partial aggregation map-side); only a bounded final bucket is collected.
+* ``order_statistics`` finds the k-th smallest rows of a range-partitioned sort
+  by the rows per partition; only the rows asked for reach the driver.
 * ``exact_quantile`` is linear interpolation between two order statistics,
   the definition used by pandas, Spark ``percentile`` and ``quantile_cont``.
 * ``dense_index`` assigns 0..n-1 in a total order through a range-partitioned
@@ -17,63 +16,48 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.session import materialize
 
-# Final buckets up to this many rows are sorted on the driver.
-COLLECT_LIMIT = 50_000
-BUCKETS = 1024
 
+def order_statistics(df: DataFrame, cols: list[str], ranks: list[int]) -> list[tuple | None]:
+    """Values ``cols`` of the rows with the given ranks (1-based) in the order of ``cols``.
 
-def _bounds(df: DataFrame, col: str):
-    r = df.agg(F.count(F.col(col)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return r["n"], r["lo"], r["hi"]
+    One path for any size and type: the keys are range-sorted and materialised,
+    the rows per partition are counted, and each rank is looked up at its place in its
+    partition.  Rows with a null in the first column are ignored; a rank outside gives ``None``.
+    """
+    base = df.select(*cols).filter(F.col(cols[0]).isNotNull())
+    tagged, counts = _numbered(base.orderBy(*cols))
+    places: dict[int, int] = {}
+    for k in set(ranks):
+        before = 0
+        for part, n in counts:
+            if 0 < k - before <= n:
+                places[k] = (part << 33) + k - before - 1
+                break
+            before += n
+    found = {}
+    if places:
+        rows = tagged.filter(F.col("_mid").isin(list(places.values()))).collect()  # one per rank
+        found = {r["_mid"]: tuple(r[c] for c in cols) for r in rows}
+    return [found.get(places.get(k)) for k in ranks]
 
 
-def order_statistic(df: DataFrame, col: str, k: int, tie_cols: list[str] | None = None,
-                    buckets: int = BUCKETS, collect_limit: int = COLLECT_LIMIT):
-    """Return the row values ``(col, *tie_cols)`` of the k-th smallest row (1-based).
+def order_statistic(df: DataFrame, col: str, k: int, tie_cols: list[str] | None = None) -> tuple | None:
+    """The row values ``(col, *tie_cols)`` of the k-th smallest row (1-based), or ``None``."""
+    return order_statistics(df, [col, *(tie_cols or [])], [k])[0]
 
-    Rows are ordered by ``col`` then ``tie_cols``; nulls in ``col`` are ignored.
-    Returns ``None`` when fewer than ``k`` rows exist.
-    """
-    tie_cols = list(tie_cols or [])
-    base = df.select(col, *tie_cols).filter(F.col(col).isNotNull())
-    n, lo, hi = _bounds(base, col)
-    if k < 1 or k > n:
-        return None
-    below = 0
-    n_sub = n
-    is_integral = dict(base.dtypes)[col] in ("bigint", "int", "smallint", "tinyint")
-    while True:
-        sub = base.filter(F.col(col).between(lo, hi))
-        if n_sub <= collect_limit:
-            rows = sub.orderBy(col, *tie_cols).limit(k - below).collect()
-            r = rows[k - below - 1]
-            return tuple(r[c] for c in [col] + tie_cols)
-        if lo == hi:
-            if not tie_cols:
-                return (lo,)
-            inner = order_statistic(sub.filter(F.col(col) == lo), tie_cols[0], k - below,
-                                    tie_cols[1:], buckets, collect_limit)
-            return (lo,) + tuple(inner)
-        if is_integral:
-            width = max(1, math.ceil((hi - lo + 1) / buckets))
-            bexpr = F.floor((F.col(col) - F.lit(lo)) / F.lit(width))
-        else:
-            span = float(hi) - float(lo)
-            bexpr = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(span) * buckets),
-                            F.lit(buckets - 1))
-        hist = (sub.groupBy(bexpr.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                .orderBy("b").collect())
-        for h in hist:
-            if below + h["n"] >= k:
-                lo, hi, n_sub = h["lo"], h["hi"], h["n"]
-                break
-            below += h["n"]
+
+def _numbered(ordered: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """A sorted frame, materialised so that all passes see the same partitions, with ``_mid`` (the place
+    in the partition, plus the partition number times 2**33), and the rows of each partition."""
+    tagged = materialize(ordered).withColumn("_pid", F.spark_partition_id()) \
+                                 .withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
+    return tagged, sorted((r["_pid"], r["_n"]) for r in counts)
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None):
@@ -87,14 +71,8 @@ def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None):
         return None
     pos = q * (n - 1)
     lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    if n <= COLLECT_LIMIT:
-        # small input: one bounded sorted read gives both order statistics
-        vals = [r[0] for r in base.select(col).orderBy(col).limit(hi_rank + 1).collect()]
-        v_lo, v_hi = vals[lo_rank], vals[hi_rank]
-    else:
-        v_lo = order_statistic(base, col, lo_rank + 1)[0]
-        v_hi = v_lo if hi_rank == lo_rank else order_statistic(base, col, hi_rank + 1)[0]
-    return float(v_lo) + (pos - lo_rank) * (float(v_hi) - float(v_lo))
+    v_lo, v_hi = (float(v[0]) for v in order_statistics(base, [col], [lo_rank + 1, hi_rank + 1]))
+    return v_lo + (pos - lo_rank) * (v_hi - v_lo)
 
 
 def first_n(df: DataFrame, n: int, order_col: str, tie_cols: list[str] | None = None) -> DataFrame:
@@ -123,25 +101,12 @@ def dense_index(df: DataFrame, order: list[Column | str], index_col: str = "idx"
     partition and is broadcast.
     """
     spark = df.sparkSession
-    ordered = materialize(df.orderBy(*order))
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()) \
-                    .withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).orderBy("_pid").collect()
+    tagged, counts = _numbered(df.orderBy(*order))
     offsets, acc = [], start
-    for r in counts:
-        offsets.append((r["_pid"], acc))
-        acc += r["_n"]
+    for part, n in counts:
+        offsets.append((part, acc))
+        acc += n
     off = spark.createDataFrame(offsets or [(0, start)], "_pid int, _off long")
     return (tagged.join(F.broadcast(off), "_pid")
             .withColumn(index_col, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
             .drop("_pid", "_mid", "_off"))
-
-
-def lag_diff(df: DataFrame, value_col: str, order_col: str, partition_cols: list[str] | None = None,
-             out_col: str | None = None) -> DataFrame:
-    """WIN1 ``diff()``: value minus previous value in order; first is null.
-
-    Partitions are runs (a handful of rows each), so the window is cheap.
-    """
-    w = Window.partitionBy(*(partition_cols or [])).orderBy(order_col)
-    return df.withColumn(out_col or f"{value_col}_diff", F.col(value_col) - F.lag(value_col).over(w))

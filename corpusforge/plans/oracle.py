@@ -35,8 +35,8 @@ CANDIDATE_DOCS = """
   SELECT d.doc_id, d.text FROM documents d
   WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 PAIRS = """
-  SELECT 'conversations' AS source, u.conv_id * 1000 + u.turn AS pair_id,
-         u.conv_id * 1000 + u.turn AS pos, u.text AS deu, a.text AS nds
+  SELECT 'conversations' AS source, printf('%d:%06d', u.conv_id, u.turn) AS pair_id,
+         u.conv_id AS pos, u.text AS deu, a.text AS nds
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'"""
@@ -71,8 +71,8 @@ TRUSTED_CONV = f"""
     SELECT conv_id, row_number() OVER (ORDER BY {hash_rank("md5('1234:trusted:' || conv_id)")}, conv_id) AS rn,
            count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL))
   WHERE rn <= ceil(0.25e0 * n)"""
-TRUSTED_COND = f"(pair_id // 1000) IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
-CANDIDATE_COND = f"(pair_id // 1000) NOT IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
+TRUSTED_COND = f"pos IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
+CANDIDATE_COND = f"pos NOT IN (SELECT conv_id FROM ({TRUSTED_CONV}))"
 
 
 PAIR_TOKENS = f"""
@@ -233,15 +233,15 @@ def _ibm1_score(name: str, model: str, rows: str, table: str = "t2") -> str:
 
 
 DOC_INPUTS = f"""
-     pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({TRUSTED_DOCS})),
-     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, text FROM ({CANDIDATE_DOCS})),
+     pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({TRUSTED_DOCS})),
+     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({CANDIDATE_DOCS})),
      test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""
 PAIR_INPUTS = f"""
      pt AS ({PAIR_TOKENS}),
-     pool0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE {TRUSTED_COND}),
-     cand0 AS (SELECT source, pair_id, src, tokens FROM pt WHERE {CANDIDATE_COND}),
+     pool0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {TRUSTED_COND}),
+     cand0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {CANDIDATE_COND}),
      tl AS ({TEST_LINES}),
-     test AS (SELECT 'benchmark' AS source, a.item_id * 1000 + a.line_no AS pair_id,
+     test AS (SELECT 'benchmark' AS source, printf('%d:%06d', a.item_id, a.line_no) AS pair_id,
                      {tok_de('a.line')} AS src, {tok_nds('b.line')} AS tokens
               FROM tl a JOIN tl b ON a.item_id = b.item_id AND b.line_no = a.line_no + 1)"""
 
@@ -265,7 +265,7 @@ def best_iteration_sql(iterations: int = 3) -> str:
 
 
 def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
-    cols = "source, pair_id, text" if kind == "docs" else "source, pair_id, src, tokens"
+    cols = "source, pair_id, pos, text" if kind == "docs" else "source, pair_id, pos, src, tokens"
     ctes = [DOC_INPUTS if kind == "docs" else PAIR_INPUTS]
     outs = []
     for i in range(rounds):
@@ -285,7 +285,7 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
                          count(*) OVER () AS n FROM pool{i}),
      train{i} AS (SELECT {cols} FROM split{i} WHERE rn > ceil(0.1e0 * n)),
      valid{i} AS (SELECT {cols} FROM split{i} WHERE rn <= ceil(0.1e0 * n)),
-     win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pair_id, source, pair_id) <= {size}),
+     win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pos, source, pair_id) <= {size}),
      {scores},
      q{i} AS (SELECT quantile_cont(loss, 0.25) AS q FROM sc{i})""")
         if strategy == "loss":
@@ -329,7 +329,7 @@ FROM (SELECT doc_id, {tok_nds('text')} AS t FROM documents)""",
 SELECT doc_id, len(t)::INTEGER AS n_tok, array_to_string(t, ' ') AS tokens, array_to_string(tl, ' ') AS tokens_lower
 FROM (SELECT doc_id, {tok_de('text')} AS t, {tok_de('lower(text)')} AS tl FROM documents)""",
     "length_filter_requests": f"""
-SELECT conv_id * 1000 + turn AS sent_id, ({word_count('text')})::INTEGER AS n_parts
+SELECT printf('%d:%06d', conv_id, turn) AS sent_id, ({word_count('text')})::INTEGER AS n_parts
 FROM conversations WHERE role = 'user' AND {word_count('text')} BETWEEN 1 AND 30""",
     "vocab_trusted": f"""
 WITH tr AS (SELECT {tok_nds('text')} AS toks FROM ({TRUSTED_DOCS})),
@@ -356,7 +356,7 @@ WITH n AS (SELECT count(*) AS n FROM ({TRUSTED_DOCS})),
      s AS (SELECT ceil(0.1e0 * n)::BIGINT AS n_valid, n - ceil(0.1e0 * n)::BIGINT AS n_train FROM n)
 SELECT n_train, n_valid, ((ceil(n_train / 64) + ceil(n_valid / 64)) * 64)::BIGINT AS total_samples FROM s""",
     "sample_requests": f"""
-WITH s AS (SELECT conv_id * 1000 + turn AS sent_id, text AS deu FROM conversations
+WITH s AS (SELECT printf('%d:%06d', conv_id, turn) AS sent_id, text AS deu FROM conversations
            WHERE role = 'user' AND {word_count('text')} BETWEEN 1 AND 30),
      h AS (SELECT *, md5('42:' || sent_id) AS h FROM s)
 SELECT sent_id, deu FROM h QUALIFY row_number() OVER (ORDER BY {hash_rank('h')}, sent_id) <= 50""",
@@ -436,11 +436,11 @@ SELECT pair_id, n_tok, round(nll / n_tok, 6) AS loss FROM sc""",
     "ibm1_best_pairs": f"""{IBM1}
 SELECT e, best FROM best""",
     "stream_translate_requests": f"""{IBM1},
-     rq AS (SELECT conv_id * 1000 + turn AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
+     rq AS (SELECT printf('%d:%06d', conv_id, turn) AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
      {translate_sql('rq', 'sent_id', 'toks')}
 SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
     "translate_requests": f"""{IBM1},
-     rq AS (SELECT conv_id * 1000 + turn AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
+     rq AS (SELECT printf('%d:%06d', conv_id, turn) AS sent_id, {tok_de('text')} AS toks FROM conversations WHERE role = 'user'),
      {translate_sql('rq', 'sent_id', 'toks')}
 SELECT k AS sent_id, array_to_string(hyp, ' ') AS ai_nds FROM tx""",
     "bleu_tokens_pairs": bleu_sql(f"SELECT k, hyp, ref FROM ({CAND_TRANSLATIONS})"),
@@ -455,7 +455,7 @@ SELECT a, b, sum(freq)::BIGINT AS n FROM pr GROUP BY a, b""",
     "subword_roundtrip_requests": f"""
 WITH chars AS (SELECT DISTINCT unnest(list_filter(string_split(word, ''), lambda y: length(y) > 0)) AS ch
                FROM ({WORDS})),
-     rq AS (SELECT conv_id * 1000 + turn AS sent_id, text FROM conversations WHERE role = 'user'),
+     rq AS (SELECT printf('%d:%06d', conv_id, turn) AS sent_id, text FROM conversations WHERE role = 'user'),
      rc AS (SELECT sent_id, unnest(list_filter(string_split(
                      regexp_replace(text, '{_q(WHITESPACE)}', '', 'g'), ''), lambda y: length(y) > 0)) AS ch FROM rq),
      bad AS (SELECT DISTINCT sent_id FROM rc WHERE ch NOT IN (SELECT ch FROM chars))
@@ -514,8 +514,8 @@ WITH p AS ({PAIR_TOKENS}),
      ex AS (SELECT pair_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS token FROM ca),
      j AS (SELECT ex.pair_id, ex.i, coalesce(voc.id, 0) AS id, coalesce(voc.token, '<unk>') AS back
            FROM ex LEFT JOIN voc ON ex.token = voc.token)
-SELECT pair_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids, sum((id = 0)::INT)::INTEGER AS n_unk,
-       string_agg(back, ' ' ORDER BY i) AS back FROM j GROUP BY pair_id""",
+SELECT ca.pair_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY i), '') AS ids, coalesce(sum((id = 0)::INT), 0)::INTEGER AS n_unk,
+       coalesce(string_agg(back, ' ' ORDER BY i), '') AS back FROM ca LEFT JOIN j ON j.pair_id = ca.pair_id GROUP BY ca.pair_id""",
     "selection_stats_docs": selection_sql(2, "loss") + "SELECT * FROM round_stats",
     "random_rounds_docs": selection_sql(2, "random") + "SELECT round, pair_id FROM accepted",
     "selection_full_docs": selection_sql(14, "loss") + "SELECT round, pair_id, loss FROM accepted",

@@ -341,8 +341,7 @@ def _pair_selection_run(spark, sf, rounds: int = 2):
         # test pairs: consecutive lines of a benchmark item (line i -> line i + 1)
         nxt = lines.select("item_id", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("nds"))
         test = lines.join(nxt, ["item_id", "line_no"]).select(
-            F.lit("benchmark").alias("source"), (F.col("item_id") * tables.TURN_STRIDE + F.col("line_no")).alias("pair_id"),
-            (F.col("item_id") * tables.TURN_STRIDE + F.col("line_no")).alias("pos"),
+            F.lit("benchmark").alias("source"), tables.compound_key("item_id", "line_no").alias("pair_id"), F.col("item_id").alias("pos"),
             F.col("line").alias("deu"), "nds")
         test = test.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
         return selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=rounds,
@@ -419,7 +418,7 @@ def q_csv_roundtrip_pairs(spark, sf):
     """SRC1: pairs written as pandas-style CSV (quotes, newlines) and read back."""
     path = scratch_path(spark, "pairs-csv")
     files.write_pairs_csv(tables.conversation_pairs(spark, sf), path)
-    return files.read_pairs(spark, path)
+    return files.read_pairs(spark, path, files.KEYED_PAIR_FILE_SCHEMA)
 
 
 def q_tsv_positional_pairs(spark, sf):
@@ -459,7 +458,7 @@ def q_corpus_assembly_pairs(spark, sf):
     p, model = _lexical_model(spark, sf)
     best = lexical.best_translation(model).filter(~F.col("e").isin("<sos>", "<eos>"))
     book = dense_index(best, ["e"], "pair_id").select(
-        F.lit("wordbook").alias("source"), "pair_id", F.col("e").alias("deu"), F.col("best").alias("nds"))
+        F.lit("wordbook").alias("source"), F.col("pair_id").cast("string"), F.col("e").alias("deu"), F.col("best").alias("nds"))
     mono = tables.candidate_pairs(p).withColumn("source", F.lit("mono"))
     a = assembly.assemble(tables.trusted_pairs(p), book, mono)
     return a.corpus.select("idx", "source", "pair_id")
@@ -500,14 +499,13 @@ def q_stream_translate_requests(spark, sf):
     _, model = _lexical_model(spark, sf)
     best = _memo(spark, ("best", sf), lambda: lexical.best_translation(model).checkpoint(eager=True))
     conv = tables.read_table(spark, sf, "conversations")
-    stream = req_stream.request_stream(spark, sf, conv.schema, file_glob="conversations.parquet")
+    stream = req_stream.table_stream(spark, os.path.join(sf, "conversations.parquet"), conv.schema)
     reqs = stream.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * tables.TURN_STRIDE + F.col("turn")).cast("long").alias("sent_id"),
-        F.col("text").alias("deu"))
+        tables.compound_key("conv_id", "turn").alias("sent_id"), F.col("text").alias("deu"))
     sink = scratch_path(spark, "stream-sink")
     q = req_stream.translate_stream(reqs, best, sink)
     q.awaitTermination()
-    return spark.read.parquet(sink).select("sent_id", "ai_nds")
+    return req_stream.read_translations(spark, sink).select("sent_id", "ai_nds")
 
 
 REGISTRY: dict[str, Query] = {

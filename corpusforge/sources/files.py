@@ -4,7 +4,8 @@ Readers take an explicit schema (no inference on a cluster).  CSV options
 match what pandas writes: a header line, the row index as first column,
 quotes doubled inside quoted fields, newlines allowed inside quotes.
 Writers never overwrite silently unless asked; run outputs are partitioned
-by ``run_id`` and ``round`` so later reads prune by partition.
+by ``run_id`` and ``round`` so later reads prune by partition, and a round that
+is run again replaces its own partition.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ PAIR_FILE_SCHEMA = StructType([
     StructField("nds", StringType(), True),
 ])
 
+KEYED_PAIR_FILE_SCHEMA = StructType([StructField(c, StringType(), True) for c in ("pair_id", "deu", "nds")])
+# White space at the ends of a field is text, and quotes are doubled.
+_WRITE = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+          "emptyValue": '""'}
+
 
 def _csv(spark: SparkSession, schema: StructType, sep: str = ","):
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
@@ -50,20 +56,20 @@ def sides_by_position(df: DataFrame) -> DataFrame:
 
 def write_pairs_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``(pair_id, deu, nds)`` the way pandas does (header, index first)."""
-    (df.select("pair_id", "deu", "nds").write.mode(mode).option("header", True)
-     .option("quote", '"').option("escape", '"').option("quoteAll", False).csv(path))
+    df.select("pair_id", "deu", "nds").write.mode(mode).options(**_WRITE).csv(path)
 
 
 def write_pairs_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    (df.select("pair_id", "deu", "nds").write.mode(mode).option("header", True).option("sep", "\t")
-     .option("quote", '"').option("escape", '"').csv(path))
+    df.select("pair_id", "deu", "nds").write.mode(mode).options(sep="\t", **_WRITE).csv(path)
 
 
 def snapshot(df: DataFrame, base: str, run_id: str, round_i: int, name: str) -> str:
-    """SRC5 / SNK1 / SNK2: copy an input next to a run's results (never overwrites)."""
+    """SRC5 / SNK1 / SNK2: copy an input next to a run's results.
+
+    A retried round replaces its own copy; those of other runs and rounds stay.
+    """
     path = os.path.join(base, name)
-    (df.withColumn("run_id", F.lit(run_id)).withColumn("round", F.lit(round_i))
-     .write.mode("append").partitionBy("run_id", "round").parquet(path))
+    df.write.mode("overwrite").parquet(os.path.join(path, f"run_id={run_id}", f"round={round_i}"))
     return path
 
 
@@ -83,9 +89,9 @@ def export_side(df: DataFrame, col: str, path: str) -> None:
     df.select(F.col(col).cast("string")).write.mode("errorifexists").text(path)
 
 
-def append_round_stats(stats: DataFrame, path: str) -> None:
-    """SNK4: append one statistics row per round."""
-    stats.write.mode("append").parquet(path)
+def append_round_stats(stats: DataFrame, path: str, round_i: int) -> None:
+    """SNK4: one statistics row per round; a retried round replaces its row.  The round is a partition column."""
+    stats.drop("round").write.mode("overwrite").parquet(os.path.join(path, f"round={round_i}"))
 
 
 def loss_summary_wide(losses: DataFrame, rounds: list[int], key_cols: list[str]) -> DataFrame:

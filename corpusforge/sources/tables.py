@@ -3,26 +3,25 @@
 The corpus tools work on two shapes:
 
 * text table  ``(source STRING, pair_id LONG, pos LONG, text STRING)``
-* pair table  ``(source STRING, pair_id LONG, pos LONG, deu STRING, nds STRING)``
+* pair table  ``(source STRING, pair_id STRING, pos LONG, deu STRING, nds STRING)``
 
-``(source, pair_id)`` is the row key; ``pos`` is the file order, which the
+``(source, pair_id)`` is the row key; ``pos`` (then the key) is the file order, which the
 growing candidate window depends on (a DataFrame has no order of its own).
+Pairs and requests are keyed by conversation and turn, test lines by item and line.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import split_lines
 from corpusforge.operators.joins import join_small
 from corpusforge.operators.sampling import SEED, train_valid_split
 
-# Conversation pairs use this turn stride in the pair id; a
-# quarter of the conversations are the trusted pairs.
-TURN_STRIDE = 1000
+# Fixed value: a quarter of the conversations are the trusted pairs.
 TRUSTED_SHARE = 0.25
 
 
@@ -30,6 +29,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def compound_key(outer: str, inner: str) -> Column:
+    """One key of two numbers, whatever their size: ``outer:inner``, the inner one filled up to six digits."""
+    return F.format_string("%d:%06d", F.col(outer).cast("long"), F.col(inner).cast("long"))
+
+
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence pairs: a user turn (``deu``) and the assistant turn after it (``nds``).
 
@@ -40,10 +44,9 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("deu"))
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("nds"))
-    pid = (F.col("conv_id") * TURN_STRIDE + F.col("turn")).cast("long")
     return (u.join(a, ["conv_id", "turn"], "inner")
-            .select(F.lit("conversations").alias("source"), pid.alias("pair_id"),
-                    pid.alias("pos"), "deu", "nds"))
+            .select(F.lit("conversations").alias("source"), compound_key("conv_id", "turn").alias("pair_id"),
+                    F.col("conv_id").alias("pos"), "deu", "nds"))
 
 
 def trusted_conversations(spark: SparkSession, sf_dir: str, share: float = TRUSTED_SHARE) -> DataFrame:
@@ -56,7 +59,7 @@ def trusted_conversations(spark: SparkSession, sf_dir: str, share: float = TRUST
 def with_roles(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     """Adds ``trusted``: the pair belongs to a trusted conversation; all others are candidates."""
     t = trusted_conversations(spark, sf_dir).select(F.col("conv_id").alias("_cid"), F.lit(True).alias("_t"))
-    p = pairs.withColumn("_cid", F.floor(F.col("pair_id") / TURN_STRIDE).cast("long"))
+    p = pairs.withColumn("_cid", F.col("pos"))
     return join_small(p, t, ["_cid"], "left") \
         .withColumn("trusted", F.coalesce(F.col("_t"), F.lit(False))).drop("_cid", "_t")
 
@@ -107,5 +110,5 @@ def request_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untranslated sentences: every user turn, ``(sent_id, deu)``."""
     conv = read_table(spark, sf_dir, "conversations")
     return conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * TURN_STRIDE + F.col("turn")).cast("long").alias("sent_id"),
+        compound_key("conv_id", "turn").alias("sent_id"),
         F.col("text").alias("deu"))

@@ -13,7 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusforge.functions.text import join_tokens, tokenize_de
 from corpusforge.operators import lexical
@@ -31,6 +31,19 @@ def request_stream(spark: SparkSession, folder: str, schema: StructType, file_gl
     return r.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """File stream over a table's own path: a folder of part files, or one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return request_stream(spark, path, schema, max_files=max_files)
+    return request_stream(spark, os.path.dirname(path), schema, file_glob=os.path.basename(path), max_files=max_files)
+
+
+def read_translations(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``translate_stream`` has written; empty before the first batch."""
+    return spark.read.parquet(sink)
+
+
 def translate_stream(requests: DataFrame, best: DataFrame, sink: str, checkpoint: str | None = None,
                      key: str = "sent_id", text_col: str = "deu", available_now: bool = True):
     """Start the streaming translation; returns the ``StreamingQuery``.
@@ -38,6 +51,9 @@ def translate_stream(requests: DataFrame, best: DataFrame, sink: str, checkpoint
     ``best`` is the (static, checkpointed) best-translation table.
     """
     spark = requests.sparkSession
+    # an empty part gives the sink its schema before the first batch, and on an empty stream
+    spark.createDataFrame([], StructType([requests.schema[key], requests.schema[text_col], StructField("ai_nds", StringType())])) \
+        .write.mode("overwrite").parquet(os.path.join(sink, "batch_id=-1"))
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", os.path.basename(sink.rstrip("/")))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:

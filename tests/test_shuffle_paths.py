@@ -15,11 +15,11 @@ NAMES = ["select_round0_docs", "vocab_trusted", "leak_free_lines", "leak_matches
 
 @pytest.fixture(scope="module")
 def no_broadcast(spark):
-    spark.conf.set("corpusforge.broadcast.maxRows", "0")
+    spark.conf.set("corpusforge.broadcast.maxBytes", "0")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     yield spark
-    spark.conf.unset("corpusforge.broadcast.maxRows")
+    spark.conf.unset("corpusforge.broadcast.maxBytes")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 

@@ -13,7 +13,7 @@ from corpusforge.operators import lm
 @pytest.fixture()
 def skew_conf(spark):
     conf = {
-        "corpusforge.broadcast.maxRows": "0",
+        "corpusforge.broadcast.maxBytes": "0",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256",
