@@ -257,9 +257,9 @@ def _sieve(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit(lists: list[list[int]], y: np.ndarray, n: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _fit(lists: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of features, with a penalty on the squared weights."""
-    flat = np.array([i for x in lists for i in x], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *lists]).astype(np.int64)
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     p = [np.zeros(n), np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])]
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -346,10 +346,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return math.copysign(math.sqrt(max(g, 0.0)), pos - e)
         chosen = sorted(counts, key=lambda r: (-gain(r.pos, r.n), r["at"]))[:MAX_FEATURES]
         chosen = sorted(r["at"] for r in chosen if gain(r.pos, r.n) > 2)
-        place = {at: i for i, at in enumerate(chosen)}
-        wanted = F.filter("found", lambda x: F.array_contains(F.lit(chosen), x)) if chosen else F.array().cast("array<int>")
-        rows = found.select("id", "label", wanted.alias("found")).orderBy("id", "found").collect()
-        weights, bias = _fit([[place[i] for i in r.found] for r in rows], np.array([r.label == 1 for r in rows], dtype=float), max(1, len(chosen)))
+        place = np.full(len(keys), -1)
+        place[chosen] = np.arange(len(chosen))
+
+        def chosen_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found_at = [place[np.array(x, dtype=np.int64)] for x in b.column(1).to_pylist()]
+                lists = [x[x >= 0].astype("<i4").tobytes() for x in found_at]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], ["label", "at"])
+
+        # at most max_train labels, a few features each; sorted, so that sums come out alike
+        rows = sorted((bytes(r["at"]), r.label) for r in found.select("label", "found").mapInArrow(chosen_only, "label int, at binary").collect())
+        weights, bias = _fit([np.frombuffer(x, dtype="<i4") for x, _ in rows], np.array([y == 1 for _, y in rows], dtype=float), max(1, len(chosen)))
         keys = keys[chosen] if chosen else keys[:0]
     model = context.broadcast((keys, _sieve(keys), weights, bias))
 
