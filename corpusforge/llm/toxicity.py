@@ -125,7 +125,7 @@ class Decoder:
             else:
                 slots += [[((27,), 0.0)]] * min(n, 2)
                 continue
-            slot = [((x,), cost + (REPEATED if n > 1 else 0.0)) for x in letters]
+            slot = [((x,), cost * min(n, 2) + (REPEATED if n > 1 else 0.0)) for x in letters]
             if n > 1:
                 slot += [((x, x), cost * 2 + (0.0 if n == 2 else REPEATED)) for x in letters]
             slots.append(slot)
