@@ -232,18 +232,20 @@ def _ibm1_score(name: str, model: str, rows: str, table: str = "t2") -> str:
      {name} AS (SELECT source, pair_id, s, n, round(s / n, 6) AS loss FROM {name}_sc)"""
 
 
+NO_LEAK = "NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text IS NOT DISTINCT FROM d.text)"
+NO_PAIR_LEAK = "NOT EXISTS (SELECT 1 FROM test t WHERE t.deu IS NOT DISTINCT FROM pt.deu AND t.nds IS NOT DISTINCT FROM pt.nds)"
 DOC_INPUTS = f"""
-     pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({TRUSTED_DOCS})),
-     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({CANDIDATE_DOCS})),
+     pool0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({TRUSTED_DOCS}) d WHERE {NO_LEAK}),
+     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({CANDIDATE_DOCS}) d WHERE {NO_LEAK}),
      test AS (SELECT 'benchmark' AS source, item_id AS pair_id, text FROM benchmark)"""
 PAIR_INPUTS = f"""
-     pt AS ({PAIR_TOKENS}),
-     pool0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {TRUSTED_COND}),
-     cand0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {CANDIDATE_COND}),
      tl AS ({TEST_LINES}),
-     test AS (SELECT 'benchmark' AS source, printf('%d:%06d', a.item_id, a.line_no) AS pair_id,
+     test AS (SELECT 'benchmark' AS source, printf('%d:%06d', a.item_id, a.line_no) AS pair_id, a.line AS deu, b.line AS nds,
                      {tok_de('a.line')} AS src, {tok_nds('b.line')} AS tokens
-              FROM tl a JOIN tl b ON a.item_id = b.item_id AND b.line_no = a.line_no + 1)"""
+              FROM tl a JOIN tl b ON a.item_id = b.item_id AND b.line_no = a.line_no + 1),
+     pt AS ({PAIR_TOKENS}),
+     pool0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {TRUSTED_COND} AND {NO_PAIR_LEAK}),
+     cand0 AS (SELECT source, pair_id, pos, src, tokens FROM pt WHERE {CANDIDATE_COND} AND {NO_PAIR_LEAK})"""
 
 
 def best_iteration_sql(iterations: int = 3) -> str:

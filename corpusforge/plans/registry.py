@@ -330,7 +330,7 @@ def _selection_run(spark, sf, strategy: str, rounds: int = 2):
         test = selection.with_tokens(b.select(F.lit("benchmark").alias("source"), F.col("item_id").alias("pair_id"),
                                               F.col("item_id").alias("pos"), "text"))
         return selection.run_selection(trusted, cands, test, rounds=rounds, strategy=strategy,
-                                       run_id=f"{strategy}-{rounds}")
+                                       run_id=f"{strategy}-{rounds}", leak_cols=["text"])
     return _memo(spark, ("selection", sf, strategy, rounds), build)
 
 
@@ -345,7 +345,7 @@ def _pair_selection_run(spark, sf, rounds: int = 2):
             F.col("line").alias("deu"), "nds")
         test = test.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
         return selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=rounds,
-                                       run_id=f"pairs-{rounds}", scorer=selection.LexicalScorer())
+                                       run_id=f"pairs-{rounds}", scorer=selection.LexicalScorer(), leak_cols=["deu", "nds"])
     return _memo(spark, ("pair-selection", sf, rounds), build)
 
 

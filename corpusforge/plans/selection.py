@@ -1,6 +1,6 @@
 """Self-learning data selection (PIP1) and its random-pick baseline (PIP2).
 
-Round i:
+Before round 0 the rows of the test set leave both tables (JOI2).  Round i:
   split the trusted pool (SMP1, seed and round in the hash) -> fit the count
   model on the train split -> validation and test loss -> candidate window of
   500 * 2**i + 1 rows in file order (WIN2) -> per-row loss (AGG5) -> exact
@@ -8,10 +8,12 @@ Round i:
   random quarter for the baseline (SMP3/SMP4) -> pool += accepted (SET1) ->
   candidates -= accepted (JOI3) -> one statistics row (SNK4).
 
-Each round's pool and candidate table are written as parquet below the run
-folder, which cuts the lineage (14 chained rounds as one lazy plan would be
-re-planned from scratch every round) and lets a lost executor recompute at
-most one round.  Driver traffic per round: a handful of scalars.
+Candidates are consumed in file order, so their keys are ranked once: the rows
+left in a round are the rejected rows of the window before and the ranks not reached
+yet.  The candidate table is neither rewritten nor anti-joined, and the pool is the
+trusted table plus the accepted rows of all rounds.  Each round writes its split, window losses, accepted and
+rejected rows as parquet below the run folder, which cuts the lineage and lets a
+lost executor recompute at most one round.  Driver traffic per round: a handful of scalars.
 """
 
 from __future__ import annotations
@@ -28,21 +30,21 @@ from pyspark.sql import functions as F
 from corpusforge.functions.text import tokenize_nds
 from corpusforge.operators import lm
 from corpusforge.operators.joins import join_small
-from corpusforge.operators.ordering import exact_quantile
-from corpusforge.operators.sampling import (ACCEPT_SHARE, SEED, VALID_SHARE, accept_count,
-                                            candidate_window, sample_n, train_valid_split)
+from corpusforge.operators.leakage import remove_leaks
+from corpusforge.operators.ordering import dense_index, exact_quantile
+from corpusforge.operators.sampling import (ACCEPT_SHARE, SEED, VALID_SHARE, accept_count, candidate_window,
+                                            sample_n, train_valid_split, window_size)
 from corpusforge.session import materialize, scratch_path
 
 KEY = ["source", "pair_id"]
 BATCH_SIZE = 64
 
-_STATS_COLS = ["run_id", "round", "best_valid_loss", "epoch_mins", "epoch_secs", "test_loss", "residual_loss",
-               "residual_mins", "residual_secs", "quantile", "test_bleu", "total_samples", "n_window", "n_accepted"]
 ROUND_STATS_SCHEMA = (
     "run_id string, round int, best_valid_loss double, epoch_mins int, epoch_secs int, "
     "test_loss double, residual_loss double, residual_mins int, residual_secs int, "
     "quantile double, test_bleu double, total_samples long, n_window long, n_accepted long"
 )
+_STATS_COLS = [c.split()[0] for c in ROUND_STATS_SCHEMA.split(",")]
 
 
 def total_samples(n_train: int, n_valid: int, batch_size: int = BATCH_SIZE) -> int:
@@ -127,19 +129,21 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
                   rounds: int = 14, strategy: str = "loss", run_id: str | None = None,
                   out_dir: str | None = None, seed: int = SEED, valid_share: float = VALID_SHARE,
                   q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None,
-                  resume: bool = False, bleu: bool = False) -> SelectionRun:
+                  resume: bool = False, bleu: bool = False, leak_cols: list[str] | None = None) -> SelectionRun:
     """PIP1 (``strategy='loss'``) or PIP2 (``strategy='random'``).
 
     ``trusted``/``candidates``/``test``: text or pair tables with ``source``,
     ``pair_id``, ``pos`` and token array column(s).  ``scorer`` has
     ``fit(train) -> model`` and ``score(model, df) -> (key, n_tok, sum_nll,
     loss)``; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
-    ``pool/round=i``, ``split/round=i``, ``accepted/round=i``,
+    ``trusted``, ``order`` (candidate keys by rank), ``split/round=i``, ``accepted/round=i``, ``rejected/round=i``,
     ``losses/round=i`` (long loss summary) and ``round_stats/round=i``, each
     written with overwrite so a retried round replaces its own output.
 
+    ``leak_cols`` names the text columns on which rows equal to a test row leave ``trusted`` and
+    ``candidates`` first.  The random strategy scores no candidates, so its losses are null.
     ``resume=True`` with an existing ``out_dir`` continues after the last round
-    whose statistics row was written, from that round's pool and candidates.
+    whose statistics row was written.
     ``bleu=True`` (scorers with a ``bleu`` method) fills ``test_bleu`` with the
     corpus BLEU of the round's model on the test table.
     """
@@ -162,35 +166,49 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         except AnalysisException:
             return False
 
-    # The candidate table (the big one) is never rewritten: the candidates left
-    # in round i are the input minus the keys accepted in earlier rounds, a
-    # set that grows by a quarter of each window and is broadcast when small.
+    if leak_cols and test is not None:
+        trusted, candidates = (remove_leaks(df, test, leak_cols) for df in (trusted, candidates))
     all_cands = candidates.select(*cols)
 
-    def remaining(i: int) -> DataFrame:
-        if i == 0:
-            return all_cands
-        taken = spark.read.parquet(os.path.join(out_dir, "accepted")) \
-                     .filter(F.col("round") < i).select(*KEY)
-        return join_small(all_cands, taken, KEY, "left_anti")
+    def of_rounds(name: str, upto: int) -> DataFrame:
+        return spark.read.parquet(os.path.join(out_dir, name)).filter(F.col("round") < upto).select(*cols)
+
+    def next_candidates(ranks: DataFrame, first: int, n: int) -> DataFrame:
+        """The candidates of ranks ``first`` to ``first + n - 1``; their range of ``pos`` reaches the scan."""
+        keys = ranks.filter(F.col("rank").between(first, first + n - 1))
+        ends = keys.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+        if ends["lo"] is None:
+            return all_cands.limit(0)
+        near = all_cands.filter(F.col("pos").between(ends["lo"], ends["hi"]))
+        return join_small(near, keys.select(*KEY), KEY, "left_semi")
 
     start = 0
     if resume:
-        while start < rounds and exists("round_stats", start) and exists("pool", start + 1) \
-                and exists("accepted", start):
+        while start < rounds and exists("round_stats", start) and exists("accepted", start) \
+                and exists("rejected", start):
             start += 1
         if start:
             st = spark.read.parquet(os.path.join(out_dir, "round_stats")).filter(F.col("round") < start)
             run.stats = [tuple(r[c] for c in _STATS_COLS) for r in st.orderBy("round").collect()]
     if start:
-        pool = spark.read.parquet(os.path.join(out_dir, "pool", f"round={start}"))
+        pool0 = spark.read.parquet(os.path.join(out_dir, "trusted", "round=0"))
+        ranks = spark.read.parquet(os.path.join(out_dir, "order", "round=0"))
+        left = spark.read.parquet(os.path.join(out_dir, "rejected", f"round={start - 1}"))
+        n_left, seen = left.count(), sum(r[-1] for r in run.stats)
+        seen += n_left  # ranks reached: accepted in some round, or rejected in the last one
     else:
-        pool = persist(trusted.select(*cols), "pool", 0)
+        pool0 = persist(trusted.select(*cols), "trusted", 0)
+        ranks = persist(dense_index(all_cands.filter(F.col("pos").isNotNull()).select("pos", *KEY), ["pos", *KEY], "rank"), "order", 0)
+        left, n_left, seen = None, 0, 0
     for i in range(start, rounds):
-        cands = remaining(i)
-        if not cands.take(1):
-            break
         t0 = time.time()
+        fresh = next_candidates(ranks, seen, window_size(i) - n_left)
+        window = materialize(fresh if left is None else left.unionByName(fresh))
+        n_window = window.count()
+        if not n_window:
+            break
+        seen += n_window - n_left
+        pool = pool0 if i == 0 else pool0.unionByName(of_rounds("accepted", i))
         split = train_valid_split(pool, KEY, seed, valid_share, salt=str(i))
         split = persist(split, "split", i)
         train = split.filter(F.col("split") == "train")
@@ -205,26 +223,27 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         fit_secs = time.time() - t0
 
         t1 = time.time()
-        window = candidate_window(cands, i)
-        # every window row gets a score row (null loss when it has no tokens)
-        scored = window.select(*KEY).join(scorer.score(model, window), KEY, "left")
-        scored = persist(scored, "losses", i)
-        w_stats = scored.agg(F.count(F.lit(1)).alias("n"), F.count("loss").alias("n_scored"),
-                             lm.mean_of_rounded("loss").alias("avg")).first()
-        n_window, residual_loss = w_stats["n"], w_stats["avg"]
         if strategy == "loss":
+            # every window row gets a score row (null loss when it has no tokens)
+            scored = window.select(*KEY).join(scorer.score(model, window), KEY, "left")
+            scored = persist(scored, "losses", i)
+            w_stats = scored.agg(F.count("loss").alias("n_scored"), lm.mean_of_rounded("loss").alias("avg")).first()
+            residual_loss = w_stats["avg"]
             threshold = exact_quantile(scored, "loss", q, n=w_stats["n_scored"])
             acc_keys = scored.filter(F.col("loss") <= F.lit(threshold)).select(*KEY)
         elif strategy == "random":
-            threshold = None
-            acc_keys = sample_n(scored, accept_count(n_window, q), KEY, seed, salt=f"pick{i}").select(*KEY)
+            persist(window.select(*KEY, F.lit(None).cast("double").alias("loss")), "losses", i)
+            threshold = residual_loss = None
+            acc_keys = sample_n(window.select(*KEY), accept_count(n_window, q), KEY, seed, salt=f"pick{i}")
         else:
             raise ValueError(strategy)
+        acc_keys = materialize(acc_keys)
         accepted = persist(window.join(acc_keys, KEY, "left_semi").select(*cols), "accepted", i)
-        n_acc = accepted.count()
+        left = persist(window.join(acc_keys, KEY, "left_anti").select(*cols), "rejected", i)
+        n_left = left.count()
+        n_acc = n_window - n_left
         score_secs = time.time() - t1
 
-        pool = persist(split.select(*cols).unionByName(accepted), "pool", i + 1)
         row = (run_id, i, valid_loss, int(fit_secs // 60), int(fit_secs - 60 * (fit_secs // 60)),
                test_loss, residual_loss, int(score_secs // 60),
                int(score_secs - 60 * (score_secs // 60)), threshold, test_bleu,

@@ -9,6 +9,7 @@ checkpoint folder make the query restartable after a failure.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ def translate_stream(requests: DataFrame, best: DataFrame, sink: str, checkpoint
     # an empty part gives the sink its schema before the first batch, and on an empty stream
     spark.createDataFrame([], StructType([requests.schema[key], requests.schema[text_col], StructField("ai_nds", StringType())])) \
         .write.mode("overwrite").parquet(os.path.join(sink, "batch_id=-1"))
-    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", os.path.basename(sink.rstrip("/")))
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", hashlib.md5(sink.encode()).hexdigest())
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         toks = batch.select(key, text_col, tokenize_de(text_col).alias("_toks"))

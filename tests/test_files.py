@@ -50,3 +50,22 @@ def test_loss_summary_wide(spark):
     long = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.5), (2, 0, 3.0)], "pair_id long, round int, loss double")
     w = {r["pair_id"]: (r["0"], r["1"]) for r in files.loss_summary_wide(long, [0, 1], ["pair_id"]).collect()}
     assert w == {1: (2.0, 1.5), 2: (3.0, None)}
+
+
+def test_white_space_at_the_ends_is_text(spark):
+    df = spark.createDataFrame([("1:000002", "  lead", "trail  "), ("1:000004", "\ttab", " ")], "pair_id string, deu string, nds string")
+    for write, read in ((files.write_pairs_csv, files.read_pairs), (files.write_pairs_tsv, files.read_pairs_tsv)):
+        path = fresh("spaces")
+        write(df, path)
+        assert sorted(map(tuple, read(spark, path, files.KEYED_PAIR_FILE_SCHEMA).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_round_that_runs_again_replaces_its_rows(spark):
+    base = fresh("again")
+    df = spark.createDataFrame([(1, 0.5)], "round int, loss double")
+    for _ in range(2):
+        files.snapshot(df, base, "r1", 0, "train")
+        files.append_round_stats(df, os.path.join(base, "stats"), 1)
+    files.append_round_stats(df, os.path.join(base, "stats"), 2)
+    assert files.read_run_table(spark, base, "train", "r1", 0).count() == 1
+    assert sorted(r["round"] for r in spark.read.parquet(os.path.join(base, "stats")).collect()) == [1, 2]

@@ -14,7 +14,7 @@ def test_selection_invariants(spark):
     cands = selection.with_tokens(tables.candidate_documents(spark, SF_SMALL))
     n_t, n_c = trusted.count(), cands.count()
     run = selection.run_selection(trusted, cands, None, rounds=3)
-    pools = [spark.read.parquet(os.path.join(run.out_dir, "pool", f"round={i}")).count() for i in range(len(run.stats) + 1)]
+    pools = [spark.read.parquet(os.path.join(run.out_dir, "split", f"round={i}")).count() for i in range(len(run.stats))]
     acc = spark.read.parquet(os.path.join(run.out_dir, "accepted"))
     for i, n_pool in enumerate(pools):
         taken = acc.filter(f"round < {i}")
@@ -81,3 +81,17 @@ def test_user_model_hook(spark):
 
     got = {r["pair_id"]: r["loss"] for r in udf.score_pairs(df, ["pair_id"], load, fn).collect()}
     assert got == {1: 1 / 3, 2: 1.0}
+
+
+def test_leaks_never_enter_and_random_scores_nothing(spark):
+    trusted = selection.with_tokens(tables.trusted_documents(spark, SF_SMALL))
+    cands = selection.with_tokens(tables.candidate_documents(spark, SF_SMALL))
+    texts = [r["text"] for r in cands.orderBy("pos").limit(3).collect()]
+    one = trusted.orderBy("pos").first()["text"]
+    test = selection.with_tokens(spark.createDataFrame([("test", i, i, t) for i, t in enumerate([*texts, one])],
+                                                       "source string, pair_id long, pos long, text string"))
+    run = selection.run_selection(trusted, cands, test, rounds=2, strategy="random", leak_cols=["text"])
+    for name in ("accepted", "rejected", "split"):
+        assert spark.read.parquet(os.path.join(run.out_dir, name)).filter(F.col("text").isin([*texts, one])).count() == 0
+    losses = spark.read.parquet(os.path.join(run.out_dir, "losses"))
+    assert losses.count() > 0 and losses.filter("loss IS NOT NULL").count() == 0
