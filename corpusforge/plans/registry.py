@@ -24,9 +24,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 _MEMO: dict = {}
 
 
+_INPUTS = ("documents", "labels", "benchmark", "conversations")
+
+
 def _memo(spark, key, build):
-    """Models trained once per session and input folder, shared by several queries."""
-    k = (id(spark), spark.sparkContext.applicationId) + tuple(key)
+    """Models trained once per session and input data, shared by several queries; ``key`` has a name and the input folder."""
+    stamps = tuple(tables.table_stamp(spark, key[1], t) for t in _INPUTS)
+    k = (id(spark), spark.sparkContext.applicationId, stamps) + tuple(key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]

@@ -46,6 +46,12 @@ def get_spark(master: str | None = None, app: str = "corpusforge",
     return spark
 
 
+def split_skewed_joins(spark: SparkSession) -> None:
+    """Let AQE split hot keys also where that costs a shuffle, in a session that was not built here."""
+    for k in ("spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(k, _DEFAULT_CONF[k])
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -29,6 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def table_stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int, int]:
+    """Bytes, files and time of the last change of a table's folder or file; another stamp means other data."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()
+
+
 def compound_key(outer: str, inner: str) -> Column:
     """One key of two numbers, whatever their size: ``outer:inner``, the inner one filled up to six digits."""
     return F.format_string("%d:%06d", F.col(outer).cast("long"), F.col(inner).cast("long"))
