@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import slices
+from corpusforge.llm.common import in_arrow, slices
 
 # Distinct pieces whose ids a Python worker keeps at hand.
 PIECES = 200_000
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
                 names += ["starts", "ends"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = rows.mapInArrow(run, f"id {kind.simpleString()}, ids binary, n_tokens bigint{extra}")
+    out = in_arrow(rows, run, f"id {kind.simpleString()}, ids binary, n_tokens bigint{extra}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -206,7 +206,7 @@ def decode(tokens: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
                    for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    return tokens.select(*rest).mapInArrow(run, schema)
+    return in_arrow(tokens.select(*rest), run, schema)
 
 
 def decoded_text(data: bytes) -> str:

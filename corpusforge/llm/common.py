@@ -15,6 +15,8 @@ from corpusforge.session import scratch_path
 # Python tasks work on slices of an Arrow batch that hold about this much text
 # (or one row, if that row alone is larger).
 SLICE_BYTES = 1 << 20
+# Arrow batches between Spark and a Python worker.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 # Tables with more rows are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -30,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of about ``BATCH_BYTES``, as texts are long (the session keeps the setting)."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted; narrow rows are expected."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of the 64-bit hashes of its word n-grams.  The hash space
-is cut into blocks, twice as many from one size band to the next; a block's parity sketch has
+is cut into blocks, four times as many from one size band to the next; a block's parity sketch has
 one bit per hash value, flipped by each n-gram, and is kept as the XOR of its set bits'
 digests.  The Hamming distance of two sketches is the symmetric difference D of the sets
 (with fewer bits: at most D), and a similarity of at least ``num/den`` bounds D by
@@ -26,18 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import broadcast_if_small, slices, stored, text_buffer
+from corpusforge.llm.common import broadcast_if_small, in_arrow, slices, stored, text_buffer
 from corpusforge.llm.components import components
 
 NGRAM = 5
 NUM, DEN = 75, 100
-# A band with m blocks takes sizes of FILL[0] * m to FILL[1] * m.
-FILL = (0.975, 2.6)
+# A band with m blocks (a power of four) takes sizes of FILL[0] * m to FILL[1] * m.
+FILL = (0.6, 3.2)
 HOT = 24
 # At most so many keys go last, those met most often; which ones they are never changes the result.
 MAX_LATE = 1 << 16
 # Slices of text after which a task reports the keys it met more than once.
 WINDOW_SLICES = 16
+# Rows of sorted keys that a task holds at a time.
+GROUP_ROWS = 200_000
 # Keys met once are dropped at the source by a bit map of this size.
 SIEVE_BITS = 1 << 24
 _SPACES = words.space_classes()
@@ -99,15 +101,15 @@ def block_keys(doc: np.ndarray, code: np.ndarray, size: np.ndarray, hot: np.ndar
     """(text, key) of the block keys that a document must show, for all its bands; ``hot`` keys (sorted) go last."""
     out_doc, out_key = [], []
     safe = np.maximum(size, 1)
-    lowest = np.maximum(0, np.ceil(np.log2(safe / FILL[1]))).astype(np.int64)
-    lowest += safe > FILL[1] * 2.0 ** lowest
+    lowest = 2 * np.maximum(0, np.ceil(np.log2(safe / FILL[1]) / 2)).astype(np.int64)
+    lowest += 2 * (safe > FILL[1] * 2.0 ** lowest)
 
     def late(key: np.ndarray) -> np.ndarray:
         if not len(hot):
             return np.zeros(len(key), dtype=bool)
         return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
 
-    for step in (0, 1):
+    for step in (0, 2):
         band = lowest + step
         inside = (size > 0) & (safe >= FILL[0] * 2.0 ** band) | (size > 0) & (step == 0)
         of = inside[doc]
@@ -169,6 +171,7 @@ class _Join:
         self.rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.kind = self.rows.schema["id"].dataType.simpleString()
         self.n, self.num, self.den = n, num, den
+        self.repeats = False  # whether some id and text come in several rows
 
     def nodes(self) -> DataFrame:
         """``id, node, size`` of every row."""
@@ -179,7 +182,7 @@ class _Join:
                 digest, size = nodes_of(*ngram_sets(*text_buffer(b.column(1)), n), b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), _signed(digest), pa.array(size)], ["id", "node", "size"])
 
-        return self.rows.mapInArrow(run, f"id {self.kind}, node bigint, size bigint")
+        return in_arrow(self.rows, run, f"id {self.kind}, node bigint, size bigint")
 
     def _keys(self, hot: np.ndarray, sieve: np.ndarray | None, common: bool) -> DataFrame:
         """Keys of the nodes, each node once in a task.
@@ -222,59 +225,129 @@ class _Join:
                 yield repeated(held)
 
         schema = "key bigint, n bigint" if common else "key bigint" if sieve is None else "key bigint, node bigint, size bigint"
-        return self.rows.select("text").mapInArrow(run, schema)
+        return in_arrow(self.rows.select("text"), run, schema)
 
-    def candidates(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Members of the buckets of shared keys, the buckets, and pairs with the number of keys they share.
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """``key, node, size`` of buckets with more than ``HOT`` nodes, and all pairs ``a, b`` with the number of keys they share.
 
         A bucket of at most ``HOT`` nodes gives all its pairs, a larger one those with its smallest node.
         """
         none = np.zeros(0, dtype=np.uint64)
         often = (self._keys(none, None, True).groupBy("key").agg(F.sum("n").alias("n")).filter(f"n > {HOT}")
-                 .orderBy(F.desc("n"), "key").limit(MAX_LATE).collect())
-        hot = np.sort(np.array([r.key for r in often], dtype=np.int64).view(np.uint64))
+                 .orderBy(F.desc("n"), "key").limit(MAX_LATE).toArrow())
+        hot = np.sort(often["key"].to_numpy().view(np.uint64))
         bit = F.col("key").bitwiseAND(SIEVE_BITS - 1)
         shared = self._keys(hot, None, False).groupBy("key").count().filter("count > 1")
         bits = shared.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).collect()  # at most SIEVE_BITS / 64 rows
+            F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))  # at most SIEVE_BITS / 64 rows
+        table = bits.toArrow()
         sieve = np.zeros(SIEVE_BITS // 64, dtype=np.uint64)
-        for r in bits:
-            sieve[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-        members = stored(self._keys(hot, sieve, False).distinct(), "join-members")
-        buckets = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lo"),
-                                                    F.max(F.struct("node", "size")).alias("hi")).filter("n > 1"), "join-buckets")
-        two = buckets.filter("n = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-        some = (members.join(buckets.filter(f"n between 3 and {HOT}").select("key"), "key").groupBy("key")
-                .agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("m"))  # at most HOT
-                .select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")))
-        many = (members.join(buckets.filter(f"n > {HOT}").select("key", "lo"), "key").filter("node <> lo.node")
-                .select(F.col("lo").alias("x"), F.struct("node", "size").alias("y")))
-        pairs = two.unionByName(some).unionByName(many).filter(self._alike("x.size", "y.size"))
-        pairs = stored(pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "join-pairs")
-        return members, buckets, pairs
-
-    def _alike(self, a: str, b: str):
-        """Sizes that leave room for the similarity."""
-        return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
-
-    def across(self, members: DataFrame, buckets: DataFrame, labels: DataFrame, only_nearest: bool) -> DataFrame:
-        """Pairs between the components that meet in a bucket of more than ``HOT`` nodes.
+        sieve[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        rows = self._keys(hot, sieve, False).repartition("key").sortWithinPartitions("key", "node")
+        found = stored(in_arrow(rows, self._buckets(), "key bigint, a bigint, b bigint, n bigint"), "join-buckets")
+        pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        members = found.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("n").alias("size"))
+        return members, stored(pairs, "join-pairs")
+
+    def _buckets(self):
+        """A task that reads rows sorted by key and node, and gives ``a, b`` and how many keys they share here, or
+        ``key, a`` and its size for members of buckets with more than ``HOT`` nodes."""
+        num, den = self.num, self.den
+
+        def counted(parts: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+            a, b, sa, sb = (np.concatenate(x) for x in zip(*parts, strict=True))
+            alike = den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)
+            a, b = a[alike], b[alike]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return [pa.nulls(len(new), pa.int64()), pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["key", "a", "b", "n"]
+            hot: tuple[int, int, int, int] | None = None  # a large bucket that goes on: key, smallest node and its size, last node
+            held: list[np.ndarray] = []
+            n_held = 0
+
+            def large_ones(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64()), pa.array(size)], names)
+
+            def work(rows: np.ndarray, last: bool) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+                nonlocal hot
+                out, parts = [], []
+                key, node, size = rows
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+                key, node, size = key[new], node[new], size[new]
+                if hot is not None and len(key):  # rows of the bucket that was open
+                    n = int(np.searchsorted(key, hot[0], side="right"))
+                    at = np.flatnonzero(node[:n] != hot[3])
+                    if len(at):
+                        parts.append((np.full(len(at), hot[1]), node[at], np.full(len(at), hot[2]), size[at]))
+                        out.append(large_ones(key[at], node[at], size[at]))
+                        hot = (*hot[:3], int(node[at[-1]]))
+                    if n < len(key):
+                        hot = None
+                    key, node, size = key[n:], node[n:], size[n:]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+                count = np.diff(np.append(first, len(key)))
+                left = np.zeros((3, 0), dtype=np.int64)
+                if len(first) and not last:
+                    if count[-1] > HOT:  # the last bucket may go on
+                        hot = (int(key[-1]), int(node[first[-1]]), int(size[first[-1]]), int(node[-1]))
+                    else:
+                        end = first[-1]
+                        left = np.stack([key[end:], node[end:], size[end:]])
+                        key, node, size, first, count = key[:end], node[:end], size[:end], first[:-1], count[:-1]
+                of = np.repeat(count, count)
+                for step in range(1, HOT):
+                    i = np.flatnonzero((key[step:] == key[:-step]) & (of[step:] <= HOT)) if len(key) > step else np.zeros(0, np.int64)
+                    if not len(i):
+                        break
+                    parts.append((node[i], node[i + step], size[i], size[i + step]))
+                large = np.flatnonzero(of > HOT)
+                if len(large):
+                    lo = np.repeat(first, count)[large]
+                    rest = lo != large
+                    parts.append((node[lo[rest]], node[large[rest]], size[lo[rest]], size[large[rest]]))
+                    out.append(large_ones(key[large], node[large], size[large]))
+                if parts:
+                    out.append(pa.RecordBatch.from_arrays(counted(parts), names))
+                return left, out
+
+            for b in batches:
+                held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+                n_held += b.num_rows
+                if n_held >= GROUP_ROWS:
+                    left, out = work(np.concatenate(held, axis=1), False)
+                    yield from out
+                    held, n_held = [left], 0
+            if held:
+                yield from work(np.concatenate(held, axis=1), True)[1]
+
+        return run
+
+    def open_buckets(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets in which components meet, with their component and the bucket's main one."""
+        placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = placed.groupBy("key").agg(F.mode("comp").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+        return stored(placed.join(split.select("key", "main"), "key"), "join-open")
+
+    def across(self, open_: DataFrame, only_nearest: bool) -> DataFrame:
+        """Pairs between the components that meet in a bucket.
 
         ``only_nearest``: of nodes outside their bucket's main component, in one bucket each.
         """
-        big = members.join(buckets.filter(f"n > {HOT}").select("key"), "key") \
-            .join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = big.groupBy("key").agg(F.mode("comp").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-        open_ = stored(big.join(split.select("key", "main"), "key"), "join-open")
         outside = open_.filter("comp <> main")
         if only_nearest:
             outside = outside.groupBy("node").agg(F.min(F.struct("key", "size", "comp")).alias("m")).select("node", "m.*")
         outside = outside.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
         other = open_.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
-        return outside.join(other, "key").filter(F.col("ca") != F.col("cb")).filter(self._alike("sa", "sb")).select("a", "b").distinct()
+        alike = self.den * F.least("sa", "sb") >= self.num * F.greatest("sa", "sb")
+        return outside.join(other, "key").filter((F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """``node, grams, sketch`` of the wanted nodes, from one document (``id``) of each."""
+    def grams(self, wanted: DataFrame, whole: bool) -> DataFrame:
+        """``node`` and its set (``whole``; 48 bits of each hash) or ``size, sketch``, from one document (``id``) of each wanted node."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +356,16 @@ class _Join:
                 digest, size = nodes_of(doc, code, b.num_rows)
                 cut = np.concatenate([[0], np.cumsum(size)])
                 parts = [code[cut[i]:cut[i + 1]] for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([_signed(digest), pa.array([p.tobytes() for p in parts], pa.binary()),
-                                                  pa.array([sketch(p) for p in parts], pa.binary())], ["node", "grams", "sketch"])
+                if whole:
+                    sets = [np.ascontiguousarray(p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for p in parts]
+                    yield pa.RecordBatch.from_arrays([_signed(digest), pa.array(sets, pa.binary())], ["node", "grams"])
+                else:
+                    yield pa.RecordBatch.from_arrays([_signed(digest), pa.array(size), pa.array([sketch(p) for p in parts], pa.binary())], ["node", "size", "sketch"])
 
         ids = broadcast_if_small(wanted.select(F.col("id").alias("wanted")).distinct())
         texts = self.rows.join(ids, self.rows["id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
-        found = texts.mapInArrow(run, "node bigint, grams binary, sketch binary")
-        return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        found = in_arrow(texts, run, "node bigint, grams binary" if whole else "node bigint, size bigint, sketch binary")
+        return found.dropDuplicates(["node"]) if self.repeats else found
 
     def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs that their sketches do not rule out, with the sketches' distance."""
@@ -303,30 +379,37 @@ class _Join:
                 out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart, pa.int64())], ["a", "b", "distance"])
                 yield out.filter(pa.array(keep, pa.bool_()))
 
-        return self._beside(pairs, sketches.select("node", F.col("sketch").alias("x"), "size")) \
-            .select("a", "b", "xa", "xb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, distance bigint")
+        a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("xa"), F.col("size").alias("sa"))
+        b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("xb"), F.col("size").alias("sb"))
+        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "xa", "xb", "sa", "sb")
+        return in_arrow(both, run, "a bigint, b bigint, distance bigint")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs that are similar, by their whole sets."""
+    def links(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs that are similar, by their whole sets; only the sets of these pairs are built and moved."""
         num, den = self.num, self.den
+        pairs = stored(pairs, "join-checks")
+        small = broadcast_if_small(pairs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = []
                 for x, y in zip(b.column(2), b.column(3), strict=True):
-                    u, v = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    u, v = (np.frombuffer(s.as_buffer(), dtype=np.dtype("V6")) for s in (x, y))
+                    both = len(np.intersect1d(_wide(u), _wide(v)))
                     keep.append(den * both >= num * (len(u) + len(v) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        return self._beside(pairs, sets.select("node", F.col("grams").alias("x"), "size")) \
-            .select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+        def side(end: str, name: str) -> DataFrame:
+            wanted = known.join(pairs.select(F.col(end).alias("node")).distinct(), "node", "left_semi")
+            return self.grams(wanted, True).withColumnRenamed("node", end).join(small, end).select("a", "b", F.col("grams").alias(name))
+
+        return in_arrow(side("a", "xa").join(side("b", "xb"), ["a", "b"]).select("a", "b", "xa", "xb"), run, "a bigint, b bigint")
+
 
-    @staticmethod
-    def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        a = table.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("size").alias("sa"))
-        b = table.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("size").alias("sb"))
-        return pairs.select("a", "b").join(a, "a").join(b, "b")
+def _wide(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), dtype=np.uint8)
+    out[:, :6] = x.view(np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,24 +433,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     job = _Join(docs, id_col, text_col, n, num, den)
     rows = stored(job.nodes(), "join-rows")
+    job.repeats = not rows.groupBy("id", "node").count().filter("count > 1").isEmpty()
     spots = rows.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"))
-    members, buckets, pairs = job.candidates()
+    members, pairs = job.candidates()
     known = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(spots, "node"), "join-nodes")
-    sets = stored(job.sets(known).join(known.select("node", "size"), "node"), "join-sets")
+    sketches = stored(job.grams(known, False), "join-sketches")
 
     # each node against the one it shares most keys with; then what is left between components
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    edges = stored(job.links(best, sets), "join-edges")
+    edges = stored(job.links(best, known), "join-edges")
     labels = stored(components(edges), "join-labels")
     for step in ("rest", "nearest", "nearest", "all"):
         if step == "rest":
-            todo = pairs
+            todo = _apart(pairs, labels).select("a", "b")
         else:
-            todo = job.across(members, buckets, labels, only_nearest=step == "nearest")
-        near = job.near(_apart(todo, labels).select("a", "b").distinct(), sets)
+            open_ = job.open_buckets(members, labels)
+            if open_.isEmpty():
+                break
+            todo = job.across(open_, only_nearest=step == "nearest")
+        near = job.near(todo, sketches)
         if step == "nearest":
             near = near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        more = stored(job.links(near, sets), "join-edges")
+        more = stored(job.links(near.select("a", "b"), known), "join-edges")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = stored(components(edges), "join-labels")

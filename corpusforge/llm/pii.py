@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import slices
+from corpusforge.llm.common import in_arrow, slices
 
 ROUNDS = 8
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -213,4 +213,4 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS)],
                                              ["id", "text", *(f"n_{k}" for k in KINDS)])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, schema).withColumnRenamed("id", id_col)

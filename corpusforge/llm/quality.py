@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import broadcast_if_small, slices, stored, text_buffer
+from corpusforge.llm.common import broadcast_if_small, in_arrow, slices, stored, text_buffer
 
 SHAPES = 16
 BUCKETS = 2048 - SHAPES
@@ -88,7 +88,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         out = pa.RecordBatch.from_arrays([pa.array(np.arange(ENTRIES)), *(pa.array(c) for c in total.T)], ["entry", *names])
         yield out
 
-    sums = rows.mapInArrow(run, "entry bigint, " + ", ".join(f"{n} double" for n in names)) \
+    sums = in_arrow(rows, run, "entry bigint, " + ", ".join(f"{n} double" for n in names)) \
         .groupBy("entry").agg(*(F.sum(n).alias(n) for n in names))
     out = np.zeros((ENTRIES, DIM))
     for r in sums.collect():  # ENTRIES rows
@@ -128,7 +128,7 @@ def features(docs: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["id", "text_key", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key string, x array<float>")
+    return in_arrow(rows, run, f"id {kind}, text_key string, x array<float>")
 
 
 class Network:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(s, 6))], ["id", "text_key", "score"])
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id {kind}, text_key string, score double").select(
+    return in_arrow(vectors, run, f"id {kind}, text_key string, score double").select(
         F.col("id").alias(id_col), (~learnable(F.col("id"), parts, held)).alias("held_out"), "score", "text_key")
 
 

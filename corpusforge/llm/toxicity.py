@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import slices, stored, text_buffer
+from corpusforge.llm.common import in_arrow, slices, stored, text_buffer
 from corpusforge.llm.quality import learnable
 
 CODES = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
@@ -71,7 +71,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
     out = np.zeros(CODES ** ORDER)
-    for r in rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in in_arrow(rows, run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r.gram] = r.n  # at most CODES ** ORDER rows
     return out
 
@@ -287,7 +287,7 @@ def restore(docs: DataFrame, log_probs: np.ndarray, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), text], ["id", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text string").select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    return in_arrow(rows, run, f"id {kind}, text string").select(F.col("id").alias(id_col), F.col("text").alias(text_col))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -319,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 _, first = np.unique(code + words.mix(doc), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code[first].view(np.int64))], ["code"])
 
-    candidates = (sample.filter("label = 1").select("text").mapInArrow(codes, "code bigint").groupBy("code").count()
+    candidates = (in_arrow(sample.filter("label = 1").select("text"), codes, "code bigint").groupBy("code").count()
                   .filter(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "code").limit(MAX_CANDIDATES))
     keys = np.sort(np.array([r.code for r in candidates.collect()], dtype=np.int64).view(np.uint64))
     shared = context.broadcast(keys)
@@ -332,7 +332,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), found], ["id", "label", "found"])
 
-    found = stored(sample.select("id", "text", F.col("label").cast("int")).mapInArrow(lists, f"id {kind}, label int, found array<int>"), "toxic-features")
+    found = stored(in_arrow(sample.select("id", "text", F.col("label").cast("int")), lists, f"id {kind}, label int, found array<int>"), "toxic-features")
     counts = found.select("label", F.explode("found").alias("at")).groupBy("at").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n")).collect()  # one row per candidate at most
     classes = {r.label: r["count"] for r in found.groupBy("label").count().collect()}
@@ -356,7 +356,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], ["label", "at"])
 
         # at most max_train labels, a few features each; sorted, so that sums come out alike
-        rows = sorted((bytes(r["at"]), r.label) for r in found.select("label", "found").mapInArrow(chosen_only, "label int, at binary").collect())
+        rows = sorted((bytes(r["at"]), r.label) for r in in_arrow(found.select("label", "found"), chosen_only, "label int, at binary").collect())
         weights, bias = _fit([np.frombuffer(x, dtype="<i4") for x, _ in rows], np.array([y == 1 for _, y in rows], dtype=float), max(1, len(chosen)))
         keys = keys[chosen] if chosen else keys[:0]
     model = context.broadcast((keys, _sieve(keys), weights, bias))
@@ -368,5 +368,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             margin = np.bincount(doc, weights=w[at], minlength=b.num_rows) + b0 if len(at) else np.full(b.num_rows, b0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6))], ["id", "score"])
 
-    return clean.mapInArrow(scores, f"id {kind}, score double").select(
+    return in_arrow(clean, scores, f"id {kind}, score double").select(
         F.col("id").alias(id_col), (~learnable(F.col("id"), parts, held)).alias("held_out"), "score")
