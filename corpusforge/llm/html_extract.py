@@ -11,6 +11,7 @@ that holds the content, and the text is every line of that element, long or shor
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import slices
+from corpusforge.llm.common import in_arrow, slices
 
 SIGMA = 1.0
 # Share of the votes that an element needs to be taken instead of the one around it.
@@ -64,23 +65,28 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: boo
 
 
 class Lines(HTMLParser):
-    """Collects ``rows``: (text, tags in the line, link characters, holders around it, in a list)."""
+    """Collects ``rows``: (text, tags in the line, link characters, innermost holder, in a list), and each holder's ``parent``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, furniture, holder number or -1
-        self.hidden = self.links = self.lists = self.articles = self.seen = 0
+        self.rows: list[tuple[str, int, int, int, bool]] = []
+        self.parent = [0]  # of holder 0, the page, and of those that open
+        self.open: list[tuple[str, bool, int]] = []  # tag, furniture, innermost holder
+        self.depth: Counter[str] = Counter()
+        self.hidden = self.links = self.lists = self.articles = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def flush_line(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            holders = tuple(n for _, _, n in self.open if n >= 0)
-            self.rows.append((text, self.tags, self.linked, holders, self.lists > 0))
+            self.rows.append((text, self.tags, self.linked, self._holder(), self.lists > 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def _holder(self) -> int:
+        return self.open[-1][2] if self.open else 0
+
     def _count(self, tag: str, furniture: bool, by: int) -> None:
+        self.depth[tag] += by
         self.hidden += by * furniture
         self.links += by * (tag == "a")
         self.lists += by * (tag in ("ul", "ol"))
@@ -98,13 +104,18 @@ class Lines(HTMLParser):
         if tag in ("td", "th"):
             self.parts.append(" ")
         if tag == "body":
-            while any(t == "head" for t, *_ in self.open):
+            while self.depth["head"]:
                 self._pop()
+        if tag in BLOCK and self.open and self.open[-1][0] == "p":
+            self._pop()  # a paragraph ends where another block begins
         furniture = _is_furniture(tag, attrs, self.articles > 0)
         if furniture and not self.hidden:
             self.flush_line()
-        self.seen += 1
-        self.open.append((tag, furniture, self.seen if tag in HOLDERS else -1))
+        if tag in HOLDERS:
+            self.parent.append(self._holder())
+            self.open.append((tag, furniture, len(self.parent) - 1))
+        else:
+            self.open.append((tag, furniture, self._holder()))
         self._count(tag, furniture, 1)
 
     def _pop(self) -> str:
@@ -120,11 +131,11 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
         if tag in BLOCK and not self.hidden:
             self.flush_line()
-        if at < 0:
+        if not self.depth[tag]:
             return
+        at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
         if tag not in BLOCK and any(t in HOLDERS for t, *_ in self.open[at + 1:]):
             # an inline element that was left open around blocks: only itself ends
             self._count(tag, self.open[at][1], -1)
@@ -135,6 +146,10 @@ class Lines(HTMLParser):
         while self._pop() != tag or len(self.open) > at:
             pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` up to the next ``>`` is no text, whatever it holds."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
@@ -152,7 +167,9 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str) -> str:
     """Text of the content element's lines, joined by one newline; empty if there is none."""
     p = Lines()
-    p.feed(html)
+    # behind the last ">" nothing can be markup that ends; without this, the parser tries each "<" there to the end
+    end = html.rfind(">") + 1
+    p.feed(html[:end] + re.split(r"<[A-Za-z/!?]", html[end:], maxsplit=1)[0])
     p.close()
     p.flush_line()
     rows = p.rows
@@ -161,21 +178,19 @@ def main_text(html: str) -> str:
     ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in rows], dtype=float)
     smoothed = smooth(ratios)
     content = smoothed >= smoothed.std()
-    votes: dict[int, float] = {}
-    for keep, score, (text, _, linked, holders, _) in zip(content, smoothed, rows, strict=True):
+    # holders are numbered as they open, so a parent's number is smaller than its children's
+    votes = np.zeros(len(p.parent))
+    for keep, (text, _, linked, holder, _) in zip(content, rows, strict=True):
         if keep and linked < LINK_SHARE * len(text.replace(" ", "")):
-            for h in holders:
-                votes[h] = votes.get(h, 0.0) + len(text)
-    total = max(votes.values(), default=0.0)
-    # holders are numbered as they open, so of those with enough votes the last is the innermost
-    chosen = max((h for h, v in votes.items() if v >= VOTE_SHARE * total), default=None)
-    out = []
-    for text, _, linked, holders, in_list in rows:
-        if chosen is not None and chosen not in holders:
-            continue
-        if in_list and linked >= LINK_SHARE * len(text.replace(" ", "")):
-            continue
-        out.append(text)
+            votes[holder] += len(text)
+    for h in range(len(votes) - 1, 0, -1):
+        votes[p.parent[h]] += votes[h]
+    chosen = int(np.flatnonzero(votes >= VOTE_SHARE * votes[0])[-1])  # the innermost with enough votes
+    inside = [chosen == 0]
+    for h in range(1, len(votes)):
+        inside.append(h == chosen or inside[p.parent[h]])
+    out = [text for text, _, linked, holder, in_list in rows
+           if inside[holder] and not (in_list and linked >= LINK_SHARE * len(text.replace(" ", "")))]
     return "\n".join(out)
 
 
@@ -196,6 +211,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             texts = [main_text(h) for h in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string())], [*b.schema.names[:at], "_text"])
 
-    out = rows.mapInArrow(run, schema)
+    out = in_arrow(rows, run, schema)
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)),
                       F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -64,7 +64,7 @@ over two lines and more.<p>Of.</p><div class="ad-box">No advert</div><ul><li>a p
 
 def test_main_text():
     assert html_extract.main_text(PAGE) == ("The title\nFirst & longest paragraph of the article, over two lines and more.\nOf.\na point\nLast one with café")
-    for page in ("", "   ", "<p>", "plain text", "<div class=ad>x", "<b><i></b></i>", "</p></div>", "<!-- x", "<p>a<br>b"):
+    for page in ("", "   ", "<![x[ y", "a <![if IE]> b", "<a " * 20_000, "<p>", "plain text", "<div class=ad>x", "<b><i></b></i>", "</p></div>", "<!-- x", "<p>a<br>b"):
         html_extract.main_text(page)
     assert html_extract.main_text("<html><body><p>Only text here.</p></body>") == "Only text here."
 
