@@ -45,7 +45,7 @@ def decoder(spark):
     return toxicity.Decoder(toxicity.log_model(toxicity.gram_counts(docs)))
 
 
-@pytest.mark.parametrize("span, word", [("1d10t", "idiot"), ("i d i o t", "idiot"), ("w0rthle55", "worthless"), ("clooown", "clown"), ("p.a.t.h.e.t.i.c", "pathetic"),
+@pytest.mark.parametrize("span, word", [("1d10t", "idiot"), ("i d i o t", "idiot"), ("w0rthles5", "worthless"), ("clooown", "clown"), ("p.a.t.h.e.t.i.c", "pathetic"),
                                         ("w-o-r-t-h-l-e-s-s", "worthless"), ("id*ot", "idiot"), ("stuuupid", "stupid")])
 def test_restored_words(decoder, span, word):
     assert decoder.restore(span) == word
