@@ -443,6 +443,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     edges = stored(job.links(best, known), "join-edges")
     labels = stored(components(edges), "join-labels")
+    widened = False
     for step in ("rest", "nearest", "nearest", "all"):
         if step == "rest":
             todo = _apart(pairs, labels).select("a", "b")
@@ -450,6 +451,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             open_ = job.open_buckets(members, labels)
             if open_.isEmpty():
                 break
+            if not widened:  # nodes without any pair so far; buckets only close from here on
+                extra = stored(open_.select("node").distinct().join(known, "node", "left_anti").join(spots, "node"), "join-nodes")
+                if not extra.isEmpty():
+                    sketches = sketches.unionByName(stored(job.grams(extra, False), "join-sketches"))
+                    known = known.unionByName(extra)
+                widened = True
             todo = job.across(open_, only_nearest=step == "nearest")
         near = job.near(todo, sketches)
         if step == "nearest":

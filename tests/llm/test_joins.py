@@ -112,6 +112,18 @@ def test_components_match_brute_force(docs_of, case):
     assert got == brute_components(rows)
 
 
+def test_short_copies_among_longer_rows_with_the_same_passage(docs_of):
+    """Nodes met only in large buckets, whose smallest node is of an unlike size, are still linked."""
+    rng = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(64))
+
+    def own(n):
+        return " ".join(f"u{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows = [(i, passage + " " + own(rng.randint(36, 44))) for i in range(900)] + [(2000 + i, passage + " " + own(8)) for i in range(4)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_links_at_the_threshold_share_a_key():
     """Pairs at the smallest similarity allowed are always candidates, for any sizes."""
     import numpy as np
