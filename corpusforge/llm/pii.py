@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import in_arrow, slices
 
 ROUNDS = 8
+# Characters of an IBAN, by country.
+IBAN_LENGTH = {c: int(n) for n, line in (x.split(":") for x in """15:NO;16:BE;18:DK FI FO GL NL SD FK;19:MK SI;20:AT BA EE KZ LT LU MN XK
+    ;21:CH HR LI LV;22:BG BH CR DE GB GE IE ME RS VA;23:AE GI IL IQ OM TL SO;24:AD CZ ES MD PK RO SA SE SK TN VG;25:LY PT ST
+    ;26:IS TR;27:BI DJ FR GR IT MC MR SM;28:AL AZ BY CY DO GT HN HU LB NI PL SV;29:BR EG PS QA UA;30:JO KW MU YE;31:MT SC;32:LC
+    ;33:RU""".split(";")) for c in line.split()}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
@@ -123,6 +128,17 @@ def iban(f: Feistel, text: str, back: bool = False) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def iban_end(text: str, at: int, end: int) -> int:
+    """Where the IBAN that begins at ``at`` ends by its country's length, if words or numbers behind it were read up to ``end``."""
+    left = IBAN_LENGTH.get(text[at:at + 2])
+    for i in range(at, end):
+        if left == 0:
+            return i
+        if left is not None and text[i] != " ":
+            left -= 1
+    return end
+
+
 def social(f: Feistel, text: str, back: bool = False) -> str | None:
     """A nine-digit social security number: area not 000, 666 or from 900 on, no part all zeros."""
     def valid(x: int) -> bool:
@@ -174,7 +190,9 @@ KINDS = {
 }
 _ALL = "|".join(f"(?P<{k}>{p})" for k, (_, p) in KINDS.items())
 # a value does not begin or end inside a longer word or number
-_FOUND = re.compile(rf"(?<![\w+-])(?<!\d[.,/])(?<!\()(?=[A-Z0-9+(])(?:{_ALL})(?![\w]|[-./,]\d)", re.ASCII)
+_END = r"(?![\w]|[-./,]\d)"
+_FOUND = re.compile(rf"(?<![\w+-])(?<!\d[.,/])(?=[A-Z0-9+(])(?:{_ALL}){_END}", re.ASCII)
+_IBAN_END = re.compile(_END, re.ASCII)
 _ANY = re.compile(r"\d\d")
 
 
@@ -184,12 +202,19 @@ def pseudonymise_text(f: Feistel, text: str, back: bool = False) -> tuple[str, d
     if not _ANY.search(text):
         return text, counts
 
-    def new(m: re.Match) -> str:
-        kind = m.lastgroup
-        out = KINDS[kind][0](f, m.group(), back)
-        counts[kind] += out is not None
-        return m.group() if out is None else out
-    return _FOUND.sub(new, text), counts
+    parts, done, at = [], 0, 0
+    while m := _FOUND.search(text, at):
+        kind, begin, end = m.lastgroup, m.start(), m.end()
+        if kind == "iban":
+            end = iban_end(text, begin, end)
+        out = KINDS[kind][0](f, text[begin:end], back) if _IBAN_END.match(text, end) else None
+        if out is not None:
+            counts[kind] += 1
+            parts += [text[done:begin], out]
+            done = at = end
+        else:  # words and numbers behind what only looks like an IBAN may be values themselves
+            at = begin + 1 if kind == "iban" else end
+    return "".join([*parts, text[done:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:

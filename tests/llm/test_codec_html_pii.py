@@ -94,6 +94,28 @@ def test_pseudonyms():
     assert pii.pseudonymise_text(pii.Feistel(b"other"), text)[0] != out
 
 
+@pytest.mark.parametrize("value, kind", [("1980-05-06", "date"), ("10.1.2.3", "address"), ("4111 1111 1111 1111", "card"), ("123-45-6789", "social"),
+                                         ("212-555-0147", "phone"), ("DE89 3704 0044 0532 0130 00", "iban")])
+def test_values_in_brackets(value, kind):
+    f = pii.Feistel(b"key")
+    for text in (f"born ({value}) here", f"({value}", f"((212) 555-0147 ({value}))"):
+        out, counts = pii.pseudonymise_text(f, text)
+        assert value not in out and counts[kind] >= 1 and sum(counts.values()) == 1 + text.startswith("((")
+        assert pii.pseudonymise_text(f, out, back=True) == (text, counts)
+
+
+@pytest.mark.parametrize("behind", [" AND", " 2024", " ANDERS", " GB82 WEST 1234 5698 7654 32", " 10.1.2.3", " 2024-02-29", " 4111 1111 1111 1111"])
+def test_what_follows_an_iban(behind):
+    f = pii.Feistel(b"key")
+    alone = pii.pseudonymise_text(f, "BE68 5390 0754 7034")[0]
+    out, counts = pii.pseudonymise_text(f, "BE68 5390 0754 7034" + behind)
+    n = 1 if behind in (" AND", " 2024", " ANDERS") else 2
+    assert out.startswith(alone) and "7034" not in out and (sum(counts.values()), out.endswith(behind)) == (n, n == 1)
+    assert pii.pseudonymise_text(f, out, back=True)[0] == "BE68 5390 0754 7034" + behind
+    text = "BE685390075470341234, BE68 5390 0754 7035 AND"
+    assert pii.pseudonymise_text(f, text) == (text, dict.fromkeys(pii.KINDS, 0))
+
+
 def test_permutation_is_one_to_one():
     f = pii.Feistel(b"k")
     for size in (1, 2, 10, 97, 1000):
