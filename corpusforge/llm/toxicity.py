@@ -35,6 +35,10 @@ PREFIXES = (4, 5, 6, 7, 8)
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 MASKS = "*#%&?"
+# Symbols that may stand for letters at a word's end, where they may also be punctuation.
+TAIL = "".join(c for c in LOOKALIKES if not c.isdigit()) + MASKS
+# Longer runs of masks are lines and rules, not words.
+MAX_MASKED = 24
 GAPS = " \t.-_~"
 # Costs of the channel, as natural logarithms.
 SWAPPED, MASKED, UNMASKED, REPEATED, SPACED, WORD_END = -0.7, -1.0 - math.log(26), -2.0, -0.5, -0.2, -1.5
@@ -44,6 +48,8 @@ _CODE[0x61:0x7B] = _CODE[0x41:0x5B] = np.arange(1, 27)
 _CODE[0x80:] = 27
 _SWAP = np.zeros(256, dtype=bool)
 _SWAP[[ord(c) for c in [*LOOKALIKES, *MASKS]]] = True
+_MASK = np.zeros(256, dtype=bool)
+_MASK[[ord(c) for c in MASKS]] = True
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[ord(c) for c in GAPS]] = True
 _WORDS = np.where(_LETTERS == words.LETTER, 1, 0).astype(np.uint8)
@@ -93,66 +99,100 @@ class Decoder:
     """Viterbi search over the readings of a span."""
 
     def __init__(self, log_probs: np.ndarray):
-        self.logp = log_probs.reshape(-1, CODES).tolist()
+        self.table = log_probs.reshape(-1, CODES).astype(float)
+        self.logp = self.table.tolist()
+        self.ends: list[tuple[np.ndarray, np.ndarray]] = [(self.table[:, 0], np.zeros(len(self.table), dtype=np.int64))]
         self.restore = lru_cache(maxsize=50_000)(self._restore)
 
     @staticmethod
-    def lattice(span: str) -> list[list[tuple[tuple[int, ...], float]]]:
-        """For each run of a character, its readings: letter codes with the channel's log probability."""
-        slots: list[list[tuple[tuple[int, ...], float]]] = []
+    def lattice(span: str) -> list[list[tuple[tuple[int, ...], float, str]]]:
+        """For each run of a character, its readings: letter codes with the channel's log probability and the text they stand for."""
+        slots: list[list[tuple[tuple[int, ...], float, str]]] = []
         plain = "".join(c for c in span if c not in GAPS)
         spaced = len(span) > len(plain) and len(plain) > 1
         if spaced:
             for c in GAPS:  # one gap character in place of several
                 while c + c in span:
                     span = span.replace(c + c, c)
-        at = 0
+        at, tail = 0, len(span.rstrip(TAIL))
         while at < len(span):
-            c, end = span[at], at + 1
+            c, start, end = span[at], at, at + 1
             while end < len(span) and span[end] == c:
                 end += 1
             n, at = end - at, end
-            if c.isalpha() and c.isascii():
-                letters, cost = [ord(c) - 96], 0.0
+            if c.isalpha():  # a letter that is not ASCII has a code for each of its bytes, and stays itself
+                letters, cost = [(c, (ord(c) - 96,) if c.isascii() else (27,) * len(c.encode("utf-8", errors="replace")))], 0.0
             elif c in LOOKALIKES:
-                letters, cost = [ord(x) - 96 for x in LOOKALIKES[c]], SWAPPED
+                letters, cost = [(x, (ord(x) - 96,)) for x in LOOKALIKES[c]], SWAPPED
             elif c in GAPS:
-                slots.append([((), SPACED), ((0,), WORD_END)])
+                slots.append([((), SPACED, ""), ((0,), WORD_END, c * n)])
                 continue
             elif c in MASKS:
-                slots += [[((x,), MASKED) for x in range(1, 27)] + [((), UNMASKED)]] * n
+                slots += [[((x,), MASKED, chr(96 + x)) for x in range(1, 27)] + [((), UNMASKED, c if start >= tail else "")]] * n
                 continue
             else:
-                slots += [[((27,), 0.0)]] * min(n, 2)
+                slots += [[((27,), 0.0, c)]] if n == 1 else [[((27,), 0.0, c)], [((27,), 0.0, c * (n - 1))]]
                 continue
-            slot = [((x,), cost * min(n, 2) + (REPEATED if n > 1 else 0.0)) for x in letters]
+            slot = [(x, cost * min(n, 2) + (REPEATED if n > 1 else 0.0), t) for t, x in letters]
             if n > 1:
-                slot += [((x, x), cost * 2 + (0.0 if n == 2 else REPEATED)) for x in letters]
+                slot += [(x + x, cost * 2 + (0.0 if n == 2 else REPEATED), t + t) for t, x in letters]
+            if start >= tail:
+                slot.append(((), UNMASKED, c * n))
             slots.append(slot)
         return slots
 
+    def _to_end(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 0 to ``n`` masks at a word's end: each state's best log probability, and the letter read first (0: none)."""
+        while len(self.ends) <= n:
+            after = (np.arange(CODES ** 3) % CODES ** 2 * CODES)[:, None] + np.arange(1, 27)
+            value = self.ends[-1][0]
+            both = np.concatenate([(UNMASKED + value)[:, None], MASKED + self.table[:, 1:27] + value[after]], axis=1)
+            self.ends.append((both.max(axis=1), both.argmax(axis=1)))
+        return self.ends
+
+    def _masked(self, best: dict[int, tuple[float, tuple]], slot: list[tuple[tuple[int, ...], float, str]]) -> dict[int, tuple[float, tuple]]:
+        """One step over a masked letter from many states."""
+        states, paths = np.array(list(best)), [path for _, path in best.values()]
+        score = np.array([x for x, _ in best.values()])
+        to = np.concatenate([((states % CODES ** 2) * CODES)[:, None] + np.arange(1, 27), states[:, None]], axis=1).ravel()
+        total = np.concatenate([score[:, None] + MASKED + self.table[states, 1:27], score[:, None] + UNMASKED], axis=1).ravel()
+        order = np.lexsort((-total, to))
+        first = order[np.concatenate([[True], np.diff(to[order]) > 0])]
+        return {s: (x, (paths[i // 27], slot[i % 27][0], slot[i % 27][2], True) if slot[i % 27][0] else paths[i // 27])
+                for s, x, i in zip(to[first].tolist(), total[first].tolist(), first.tolist(), strict=True)}
+
     def _restore(self, span: str) -> str:
         """The likeliest reading in lower case, or the span itself if no reading beats random letters."""
         logp, square = self.logp, CODES * CODES
         best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for slot in self.lattice(span):
+        masks = span[len(span.rstrip(MASKS)):]  # at the end; their best readings hang on the state alone
+        slots = self.lattice(span)
+        for slot in slots[:len(slots) - len(masks)]:
+            if len(slot) == 27 and not slot[26][2] and len(best) > 50:
+                best = self._masked(best, slot)
+                continue
             after: dict[int, tuple[float, tuple]] = {}
             for state, (score, path) in best.items():
-                for codes, cost in slot:
-                    s, total, trail = state, score + cost, path
+                for codes, cost, text in slot:
+                    s, total = state, score + cost
                     for c in codes:
                         total += logp[s][c]
                         s = 0 if c == 0 else s % square * CODES + c
-                        trail = (trail, c)
                     if s not in after or after[s][0] < total:
-                        after[s] = (total, trail)
+                        after[s] = (total, (path, codes, text, cost == MASKED) if codes or text else path)
             best = after
-        score, trail = max(((score + logp[s][0], path) for s, (score, path) in best.items()), key=lambda x: x[0])
-        out = []
+        ends = self._to_end(len(masks))
+        score, trail, s = max(((score + ends[len(masks)][0][s], path, s) for s, (score, path) in best.items()), key=lambda x: x[0])
+        for left, mask in zip(range(len(masks), 0, -1), masks, strict=True):
+            c = int(ends[left][1][s])
+            trail = (trail, (c,) if c else (), chr(96 + c) if c else mask, c > 0)
+            s = s % square * CODES + c if c else s
+        out, least = [], 0.0
         while trail:
-            trail, c = trail
-            out.append(" " if c == 0 else chr(96 + c) if c < 27 else "?")
-        return "".join(reversed(out)) if score > -len(out) * math.log(CODES) else span
+            trail, codes, text, masked = trail
+            out.append(text)
+            least += masked * MASKED - len(codes) * math.log(CODES)  # random letters behind as many masks
+        return "".join(reversed(out)) if score > least else span
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:

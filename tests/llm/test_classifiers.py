@@ -59,6 +59,12 @@ def test_only_suspicious_spans_change(decoder):
     assert toxicity.suspicious(np.zeros(0, dtype=np.uint8), np.array([0])) == []
 
 
+def test_other_letters_stay(docs_of):
+    decoder = toxicity.Decoder(toxicity.log_model(toxicity.gram_counts(docs_of([(1, "blödmann идиот crème l'été " * 50)]))))
+    for span, out in [("blödm4nn", "blödmann"), ("blödma*n", "blödmann"), ("blöödmann", "blödmann"), ("ид1идиот", "ид1идиот"), ("crèm3", "crème"), ("l'ét€m4", "l'ét€m4")]:
+        assert decoder.restore(span) == out or out == span and "?" not in decoder.restore(span)
+
+
 def test_word_hashes():
     texts = ["Ab ab, ABC abc 12!! é", "", "x" * 5000 + " " + "x" * 5000, "ab"]
     raw = [t.encode() for t in texts]
