@@ -202,14 +202,19 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     w = words.split(data, offsets, _LETTERS)
     end = w.start + w.length
     letter = w.kind == words.LETTER
-    swap = (w.kind != words.LETTER) & (w.length <= 3) & _SWAP[data[w.start]]
+    other, short = ~letter, w.length <= 3
+    # runs whose first or last character may stand for a letter
+    opens = other & (short & _SWAP[data[w.start]] | (w.length <= MAX_MASKED) & _MASK[data[w.start]])
+    closes = other & (short & _SWAP[data[end - 1]] | (w.length <= MAX_MASKED) & _MASK[data[end - 1]])
     touch = np.zeros(len(end), dtype=bool)  # the next run begins where this one ends
     touch[:-1] = (w.start[1:] == end[:-1]) & (w.doc[1:] == w.doc[:-1])
+    ends = ~touch  # nothing but punctuation follows in the word
+    ends[:-1] |= (w.kind[1:] == words.SYMBOL) & ~touch[1:]
     hit = np.zeros(len(end), dtype=bool)
     if len(end) > 1:
-        # a look-alike in front of a letter, at a word's beginning or inside it; a digit at the end
-        hit[:-1] |= swap[:-1] & letter[1:] & touch[:-1]
-        hit[1:] |= swap[1:] & (w.kind[1:] == words.DIGIT) & letter[:-1] & touch[:-1] & ~touch[1:]
+        # a look-alike or mask in front of a letter, or a symbol behind one; a digit at the end
+        hit[:-1] |= (opens | closes)[:-1] & letter[1:] & touch[:-1]
+        hit[1:] |= opens[1:] & ((w.kind[1:] == words.SYMBOL) | ends[1:]) & letter[:-1] & touch[:-1]
     # runs of one letter three times, or three letters doubled
     twice = np.zeros(len(data), dtype=np.int64)
     twice[1:] = data[1:] == data[:-1]
@@ -223,17 +228,17 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     word = np.cumsum(begins) - 1
     first, last = np.flatnonzero(begins), np.append(np.flatnonzero(begins)[1:], len(end)) - 1
     spans = [(int(w.start[first[i]]), int(end[last[i]])) for i in np.unique(word[hit])]
-    # four or more single characters with gaps between them
+    # three or more single characters with gaps between them, not digits and symbols alone
     gap = (w.kind == words.SYMBOL) & _GAP[data[w.start]] & (w.length <= 2)
     real = np.flatnonzero(~gap)
-    if len(real) > 3:
-        one = (w.length[real] == 1) & ((data[w.start[real]] < 0x80) & letter[real] | swap[real])
+    if len(real) > 2:
+        one = (w.length[real] == 1) & ((data[w.start[real]] < 0x80) & letter[real] | other[real] & _SWAP[data[w.start[real]]])
         apart = w.start[real][1:] - end[real][:-1]
         near = one[1:] & one[:-1] & (apart >= 1) & (apart <= 3) & (w.doc[real][1:] == w.doc[real][:-1])
         near &= ~np.isin(data[end[real][:-1]], (0x0A, 0x0D))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(np.int8), [0]])))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
-            if b - a >= 3:
+            if b - a >= 3 or b - a == 2 and letter[real[a:b + 1]].any():
                 spans.append((int(w.start[real[a]]), int(end[real[b]])))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -253,8 +258,12 @@ def restored(data: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[n
     for a, b in suspicious(data, offsets):
         span = raw[a:b].decode("utf-8", errors="replace").lower()
         core = span.rstrip(_EDGE)
+        behind = span[len(core):]
+        core += behind[:len(behind) - len(behind.lstrip(TAIL))]  # may be letters or punctuation
         core = core.lstrip(_EDGE.replace("$", "").replace("!", "").replace("(", ""))
         new = span if len(core) < 2 else span.replace(core, decoder.restore(core), 1)
+        if new == span:
+            continue
         new = new.encode("utf-8", errors="replace")
         parts += [raw[at:a], new]
         at = b

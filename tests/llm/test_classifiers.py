@@ -51,6 +51,20 @@ def test_restored_words(decoder, span, word):
     assert decoder.restore(span) == word
 
 
+@pytest.mark.parametrize("text, out", [("a worthles5.", "a worthless."), ("w0rthles5, too", "worthless, too"), ("scu* here", "scum here"), ("idio+", "idiot"), ("idio+.", "idiot."),
+                                       ("id***t", "idiot"), ("path****c", "pathetic"), ('"$tupid"', '"stupid"'), ("$tup1d?", "stupid?"),
+                                       ("What? Yes! Well-known words* and 100%", "What? Yes! Well-known words* and 100%")])
+def test_look_alikes_and_masks_at_the_end(decoder, text, out):
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    assert toxicity.restored(raw, np.array([0, len(raw)]), decoder)[0].tobytes().decode() == out
+
+
+def test_three_spaced_letters_are_read(decoder):
+    raw = np.frombuffer("see t h e man; 1 2 3".encode(), dtype=np.uint8)
+    assert [raw[a:b].tobytes() for a, b in toxicity.suspicious(raw, np.array([0, len(raw)]))] == [b"t h e"]
+    assert toxicity.restored(raw, np.array([0, len(raw)]), decoder)[0].tobytes() == b"see the man; 1 2 3"
+
+
 def test_only_suspicious_spans_change(decoder):
     text = "Plain words, 42 of them; it's 10:30. A 1d10t and s c u m here é è."
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
