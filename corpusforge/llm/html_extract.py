@@ -71,6 +71,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, int, int, bool]] = []
         self.parent = [0]  # of holder 0, the page, and of those that open
+        self.tag = ["html"]  # theirs
         self.open: list[tuple[str, bool, int]] = []  # tag, furniture, innermost holder
         self.depth: Counter[str] = Counter()
         self.hidden = self.links = self.lists = self.articles = 0
@@ -113,6 +114,7 @@ class Lines(HTMLParser):
             self.flush_line()
         if tag in HOLDERS:
             self.parent.append(self._holder())
+            self.tag.append(tag)
             self.open.append((tag, furniture, len(self.parent) - 1))
         else:
             self.open.append((tag, furniture, self._holder()))
@@ -179,18 +181,32 @@ def main_text(html: str) -> str:
     smoothed = smooth(ratios)
     content = smoothed >= smoothed.std()
     # holders are numbered as they open, so a parent's number is smaller than its children's
-    votes = np.zeros(len(p.parent))
-    for keep, (text, _, linked, holder, _) in zip(content, rows, strict=True):
-        if keep and linked < LINK_SHARE * len(text.replace(" ", "")):
+    votes, links = np.zeros(len(p.parent)), np.zeros(len(p.parent), dtype=np.int64)
+    link_line = [linked >= LINK_SHARE * len(text.replace(" ", "")) for text, _, linked, *_ in rows]
+    for keep, link, (text, _, _, holder, _) in zip(content, link_line, rows, strict=True):
+        links[holder] += link
+        if keep and not link:
             votes[holder] += len(text)
     for h in range(len(votes) - 1, 0, -1):
         votes[p.parent[h]] += votes[h]
+        links[p.parent[h]] += links[h]
+    if not votes[0]:  # nothing but link text above the cut says nothing about the holder
+        return "\n".join(text for text, *_ in rows)
     chosen = int(np.flatnonzero(votes >= VOTE_SHARE * votes[0])[-1])  # the innermost with enough votes
+    around = [chosen]
+    while around[-1]:
+        around.append(p.parent[around[-1]])
+    article = next((h for h in around if p.tag[h] in ("article", "main")), None)
+    if article is not None:
+        chosen = article
+    else:  # titles, leads and closing lines stand beside the body; unmarked menus are lines of links
+        while (up := p.parent[chosen]) and p.tag[up] != "body" and links[up] == links[chosen]:
+            chosen = up
     inside = [chosen == 0]
     for h in range(1, len(votes)):
         inside.append(h == chosen or inside[p.parent[h]])
-    out = [text for text, _, linked, holder, in_list in rows
-           if inside[holder] and not (in_list and linked >= LINK_SHARE * len(text.replace(" ", "")))]
+    out = [text for link, (text, _, _, holder, in_list) in zip(link_line, rows, strict=True)
+           if inside[holder] and not (article is None and in_list and link)]
     return "\n".join(out)
 
 

@@ -69,6 +69,24 @@ def test_main_text():
     assert html_extract.main_text("<html><body><p>Only text here.</p></body>") == "Only text here."
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div class=post"])
+@pytest.mark.parametrize("inner", ["div", "section", "blockquote"])
+def test_whole_article_around_its_longest_part(outer, inner):
+    body = "".join(f"<p>A long paragraph number {i} of the body that holds most of the text of the page.</p>" for i in range(12))
+    page = (f"<html><body><ul><li><a href=/>Menu entry</a></li></ul><{outer}><h1>Title</h1><p>Lead</p><{inner}>{body}</{inner}><p>Closing</p>"
+            f"</{outer.split()[0]}></body></html>")
+    lines = html_extract.main_text(page).split("\n")
+    assert (lines[:2], lines[-1], len(lines)) == (["Title", "Lead"], "Closing", 15)
+
+
+def test_lists_of_links_and_pages_of_link_text():
+    text = "<p>A long paragraph of the article that holds some of the text of the page.</p>" * 4
+    listed = html_extract.main_text(f"<body><article>{text}<ul><li><a href=/a>First source</a></li><li><a href=/b>Second source</a></li></ul></article></body>")
+    assert listed.endswith("First source\nSecond source")
+    unclosed = html_extract.main_text(f"<body><div><a name=top>{text}</div><div>{"<p>Short</p>" * 4}<p>Short end</p></div></body>")
+    assert unclosed.count("A long paragraph") == 4 and unclosed.endswith("Short end")
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", "<p>" + "long " * 50_000, "t")],
                                   "page_id long, url string, html string, text string")
