@@ -14,6 +14,3 @@ def spark():
                   conf={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cf-test-ckpt-")})
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

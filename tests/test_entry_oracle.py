@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from corpusforge.plans.registry import REGISTRY
 from tools.check_oracle import TABLES, digest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from corpusforge.operators import udf
 from corpusforge.plans import selection
 from corpusforge.sources import tables
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def test_selection_invariants(spark):

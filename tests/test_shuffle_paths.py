@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check_oracle import TABLES, digest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 NAMES = ["select_round0_docs", "vocab_trusted", "leak_free_lines", "leak_matches", "numericalize_pairs",
          "ibm1_scores_pairs", "translate_requests", "spelling_normalise_candidates", "autocorrect_requests"]
