@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_codec, decontaminate, exact_dedup, html_extract, ngram_join, pii, quality, sharding, toxicity, warc
+from corpusforge.llm import bpe_codec, decontaminate, exact_dedup, html_extract, ngram_join, pair_index, pii, quality, sharding, toxicity, warc
 from corpusforge.llm.common import read
 
 # Scores from here on count as label 1.
 THRESHOLD = 0.3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PAIR_VOCABULARY = "byte_bpe_50k.json"
 
 
 def codec() -> bpe_codec.Codec:
@@ -81,6 +82,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op12_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the pair occurrence index and decoded; digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    return pair_index.decimal_digests(read(spark, sf_dir, "documents"), pair_index.Vocabulary.from_file(public_tokenizers.path(PAIR_VOCABULARY)))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -92,6 +100,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_vector_shards": op9_vector_shards,
     "op10_quality": op10_quality,
+    "op12_pair_index_bpe": op12_pair_index_bpe,
 }
 
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
