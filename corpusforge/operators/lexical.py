@@ -1,17 +1,18 @@
-"""Lexical translation model (IBM Model 1) trained by EM as aggregations (PIP6b, JOI9, TOP1, PIP7).
+"""Lexical translation model (IBM Model 1) trained by EM (PIP6b, JOI9, TOP1, PIP7).
 
 Source sequences are ``<sos> tokens <eos>`` (``<sos>`` plays the NULL
 word); target labels are ``tokens <eos>``.  A pair is collapsed to token
 counts ``ce`` / ``cf`` and its *cells* are the (source type, target type)
-combinations of that pair, ``|distinct src| x |distinct trg|`` rows.
+combinations of that pair.
 
 E-step (per pair, per target type f):   w(e) = ce * t(f|e),  Z = sum_e w(e)
                                         c(e, f) += cf * w(e) / Z
 M-step:                                 t(f|e) = c(e, f) / sum_f c(e, f)
 
 The uniform start needs no table: with t = 1 the first E-step gives the
-same expectations as any constant start.  Each iteration's table is
-checkpointed; the cells are built once and checkpointed too.
+same expectations as any constant start.  Training and scoring run over packed pairs parted by target type
+(``lexical_parts``): a step shuffles only the totals by source type.  Where even those are too large to be sent to
+all tasks, the cells are built as a table and joined (``build_cells``, ``em_step``).
 
 Score of a pair (mirrors the per-pair loss of the selection loop):
     loss = mean over target labels f of
@@ -21,12 +22,14 @@ with l the source length including both specials.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import EOS, SOS
+from corpusforge.operators import lexical_parts, lookup
 from corpusforge.operators.joins import fits_broadcast
 from corpusforge.session import materialize
 
@@ -98,40 +101,51 @@ def em_step(cells: DataFrame, key_cols: list[str], table: DataFrame | None) -> D
 
 
 def score(model: LexicalModel, pairs: DataFrame, key_cols: list[str], src_col: str, trg_col: str,
-          lam: float = LAMBDA, cells: DataFrame | None = None) -> DataFrame:
-    """Per-pair loss ``(key, n_tok, sum_nll, loss)``."""
-    c = cells if cells is not None else build_cells(pairs, key_cols, src_col, trg_col)
-    j = _join_table(c, model.table).withColumn("_w", F.col("ce") * F.coalesce(F.col("t"), F.lit(0.0)))
-    per_f = j.groupBy(*key_cols, "f", "cf", "l").agg(F.sum("_w").alias("_s"))
-    p = (1 - lam) * F.col("_s") / F.col("l") + F.lit(lam / model.n_target_types)
-    return (per_f.groupBy(*key_cols)
-            .agg(F.sum("cf").cast("long").alias("n_tok"), F.sum(F.col("cf") * -F.log(p)).alias("sum_nll"))
-            .withColumn("loss", F.round(F.col("sum_nll") / F.col("n_tok"), LOSS_DECIMALS)))
+          lam: float = LAMBDA) -> DataFrame:
+    """Per-pair loss ``(key, n_tok, sum_nll, loss)``; a pair with no target tokens has the end mark."""
+    found = lexical_parts.losses(model.table, model.n_target_types, pairs, key_cols, src_col, trg_col, lam)
+    return found.withColumn("loss", F.round(F.col("sum_nll") / F.col("n_tok"), LOSS_DECIMALS))
+
+
+def _steps(train: DataFrame, key_cols: list[str], src_col: str, trg_col: str, prune_below: float):
+    """Tables ``e, f, t`` after each EM step, without end."""
+    job = lexical_parts.training(train, key_cols, src_col, trg_col, prune_below)
+    table = None
+    while job is not None:
+        if not job.step():
+            job = None
+        else:
+            table = yield job.table()
+    cells = materialize(build_cells(train, key_cols, src_col, trg_col))
+    while True:  # from the last table on
+        nxt = em_step(cells, key_cols, table)
+        table = yield nxt.filter(F.col("t") >= prune_below) if prune_below > 0 else nxt
 
 
 def fit(train: DataFrame, key_cols: list[str], src_col: str, trg_col: str, iterations: int = 2,
-        valid: DataFrame | None = None, prune_below: float = 0.0) -> LexicalModel:
+        valid: DataFrame | None = None, prune_below: float = 0.0,
+        loss_of: Callable[[DataFrame], float | None] | None = None) -> LexicalModel:
     """EM for ``iterations`` steps.  With ``valid`` given, the iteration with the
-    smallest validation loss is kept (strict ``<``: the first of ties wins, AGG7)."""
-    cells = materialize(build_cells(train, key_cols, src_col, trg_col))
+    smallest validation loss is kept (strict ``<``: the first of ties wins, AGG7);
+    without any validation pair, the last one.  ``loss_of`` turns scored pairs into that loss, by
+    default the token-weighted mean."""
     n_types = int(train.select(F.explode(target_labels(F.col(trg_col))).alias("f")).distinct().count())
-    valid_cells = materialize(build_cells(valid, key_cols, src_col, trg_col)) if valid is not None else None
-    table, best, best_loss, history = None, None, float("inf"), []
+    steps = _steps(train, key_cols, src_col, trg_col, prune_below)
+    best, best_loss, history = None, float("inf"), []
+    last = None
     for it in range(1, iterations + 1):
-        nxt = em_step(cells, key_cols, table)
-        if prune_below > 0:
-            nxt = nxt.filter(F.col("t") >= prune_below)
-        table = materialize(nxt)
-        if valid_cells is not None:
-            m = LexicalModel(table, n_types)
-            r = score(m, valid, key_cols, src_col, trg_col, cells=valid_cells) \
-                .agg((F.sum("sum_nll") / F.sum("n_tok")).alias("l")).first()["l"]
-            history.append((it, r))
-            if r is not None and r < best_loss:
-                best_loss, best = r, table
-        else:
-            best = table
-    return LexicalModel(best, n_types, history)
+        made = steps.send(last)
+        last = materialize(made) if valid is not None or it == iterations else made
+        if valid is None:
+            best = last
+            continue
+        scored = score(LexicalModel(last, n_types), valid, key_cols, src_col, trg_col)
+        r = scored.agg((F.sum("sum_nll") / F.sum("n_tok")).alias("l")).first()["l"] if loss_of is None else loss_of(scored)
+        history.append((it, r))
+        if r is not None and r < best_loss:
+            best_loss, best = r, last
+    steps.close()
+    return LexicalModel(last if best is None else best, n_types, history)
 
 
 def best_translation(model: LexicalModel, exclude: tuple[str, ...] = (EOS,)) -> DataFrame:
@@ -145,7 +159,12 @@ def best_translation(model: LexicalModel, exclude: tuple[str, ...] = (EOS,)) ->
     return t.groupBy("e").agg(F.min_by("f", order).alias("best"))
 
 
-def translate(model_best: DataFrame, sentences: DataFrame, key_cols: list[str], tokens_col: str,
+def shared_translations(model_best: DataFrame) -> lookup.SharedTable:
+    """The best-translation table, measured once for any number of ``translate`` calls."""
+    return lookup.share(model_best, "e", "best")
+
+
+def translate(model_best: DataFrame | lookup.SharedTable, sentences: DataFrame, key_cols: list[str], tokens_col: str,
               max_len: int | None = None) -> DataFrame:
     """PIP7: word-by-word arg-max translation; unknown tokens are copied through.
 
@@ -154,10 +173,8 @@ def translate(model_best: DataFrame, sentences: DataFrame, key_cols: list[str],
     limit (``MAX_DECODE`` = 50) when a caller wants it; a word-by-word
     translator has no reason to stop early, so it is off by default.
     """
-    ex = sentences.select(*key_cols, F.posexplode_outer(F.col(tokens_col)).alias("p", "e"))
-    best = F.broadcast(model_best) if fits_broadcast(model_best) else model_best
-    j = ex.join(best, "e", "left").withColumn("w", F.coalesce("best", "e"))
-    agg = j.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("p", "w")))).alias("_s"))
-    hyp = F.col("_s.w") if max_len is None else F.slice(F.col("_s.w"), 1, max_len)
-    return agg.select(*key_cols, hyp.alias("hyp"))
+    best = model_best if isinstance(model_best, lookup.SharedTable) else shared_translations(model_best)
+    rows = sentences.select(*key_cols, F.col(tokens_col).alias("_toks"))
+    out = lookup.map_arrays(rows, "_toks", best, "hyp", keep=True, key_cols=key_cols)
+    hyp = F.col("hyp") if max_len is None else F.slice("hyp", 1, max_len)
+    return out.select(*key_cols, hyp.alias("hyp"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.operators.joins import join_small
+from corpusforge.operators.lookup import map_arrays, share
 from corpusforge.session import materialize
 
 
@@ -34,18 +34,15 @@ def case_variants(counts: DataFrame, token_col: str = "token", freq_col: str = "
 
 def normalise_tokens(df: DataFrame, key_cols: list[str], tokens_col: str, dictionary: DataFrame,
                      out_col: str = "normalised") -> DataFrame:
-    """JOI8: replace every known variant by its preferred form, keep token order.
+    """JOI8: replace every known variant by its preferred form, in place, keep token order.
 
-    Adds ``out_col`` (array), ``n_tokens`` and ``n_changed``.
+    Adds ``out_col`` (array without null tokens), ``n_tokens`` and ``n_changed``.
     """
-    ex = df.select(*key_cols, F.posexplode_outer(F.col(tokens_col)).alias("p", "token"))
-    j = join_small(ex, dictionary.withColumnRenamed("variant", "token"), ["token"], "left")
-    j = j.withColumn("w", F.coalesce("preferred", "token")) \
-         .withColumn("chg", F.when(F.col("preferred").isNotNull(), 1).otherwise(0))
-    agg = j.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("p", "w")))).alias("_s"),
-        F.count(F.col("token")).alias("n_tokens"), F.sum("chg").cast("long").alias("n_changed"))
-    return agg.select(*key_cols, F.col("_s.w").alias(out_col), "n_tokens", "n_changed")
+    rows = df.select(*key_cols, F.filter(F.col(tokens_col), lambda x: x.isNotNull()).alias("_a"))
+    out = map_arrays(rows, "_a", share(dictionary, "variant", "preferred"), "_w", keep=True, key_cols=key_cols)
+    kept = F.coalesce(F.col("_a"), F.array().cast("array<string>"))
+    changed = F.filter(F.zip_with(kept, F.col("_w"), lambda a, b: a != b), lambda x: x)
+    return out.select(*key_cols, F.col("_w").alias(out_col), F.size(kept).cast("long").alias("n_tokens"), F.size(changed).cast("long").alias("n_changed"))
 
 
 def changed_share(normalised: DataFrame) -> DataFrame:

@@ -1,42 +1,37 @@
 """Subword vocabulary: byte-pair-encoding training, encoding and decoding (SUB1-SUB3).
 
-Training works on the *word-type table* ``(word, freq, syms)``: the text
-is split into words once (``explode`` + ``groupBy``), and every merge round
-works on distinct words, never on the running corpus.
-
-Merge rounds: count adjacent symbol pairs weighted by word frequency
-(``groupBy`` with map-side combine), take up to ``merges_per_round``
-pairs in count order (ties: smaller pair first), skipping a pair whose left
-symbol is the right symbol of a pair already taken (or the reverse), apply
-them in one ``aggregate`` fold, persist the word table and checkpoint it
-every few rounds.
-``merges_per_round=1`` is plain BPE (one merge per count); larger values
-trade exact merge order for fewer rounds, because a pair created by a merge
-is only counted in the next round.
+Training works on the *word-type table* ``(word, freq)``: the text is split into words once
+(``explode`` + ``groupBy``), and every pass works on distinct words, never on the running corpus.  The merges
+are those of plain one-at-a-time BPE (count descending, ties: smaller pair first) whatever
+``merges_per_round`` is; see ``bpe_train`` for how a round proves several of them at once.
 
 Vocabulary ids: 0 unk, 1 bos, 2 eos, 3 pad, then the base characters
 (frequency descending, character ascending), then merged pieces in merge
-order.  Encoding reuses the trained segmentation for known words and runs
-the merge table (bounded by the vocabulary size, broadcast) over unseen
-distinct words in a pandas UDF; decoding is a join plus ``array_join``.
+order.  A merge rank is that of the pair's first merge.  Encoding and decoding map the texts or ids of an Arrow batch in place with the
+broadcast merge table, whose size the vocabulary bounds; rows are neither exploded nor regrouped.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpusforge.functions.text import (SUBWORD_BOS_ID, SUBWORD_EOS_ID, SUBWORD_PAD_ID,
                                         SUBWORD_UNK_ID, WHITESPACE, WORD_START)
-from corpusforge.session import materialize
+from corpusforge.operators import bpe_train
+from corpusforge.operators.ordering import dense_index
+from corpusforge.session import map_arrow, materialize
 
 VOCAB_SIZE = 10_000
 SPECIAL_PIECES = ("<unk>", "<s>", "</s>", "<pad>")
-PAIR_SEP = "\u0001"
+# Distinct words whose pieces a Python worker keeps at hand.
+KNOWN_WORDS = 200_000
 
 
 @dataclass
@@ -74,190 +69,135 @@ def pair_counts(words: DataFrame) -> DataFrame:
             .agg(F.sum("freq").alias("n")))
 
 
-def merge_round_expr(syms: Column, chosen: list) -> Column:
-    """Apply a round's merges in one left-to-right pass.
+def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
+              merges_per_round: int = bpe_train.TOP, min_count: int = 2) -> BpeModel:
+    """SUB1.  The merge list stays on the driver; it is bounded by ``vocab_size``.
 
-    No pair of a round has its left symbol equal to another pair's right
-    symbol (see ``_pick``), so two chosen occurrences can only overlap for a
-    self pair ``(x, x)``.  Words without such a symbol take a plain
-    ``transform``: a symbol is dropped when a chosen pair ends on it and
-    joined with its successor when a chosen pair starts on it.  Words with a
-    self-pair symbol take a left-to-right fold, which resolves runs like
-    ``x x x`` as plain BPE does (``xx x``).  Either way the result equals
-    applying the round's merges one after another.
+    ``merges_per_round`` only bounds how many merges a round may commit; the result is the same for every value.
     """
-    keys = F.create_map(*[F.lit(v) for a, b, _ in chosen for v in (a + PAIR_SEP + b, True)])
-    n = F.size(syms)
-
-    def sym(i):
-        return F.try_element_at(syms, i)
-
-    def starts(i):
-        return F.coalesce(F.try_element_at(keys, F.concat(sym(i), F.lit(PAIR_SEP), sym(i + 1))), F.lit(False))
-
-    def out_at(i):
-        ends_here = F.when(i > 1, starts(i - 1)).otherwise(F.lit(False))
-        return (F.when(ends_here, F.lit(None).cast("string"))
-                .when((i < n) & starts(i), F.concat(sym(i), sym(i + 1)))
-                .otherwise(sym(i)))
-
-    fast = F.filter(F.transform(F.sequence(F.lit(1), n), out_at), lambda x: x.isNotNull())
-
-    merged = fast
-    selfs = sorted({a for a, b, _ in chosen if a == b})
-    if selfs:
-        init = F.struct(F.array().cast("array<string>").alias("o"), F.lit(False).alias("s"))
-
-        def step(acc, i):
-            hit = starts(i)
-            return (F.when(acc["s"], F.struct(acc["o"].alias("o"), F.lit(False).alias("s")))
-                    .when(hit, F.struct(F.concat(acc["o"], F.array(F.concat(sym(i), sym(i + 1)))).alias("o"),
-                                        F.lit(True).alias("s")))
-                    .otherwise(F.struct(F.concat(acc["o"], F.array(sym(i))).alias("o"), F.lit(False).alias("s"))))
-
-        folded = F.aggregate(F.sequence(F.lit(1), n), init, step, lambda acc: acc["o"])
-        merged = F.when(F.arrays_overlap(syms, F.array(*[F.lit(x) for x in selfs])), folded).otherwise(fast)
-    touched = F.arrays_overlap(syms, F.array(*[F.lit(a) for a in sorted({a for a, _, _ in chosen})]))
-    return F.when((n >= 2) & touched, merged).otherwise(syms)
-
-
-def _pick(top: list, k: int) -> list:
-    """Greedy, in count order: skip a pair whose left symbol is a right symbol of
-    a pair already taken, or whose right symbol is such a left symbol."""
-    chosen, lefts, rights = [], set(), set()
-    for r in top:
-        a, b = r["a"], r["b"]
-        if a in rights or b in lefts:
-            continue
-        chosen.append((a, b, r["n"]))
-        lefts.add(a)
-        rights.add(b)
-        if len(chosen) >= k:
-            break
-    return chosen
-
-
-def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
-              merges_per_round: int = 1, min_count: int = 2, checkpoint_every: int = 8) -> BpeModel:
-    """SUB1.  The merge list stays on the driver; it is bounded by ``vocab_size``."""
     spark = df.sparkSession
-    words = word_types(df, text_col)
-    # the merge fold is CPU work per word: spread the (small) word table over
-    # at least all task slots instead of the few partitions AQE would coalesce to
+    words = df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    # blocks are CPU work per word: spread the (small) word table over at least all task slots
     words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism,
                                               int(spark.conf.get("spark.sql.shuffle.partitions"))), "word"))
-    chars = (words.select("freq", F.explode("syms").alias("piece"))
-             .groupBy("piece").agg(F.sum("freq").alias("n")))
-    n_chars = chars.count()
-    budget = max(0, vocab_size - len(SPECIAL_PIECES) - n_chars)
-    merges: list = []
-    rounds = 0
-    stale = None
-    while len(merges) < budget:
-        # a round may take fewer merges than asked; the loop continues
-        k = min(merges_per_round, budget - len(merges))
-        # this job also fills the cache of the current word table
-        top = (pair_counts(words).filter(F.col("n") >= min_count)
-               .orderBy(F.col("n").desc(), "a", "b").limit(max(k * 4, 16) if k > 1 else 1)
-               .collect())
-        if stale is not None:
-            stale.unpersist()
-            stale = None
-        if not top:
-            break
-        chosen = _pick(top, k)
-        if not chosen:
-            break
-        for a, b, _ in chosen:
-            merges.append((len(merges), a, b))
-        nxt = words.withColumn("syms", merge_round_expr(F.col("syms"), chosen))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = materialize(nxt)          # reliable: cuts the lineage
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        stale, words = words, nxt
-    words = materialize(words)
-    if stale is not None:
-        stale.unpersist()
+    chars = materialize(words.select("freq", F.explode(_chars(F.col("word"))).alias("piece"))
+                        .groupBy("piece").agg(F.sum("freq").alias("n")))
+    alphabet = sorted(r["piece"] for r in chars.select("piece").collect())  # at most all characters there are
+    budget = max(0, vocab_size - len(SPECIAL_PIECES) - len(alphabet))
+    found, seg, rounds = bpe_train.train(words, alphabet, budget, merges_per_round, min_count)
+    merges = [(rank, a, b) for rank, (a, b) in enumerate(found)]
     base = chars.select("piece", F.lit(0).alias("_g"), (-F.col("n")).alias("_o1"), F.col("piece").alias("_o2"))
     merged = spark.createDataFrame([(a + b, 1, r, "") for r, a, b in merges],
                                    "piece string, _g int, _o1 long, _o2 string")
-    from corpusforge.operators.ordering import dense_index
     pieces = dense_index(base.unionByName(merged), ["_g", "_o1", "_o2"], "id", start=len(SPECIAL_PIECES))
     specials = spark.createDataFrame([(p, i) for i, p in enumerate(SPECIAL_PIECES)], "piece string, id long")
     # a merged piece can equal a base character or an earlier piece: keep its first id
     vocab = materialize(specials.unionByName(pieces.select("piece", "id"))
                         .groupBy("piece").agg(F.min("id").cast("int").alias("id")))
-    seg = words.select("word", "freq", F.col("syms").alias("pieces"))
     return BpeModel(merges, vocab, seg, rounds)
 
 
+def merge_ranks(merges: list) -> dict:
+    """Pair -> rank; a pair that was merged again later keeps its first rank."""
+    ranks: dict = {}
+    for r, a, b in merges:
+        ranks.setdefault((a, b), r)
+    return ranks
+
+
 def _apply_merges(word: str, ranks: dict) -> list:
-    sym = [c for c in word]
-    while len(sym) > 1:
-        best, at = None, -1
-        for i in range(len(sym) - 1):
-            r = ranks.get((sym[i], sym[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        a, b = sym[at], sym[at + 1]
-        out, i = [], 0
-        while i < len(sym):
-            if i < len(sym) - 1 and sym[i] == a and sym[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(sym[i])
-                i += 1
-        sym = out
-    return sym
-
-
-def segment_words(model: BpeModel, words: DataFrame) -> DataFrame:
-    """``(word) -> (word, pieces)`` for distinct words: trained segmentation first,
-    the merge table (broadcast, size bounded by the vocabulary) for the rest."""
-    known = model.words.select("word", "pieces")
-    unseen = words.join(known, "word", "left_anti")
-    bc = words.sparkSession.sparkContext.broadcast({(a, b): r for r, a, b in model.merges})
-
-    def seg(batches):
-        ranks = bc.value
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"],
-                                "pieces": [_apply_merges(w, ranks) for w in pdf["word"]]})
-
-    fresh = unseen.mapInPandas(seg, "word string, pieces array<string>")
-    return known.join(words, "word", "left_semi").unionByName(fresh)
+    """Pieces of a word: again and again the pair of the smallest rank, leftmost first (a heap over linked symbols)."""
+    sym = list(word)
+    n = len(sym)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] != a or j >= n or sym[j] != b:
+            continue
+        sym[i], sym[j] = a + b, None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            r = ranks.get((sym[i], sym[k]))
+            if r is not None:
+                heapq.heappush(heap, (r, i, sym[i], sym[k]))
+        h = before[i]
+        if h >= 0:
+            r = ranks.get((sym[h], sym[i]))
+            if r is not None:
+                heapq.heappush(heap, (r, h, sym[h], sym[i]))
+    return [x for x in sym if x is not None]
+
+
+def _with_array(df: DataFrame, key_cols: list[str], in_col: str, out: StructField, of_value) -> DataFrame:
+    """``key_cols`` and ``out``, computed from ``in_col`` by ``of_value`` (built once per task) in Arrow batches."""
+    rows = df.select(*key_cols, F.col(in_col).alias("_in"))
+    schema = StructType([*rows.schema.fields[:-1], out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fn = of_value()
+        kind = to_arrow_type(out.dataType)
+        for b in batches:
+            got = pa.array([fn(x) for x in b.column(b.num_columns - 1).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*key_cols, out.name])
+
+    return map_arrow(rows, run, schema)
+
+
+def encode_with(df: DataFrame, key_cols: list[str], text_col: str, ids: dict, segment, shared, out_col: str = "ids") -> DataFrame:
+    """Texts to piece ids in place: ``segment(word, shared value)`` cuts each distinct word once per worker cache."""
+    sc = df.sparkSession.sparkContext
+    given = sc.broadcast((ids, shared))
+
+    def build():
+        numbers, model = given.value
+        known: dict[str, list[int]] = {}
+
+        def of_text(text: str | None) -> list[int]:
+            out: list[int] = []
+            for word in (text or "").split():
+                got = known.get(word)
+                if got is None:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    got = known[word] = [numbers.get(p, SUBWORD_UNK_ID) for p in segment(WORD_START + word, model)]
+                out += got
+            return out
+        return of_text
+
+    return _with_array(df, key_cols, text_col, StructField(out_col, ArrayType(IntegerType())), build)
+
+
+def piece_ids(vocab: DataFrame) -> dict[str, int]:
+    """Piece -> id on the driver: as many entries as the vocabulary has, which its size parameter bounds."""
+    return {r["piece"]: r["id"] for r in vocab.collect()}
 
 
 def encode(model: BpeModel, df: DataFrame, key_cols: list[str], text_col: str,
            out_col: str = "ids") -> DataFrame:
-    """SUB2: text -> piece ids; each distinct word is segmented once and joined back."""
-    ex = df.select(*key_cols, F.posexplode(words_of(F.col(text_col))).alias("p", "word"))
-    distinct = ex.select("word").distinct()
-    seg = segment_words(model, distinct)
-    pieces = ex.join(seg, "word", "left").select(*key_cols, "p", F.posexplode("pieces").alias("q", "piece"))
-    with_ids = pieces.join(F.broadcast(model.vocab), "piece", "left") \
-                     .withColumn("id", F.coalesce("id", F.lit(SUBWORD_UNK_ID)))
-    agg = with_ids.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("p", "q", "id"))).alias("_s"))
-    out = df.select(*key_cols).join(agg, key_cols, "left")
-    return out.select(*key_cols, F.coalesce(F.col("_s.id"), F.array().cast("array<int>")).alias(out_col))
+    """SUB2: text -> piece ids, one row per row; a null text has none, a character outside the vocabulary is ``<unk>``."""
+    return encode_with(df, key_cols, text_col, piece_ids(model.vocab), _apply_merges, merge_ranks(model.merges), out_col)
 
 
 def decode(model: BpeModel, df: DataFrame, key_cols: list[str], ids_col: str,
            out_col: str = "text") -> DataFrame:
     """SUB3: ids -> text; control ids vanish and the word-start symbol becomes a space."""
-    control = [SUBWORD_UNK_ID, SUBWORD_BOS_ID, SUBWORD_EOS_ID, SUBWORD_PAD_ID]
-    ex = df.select(*key_cols, F.posexplode(ids_col).alias("p", "id")).filter(~F.col("id").isin(control))
-    j = ex.join(F.broadcast(model.vocab), "id", "left")
-    agg = j.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("p", "piece"))).alias("_s"))
-    out = df.select(*key_cols).join(agg, key_cols, "left")
-    txt = F.trim(F.translate(F.array_join(F.coalesce(F.col("_s.piece"), F.array().cast("array<string>")), ""),
-                             WORD_START, " "))
-    return out.select(*key_cols, txt.alias(out_col))
+    given = df.sparkSession.sparkContext.broadcast({i: p for p, i in piece_ids(model.vocab).items()})
+    control = {SUBWORD_UNK_ID, SUBWORD_BOS_ID, SUBWORD_EOS_ID, SUBWORD_PAD_ID}
+
+    def build():
+        pieces = given.value
+
+        def of_ids(ids: list[int] | None) -> str:
+            return "".join(pieces.get(i, "") for i in ids or () if i not in control).replace(WORD_START, " ").strip(" ")
+        return of_ids
+
+    return _with_array(df, key_cols, ids_col, StructField(out_col, StringType()), build)
 
 
 def normalize_spaces(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import SPECIALS, UNK
-from corpusforge.operators.joins import join_small
+from corpusforge.operators.lookup import map_arrays, share
 from corpusforge.operators.ordering import dense_index
 
 
@@ -36,23 +36,15 @@ def build_vocab(df: DataFrame, tokens_col: str, min_freq: int = 1,
 
 def numericalize(df: DataFrame, key_cols: list[str], tokens_col: str, vocab: DataFrame,
                  out_col: str = "ids", unk_id: int = 0) -> DataFrame:
-    """JOI6: token -> id with ``<unk>`` fallback, order kept by position; no tokens give no ids."""
-    exploded = df.select(*key_cols, F.posexplode_outer(F.col(tokens_col)).alias("p", "token"))
-    v = vocab.select("token", "id")
-    joined = join_small(exploded, v, ["token"], "left")
-    return (joined.groupBy(*key_cols)
-            .agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("id", F.lit(unk_id)).alias("id")))))
-                 .alias("_s"))
-            .select(*key_cols, F.col("_s.id").alias(out_col)))
+    """JOI6: token -> id with ``<unk>`` fallback, in place and in order; no tokens give no ids."""
+    table = share(vocab.select("token", "id"), "token", "id")
+    rows = df.select(*key_cols, F.col(tokens_col).alias("_a"))
+    return map_arrays(rows, "_a", table, out_col, unk_id, key_cols=key_cols).select(*key_cols, out_col)
 
 
 def denumericalize(df: DataFrame, key_cols: list[str], ids_col: str, vocab: DataFrame,
                    out_col: str = "tokens") -> DataFrame:
-    """JOI7: id -> token, order kept by position; unknown ids map to ``<unk>``, no ids to no tokens."""
-    exploded = df.select(*key_cols, F.posexplode_outer(F.col(ids_col)).alias("p", "id"))
-    v = vocab.select("id", "token")
-    joined = join_small(exploded, v, ["id"], "left")
-    return (joined.groupBy(*key_cols)
-            .agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token", F.lit(UNK)).alias("t")))))
-                 .alias("_s"))
-            .select(*key_cols, F.col("_s.t").alias(out_col)))
+    """JOI7: id -> token, in place and in order; unknown ids map to ``<unk>``, no ids to no tokens."""
+    table = share(vocab.select("id", "token"), "id", "token")
+    rows = df.select(*key_cols, F.col(ids_col).alias("_a"))
+    return map_arrays(rows, "_a", table, out_col, UNK, key_cols=key_cols).select(*key_cols, out_col)

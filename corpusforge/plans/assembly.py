@@ -31,15 +31,15 @@ class Assembly:
 
 
 def assemble(train: DataFrame, wordbook: DataFrame | None, mono: DataFrame | None,
-             vocab_size: int = subword.VOCAB_SIZE, merges_per_round: int = 200,
+             vocab_size: int = subword.VOCAB_SIZE,
              mono_sample: int | None = None, max_pieces: int = MAX_PIECES, seed: int = SEED) -> Assembly:
     cols = KEY + ["deu", "nds"]
     base = train.select(*cols)
     if wordbook is not None:
         base = base.unionByName(wordbook.select(*cols))
     base = shuffle_reindex(base, KEY, seed)
-    deu_model = subword.train_bpe(base, "deu", vocab_size, merges_per_round)
-    nds_model = subword.train_bpe(base, "nds", vocab_size, merges_per_round)
+    deu_model = subword.train_bpe(base, "deu", vocab_size)
+    nds_model = subword.train_bpe(base, "nds", vocab_size)
     dropped = 0
     corpus = base
     if mono is not None:

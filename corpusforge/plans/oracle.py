@@ -266,9 +266,23 @@ def best_iteration_sql(iterations: int = 3) -> str:
             f"SELECT iteration, round(l, 6) AS valid_loss, iteration = (SELECT it FROM best) AS is_best FROM hist")
 
 
-def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
+def _batched(name: str, rows: str, length: str) -> str:
+    """Batches of 64 rows of similar length."""
+    return f"""
+     {name} AS (SELECT source, pair_id, (row_number() OVER (ORDER BY coalesce({length}, 0), source, pair_id) - 1) // 64 AS b FROM {rows})"""
+
+
+def _batch_loss(scored: str, batches: str) -> str:
+    """AGG6: mean over batches of the batches' token-weighted means."""
+    return (f"(SELECT round(avg(s / n), 6) FROM (SELECT sum(s) AS s, sum(n) AS n FROM {scored} JOIN {batches} USING (source, pair_id) "
+            f"WHERE n > 0 GROUP BY b))")
+
+
+def selection_sql(rounds: int, strategy: str, kind: str = "docs", iterations: int = 2) -> str:
+    """Chained selection rounds; a pair model is the EM iteration with the smallest validation loss, the first of ties."""
     cols = "source, pair_id, pos, text" if kind == "docs" else "source, pair_id, pos, src, tokens"
-    ctes = [DOC_INPUTS if kind == "docs" else PAIR_INPUTS]
+    length = f"len({tok_nds('text')})" if kind == "docs" else "len(src)"
+    ctes = [DOC_INPUTS if kind == "docs" else PAIR_INPUTS, _batched("tb", "test", length)]
     outs = []
     for i in range(rounds):
         size = 500 * 2 ** i + 1
@@ -278,15 +292,23 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
      {_score_cte(f'va{i}', f'train{i}', f'valid{i}')},
      {_score_cte(f'te{i}', f'train{i}', 'test')}"""
         else:
-            scores = f"""{_ibm1_fit(f'm{i}', f'train{i}')},
-     {_ibm1_score(f'sc{i}', f'm{i}', f'win{i}')},
-     {_ibm1_score(f'va{i}', f'm{i}', f'valid{i}')},
-     {_ibm1_score(f'te{i}', f'm{i}', 'test')}"""
+            tried = ",".join(_ibm1_score(f"va{i}_{k}", f"m{i}", f"valid{i}", f"t{k}") for k in range(1, iterations + 1))
+            hist = " UNION ALL ".join(f"SELECT {k} AS k, {_batch_loss(f'va{i}_{k}', f'vb{i}')} AS l" for k in range(1, iterations + 1))
+            best = " UNION ALL ".join(f"SELECT * FROM m{i}_t{k} WHERE (SELECT k FROM it{i}) = {k}" for k in range(1, iterations + 1))
+            scores = f"""{_ibm1_fit(f'm{i}', f'train{i}', iterations)},
+     {tried},
+     hist{i} AS ({hist}),
+     it{i} AS (SELECT min(k) AS k FROM hist{i} WHERE l = (SELECT min(l) FROM hist{i})),
+     m{i}_best AS ({best}),
+     {_ibm1_score(f'sc{i}', f'm{i}', f'win{i}', 'best')},
+     {_ibm1_score(f'va{i}', f'm{i}', f'valid{i}', 'best')},
+     {_ibm1_score(f'te{i}', f'm{i}', 'test', 'best')}"""
         ctes.append(f"""
      split{i} AS (SELECT *, row_number() OVER (ORDER BY {hash_rank(h)}, source, pair_id) AS rn,
                          count(*) OVER () AS n FROM pool{i}),
      train{i} AS (SELECT {cols} FROM split{i} WHERE rn > ceil(0.1e0 * n)),
      valid{i} AS (SELECT {cols} FROM split{i} WHERE rn <= ceil(0.1e0 * n)),
+     {_batched(f"vb{i}", f"valid{i}", length)},
      win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pos, source, pair_id) <= {size}),
      {scores},
      q{i} AS (SELECT quantile_cont(loss, 0.25) AS q FROM sc{i})""")
@@ -310,12 +332,12 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs") -> str:
                          ((ceil((SELECT count(*) FROM train{i}) / 64) + ceil((SELECT count(*) FROM valid{i}) / 64))
                            * 64)::BIGINT AS total_samples,
                          {'round((SELECT q FROM q' + str(i) + '), 6)' if strategy == 'loss' else 'NULL::DOUBLE'} AS quantile,
-                         round((SELECT sum(s) / sum(n) FROM va{i}), 6) AS best_valid_loss,
-                         round((SELECT sum(s) / sum(n) FROM te{i}), 6) AS test_loss,
+                         {_batch_loss(f'va{i}', f'vb{i}')} AS best_valid_loss,
+                         {_batch_loss(f'te{i}', 'tb')} AS test_loss,
                          round((SELECT sum(round(loss * 1e6)::BIGINT) / count(loss) / 1e6 FROM sc{i}), 6)
                            AS residual_loss,
-                         round(exp((SELECT sum(s) / sum(n) FROM va{i})), 6) AS valid_ppl,
-                         round(exp((SELECT sum(s) / sum(n) FROM te{i})), 6) AS test_ppl)""")
+                         round(exp({_batch_loss(f'va{i}', f'vb{i}')}), 6) AS valid_ppl,
+                         round(exp({_batch_loss(f'te{i}', 'tb')}), 6) AS test_ppl)""")
         outs.append(i)
     acc = " UNION ALL ".join(f"SELECT {i} AS round, pair_id, loss FROM acc{i}" for i in outs)
     stats = " UNION ALL ".join(f"SELECT * FROM stats{i}" for i in outs)

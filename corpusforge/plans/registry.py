@@ -270,7 +270,7 @@ def q_bleu_chars_pairs(spark, sf):
 
 def _bpe_model(spark, sf):
     return _memo(spark, ("bpe", sf), lambda: subword.train_bpe(
-        tables.trusted_documents(spark, sf), "text", vocab_size=subword.VOCAB_SIZE, merges_per_round=200))
+        tables.trusted_documents(spark, sf), "text", vocab_size=subword.VOCAB_SIZE))
 
 
 def q_bpe_pair_counts_trusted(spark, sf):

@@ -1,8 +1,9 @@
 """Self-learning data selection (PIP1) and its random-pick baseline (PIP2).
 
 Before round 0 the rows of the test set leave both tables (JOI2).  Round i:
-  split the trusted pool (SMP1, seed and round in the hash) -> fit the count
-  model on the train split -> validation and test loss -> candidate window of
+  split the trusted pool (SMP1, seed and round in the hash) -> fit the
+  model on the train split, of several iterations the one with the smallest validation loss (AGG7) ->
+  validation and test loss, each the mean over length batches of the batches' token-weighted means (AGG6) -> candidate window of
   500 * 2**i + 1 rows in file order (WIN2) -> per-row loss (AGG5) -> exact
   0.25 quantile (AGG4) -> accept ``loss <= quantile`` (FLT4), or a seeded
   random quarter for the baseline (SMP3/SMP4) -> pool += accepted (SET1) ->
@@ -28,16 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import tokenize_nds
-from corpusforge.operators import lm
+from corpusforge.operators import bleu, lexical, lm
+from corpusforge.operators.batching import BATCH_SIZE, length_batches
 from corpusforge.operators.joins import join_small
 from corpusforge.operators.leakage import remove_leaks
 from corpusforge.operators.ordering import dense_index, exact_quantile
 from corpusforge.operators.sampling import (ACCEPT_SHARE, SEED, VALID_SHARE, accept_count, candidate_window,
                                             sample_n, train_valid_split, window_size)
+from corpusforge.operators.udf import add_tokens
 from corpusforge.session import materialize, scratch_path
 
 KEY = ["source", "pair_id"]
-BATCH_SIZE = 64
 
 ROUND_STATS_SCHEMA = (
     "run_id string, round int, best_valid_loss double, epoch_mins int, epoch_secs int, "
@@ -52,14 +54,26 @@ def total_samples(n_train: int, n_valid: int, batch_size: int = BATCH_SIZE) -> i
     return (math.ceil(n_train / batch_size) + math.ceil(n_valid / batch_size)) * batch_size
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", lower: bool = False) -> DataFrame:
-    return df.withColumn("tokens", tokenize_nds(F.col(text_col), lower))
+def with_tokens(df: DataFrame, text_col: str = "text", lower: bool = False, tokenizer=None) -> DataFrame:
+    """Adds ``tokens``: by STR1, or by ``tokenizer`` (a Column function or a foreign tokenizer), which then sees lower-cased text with ``lower``."""
+    if tokenizer is None:
+        return df.withColumn("tokens", tokenize_nds(F.col(text_col), lower))
+    if not lower:
+        return add_tokens(df, text_col, tokenizer)
+    return add_tokens(df.withColumn("_lower", F.lower(text_col)), "_lower", tokenizer).drop("_lower")
 
 
-def weighted_loss(scored: DataFrame) -> float | None:
-    """Token-weighted mean loss of a scored table."""
-    r = scored.agg((F.sum("sum_nll") / F.sum("n_tok")).alias("l")).first()
-    return None if r["l"] is None else float(r["l"])
+def loss_batches(df: DataFrame, length) -> DataFrame:
+    """``(source, pair_id, batch_id)``: batches of ``BATCH_SIZE`` rows of similar length (WIN3)."""
+    rows = df.select(*KEY, F.coalesce(length, F.lit(0)).alias("_len"))
+    return materialize(length_batches(rows, KEY, F.col("_len"), BATCH_SIZE).select(*KEY, "batch_id"))
+
+
+def batch_loss(scored: DataFrame, batches: DataFrame) -> float | None:
+    """AGG6 of a scored table; rows without tokens take no part, None without any row."""
+    rows = scored.filter(F.col("n_tok") > 0).join(batches, KEY)
+    r = lm.split_loss(rows).first()["split_loss"]
+    return None if r is None else float(r)
 
 
 def score_round(trusted_train: DataFrame, window: DataFrame, tokens_col: str = "tokens"):
@@ -85,7 +99,11 @@ class UnigramScorer:
     """Text tables: add-one unigram model over a token column."""
     tokens_col: str = "tokens"
 
-    def fit(self, train: DataFrame):
+    @property
+    def length(self):
+        return F.size(self.tokens_col)
+
+    def fit(self, train: DataFrame, valid: DataFrame | None = None, batches: DataFrame | None = None):
         return lm.fit_unigram(train, self.tokens_col)
 
     def score(self, model, df: DataFrame) -> DataFrame:
@@ -94,22 +112,25 @@ class UnigramScorer:
 
 @dataclass
 class LexicalScorer:
-    """Pair tables: IBM Model 1 fitted by EM on the train split."""
+    """Pair tables: IBM Model 1 fitted by EM on the train split; the iteration with the smallest validation
+    loss (by batches, the first of ties) is the model."""
     src_col: str = "src"
     trg_col: str = "tokens"
     iterations: int = 2
 
-    def fit(self, train: DataFrame):
-        from corpusforge.operators import lexical
-        return lexical.fit(train, KEY, self.src_col, self.trg_col, self.iterations)
+    @property
+    def length(self):
+        return F.size(self.src_col)
+
+    def fit(self, train: DataFrame, valid: DataFrame | None = None, batches: DataFrame | None = None):
+        loss_of = None if batches is None else (lambda scored: batch_loss(scored, batches))
+        return lexical.fit(train, KEY, self.src_col, self.trg_col, self.iterations, valid, loss_of=loss_of)
 
     def score(self, model, df: DataFrame) -> DataFrame:
-        from corpusforge.operators import lexical
         return lexical.score(model, df, KEY, self.src_col, self.trg_col)
 
     def bleu(self, model, df: DataFrame) -> float | None:
         """Corpus BLEU of the word-by-word translations of ``df`` against its targets."""
-        from corpusforge.operators import bleu, lexical
         hyp = lexical.translate(lexical.best_translation(model), df, KEY, self.src_col)
         pairs = df.select(*KEY, F.col(self.trg_col).alias("_ref")).join(hyp, KEY)
         return bleu.corpus_bleu(pairs, KEY, "hyp", "_ref").first()["bleu"]
@@ -129,13 +150,13 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
                   rounds: int = 14, strategy: str = "loss", run_id: str | None = None,
                   out_dir: str | None = None, seed: int = SEED, valid_share: float = VALID_SHARE,
                   q: float = ACCEPT_SHARE, tokens_col: str = "tokens", scorer=None,
-                  resume: bool = False, bleu: bool = False, leak_cols: list[str] | None = None) -> SelectionRun:
+                  resume: bool = False, with_bleu: bool = False, leak_cols: list[str] | None = None) -> SelectionRun:
     """PIP1 (``strategy='loss'``) or PIP2 (``strategy='random'``).
 
     ``trusted``/``candidates``/``test``: text or pair tables with ``source``,
     ``pair_id``, ``pos`` and token array column(s).  ``scorer`` has
-    ``fit(train) -> model`` and ``score(model, df) -> (key, n_tok, sum_nll,
-    loss)``; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
+    ``fit(train, valid, batches) -> model``, ``score(model, df) -> (key, n_tok, sum_nll,
+    loss)`` and ``length``, the column whose order makes the batches of the losses; the default is the unigram model over ``tokens_col``.  Outputs under ``out_dir``:
     ``trusted``, ``order`` (candidate keys by rank), ``split/round=i``, ``accepted/round=i``, ``rejected/round=i``,
     ``losses/round=i`` (long loss summary) and ``round_stats/round=i``, each
     written with overwrite so a retried round replaces its own output.
@@ -144,7 +165,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
     ``candidates`` first.  The random strategy scores no candidates, so its losses are null.
     ``resume=True`` with an existing ``out_dir`` continues after the last round
     whose statistics row was written.
-    ``bleu=True`` (scorers with a ``bleu`` method) fills ``test_bleu`` with the
+    ``with_bleu=True`` (scorers with a ``bleu`` method) fills ``test_bleu`` with the
     corpus BLEU of the round's model on the test table.
     """
     spark = trusted.sparkSession
@@ -182,6 +203,7 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         near = all_cands.filter(F.col("pos").between(ends["lo"], ends["hi"]))
         return join_small(near, keys.select(*KEY), KEY, "left_semi")
 
+    test_batches = loss_batches(test, scorer.length) if test is not None else None
     start = 0
     if resume:
         while start < rounds and exists("round_stats", start) and exists("accepted", start) \
@@ -216,10 +238,11 @@ def run_selection(trusted: DataFrame, candidates: DataFrame, test: DataFrame | N
         sizes = split.groupBy("split").count().collect()      # two rows
         n_train = sum(r["count"] for r in sizes if r["split"] == "train")
         n_valid = sum(r["count"] for r in sizes if r["split"] == "valid")
-        model = scorer.fit(train)
-        valid_loss = weighted_loss(scorer.score(model, valid))
-        test_loss = weighted_loss(scorer.score(model, test)) if test is not None else None
-        test_bleu = scorer.bleu(model, test) if bleu and test is not None and hasattr(scorer, "bleu") else None
+        batches = loss_batches(valid, scorer.length)
+        model = scorer.fit(train, valid if n_valid else None, batches)
+        valid_loss = batch_loss(scorer.score(model, valid), batches)
+        test_loss = batch_loss(scorer.score(model, test), test_batches) if test is not None else None
+        test_bleu = scorer.bleu(model, test) if with_bleu and test is not None and hasattr(scorer, "bleu") else None
         fit_secs = time.time() - t0
 
         t1 = time.time()

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Arrow batches between Spark and Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+
 _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -91,12 +94,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return spark.read.parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` (the session keeps the setting).
+
+    Spark measures a batch after every row at a cost that grows with its rows, so batches of 10 000 short rows take
+    several times as long as ten of 1 000; texts may be long, so bytes are bounded too.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

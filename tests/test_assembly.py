@@ -15,7 +15,7 @@ def test_assembly_invariants(spark):
     book = pairs("wordbook", [("Huus", "Haus"), ("Boom", "Baum")])
     long_text = " ".join(["hier"] * 70)
     mono = pairs("mono", [("dat geiht", "das geht"), (long_text, long_text), ("nee", "nein")])
-    a = assembly.assemble(train, book, mono, vocab_size=40, merges_per_round=4, max_pieces=60)
+    a = assembly.assemble(train, book, mono, vocab_size=40, max_pieces=60)
     rows = a.corpus.collect()
     assert sorted(r["idx"] for r in rows) == list(range(len(rows)))
     ranks = {(x, y): r for r, x, y in a.deu_model.merges}

@@ -51,7 +51,7 @@ def test_pair_run_records_test_bleu(spark):
     p = p.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
     test = tables.candidate_pairs(p).limit(0).unionByName(tables.trusted_pairs(p))
     run = selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=1,
-                                  strategy="random", scorer=selection.LexicalScorer(), bleu=True)
+                                  strategy="random", scorer=selection.LexicalScorer(), with_bleu=True)
     got = run.stats[0][10]
     # the same number, computed directly from round 0's train split
     split = spark.read.parquet(os.path.join(run.out_dir, "split", "round=0"))
