@@ -12,8 +12,9 @@ distance of short sketches and verified on the whole sets.
 
 Documents with equal sets are one node.  Keys met in many documents come last in the
 order of keys, so that only documents made of little else use them.  A bucket with more
-than ``HOT`` nodes is compared with its smallest node first; then only pairs that lie in
-different components are compared, those nearest by sketch before the rest.
+than ``HOT`` nodes is compared with its smallest node first; then, of buckets with the same members one, the nodes
+outside the bucket's main component are compared with the others by their sketches in blocks, which hands on only the pairs
+that the sketches don't rule out: for each node the nearest of another component first, then all that are left.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ NUM, DEN = 75, 100
 # A band with m blocks (a power of four) takes sizes of FILL[0] * m to FILL[1] * m.
 FILL = (0.6, 3.2)
 HOT = 24
+# Nodes outside their bucket's main component that a task holds while the others of the bucket pass by, and others at a time.
+CHUNK, PASSING = 1024, 128
 # At most so many keys go last, those met most often; which ones they are never changes the result.
 MAX_LATE = 1 << 16
 # Slices of text after which a task reports the keys it met more than once.
@@ -42,6 +45,8 @@ WINDOW_SLICES = 16
 GROUP_ROWS = 200_000
 # Keys met once are dropped at the source by a bit map of this size.
 SIEVE_BITS = 1 << 24
+# Nodes that a task remembers to have shown, at most; a node beyond that may come twice.
+SEEN = 1 << 20
 _SPACES = words.space_classes()
 _MULTIPLIERS = words.numbers(64, 3) | np.uint64(1)
 
@@ -162,13 +167,51 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(x != y))
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of packed sketches at half their length."""
+    wide = np.unpackbits(bits, axis=1)
+    return np.packbits(wide[:, ::2] ^ wide[:, 1::2], axis=1)
+
+
+class _Sketches:
+    """Nodes with their sketches, by the sketches' length in bytes (a power of two, 8 at least)."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, comp: np.ndarray, sketches: list[bytes]):
+        self.node, self.size, self.comp = node, size.astype(np.int64), comp
+        length = np.array([len(x) for x in sketches])
+        self.by_length = {int(n): (at := np.flatnonzero(length == n), np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(-1, n)) for n in np.unique(length)}
+
+    def near(self, other: _Sketches, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (place here, place in ``other``) of different components whose sketches are near enough, and their distances."""
+        out = []
+        for n, (i, x) in self.by_length.items():
+            for m, (j, y) in other.by_length.items():
+                s, t = self.size[i][:, None], other.size[j][None, :]
+                fits = (den * np.minimum(s, t) >= num * np.maximum(s, t)) & (self.comp[i][:, None] != other.comp[j][None, :])
+                at, to = np.nonzero(fits)
+                if not len(at):
+                    continue
+                u, v = x, y
+                while u.shape[1] != v.shape[1]:
+                    u, v = (_folded(u), v) if u.shape[1] > v.shape[1] else (u, _folded(v))
+                u, v = (np.ascontiguousarray(z).view(np.uint64 if z.shape[1] % 8 == 0 else np.uint8) for z in (u, v))
+                apart = np.zeros(len(at), dtype=np.int64)
+                for w in range(u.shape[1]):
+                    apart += np.bitwise_count(u[at, w] ^ v[to, w])
+                keep = apart * (den + num) <= (den - num) * (self.size[i][at] + other.size[j][to])
+                out.append((i[at[keep]], j[to[keep]], apart[keep]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(z) for z in zip(*out))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int):
-        self.rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, extra: list[str]):
+        self.rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)])
         self.kind = self.rows.schema["id"].dataType.simpleString()
         self.n, self.num, self.den = n, num, den
         self.repeats = False  # whether some id and text come in several rows
@@ -176,13 +219,14 @@ class _Join:
     def nodes(self) -> DataFrame:
         """``id, node, size`` of every row."""
         n = self.n
+        extra = [f for f in self.rows.schema.fields if f.name not in ("id", "text")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1):
                 digest, size = nodes_of(*ngram_sets(*text_buffer(b.column(1)), n), b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), _signed(digest), pa.array(size)], ["id", "node", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _signed(digest), pa.array(size), *b.columns[2:]], ["id", "node", "size", *b.schema.names[2:]])
 
-        return in_arrow(self.rows, run, f"id {self.kind}, node bigint, size bigint")
+        return in_arrow(self.rows, run, f"id {self.kind}, node bigint, size bigint" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra))
 
     def _keys(self, hot: np.ndarray, sieve: np.ndarray | None, common: bool) -> DataFrame:
         """Keys of the nodes, each node once in a task.
@@ -208,7 +252,8 @@ class _Join:
                 for i, x in enumerate(digest.tolist()):
                     if size[i] and x not in seen:
                         fresh[i] = True
-                        seen.add(x)
+                        if len(seen) < SEEN:
+                            seen.add(x)
                 kd, key = block_keys(doc, code, np.where(fresh, size, 0), late.value, num, den)
                 if common:
                     held.append(key)
@@ -333,18 +378,74 @@ class _Join:
         split = placed.groupBy("key").agg(F.mode("comp").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
         return stored(placed.join(split.select("key", "main"), "key"), "join-open")
 
-    def across(self, open_: DataFrame, only_nearest: bool) -> DataFrame:
-        """Pairs between the components that meet in a bucket.
+    def inside(self, open_: DataFrame, sketches: DataFrame, only_nearest: bool) -> DataFrame:
+        """``a, b, distance`` of nodes ``a`` outside their bucket's main component and nodes ``b`` of other components in the bucket whose
+        sketches do not rule them out; ``only_nearest``: of each ``a`` in a bucket the nearest (ties: smallest ``b``).
 
-        ``only_nearest``: of nodes outside their bucket's main component, in one bucket each.
+        Of buckets with the same members only one is searched.  Outside nodes are dealt into chunks by hash, past each of
+        which the other members stream.
         """
-        outside = open_.filter("comp <> main")
+        num, den = self.num, self.den
+        hashed = F.xxhash64("node")
+        same = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(hashed.bitwiseAND((1 << 40) - 1)).alias("h0"), F.expr("bit_xor(xxhash64(node))").alias("h1"),
+                                        F.count_if(F.col("comp") != F.col("main")).alias("out"))
+        one = same.groupBy("m", "h0", "h1").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", F.ceil(F.col("k.out") / CHUNK).cast("int").alias("chunks"))
+        rows = open_.join(one, "key").join(sketches.select("node", "sketch"), "node")
+        outside = rows.filter("comp <> main").select("key", F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"),
+                                                     "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
+        others = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"),
+                             "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
+        both = outside.unionByName(others).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role", "node")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            table: _Sketches | None = None
+            best: dict[int, tuple[int, int]] = {}
+            now = None
+
+            def done() -> pa.RecordBatch:
+                at = list(best)
+                return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([best[x][1] for x in at], pa.int64()),
+                                                   pa.array([best[x][0] for x in at], pa.int64())], ["a", "b", "distance"])
+
+            for b in batches:
+                key, chunk, role, node, size, comp, out = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+                bits = b.column(7).to_pylist()
+                edge = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
+                for part in np.split(np.arange(b.num_rows), edge):
+                    if not len(part):
+                        continue
+                    i = part[0]
+                    if (key[i], chunk[i]) != now:
+                        if best:
+                            yield done()
+                        now, held, table, best = (key[i], chunk[i]), [], None, {}
+                    mine = (node[part], size[part], comp[part], out[part], [bits[j] for j in part])
+                    if role[i] == 0:
+                        held.append(mine)
+                        continue
+                    if not held:
+                        continue
+                    if table is None:
+                        table = _Sketches(*(np.concatenate(x) for x in list(zip(*held))[:3]), [y for x in held for y in x[4]])
+                    for c in range(0, len(part), PASSING):
+                        z = slice(c, c + PASSING)
+                        passing = _Sketches(*(x[z] for x in mine[:3]), mine[4][z])
+                        a, o, apart = table.near(passing, num, den)
+                        if only_nearest:
+                            for x, y, d in zip(table.node[a].tolist(), passing.node[o].tolist(), apart.tolist()):
+                                if x not in best or (d, y) < best[x]:
+                                    best[x] = (d, y)
+                        else:
+                            once = ~mine[3][z][o] | (table.node[a] < passing.node[o])  # two outside nodes meet twice
+                            yield pa.RecordBatch.from_arrays([pa.array(table.node[a][once]), pa.array(passing.node[o][once]), pa.array(apart[once])], ["a", "b", "distance"])
+            if best:
+                yield done()
+
+        found = in_arrow(both, run, "a bigint, b bigint, distance bigint")
         if only_nearest:
-            outside = outside.groupBy("node").agg(F.min(F.struct("key", "size", "comp")).alias("m")).select("node", "m.*")
-        outside = outside.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
-        other = open_.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
-        alike = self.den * F.least("sa", "sb") >= self.num * F.greatest("sa", "sb")
-        return outside.join(other, "key").filter((F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+            return found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
+        return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
     def grams(self, wanted: DataFrame, whole: bool) -> DataFrame:
         """``node`` and its set (``whole``; 48 bits of each hash) or ``size, sketch``, from one document (``id``) of each wanted node."""
@@ -421,8 +522,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM,
-                       num: int = NUM, den: int = DEN) -> DataFrame:
-    """``id_col, n_shingles, component_id``, one row per input row.
+                       num: int = NUM, den: int = DEN, extra: list[str] | None = None) -> DataFrame:
+    """``id_col, n_shingles, component_id`` and the columns ``extra``, one row per input row.
 
     Two documents are linked if ``den * |intersection| >= num * |union|`` of their sets of word n-grams
     (``n`` words; with fewer words the whole sequence; without words none), and
@@ -431,7 +532,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others, and have a null component only if no row they reach has an id; a repeated row
     is in its copies' component; an empty table gives an empty result; other columns are ignored.
     """
-    job = _Join(docs, id_col, text_col, n, num, den)
+    job = _Join(docs, id_col, text_col, n, num, den, extra or [])
     rows = stored(job.nodes(), "join-rows")
     job.repeats = not rows.groupBy("id", "node").count().filter("count > 1").isEmpty()
     spots = rows.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"))
@@ -452,15 +553,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if open_.isEmpty():
                 break
             if not widened:  # nodes without any pair so far; buckets only close from here on
-                extra = stored(open_.select("node").distinct().join(known, "node", "left_anti").join(spots, "node"), "join-nodes")
-                if not extra.isEmpty():
-                    sketches = sketches.unionByName(stored(job.grams(extra, False), "join-sketches"))
-                    known = known.unionByName(extra)
+                lone = stored(open_.select("node").distinct().join(known, "node", "left_anti").join(spots, "node"), "join-nodes")
+                if not lone.isEmpty():
+                    sketches = sketches.unionByName(stored(job.grams(lone, False), "join-sketches"))
+                    known = known.unionByName(lone)
                 widened = True
-            todo = job.across(open_, only_nearest=step == "nearest")
-        near = job.near(todo, sketches)
-        if step == "nearest":
-            near = near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        near = job.near(todo, sketches) if step == "rest" else job.inside(open_, sketches, only_nearest=step == "nearest")
         more = stored(job.links(near.select("a", "b"), known), "join-edges")
         if not more.isEmpty():
             edges = edges.unionByName(more)
@@ -471,14 +569,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = stored(alone.join(placed, "node", "left").select("node", F.coalesce("least", "own").alias("component")), "join-components")
     return rows.join(whole, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+        F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"),
+        *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra or [])])
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns kept.
+    """``docs`` with one document of each component, that of the smallest id; all columns kept, whatever their names.
 
-    Documents without words are all kept, and so is every row that repeats the kept id.
+    Documents without words are all kept.  A row goes if its id is not its component's, so of rows that share an id
+    only those in a component with a smaller id go, and every row that repeats the kept id and text stays.  A row with a null id
+    goes if its component has an id, and stays otherwise.
     """
-    found = similar_components(docs, id_col, text_col)
-    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "similar")
-    return docs.join(broadcast_if_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    job_rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_digest"), F.col(text_col).alias("text"))
+    found = similar_components(job_rows, "id", "text", extra=["text_digest"])
+    gone = found.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    gone = stored(gone.select("id", "text_digest").distinct(), "similar")
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    key = F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), 256)
+    kept = whole.join(broadcast_if_small(gone), F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (key == F.col("text_digest")), "left_anti")
+    return kept.select("row.*")

@@ -159,3 +159,37 @@ def test_connected_components(spark):
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
     assert ngram_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_drop_similar_goes_by_row(spark, docs_of):
+    """A kept or dropped id never takes another text of the same id with it; null ids and clashing columns are handled."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (5, " ".join(base + ["tail"])), (5, "an unrelated text of the same id"), (5, "an unrelated text of the same id"),
+            (None, " ".join(["head"] + base)), (None, "alone without any id"), (7, None), (8, ""), (1, " ".join(base))]
+    df = docs_of(rows)
+    for name in ("_gone", "text_digest", "row", "n_shingles", "component_id"):
+        df = df.withColumn(name, df["source"])
+    kept = ngram_join.drop_similar(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, " ".join(base)), (1, " ".join(base)), (5, rows[2][1]), (5, rows[2][1]), (None, rows[5][1]), (7, None), (8, "")], key=str)
+
+
+def test_sketches_in_blocks_match_one_by_one():
+    """Distances of blocks of sketches, folded where lengths differ, and none near enough left out."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+
+    def table(n):
+        sets = [np.unique(words.mix(rng.integers(0, 400, int(rng.integers(1, 400))).astype(np.uint64))) for _ in range(n)]
+        return sets, ngram_join._Sketches(np.arange(n), np.array([len(s) for s in sets]), rng.integers(0, 3, n), [ngram_join.sketch(s) for s in sets])
+    for _ in range(5):
+        (x, a), (y, b) = table(40), table(30)
+        i, j, d = a.near(b, 75, 100)
+        got = dict(zip(zip(i.tolist(), j.tolist()), d.tolist()))
+        for p in range(40):
+            for q in range(30):
+                s, t = len(x[p]), len(y[q])
+                apart = ngram_join.sketch_distance(ngram_join.sketch(x[p]), ngram_join.sketch(y[q]))
+                near = 100 * min(s, t) >= 75 * max(s, t) and a.comp[p] != b.comp[q] and apart * 175 <= 25 * (s + t)
+                assert ((p, q) in got) == near and (not near or got[p, q] == apart)
