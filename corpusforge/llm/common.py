@@ -45,6 +45,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(docs: DataFrame, gone: DataFrame, match) -> DataFrame:
+    """``docs`` without the rows that match a row of ``gone``; all columns are kept, whatever their names.
+
+    ``match(column)`` is the condition, where ``column(name)`` is a column of ``docs`` and the columns of ``gone`` go by their names.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    marks = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in gone.columns])
+    kept = whole.join(broadcast_if_small(marks), match(lambda c: F.col(f"_row.`{c}`")), "left_anti")
+    return kept.select("_row.*")
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its texts (one more than rows)."""
     _, offsets, data = column.buffers()

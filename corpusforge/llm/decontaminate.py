@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import broadcast_if_small, stored
+from corpusforge.llm.common import broadcast_if_small, stored, without
 
 WINDOW = 13
 GRAM = 8
@@ -146,6 +146,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without contaminated texts, all columns kept."""
     marks = contamination(docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("id"), F.col(text_col).alias("text")),
                           items, "id", "text")
-    bad = stored(marks.filter("contaminated").select(F.col("id").alias("_bad")).distinct(), "contaminated")
-    key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
-    return docs.join(broadcast_if_small(bad), key == F.col("_bad"), "left_anti")
+    bad = stored(marks.filter("contaminated").select("id").distinct(), "contaminated")
+    return without(docs, bad, lambda c: F.unhex(F.md5(F.coalesce(c(text_col), F.lit("")))) == F.col("_gone_id"))

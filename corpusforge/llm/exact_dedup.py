@@ -65,12 +65,23 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where an id occurs with several texts, the kept ``(id, text)`` pairs stay; exact
     repeats of such a pair leave one row.
     """
-    marks = exact_duplicates(docs, id_col, text_col, hash_all=True)
-    pairs = stored(marks.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
+    marks = exact_duplicates(docs, id_col, text_col).filter("text_sha256 IS NOT NULL")  # texts ruled out before the full hash stay
+    pairs = stored(marks.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(
         F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-marks")
-    gone = broadcast_if_small(pairs.filter("NOT kept").select("_id", "_sha"))
-    tagged = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    out = tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged["_text_sha"] == gone["_sha"]), "left_anti")
-    if not pairs.filter("kept AND n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_text_sha"])
-    return out.drop("_text_sha")
+    twice = pairs.filter("kept AND n > 1")
+    repeats = not twice.isEmpty()
+    concerned = pairs.filter("NOT kept OR n > 1").select(F.col("id").alias("_id"), F.lit(True).alias("_open")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    key, text = F.col(f"_row.`{id_col}`"), F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
+    # only texts of ids that lose a row are hashed again
+    tagged = whole.join(broadcast_if_small(concerned), key.eqNullSafe(F.col("_id")), "left") \
+                  .select("_row", F.when(F.col("_open"), F.sha2(text, 256)).alias("_sha"))
+    gone = pairs.filter("NOT kept").select(F.col("id").alias("_gone_id"), F.col("sha").alias("_gone_sha"))
+    out = tagged.join(broadcast_if_small(gone), key.eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    if repeats:
+        out = stored(out, "dedup-kept")
+        again = twice.select(F.col("id").alias("_twice_id"), F.col("sha").alias("_twice_sha"))
+        same = key.eqNullSafe(F.col("_twice_id")) & (F.col("_sha") == F.col("_twice_sha"))
+        once = out.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["_key", "_sha"]).select("_row")
+        out = out.join(again, same, "left_anti").select("_row").unionByName(once)
+    return out.select("_row.*")

@@ -2,7 +2,8 @@
 
 The standard library's parser streams events into lines: one line per block of text,
 with the characters of text, the tags met in it and the elements around it.  Lines inside
-page furniture (menus, footers, forms, adverts, comments, ...) are set aside.  Each
+page furniture (menus, footers, forms, adverts, comments, ...) are set aside; elements that only their
+name calls furniture count as such unless they hold an article, or most of the text of a page without any.  Each
 remaining line has a text-to-tag ratio; the ratios are smoothed with a Gaussian kernel
 and cut at their standard deviation.  The lines above the cut vote for the element
 that holds the content, and the text is every line of that element, long or short.
@@ -11,7 +12,7 @@ that holds the content, and the text is every line of that element, long or shor
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,7 +35,7 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
     thead title tr ul""".split())
 HOLDERS = frozenset("article main section div td body blockquote".split())
 FURNITURE = frozenset("""head nav footer aside form script style noscript template svg canvas iframe object embed button select
-    textarea input label fieldset menu dialog audio video map math title""".split())
+    textarea input label fieldset menu dialog audio video map title""".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog directory form menu menubar navigation search toolbar".split())
 NAMES = frozenset("""ad ads adbox adslot adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner
     menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead sidebar sidebars widget widgets related recommended
@@ -42,9 +43,22 @@ NAMES = frozenset("""ad ads adbox adslot adsense advert adverts advertisement ad
     subscription signup login share sharing social pagination pager comment comments commentlist reply replies respond disqus discussion
     copyright legal skip""".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# A name that begins so speaks of what the element has or lacks, one that ends so of content.
+ABOUT = frozenset("has had no not non with without is".split())
+CONTENT = frozenset("article body content copy entry layout main open page post story text wrapper container".split())
+
+
+def _named_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is furniture's: the whole name, or its first or last part."""
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if name.lower() in NAMES or parts and parts[0] not in ABOUT and parts[-1] not in CONTENT and (parts[0] in NAMES or parts[-1] in NAMES):
+            return True
+    return False
 
 
 def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Furniture by its tag or attributes, whatever it holds."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
     for name, value in attrs:
@@ -56,36 +70,47 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: boo
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("article", "main", "header"):
-            if any(p.lower() in NAMES for p in _PARTS.findall(value)):
-                return True
         if name in ("class", "id") and tag == "article" and re.search(r"comment|repl(y|ies)", value, re.I):
             return True
     return False
 
 
+def _is_suspect(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Furniture by its name, unless it turns out to hold an article or most of the page's text."""
+    return tag not in ("article", "main", "header", "body", "html") and any(name in ("class", "id") and value and _named_furniture(value) for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects ``rows``: (text, tags in the line, link characters, innermost holder, in a list), and each holder's ``parent``."""
+    """Collects ``rows``: (text, tags in the line, link characters, innermost holder, in a list, innermost suspect), and
+    each holder's ``parent``; of each suspect the one around it, and whether it holds an article."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, int, bool]] = []
+        self.rows: list[tuple[str, int, int, int, bool, int]] = []
+        self.around = [0]  # of suspect 0, which is none, and of those that open
+        self.vouched = [True]  # theirs: an article within
         self.parent = [0]  # of holder 0, the page, and of those that open
         self.tag = ["html"]  # theirs
-        self.open: list[tuple[str, bool, int]] = []  # tag, furniture, innermost holder
+        self.open: list[tuple[str, bool, int, int] | None] = []  # tag, furniture, innermost holder and suspect; None: ended out of order
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in ``open``
+        self.holding: list[int] = []  # places of holders in ``open``
         self.depth: Counter[str] = Counter()
         self.hidden = self.links = self.lists = self.articles = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.has_article = False
 
     def flush_line(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.rows.append((text, self.tags, self.linked, self._holder(), self.lists > 0))
+            self.rows.append((text, self.tags, self.linked, self._holder(), self.lists > 0, self._suspect()))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _holder(self) -> int:
         return self.open[-1][2] if self.open else 0
 
+    def _suspect(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
     def _count(self, tag: str, furniture: bool, by: int) -> None:
         self.depth[tag] += by
         self.hidden += by * furniture
@@ -110,20 +135,38 @@ class Lines(HTMLParser):
         if tag in BLOCK and self.open and self.open[-1][0] == "p":
             self._pop()  # a paragraph ends where another block begins
         furniture = _is_furniture(tag, attrs, self.articles > 0)
-        if furniture and not self.hidden:
-            self.flush_line()
+        holder, suspect = self._holder(), self._suspect()
+        if not furniture and not self.hidden and _is_suspect(tag, attrs):
+            if tag in BLOCK or not self.parts:  # inside a line, a suspect's text goes with the line's
+                self.around.append(suspect)
+                self.vouched.append(False)
+                suspect = len(self.around) - 1
+            else:
+                furniture = True
+        if tag in ("article", "main") and not furniture and not self.hidden:
+            self.has_article = True
+            s = suspect
+            while not self.vouched[s]:
+                self.vouched[s] = True
+                s = self.around[s]
         if tag in HOLDERS:
-            self.parent.append(self._holder())
+            self.parent.append(holder)
             self.tag.append(tag)
-            self.open.append((tag, furniture, len(self.parent) - 1))
-        else:
-            self.open.append((tag, furniture, self._holder()))
+            holder = len(self.parent) - 1
+            self.holding.append(len(self.open))
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, furniture, holder, suspect))
         self._count(tag, furniture, 1)
 
-    def _pop(self) -> str:
-        tag, furniture, _ = self.open.pop()
+    def _pop(self) -> None:
+        """End the innermost element that is open, and places of elements that ended out of order before it."""
+        tag, furniture, *_ = self.open.pop()
+        self.places[tag].pop()
+        if tag in HOLDERS:
+            self.holding.pop()
         self._count(tag, furniture, -1)
-        return tag
+        while self.open and self.open[-1] is None:
+            self.open.pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -137,16 +180,19 @@ class Lines(HTMLParser):
             self.flush_line()
         if not self.depth[tag]:
             return
-        at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
-        if tag not in BLOCK and any(t in HOLDERS for t, *_ in self.open[at + 1:]):
+        at = self.places[tag][-1]
+        if tag not in BLOCK and self.holding and self.holding[-1] > at:
             # an inline element that was left open around blocks: only itself ends
+            self.places[tag].pop()
             self._count(tag, self.open[at][1], -1)
-            del self.open[at]
+            self.open[at] = None
             return
         if not self.hidden:
             self.tags += 1
-        while self._pop() != tag or len(self.open) > at:
-            pass
+        if self._suspect() and tag not in BLOCK and self.open[at][3] != (self.open[at - 1][3] if at and self.open[at - 1] else 0):
+            self.flush_line()  # a suspect that began a line ends inside it
+        while len(self.open) > at:
+            self._pop()
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![...`` up to the next ``>`` is no text, whatever it holds."""
@@ -166,6 +212,20 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius:-radius] / np.convolve(np.ones_like(ratios), kernel)[radius:-radius]
 
 
+def _cleared(p: Lines) -> list[tuple[str, int, int, int, bool]]:
+    """The lines that lie in no suspect; one that holds an article, or at least half of the text of a page without any, is none."""
+    held = [0] * len(p.around)
+    for text, *_, suspect in p.rows:
+        held[suspect] += len(text)
+    total = sum(held)
+    for s in range(len(held) - 1, 0, -1):  # suspects are numbered as they open
+        held[p.around[s]] += held[s]
+    hides = [False] * len(held)
+    for s in range(1, len(held)):
+        hides[s] = hides[p.around[s]] or not (p.vouched[s] or not p.has_article and 2 * held[s] >= total)
+    return [row[:5] for row in p.rows if not hides[row[5]]]
+
+
 def main_text(html: str) -> str:
     """Text of the content element's lines, joined by one newline; empty if there is none."""
     p = Lines()
@@ -174,7 +234,7 @@ def main_text(html: str) -> str:
     p.feed(html[:end] + re.split(r"<[A-Za-z/!?]", html[end:], maxsplit=1)[0])
     p.close()
     p.flush_line()
-    rows = p.rows
+    rows = _cleared(p)
     if not rows:
         return ""
     ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in rows], dtype=float)

@@ -53,11 +53,12 @@ class Feistel:
                 right = (right + sign * self._round(kind, size, i, left, b)) % b
         return left * b + right
 
-    def permute(self, kind: str, value: int, size: int, valid: Callable[[int], bool] | None = None, back: bool = False) -> int:
-        """The image of ``value``; walks on until the image is in range and valid (``value`` must be both)."""
+    def permute(self, kind: str, value: int, size: int, valid: Callable[[int], bool] | None = None, back: bool = False,
+                context: tuple = ()) -> int:
+        """The image of ``value``; walks on until the image is in range and valid (``value`` must be both).  ``context``: what ``valid`` depends on."""
         if size < 2:
             return value
-        seen = (kind, size, value, back)
+        seen = (kind, size, value, back, context)
         if seen not in self.known:
             a = int(size ** 0.5) or 1
             while a * a < size:
@@ -93,21 +94,42 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def card(f: Feistel, text: str, back: bool = False) -> str | None:
-    """13 to 19 digits with a right check digit (not all the same): all but the check digit are permuted."""
+def _is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn_digit(d[:-1]) == d[-1]
+
+
+def card(f: Feistel, text: str, back: bool = False, behind: tuple[str, ...] = ()) -> str | None:
+    """13 to 19 digits with a right check digit (not all the same): all but the check digit are permuted.
+
+    ``behind``: digits that stand behind it and do not make a longer card number with it; nor do they with the pseudonym.
+    """
     d = _digits(text)
-    if not 13 <= len(d) <= 19 or len(set(d)) == 1 or luhn_digit(d[:-1]) != d[-1]:
+    if not _is_card(d):
         return None
 
     def varied(x: int) -> bool:
         p = f"{x:0{len(d) - 1}d}"
-        return len(set(p + luhn_digit(p))) > 1
-    p = f"{f.permute('card', int(d[:-1]), 10 ** (len(d) - 1), varied, back):0{len(d) - 1}d}"
+        p += luhn_digit(p)
+        return len(set(p)) > 1 and not any(_is_card(p + more) for more in behind)
+    p = f"{f.permute('card', int(d[:-1]), 10 ** (len(d) - 1), varied, back, behind):0{len(d) - 1}d}"
     return _fill(text, p + luhn_digit(p))
 
 
+def card_in(f: Feistel, text: str, begin: int, end: int, back: bool) -> tuple[str | None, int]:
+    """The pseudonym of the longest card number that begins at ``begin`` and ends at a blank or hyphen before ``end`` or there, and its
+    end; else None and where the next number begins."""
+    ends = [end, *(i for i in range(end - 1, begin, -1) if text[i] in " -")]
+    behind: list[str] = []
+    for e in ends:
+        out = card(f, text[begin:e], back, tuple(_digits(text[e:x]) for x in behind))
+        if out is not None:
+            return out, e
+        behind.append(e)
+    return None, ends[-1] + 1 if len(ends) > 1 else end
+
+
 def iban(f: Feistel, text: str, back: bool = False) -> str | None:
-    """A valid IBAN: the account's digits and its letters are permuted, the country stays."""
+    """A valid IBAN, all in capitals or all in small letters: the account's digits and its letters are permuted, the country stays."""
     plain = text.replace(" ", "").upper()
     if not 15 <= len(plain) <= 34 or plain[2:4] != iban_digits(plain[:2], plain[4:]):
         return None
@@ -125,12 +147,13 @@ def iban(f: Feistel, text: str, back: bool = False) -> str | None:
     letters = iter(reversed(new_a))
     account = "".join(next(new_d) if c.isdigit() else next(letters) for c in account)
     new = iter(plain[:2] + iban_digits(plain[:2], account) + account)
-    return "".join(c if c == " " else next(new) for c in text)
+    out = "".join(c if c == " " else next(new) for c in text)
+    return out.lower() if text[0].islower() else out
 
 
 def iban_end(text: str, at: int, end: int) -> int:
     """Where the IBAN that begins at ``at`` ends by its country's length, if words or numbers behind it were read up to ``end``."""
-    left = IBAN_LENGTH.get(text[at:at + 2])
+    left = IBAN_LENGTH.get(text[at:at + 2].upper())
     for i in range(at, end):
         if left == 0:
             return i
@@ -148,7 +171,8 @@ def social(f: Feistel, text: str, back: bool = False) -> str | None:
 
 
 def phone(f: Feistel, text: str, back: bool = False) -> str | None:
-    """A ten-digit telephone number, with or without the country's 1 in front."""
+    """A ten-digit telephone number, with or without the country's 1 in front.  Area codes are not checked: numbers that no exchange
+    gives out are written down as people's numbers all the same."""
     d = _digits(text)
     return _fill(text, d[:-10] + f"{f.permute('phone', int(d[-10:]), 10 ** 10, None, back):010d}")
 
@@ -163,16 +187,25 @@ def address(f: Feistel, text: str, back: bool = False) -> str | None:
 
 
 def date(f: Feistel, text: str, back: bool = False) -> str | None:
-    """A day from 1900 to 2099 as year-month-day, day.month.year or month/day/year; the same day in any form has one pseudonym."""
+    """A day from 1900 to 2099 as year-month-day, day.month.year or month/day/year; the same day in any form has one pseudonym.
+
+    Where the first number of a slashed date can be no month it is the day; its pseudonym is a day that can be no month, too.
+    """
     parts = re.split(r"[-./]", text)
     order = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}[next(c for c in text if not c.isdigit())]
+    late = None
+    if "/" in text and int(parts[0]) > 12:
+        order = (2, 1, 0)
+
+        def late(x: int) -> bool:
+            return datetime.date.fromordinal(x + _FIRST_DAY).day > 12
     try:
         day = datetime.date(*(int(parts[i]) for i in order)).toordinal() - _FIRST_DAY
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    new = datetime.date.fromordinal(f.permute("date", day, _DAYS, None, back) + _FIRST_DAY)
+    new = datetime.date.fromordinal(f.permute("date", day, _DAYS, late, back, ("late",) if late else ()) + _FIRST_DAY)
     out = [""] * 3
     for i, v in zip(order, (new.year, new.month, new.day), strict=True):
         out[i] = f"{v:04d}" if i == order[0] else f"{v:02d}"
@@ -181,17 +214,19 @@ def date(f: Feistel, text: str, back: bool = False) -> str | None:
 
 
 KINDS = {
-    "iban": (iban, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "date": (date, r"(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]\d\.[01]\d\.(?:19|20)\d\d|[01]\d/[0-3]\d/(?:19|20)\d\d"),
+    "iban": (iban, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?"),
+    "date": (date, r"(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]\d\.[01]\d\.(?:19|20)\d\d|[0-3]\d/[0-3]\d/(?:19|20)\d\d"),
     "address": (address, r"\d{1,3}(?:\.\d{1,3}){3}"),
-    "phone": (phone, r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"),
+    "phone": (phone, r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"),
     "social": (social, r"\d{3}-\d{2}-\d{4}"),
     "card": (card, r"\d(?:[ -]?\d){12,18}"),
 }
-_ALL = "|".join(f"(?P<{k}>{p})" for k, (_, p) in KINDS.items())
 # a value does not begin or end inside a longer word or number
 _END = r"(?![\w]|[-./,]\d)"
-_FOUND = re.compile(rf"(?<![\w+-])(?<!\d[.,/])(?=[A-Z0-9+(])(?:{_ALL}){_END}", re.ASCII)
+# a date may have a time of day behind it
+_DATE_END = r"(?!(?!T\d\d:?\d\d)[\w]|[-./,]\d)"
+_ALL = "|".join(f"(?P<{k}>{p}){_DATE_END if k == 'date' else _END}" for k, (_, p) in KINDS.items())
+_FOUND = re.compile(rf"(?<![\w+-])(?<!\d[.,/])(?=[A-Za-z0-9+(])(?:{_ALL})", re.ASCII)
 _IBAN_END = re.compile(_END, re.ASCII)
 _ANY = re.compile(r"\d\d")
 
@@ -207,13 +242,20 @@ def pseudonymise_text(f: Feistel, text: str, back: bool = False) -> tuple[str, d
         kind, begin, end = m.lastgroup, m.start(), m.end()
         if kind == "iban":
             end = iban_end(text, begin, end)
-        out = KINDS[kind][0](f, text[begin:end], back) if _IBAN_END.match(text, end) else None
+        after = begin + 1 if kind == "iban" else end  # words and numbers behind what only looks like an IBAN may be values themselves
+        if kind == "card":
+            out, after = card_in(f, text, begin, end, back)
+            end = after
+        elif kind == "iban" and not _IBAN_END.match(text, end):
+            out = None
+        else:
+            out = KINDS[kind][0](f, text[begin:end], back)
         if out is not None:
             counts[kind] += 1
             parts += [text[done:begin], out]
             done = at = end
-        else:  # words and numbers behind what only looks like an IBAN may be values themselves
-            at = begin + 1 if kind == "iban" else end
+        else:
+            at = after
     return "".join([*parts, text[done:]]), counts
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm import words
-from corpusforge.llm.common import broadcast_if_small, in_arrow, slices, stored, text_buffer
+from corpusforge.llm.common import in_arrow, slices, stored, text_buffer, without
 
 SHAPES = 16
 BUCKETS = 2048 - SHAPES
@@ -215,5 +215,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_rejected(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the texts that score less than ``least``, all columns kept."""
     scores = score(docs, labels, id_col, text_col)
-    bad = stored(scores.filter(F.col("score") < least).select(F.col("text_key").alias("_bad")).distinct(), "quality-rejected")
-    return docs.join(broadcast_if_small(bad), F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("_bad"), "left_anti")
+    bad = stored(scores.filter(F.col("score") < least).select("text_key").distinct(), "quality-rejected")
+    return without(docs, bad, lambda c: F.md5(F.coalesce(c(text_col), F.lit(""))) == F.col("_gone_text_key"))

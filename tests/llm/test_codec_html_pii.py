@@ -148,3 +148,86 @@ def test_pseudonymise_edges(docs_of):
     assert out[1].text is None and out[2].text == "" and out[7].text == EDGES[8][1]
     assert out[50].text == out[51].text != "ip 10.1.2.3" and out[52].text.endswith(out[50].text[2:]) and out[52].n_address == 1
     assert pii.pseudonymise(docs_of([]), b"k").count() == 0
+
+
+@pytest.mark.parametrize("text, kind, left", [
+    ("4111 1111 1111 1111 123", "card", " 123"), ("378282246310005 1234", "card", " 1234"), ("card 4111-1111-1111-1111 99 98", "card", " 99 98"),
+    ("1980-05-06T10:00", "date", "T10:00"), ("born 31/12/2020", "date", ""), ("+12125550147", "phone", ""), ("be68 5390 0754 7034", "iban", ""), ("be68539007547034 und", "iban", " und")])
+def test_values_that_were_left_in_clear(text, kind, left):
+    for key in (b"key", b"other", b"third"):
+        f = pii.Feistel(key)
+        out, counts = pii.pseudonymise_text(f, text)
+        assert counts[kind] == 1 and out != text and len(out) == len(text) and out.endswith(left)
+        assert pii.pseudonymise_text(f, out, back=True) == (text, counts)
+
+
+def test_a_number_behind_another():
+    out, counts = pii.pseudonymise_text(pii.Feistel(b"key"), "no 1234 4111 1111 1111 1111")
+    assert counts["card"] == 1 and out.startswith("no 1234 ") and "4111 1111 1111 1111" not in out
+
+
+def brute_values(text):
+    """Cards, found by trying every run of digit groups; the values that must not stay in the text."""
+    import itertools
+    import re
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", text)]
+    found = []
+    for i, j in itertools.combinations_with_replacement(range(len(groups)), 2):
+        span = text[groups[i][0]:groups[j][1]]
+        d = re.sub(r"\D", "", span)
+        if 13 <= len(d) <= 19 and re.fullmatch(r"\d+(?:[ -]\d+)*", span) and len(set(d)) > 1 and sum(
+                sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0:
+            found.append(span)
+    return found
+
+
+def test_no_card_of_random_rows_of_numbers_stays():
+    import random
+    rng = random.Random(3)
+    f = pii.Feistel(b"key")
+    for _ in range(300):
+        payload = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15, 18])))
+        number = payload + pii.luhn_digit(payload)
+        shown = " ".join(number[i:i + 4] for i in range(0, len(number), 4)) if rng.random() < 0.5 else number
+        text = f"pay {shown} {rng.choice(['', '12', 'now', '4 of 5', '123'])}".strip()
+        out, counts = pii.pseudonymise_text(f, text)
+        assert counts["card"] >= 1 and shown in brute_values(text) and shown not in out
+        assert pii.pseudonymise_text(f, out, back=True)[0] == text
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "content has-header", "post comments-open", "entry-related-work", "article-share", "legal-article", "main header-fixed",
+                                  "page skip-link-target", "main-content-with-footer"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "{}"])
+def test_wrappers_with_names_like_furniture(name, inner):
+    body = "<h1>The title</h1><p>First paragraph of the text with words.</p><p>More of the text, and its end.</p>"
+    for attr in ("class", "id"):
+        page = f"<nav><a href=x>Home</a></nav><div {attr}='{name}'>{inner.format(body)}</div><div class='sidebar'><p>Other</p></div>"
+        assert html_extract.main_text(page) == "The title\nFirst paragraph of the text with words.\nMore of the text, and its end."
+
+
+def test_furniture_inside_a_line_and_formulas():
+    page = "<article><p>After <button>b</button> more text here</p><p>Let <math><mi>x</mi></math> be <span class='share'>Share</span> a number.</p></article>"
+    assert html_extract.main_text(page) == "After more text here\nLet x be a number."
+
+
+def test_end_tags_out_of_order_cost_linear_time():
+    import time
+    took = []
+    for n in (4000, 16000):
+        begin = time.process_time()
+        html_extract.main_text("<b>" * n + "<i>" * n + "<div>text</div>" + "</b>" * n)
+        took.append(time.process_time() - begin)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_pages_against_their_article_elements(spark):
+    """The text of every page of the small tables is that of its article element, read by plain string work."""
+    import re
+    from html import unescape
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        found = re.findall(r"<article[^>]*>(.*?)</article>", r.html or "", flags=re.S)
+        if len(found) != 1 or re.search(r"<(?:aside|nav|form|script|style|table|pre|header|footer|figure|button|ul|ol|!--)|class=|hidden|<!\[", found[0]):
+            continue
+        blocks = re.split(r"</?(?:p|h\d|div|section|blockquote|li|br ?/?)[^>]*>", found[0])
+        want = [x for x in (" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks) if x]
+        assert html_extract.main_text(r.html).split("\n") == want

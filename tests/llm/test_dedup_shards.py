@@ -75,3 +75,22 @@ def test_oversized_group_is_cut(docs_of):
     for r in out:
         size[r.shard] += r.size
     assert max(size.values()) < 1.1 * sum(size.values()) / 8
+
+
+def test_drops_keep_columns_of_any_name(docs_of):
+    """Columns with the names that the operators use stay as they are, and texts of one id go or stay one by one."""
+    from pyspark.sql import functions as F
+
+    from corpusforge.llm import decontaminate, exact_dedup
+    rows = [(1, "same text"), (2, "same text"), (2, "same text"), (2, "another text of the id"), (3, None), (4, ""), (None, "same text"), (None, "lonely"), (5, "own")]
+    df = docs_of(rows)
+    for name in ("_text_sha", "_bad", "_gone", "_row", "_sha", "_id", "_open", "text_sha256", "keep_id", "n", "sha"):
+        df = df.withColumn(name, F.lit("mine"))
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(2, "same text"), (2, "another text of the id"), (4, ""), (None, "lonely"), (5, "own")], key=str)
+    assert all(r[c] == "mine" for r in got for c in ("_text_sha", "_bad", "_row", "sha"))
+    items = df.sparkSession.createDataFrame([(1, "same text")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(df, items)
+    assert clean.columns == df.columns and sorted((r.text or "" for r in clean.collect())) == ["", "", "another text of the id", "lonely", "own"]
