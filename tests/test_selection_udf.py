@@ -55,7 +55,11 @@ def test_pair_run_records_test_bleu(spark):
     got = run.stats[0][10]
     # the same number, computed directly from round 0's train split
     split = spark.read.parquet(os.path.join(run.out_dir, "split", "round=0"))
-    model = lexical.fit(split.filter("split = 'train'"), ["source", "pair_id"], "src", "tokens", 2)
+    valid = split.filter("split = 'valid'")
+    batches = selection.loss_batches(valid, F.size("src"))
+    model = lexical.fit(split.filter("split = 'train'"), ["source", "pair_id"], "src", "tokens", 2, valid,
+                        loss_of=lambda scored: selection.batch_loss(scored, batches))
+    assert run.stats[0][2] == min(loss for _, loss in model.history)
     hyp = lexical.translate(lexical.best_translation(model), test, ["source", "pair_id"], "src")
     pairs = test.select("source", "pair_id", F.col("tokens").alias("ref")).join(hyp, ["source", "pair_id"])
     want = bleu.corpus_bleu(pairs, ["source", "pair_id"], "hyp", "ref").first()["bleu"]
