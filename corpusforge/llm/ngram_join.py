@@ -380,18 +380,26 @@ class _Join:
 
     def inside(self, open_: DataFrame, sketches: DataFrame, only_nearest: bool) -> DataFrame:
         """``a, b, distance`` of nodes ``a`` outside their bucket's main component and nodes ``b`` of other components in the bucket whose
-        sketches do not rule them out; ``only_nearest``: of each ``a`` in a bucket the nearest (ties: smallest ``b``).
+        sketches do not rule them out; ``only_nearest``: of each ``a``, in one of its buckets, the nearest (ties: smallest ``b``).
 
-        Of buckets with the same members only one is searched.  Outside nodes are dealt into chunks by hash, past each of
+        Of buckets with the same members only one is searched for all.  Outside nodes are dealt into chunks by hash, past each of
         which the other members stream.
         """
         num, den = self.num, self.den
         hashed = F.xxhash64("node")
+        if only_nearest:  # each outside node in one of its buckets
+            pick = open_.filter("comp <> main").groupBy("node").agg(F.min("key").alias("key"))
+            open_ = open_.join(pick.select("key").distinct(), "key", "left_semi")
+            searched = pick.select("key", "node")
         same = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(hashed.bitwiseAND((1 << 40) - 1)).alias("h0"), F.expr("bit_xor(xxhash64(node))").alias("h1"),
                                         F.count_if(F.col("comp") != F.col("main")).alias("out"))
-        one = same.groupBy("m", "h0", "h1").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", F.ceil(F.col("k.out") / CHUNK).cast("int").alias("chunks"))
+        one = same if only_nearest else same.groupBy("m", "h0", "h1").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", "k.out")
+        one = one.select("key", F.ceil(F.col("out") / CHUNK).cast("int").alias("chunks"))
         rows = open_.join(one, "key").join(sketches.select("node", "sketch"), "node")
-        outside = rows.filter("comp <> main").select("key", F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"),
+        outside = rows.filter("comp <> main")
+        if only_nearest:
+            outside = outside.join(searched, ["key", "node"], "left_semi")
+        outside = outside.select("key", F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"),
                                                      "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
         others = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"),
                              "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
