@@ -62,21 +62,11 @@ def tokenize_de(text, lower: bool = False) -> Column:
     return F.regexp_extract_all(t, F.lit(DE_TOKEN), 0)
 
 
-def lower_tokens(tokens) -> Column:
-    """STR3 on a token array."""
-    return F.transform(_c(tokens), lambda x: F.lower(x))
-
-
 def join_tokens(tokens, sep: str = " ") -> Column:
     """STR4: ``' '.join(tokens)``."""
     return F.array_join(_c(tokens), sep)
 
 
-def join_pieces(pieces) -> Column:
-    """STR4, subword form: concatenate pieces and turn the marker into spaces."""
-    return F.trim(F.translate(F.array_join(_c(pieces), ""), WORD_START, " "))
-
-
 def word_count(text) -> Column:
     """FLT1: number of parts after the regex split (trailing empty part counts)."""
     return F.size(F.split(_c(text), LENGTH_SPLIT, -1))

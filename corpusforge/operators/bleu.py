@@ -5,16 +5,20 @@ hypothesis n-gram totals are pooled over the corpus; brevity penalty
 ``exp(1 - r/c)`` when the hypotheses are shorter than the references.
 A zero precision gives BLEU 0.0 (no smoothing).
 
-n-grams are built with ``transform(sequence(...), i -> slice(...))`` and
-counted by ``(row, n, gram)``; the row id is part of every key, so frequent
-n-grams do not gather in one task.
+Clipping is within a row, so rows are counted where they are and only sums are exchanged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.session import map_arrow
+
 MAX_N = 4
 
 
@@ -24,47 +28,37 @@ def char_units(text) -> Column:
     return F.filter(F.split(t, ""), lambda x: F.length(x) > 0)
 
 
-def _gram_at(toks: Column, n: int, side: int):
-    # one-argument lambda: ``transform`` passes the index as a second argument
-    return lambda i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.size(toks).alias("len"),
-                              F.array_join(F.slice(toks, i, n), "\u0001").alias("g"))
-
-
-def _grams(toks: Column, side: int, max_n: int) -> Column:
-    return F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), _gram_at(toks, n, side))
-        for n in range(1, max_n + 1)]))
+def row_counts(hyp: list, ref: list, max_n: int) -> tuple[list[int], list[int]]:
+    """Clipped matches and totals of a row's n-grams, for n from 1."""
+    m, t = [], []
+    for n in range(1, max_n + 1):
+        of_hyp, of_ref = (Counter(zip(*(x[i:] for i in range(n)))) for x in (hyp, ref))
+        m.append(sum(min(c, of_ref[g]) for g, c in of_hyp.items() if g in of_ref))
+        t.append(max(0, len(hyp) - n + 1))
+    return m, t
 
 
 def corpus_bleu(df: DataFrame, key_cols: list[str], hyp_col: str, ref_col: str,
                 max_n: int = MAX_N) -> DataFrame:
     """One row: ``bleu, bp, hyp_len, ref_len, m1..m4, t1..t4``.
 
-    Hypothesis and reference n-grams of a row are emitted in one pass over
-    ``df`` (tagged by side) and counted by ``(row, n, gram)`` in a single
-    aggregation, which yields both counts side by side; a second, tiny
-    aggregation by ``n`` gives clipped matches and totals.  The corpus lengths
-    are the unigram totals.
+    N-grams are clipped row by row, so they are counted where the row is, in Arrow batches, one n at a time; only each
+    task's sums are aggregated and no n-gram is shuffled.  Missing hypotheses and references count as empty.
     """
-    grams = F.concat(_grams(F.col(hyp_col), 0, max_n), _grams(F.col(ref_col), 1, max_n))
-    ex = df.select(*key_cols, F.explode(grams).alias("_g"))
-    # a row shorter than n still yields one (short) gram at i = 1; drop it
-    ex = ex.filter(F.col("_g.n") <= F.col("_g.len")).select(
-        *key_cols, F.col("_g.side").alias("side"), F.col("_g.n").alias("n"), F.col("_g.g").alias("g"))
-    counts = ex.groupBy(*key_cols, "n", "g").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("c"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("rc"))
-    c, rc = F.col("c"), F.col("rc")
-    per_n = counts.groupBy("n").agg(F.sum(F.least(c, rc)).alias("m"), F.sum(c).alias("t"), F.sum(rc).alias("rt"))
-    wide = per_n.groupBy().pivot("n", list(range(1, max_n + 1))).agg(
-        F.first("m").alias("m"), F.first("t").alias("t"), F.first("rt").alias("rt"))
-    cols = []
-    for n in range(1, max_n + 1):
-        m, t = F.coalesce(F.col(f"{n}_m"), F.lit(0)), F.coalesce(F.col(f"{n}_t"), F.lit(0))
-        cols += [m.cast("long").alias(f"m{n}"), t.cast("long").alias(f"t{n}")]
-    out = wide.select(*cols, F.coalesce(F.col("1_t"), F.lit(0)).cast("long").alias("hyp_len"),
-                      F.coalesce(F.col("1_rt"), F.lit(0)).cast("long").alias("ref_len"))
-    logp = sum(F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, max_n + 1)) / max_n
+    names = ["hyp_len", "ref_len", *[f"m{n}" for n in range(1, max_n + 1)], *[f"t{n}" for n in range(1, max_n + 1)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(names)
+        for b in batches:
+            for hyp, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hyp, ref = hyp or [], ref or []
+                m, t = row_counts(hyp, ref, max_n)
+                total = [x + y for x, y in zip(total, (len(hyp), len(ref), *m, *t))]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in total], names)
+
+    sums = map_arrow(df.select(F.col(hyp_col).alias("h"), F.col(ref_col).alias("r")), run, ", ".join(f"{n} bigint" for n in names))
+    out = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+    logp = sum(F.log(F.col(f"m{n}") / F.greatest(F.col(f"t{n}"), F.lit(1))) for n in range(1, max_n + 1)) / max_n
     any_zero = F.greatest(*[F.col(f"m{n}") == 0 for n in range(1, max_n + 1)])
     bp = F.when(F.col("hyp_len") > F.col("ref_len"), F.lit(1.0)) \
           .when(F.col("hyp_len") == 0, F.lit(0.0)) \

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators.joins import fits_broadcast, join_small
 from corpusforge.operators.sampling import SEED, sample_n
+from corpusforge.session import materialize
 
 
 def leak_matches(df: DataFrame, test: DataFrame, text_cols: list[str]) -> DataFrame:
@@ -22,6 +23,7 @@ def leak_matches(df: DataFrame, test: DataFrame, text_cols: list[str]) -> DataFr
 def remove_leaks(df: DataFrame, test: DataFrame, text_cols: list[str]) -> DataFrame:
     """JOI2: drop every row that equals a test row on all text columns (nulls equal)."""
     t = test.select(*[F.col(c).alias(f"_t_{c}") for c in text_cols]).distinct()
+    t = materialize(t)  # measured and then joined
     cond = None
     for c in text_cols:
         e = F.col(c).eqNullSafe(F.col(f"_t_{c}"))
