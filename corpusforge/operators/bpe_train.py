@@ -243,6 +243,16 @@ def _merged(blocks: DataFrame, steps: Steps) -> DataFrame:
     return map_arrow(blocks, run, "symbols binary, freq binary")
 
 
+def _sums(rows: DataFrame, blocks: DataFrame, *keys: str) -> DataFrame:
+    """Sums of ``n`` by key, in as many partitions as the blocks have: blocks have summed their own rows, and hundreds of shuffle
+    partitions would cost a round more than its work."""
+    return rows.repartition(_tasks(blocks), *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _tasks(blocks: DataFrame) -> int:
+    return max(1, blocks.rdd.getNumPartitions())
+
+
 def _counted(blocks: DataFrame, steps: Steps) -> DataFrame:
     """``code, n`` of every pair; a code is the left symbol times 2**32 plus the right one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +261,7 @@ def _counted(blocks: DataFrame, steps: Steps) -> DataFrame:
             code, n = _summed(code, _weights(symbols, freq)[at])
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    return map_arrow(blocks, run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return _sums(map_arrow(blocks, run, "code bigint, n bigint"), blocks, "code")
 
 
 def _round(blocks: DataFrame, steps: Steps, merges: list[tuple[int, int, int]], first_new: int, least: int,
@@ -274,7 +284,7 @@ def _round(blocks: DataFrame, steps: Steps, merges: list[tuple[int, int, int]],
                 key, n = _triple_keys(merge_block(symbols, merges), freq, ordered, order, True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array(n)], ["what", "key", "n"])
 
-    out = map_arrow(blocks, run, "what tinyint, key bigint, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    out = _sums(map_arrow(blocks, run, "what tinyint, key bigint, n bigint"), blocks, "what", "key")
     new = (F.col("key") >= first_new << 32) | (F.col("key").bitwiseAND(0xFFFFFFFF) >= first_new)
     got = out.filter((F.col("what") == 1) | ~new | (F.col("n") >= least)).toArrow()
     rows = list(zip(got["what"].to_pylist(), got["key"].to_pylist(), got["n"].to_pylist()))
@@ -335,7 +345,7 @@ def _triples(blocks: DataFrame, steps: Steps, pairs: list[tuple[int, int, int]],
             key, n = _triple_keys(symbols, freq, ordered, order, closed)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    found = map_arrow(blocks, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = _sums(map_arrow(blocks, run, "key bigint, n bigint"), blocks, "key")
     if not closed:
         found = found.filter((F.col("n") >= pairs[-1][2]) | (F.col("key").bitwiseAND(_BOTH) != 0))
     got = found.toArrow()

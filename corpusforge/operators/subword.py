@@ -32,6 +32,8 @@ VOCAB_SIZE = 10_000
 SPECIAL_PIECES = ("<unk>", "<s>", "</s>", "<pad>")
 # Distinct words whose pieces a Python worker keeps at hand.
 KNOWN_WORDS = 200_000
+# Characters of distinct words (each word's end counts as one) that are worth a task of their own in training, and that a task takes at most, about.
+TASK_SYMBOLS, MOST_SYMBOLS = 1 << 17, 1 << 20
 
 
 @dataclass
@@ -69,6 +71,19 @@ def pair_counts(words: DataFrame) -> DataFrame:
             .agg(F.sum("freq").alias("n")))
 
 
+def word_table(df: DataFrame, text_col: str, least: int, most: int) -> DataFrame:
+    """``(word, freq)``, materialised in as many partitions as its characters are worth, whatever the session's shuffle partitions.
+
+    Training passes over this table hundreds of times, so a task must have more to do than it costs to start: one has at least
+    ``least`` symbols, about, while there are idle cores, and at most ``most``.
+    """
+    spark = df.sparkSession
+    words = materialize(df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    symbols = words.agg(F.sum(F.char_length("word").cast("long") + 1)).first()[0] or 0
+    tasks = max(min(spark.sparkContext.defaultParallelism, -(-symbols // least)), -(-symbols // most), 1)
+    return materialize(words.repartition(tasks, "word"))
+
+
 def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
               merges_per_round: int = bpe_train.TOP, min_count: int = 2) -> BpeModel:
     """SUB1.  The merge list stays on the driver; it is bounded by ``vocab_size``.
@@ -76,10 +91,7 @@ def train_bpe(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE,
     ``merges_per_round`` only bounds how many merges a round may commit; the result is the same for every value.
     """
     spark = df.sparkSession
-    words = df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    # blocks are CPU work per word: spread the (small) word table over at least all task slots
-    words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism,
-                                              int(spark.conf.get("spark.sql.shuffle.partitions"))), "word"))
+    words = word_table(df, text_col, TASK_SYMBOLS, MOST_SYMBOLS)
     chars = materialize(words.select("freq", F.explode(_chars(F.col("word"))).alias("piece"))
                         .groupBy("piece").agg(F.sum("freq").alias("n")))
     alphabet = sorted(r["piece"] for r in chars.select("piece").collect())  # at most all characters there are

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.operators.subword import SPECIAL_PIECES, VOCAB_SIZE, _chars, encode_with, words_of
+from corpusforge.operators.subword import SPECIAL_PIECES, VOCAB_SIZE, _chars, encode_with, word_table
 from corpusforge.session import map_arrow, materialize
 
 # Longest piece, pieces to begin with per piece wanted, share kept by a round, EM steps of a round.
@@ -32,6 +32,8 @@ MAX_PIECE, SEEDS_PER_PIECE, KEEP, EM_STEPS = 16, 10, 0.75, 2
 UNIT = 1 << 20
 # Substrings whose counts a task holds before it hands them on.
 TASK_PIECES = 500_000
+# Characters of distinct words that are worth a task of their own, and that a task takes at most, about.
+TASK_SYMBOLS, MOST_SYMBOLS = 1 << 14, 1 << 18
 # A character that is no piece: this much less likely than the least likely piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -213,9 +215,7 @@ def train_unigram(df: DataFrame, text_col: str, vocab_size: int = VOCAB_SIZE, se
                   em_steps: int = EM_STEPS, keep: float = KEEP) -> UnigramPieces:
     """SUB1 (unigram).  The vocabulary has ``vocab_size`` pieces with the special ones, or all characters if they are more,
     or fewer if the texts have no more pieces.  Null and empty texts have no words; an empty table gives no pieces."""
-    spark = df.sparkSession
-    words = df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    words = materialize(words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word"))
+    words = word_table(df, text_col, TASK_SYMBOLS, MOST_SYMBOLS)
     chars = {r["c"] for r in words.select(F.explode(_chars(F.col("word"))).alias("c")).distinct().collect()}  # at most all characters there are
     tokens = words.agg(F.sum("freq")).first()[0] or 0
     logp = seed_pieces(words, sorted(chars), seeds_per_piece * vocab_size)

@@ -157,3 +157,24 @@ def test_encode_decode_roundtrip(spark):
     assert got == {0: "lowest newer wider", 1: "new lows", 2: ""}
     ids = {r["k"]: r["ids"] for r in enc.collect()}
     assert all(i >= 4 for i in ids[0])
+
+
+def test_training_tasks_follow_the_words_not_the_shuffle_partitions(spark):
+    text = " ".join(f"w{i % 97}x{i % 13}" for i in range(500))
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = subword.train_bpe(df, "text", vocab_size=80)
+        blocks = bpe_train.pack(spark.createDataFrame([("ab", 2), ("abc", 1)], "word string, freq bigint").coalesce(1), list("abc"))
+        assert bpe_train._counted(blocks, []).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert model.words.rdd.getNumPartitions() == 1  # a few words are one block, whose every round is one task
+
+
+def test_many_words_are_spread_over_tasks(spark):
+    df = spark.createDataFrame([(" ".join(f"{i:06d}" for i in range(j, j + 500)),) for j in range(0, 4000, 500)], "text string")
+    words = subword.word_table(df, "text", 1000, 4000)
+    assert words.rdd.getNumPartitions() == 8 and words.count() == 4000  # 4000 words of 8 symbols with their ends
+    assert words.agg({"freq": "sum"}).first()[0] == 4000
