@@ -99,3 +99,28 @@ def test_leaks_never_enter_and_random_scores_nothing(spark):
         assert spark.read.parquet(os.path.join(run.out_dir, name)).filter(F.col("text").isin([*texts, one])).count() == 0
     losses = spark.read.parquet(os.path.join(run.out_dir, "losses"))
     assert losses.count() > 0 and losses.filter("loss IS NOT NULL").count() == 0
+
+
+def test_rounds_do_not_write_the_pool_again(spark):
+    rows = [("t", i, i, f"alpha beta w{i % 7}") for i in range(40)]
+    trusted = selection.with_tokens(spark.createDataFrame(rows, "source string, pair_id long, pos long, text string"))
+    cands = selection.with_tokens(spark.createDataFrame([("c", i, i, f"alpha w{i % 5} z{i}") for i in range(1200)],
+                                                        "source string, pair_id long, pos long, text string"))
+    run = selection.run_selection(trusted, cands, None, rounds=2)
+    later = spark.read.parquet(os.path.join(run.out_dir, "split", "round=1"))
+    assert set(later.columns) == {"source", "pair_id", "split"}
+    accepted = spark.read.parquet(os.path.join(run.out_dir, "accepted")).filter("round = 0").count()
+    assert later.count() == 40 + accepted and later.filter("split = 'valid'").count() == -(-later.count() // 10)
+    fresh = spark.read.parquet(os.path.join(run.out_dir, "fresh"))
+    assert fresh.count() == fresh.select("pair_id").distinct().count() == run.stats[0][-2] + run.stats[1][-2] - (run.stats[0][-2] - run.stats[0][-1])
+
+
+def test_texts_stay_where_they_are_when_labels_are_looked_up(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (tables.trusted_documents, tables.candidate_documents):
+            plan = table(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
