@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from corpusforge.operators import lexical, lexical_parts
@@ -105,3 +106,25 @@ def test_no_pairs(spark):
     assert model.table.count() == 0
     some = spark.createDataFrame([(1, ["a"], ["b"])], SCHEMA)
     assert lexical.score(lexical.LexicalModel(model.table, 1), some, ["k"], "src", "trg").first()["n_tok"] == 2
+
+
+def test_a_table_is_sent_as_lists_and_by_its_own_size(spark, pairs, monkeypatch):
+    """A long table reaches a scoring task as few rows, in as many parts as it has need of, even for one pair."""
+    train = spark.createDataFrame(pairs, SCHEMA)
+    model = lexical.fit(train, ["k"], "src", "trg", 1)
+    seen = []
+    packed = lexical_parts.packed
+    monkeypatch.setattr(lexical_parts, "packed", lambda *a: seen.append(a[4].parts) or packed(*a))
+    one = spark.createDataFrame(pairs[:1], SCHEMA)
+    n = model.table.count()
+    got = lexical_parts.losses(model.table, model.n_target_types, one, ["k"], "src", "trg", 0.1, cells_per_part=20)
+    assert seen == [max(seen[0], -(-n // 20))] and seen[0] >= n / 20
+    t = {(r["e"], r["f"]): r["t"] for r in model.table.collect()}
+    r = got.first()
+    size, loss = plain_loss(t, model.n_target_types, *pairs[0][1:])
+    assert r["n_tok"] == size and r["sum_nll"] == pytest.approx(loss, rel=1e-9)
+
+    entries = pa.RecordBatch.from_arrays([pa.array([1, 0, 1], pa.int32()), pa.array(["a", "b", "c"]), pa.array(["x", "y", "z"]), pa.array([.1, .2, .3])], ["part", "e", "f", "t"])
+    lists = list(lexical_parts._listed(iter([entries, entries.slice(0, 0), entries])))
+    assert [b.to_pylist() for b in lists] == [[{"part": 0, "e": ["b", "b"], "f": ["y", "y"], "t": [.2, .2]},
+                                               {"part": 1, "e": ["a", "c", "a", "c"], "f": ["x", "z", "x", "z"], "t": [.1, .3, .1, .3]}]]
