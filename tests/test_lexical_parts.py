@@ -128,3 +128,35 @@ def test_a_table_is_sent_as_lists_and_by_its_own_size(spark, pairs, monkeypatch)
     lists = list(lexical_parts._listed(iter([entries, entries.slice(0, 0), entries])))
     assert [b.to_pylist() for b in lists] == [[{"part": 0, "e": ["b", "b"], "f": ["y", "y"], "t": [.2, .2]},
                                                {"part": 1, "e": ["a", "c", "a", "c"], "f": ["x", "z", "x", "z"], "t": [.1, .3, .1, .3]}]]
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 60])
+def test_best_translations_without_the_table(spark, pairs, cells):
+    """The best target of each source type comes from the parts' leading cells; the table is not made, and most cells stay where they are."""
+    df = spark.createDataFrame(pairs, SCHEMA)
+    job = lexical_parts.training(df, ["k"], "src", "trg", cells_per_part=cells)
+    assert job.step() and job.step()
+    v = job.lay.targets
+    assert v == len({f for _, _, trg in pairs for f in trg} | {"<eos>"})
+    model = lexical.LexicalModel(None, v, job=job)
+    got = {r["e"]: r["best"] for r in lexical.best_translation(model).collect()}
+    assert model.made is None
+    t = plain_em(pairs, 2)[-1]
+    by_e = defaultdict(list)
+    for (e, f), x in t.items():
+        if f != "<eos>":
+            by_e[e].append((-round(x, 12), f))
+    assert got == {e: min(xs)[1] for e, xs in by_e.items()}
+    if cells == 1_000_000:
+        assert job.leading(("<eos>",), 2e-12).count() < len(t) / 2
+    fitted = lexical.fit(df, ["k"], "src", "trg", iterations=2)
+    assert fitted.made is None
+    table = {(r["e"], r["f"]): r["t"] for r in fitted.table.collect()}
+    assert table.keys() == t.keys() and fitted.table is fitted.table
+
+
+def test_equal_probabilities_keep_the_smallest_target(spark):
+    rows = [(1, ["a", None], ["y", "x", None, "é"]), (2, None, ["z"]), (3, ["b", "<sos>"], None), (1, ["a"], ["x", "y", "é"])]
+    model = lexical.fit(spark.createDataFrame(rows, SCHEMA), ["k"], "src", "trg", iterations=2)
+    best = {r["e"]: r["best"] for r in lexical.best_translation(model).collect()}
+    assert best["a"] == "x" and "b" not in best
