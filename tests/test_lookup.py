@@ -68,3 +68,26 @@ def test_large_tables_are_joined(spark):
     finally:
         spark.conf.unset("corpusforge.broadcast.maxBytes")
     assert dict(got) == {1: [10, 11, 0, 10], 2: [], 3: [], 4: [11, 0, 0], 5: [0, 0, 0], None: [10]}
+
+
+def test_entries_are_small_and_tell_equal_codes_apart(monkeypatch):
+    """A task's copy of a table takes few bytes an entry; keys of one code are told apart."""
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 20_000
+    words = [f"wort{i * 7919 % n}" for i in range(n)]
+    entries = lookup.Entries(pa.array(words), pa.array(range(n), pa.int32()))
+    held = sum(x.nbytes for x in (entries.codes, entries.keys, entries.values))
+    assert held < 30 * n and len(pickle.dumps(entries)) < 30 * n
+    wanted = pa.array([words[5], "other", "", words[n - 1]])
+    assert [None if p < 0 else entries.values[p].as_py() for p in entries.find(wanted)] == [5, None, None, n - 1]
+
+    numbers = lookup.Entries(pa.array([7, -1, 2**40]), pa.array(["a", "b", "c"]))
+    assert numbers.find(pa.array([2**40, 0, -1])).tolist() == [2, -1, 0]
+
+    monkeypatch.setattr(lookup, "_codes", lambda v: np.zeros(len(v), dtype=np.uint32))
+    same = lookup.Entries(pa.array(["a", "b", "c"]), pa.array([1, 2, 3]))
+    assert same.find(pa.array(["c", "x", "a", "b"])).tolist() == [2, -1, 0, 1]
