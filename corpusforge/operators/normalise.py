@@ -38,11 +38,9 @@ def normalise_tokens(df: DataFrame, key_cols: list[str], tokens_col: str, dictio
 
     Adds ``out_col`` (array without null tokens), ``n_tokens`` and ``n_changed``.
     """
-    rows = df.select(*key_cols, F.filter(F.col(tokens_col), lambda x: x.isNotNull()).alias("_a"))
-    out = map_arrays(rows, "_a", share(dictionary, "variant", "preferred"), "_w", keep=True, key_cols=key_cols)
-    kept = F.coalesce(F.col("_a"), F.array().cast("array<string>"))
-    changed = F.filter(F.zip_with(kept, F.col("_w"), lambda a, b: a != b), lambda x: x)
-    return out.select(*key_cols, F.col("_w").alias(out_col), F.size(kept).cast("long").alias("n_tokens"), F.size(changed).cast("long").alias("n_changed"))
+    rows = df.select(*key_cols, F.col(tokens_col).alias("_a"))
+    out = map_arrays(rows, "_a", share(dictionary, "variant", "preferred"), "_w", keep=True, key_cols=key_cols, changed_col="_n")
+    return out.select(*key_cols, F.col("_w").alias(out_col), F.size("_w").cast("long").alias("n_tokens"), F.col("_n").alias("n_changed"))
 
 
 def changed_share(normalised: DataFrame) -> DataFrame:

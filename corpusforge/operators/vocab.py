@@ -16,8 +16,11 @@ from corpusforge.operators.ordering import dense_index
 
 
 def token_counts(df: DataFrame, tokens_col: str, token_col: str = "token") -> DataFrame:
-    """``explode`` + ``groupBy(token).count()`` with map-side partial counts."""
-    return (df.select(F.explode(F.col(tokens_col)).alias(token_col))
+    """``explode`` + ``groupBy(token).count()`` with map-side partial counts.
+
+    A plain ``explode`` would make the tokens twice: the optimizer puts a filter on the array's size before it.
+    """
+    return (df.select(F.posexplode_outer(F.col(tokens_col)).alias("_p", token_col)).filter("_p IS NOT NULL")
             .groupBy(token_col).agg(F.count(F.lit(1)).alias("freq")))
 
 

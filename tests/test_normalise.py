@@ -37,3 +37,33 @@ def test_autocorrect_matches_brute_force(spark):
         if c:
             want[x] = sorted(c, key=lambda wf: (-wf[1], wf[0]))[0]
     assert got == want
+
+
+def test_tokens_are_made_once_for_their_counts(spark):
+    from corpusforge.functions import text as T
+    from corpusforge.operators import vocab
+
+    docs = spark.createDataFrame([("Een twee, een",), (None,), ("",)], "text string")
+    counts = vocab.token_counts(docs.select(T.tokenize_nds("text").alias("t")), "t")
+    assert {r["token"]: r["freq"] for r in counts.collect()} == {"Een": 1, "twee": 1, ",": 1, "een": 1}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    lists = spark.createDataFrame([(["a", None, "a"],), ([],), (None,)], "t array<string>")
+    assert {r["token"]: r["freq"] for r in vocab.token_counts(lists, "t").collect()} == {"a": 2, None: 1}
+
+
+def test_changed_words_are_counted_in_place_and_by_join(spark):
+    from corpusforge.operators import normalise
+
+    rows = [(1, ["A", "b", None, "a", "A"]), (2, []), (3, None), (4, [None, "x"])]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    dictionary = spark.createDataFrame([("A", "a"), ("q", "Q")], "variant string, preferred string")
+    want = {1: (["a", "b", "a", "a"], 4, 2), 2: ([], 0, 0), 3: ([], 0, 0), 4: (["x"], 1, 0)}
+    for limit in (None, "0"):
+        if limit:
+            spark.conf.set("corpusforge.broadcast.maxBytes", limit)
+        try:
+            out = normalise.normalise_tokens(df, ["k"], "t", dictionary)
+            assert {r["k"]: (r["normalised"], r["n_tokens"], r["n_changed"]) for r in out.collect()} == want
+            assert limit or "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("corpusforge.broadcast.maxBytes")
