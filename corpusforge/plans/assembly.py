@@ -9,6 +9,7 @@ as in the original order), and the union is shuffled and re-indexed again.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,8 +39,9 @@ def assemble(train: DataFrame, wordbook: DataFrame | None, mono: DataFrame | Non
     if wordbook is not None:
         base = base.unionByName(wordbook.select(*cols))
     base = shuffle_reindex(base, KEY, seed)
-    deu_model = subword.train_bpe(base, "deu", vocab_size)
-    nds_model = subword.train_bpe(base, "nds", vocab_size)
+    # a training is some hundred small jobs one after another, which leave most cores idle: both sides at once
+    with ThreadPoolExecutor(2) as pool:
+        deu_model, nds_model = pool.map(lambda side: subword.train_bpe(base, side, vocab_size), ("deu", "nds"))
     dropped = 0
     corpus = base
     if mono is not None:

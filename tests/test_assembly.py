@@ -26,3 +26,26 @@ def test_assembly_invariants(spark):
     want = sorted([("train", r["deu"]) for r in train.collect()] + [("wordbook", "Huus"), ("wordbook", "Boom")]
                   + [("mono", d) for d in keep])
     assert got == want
+
+
+def test_both_sides_are_trained_at_once(spark, monkeypatch):
+    """Each training waits until the other one has begun, and gives the model that it gives alone."""
+    import threading
+
+    from corpusforge.operators import subword
+    from corpusforge.plans import assembly
+
+    rows = [("t", str(i), f"een twee drie {i % 3}", f"one two three {i % 2}") for i in range(12)]
+    df = spark.createDataFrame(rows, "source string, pair_id string, deu string, nds string")
+    begun = threading.Barrier(2, timeout=60)
+    train = subword.train_bpe
+
+    def both(*a, **k):
+        begun.wait()
+        return train(*a, **k)
+
+    alone = [train(df, side, 30) for side in ("deu", "nds")]
+    monkeypatch.setattr(subword, "train_bpe", both)
+    made = assembly.assemble(df, None, None, vocab_size=30)
+    for one, other in zip(alone, (made.deu_model, made.nds_model)):
+        assert one.merges == other.merges and sorted(map(tuple, one.vocab.collect())) == sorted(map(tuple, other.vocab.collect()))
