@@ -13,8 +13,9 @@ distance of short sketches and verified on the whole sets.
 Documents with equal sets are one node.  Keys met in many documents come last in the
 order of keys, so that only documents made of little else use them.  A bucket with more
 than ``HOT`` nodes is compared with its smallest node first; then, of buckets with the same members one, the nodes
-outside the bucket's main component are compared with the others by their sketches in blocks, which hands on only the pairs
-that the sketches don't rule out: for each node the nearest of another component first, then all that are left.
+outside the bucket's main component are compared with the others in blocks: by their sketches first, which leaves the members
+that some sketch does not rule out, and these by their whole sets, a pair in the first bucket where it meets.  A block hands on
+a link only if it joins two components that its earlier links did not, so its rows grow with its members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ FILL = (0.6, 3.2)
 HOT = 24
 # Nodes outside their bucket's main component that a task holds while the others of the bucket pass by, and others at a time.
 CHUNK, PASSING = 1024, 128
+# N-grams that the held nodes have together, about.
+HELD_GRAMS = 1 << 22
+# Open buckets that a node knows of when it passes through one of them; two nodes that share more may be compared again.
+KNOWN_BUCKETS = 64
 # At most so many keys go last, those met most often; which ones they are never changes the result.
 MAX_LATE = 1 << 16
 # Slices of text after which a task reports the keys it met more than once.
@@ -44,7 +49,7 @@ WINDOW_SLICES = 16
 # Rows of sorted keys that a task holds at a time.
 GROUP_ROWS = 200_000
 # Keys met once are dropped at the source by a bit map of this size.
-SIEVE_BITS = 1 << 24
+SIEVE_BITS = 1 << 26
 # Nodes that a task remembers to have shown, at most; a node beyond that may come twice.
 SEEN = 1 << 20
 _SPACES = words.space_classes()
@@ -74,8 +79,11 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[n
                 part = w.code[begin[r]:begin[r] + count[r]]
                 codes.append(np.uint64((part * _MULTIPLIERS[:len(part)]).sum(dtype=np.uint64) + _MULTIPLIERS[32 + len(part)]))
             doc, code = np.concatenate([doc, short]), np.concatenate([code, words.mix(np.array(codes, dtype=np.uint64))])
-    order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
+        order = np.argsort(doc, kind="stable")
+        doc, code = doc[order], code[order]
+    ends = np.searchsorted(doc, np.arange(rows + 1)).tolist()
+    for at, end in zip(ends, ends[1:]):
+        code[at:end].sort()
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
     return doc[new], code[new]
@@ -91,15 +99,15 @@ def nodes_of(doc: np.ndarray, code: np.ndarray, rows: int) -> tuple[np.ndarray,
     return digest, size
 
 
-def _ranks(doc: np.ndarray, key: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Place of each key among its document's, those that are not late first, by value."""
-    order = np.lexsort((key, late, doc))
-    place = np.empty(len(doc), dtype=np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(doc[order])) + 1]) if len(doc) else np.zeros(0, dtype=np.int64)
-    start = np.zeros(len(doc), dtype=np.int64)
-    start[first] = first
-    place[order] = np.arange(len(doc)) - np.maximum.accumulate(start) if len(doc) else 0
-    return place
+def _leading(doc: np.ndarray, key: np.ndarray, late: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether a key is among its document's first ``most + 1``, those that are not late first, by value (without the lowest bit;
+    of equal ones all); ``doc`` ascends."""
+    place = (key >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
+    last = np.full(len(most), np.iinfo(np.uint64).max, dtype=np.uint64)
+    ends = np.searchsorted(doc, np.arange(len(most) + 1))
+    for r in np.flatnonzero(np.diff(ends) > most + 1).tolist():
+        last[r] = np.partition(place[ends[r]:ends[r + 1]], most[r])[most[r]]
+    return place <= last[doc]
 
 
 def block_keys(doc: np.ndarray, code: np.ndarray, size: np.ndarray, hot: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +142,7 @@ def block_keys(doc: np.ndarray, code: np.ndarray, size: np.ndarray, hot: np.ndar
         partner = np.minimum(size * den // num, np.floor(FILL[1] * 2.0 ** band).astype(np.int64))
         most = (den - num) * (size + np.maximum(partner, size)) // (den + num)
         filled = np.bincount(kd, minlength=len(size))
-        shown = _ranks(kd, key, late(key)) <= most[kd]
+        shown = _leading(kd, key, late(key), most)
         out_doc.append(kd[shown])
         out_key.append(key[shown])
         # sets that crowd into too few blocks also show single n-grams, which finds pairs of such sets
@@ -142,7 +150,7 @@ def block_keys(doc: np.ndarray, code: np.ndarray, size: np.ndarray, hot: np.ndar
         if weak.any():
             with np.errstate(over="ignore"):
                 wd, wk = d[weak], words.mix(h[weak] + np.uint64(31))
-            shown = _ranks(wd, wk, late(wk)) <= size[wd] + (-num * size[wd]) // den
+            shown = _leading(wd, wk, late(wk), size + (-num * size) // den)
             out_doc.append(wd[shown])
             out_key.append(wk[shown])
     if not out_doc:
@@ -167,6 +175,19 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(x != y))
 
 
+def sketch_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """``sketch_distance`` of each pair, for pairs of the same lengths at once."""
+    x, y = np.array([len(z) for z in a], dtype=np.int64), np.array([len(z) for z in b], dtype=np.int64)
+    apart = np.zeros(len(a), dtype=np.int64)
+    for n, m in set(zip(x.tolist(), y.tolist())):
+        at = np.flatnonzero((x == n) & (y == m))
+        u, v = (np.frombuffer(b"".join(z[i] for i in at), np.uint8).reshape(len(at), -1) for z in (a, b))
+        while u.shape[1] != v.shape[1]:
+            u, v = (_folded(u), v) if u.shape[1] > v.shape[1] else (u, _folded(v))
+        apart[at] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+    return apart
+
+
 def _folded(bits: np.ndarray) -> np.ndarray:
     """Rows of packed sketches at half their length."""
     wide = np.unpackbits(bits, axis=1)
@@ -176,11 +197,37 @@ def _folded(bits: np.ndarray) -> np.ndarray:
 class _Sketches:
     """Nodes with their sketches, by the sketches' length in bytes (a power of two, 8 at least)."""
 
-    def __init__(self, node: np.ndarray, size: np.ndarray, comp: np.ndarray, sketches: list[bytes]):
+    def __init__(self, node: np.ndarray, size: np.ndarray, comp: np.ndarray, sketches: list[bytes],
+                 out: np.ndarray | None = None, earlier: pa.ChunkedArray | None = None):
         self.node, self.size, self.comp = node, size.astype(np.int64), comp
         length = np.array([len(x) for x in sketches])
+        self.out, self.earlier = out, earlier
         self.by_length = {int(n): (at := np.flatnonzero(length == n), np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(-1, n)) for n in np.unique(length)}
 
+    @classmethod
+    def of(cls, rows: list[pa.RecordBatch]) -> _Sketches:
+        """Nodes of batches as in ``_BLOCK``."""
+        node, size, comp, out = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in (3, 4, 5, 6))
+        return cls(node, size, comp, [x for b in rows for x in b.column(7).to_pylist()], out, pa.chunked_array([b.column(8) for b in rows]))
+
+    def elsewhere(self, at: np.ndarray) -> list[set[int]]:
+        """The earlier buckets of the nodes at these places."""
+        which, back = np.unique(at, return_inverse=True)
+        sets = [set(x) for x in self.earlier.take(pa.array(which)).to_pylist()]
+        return [sets[i] for i in back.tolist()]
+
+    def meet(self, other: _Sketches, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """``near`` by distance, without the pairs of two outside nodes that meet the other way round as well
+        and those that both know to meet in an earlier bucket."""
+        a, o, apart = self.near(other, num, den)
+        once = ~other.out[o] | (self.node[a] < other.node[o])
+        a, o, apart = a[once], o[once], apart[once]
+        if len(a):
+            first = np.array([x.isdisjoint(y) for x, y in zip(self.elsewhere(a), other.elsewhere(o))])
+            a, o, apart = a[first], o[first], apart[first]
+        order = np.argsort(apart, kind="stable")
+        return a[order], o[order]
+
     def near(self, other: _Sketches, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (place here, place in ``other``) of different components whose sketches are near enough, and their distances."""
         out = []
@@ -205,6 +252,32 @@ class _Sketches:
         return tuple(np.concatenate(z) for z in zip(*out))
 
 
+_BLOCK = "key bigint, chunk int, role int, node bigint, size bigint, comp bigint, out boolean, sketch binary, earlier array<bigint>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, int, pa.RecordBatch]]:
+    """Runs of rows of one block (``key, chunk``) and role: whether a block begins, the role, the rows."""
+    now = None
+    for b in batches:
+        key, chunk, role = (b.column(i).to_numpy() for i in range(3))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
+        for at, end in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
+            if at < end:
+                yield (key[at], chunk[at]) != now, int(role[at]), b.slice(at, end - at)
+                now = key[at], chunk[at]
+
+
+def _fresh(digest: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether a node with n-grams is not among ``seen``, which gains it as long as it has fewer than ``SEEN``."""
+    fresh = np.zeros(len(digest), dtype=bool)
+    for i, x in enumerate(digest.tolist()):
+        if size[i] and x not in seen:
+            fresh[i] = True
+            if len(seen) < SEEN:
+                seen.add(x)
+    return fresh
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -216,79 +289,76 @@ class _Join:
         self.n, self.num, self.den = n, num, den
         self.repeats = False  # whether some id and text come in several rows
 
-    def nodes(self) -> DataFrame:
-        """``id, node, size`` of every row."""
-        n = self.n
+    def nodes(self) -> tuple[DataFrame, DataFrame]:
+        """``id, node, size`` of every row; ``key, n`` of the keys that come more than once within ``WINDOW_SLICES`` slices."""
+        n, num, den = self.n, self.num, self.den
+        none = np.zeros(0, dtype=np.uint64)
         extra = [f for f in self.rows.schema.fields if f.name not in ("id", "text")]
 
+        def repeated(held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            key, times = key[times > 1], times[times > 1]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(key), t) for t in schema.types[:-2]), _signed(key), pa.array(times)], schema=schema)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            held: list[np.ndarray] = []
+            schema = None
             for b in slices(batches, 1):
-                digest, size = nodes_of(*ngram_sets(*text_buffer(b.column(1)), n), b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), _signed(digest), pa.array(size), *b.columns[2:]], ["id", "node", "size", *b.schema.names[2:]])
-
-        return in_arrow(self.rows, run, f"id {self.kind}, node bigint, size bigint" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra))
+                doc, code = ngram_sets(*text_buffer(b.column(1)), n)
+                digest, size = nodes_of(doc, code, b.num_rows)
+                out = pa.RecordBatch.from_arrays([b.column(0), _signed(digest), pa.array(size), *b.columns[2:], pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())],
+                                                 ["id", "node", "size", *b.schema.names[2:], "key", "n"])
+                schema = out.schema
+                yield out
+                held.append(block_keys(doc, code, np.where(_fresh(digest, size, seen), size, 0), none, num, den)[1])
+                if len(held) == WINDOW_SLICES:
+                    yield repeated(held, schema)
+                    held = []
+            if held:
+                yield repeated(held, schema)
 
-    def _keys(self, hot: np.ndarray, sieve: np.ndarray | None, common: bool) -> DataFrame:
-        """Keys of the nodes, each node once in a task.
+        types = f"id {self.kind}, node bigint, size bigint" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra) + ", key bigint, n bigint"
+        found = stored(in_arrow(self.rows, run, types), "join-rows")
+        return found.filter("n IS NULL").drop("key", "n"), found.filter("n IS NOT NULL").select("key", "n")
 
-        ``common``: ``key, n`` of those that come more than once within ``WINDOW_SLICES`` slices.
-        With a sieve: ``key, node, size`` of the keys that pass it; else ``key``.
-        """
+    def _keys(self, hot: np.ndarray, sieve: np.ndarray | None) -> DataFrame:
+        """``key`` of the nodes, each node once in a task; with a sieve ``key, node, size`` of the keys that pass it."""
         n, num, den = self.n, self.num, self.den
         late = self.rows.sparkSession.sparkContext.broadcast(hot)
         passed = None if sieve is None else self.rows.sparkSession.sparkContext.broadcast(sieve)
 
-        def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
-            key, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(key[times > 1]), pa.array(times[times > 1])], ["key", "n"])
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            held: list[np.ndarray] = []
             for b in slices(batches, 0):
                 doc, code = ngram_sets(*text_buffer(b.column(0)), n)
                 digest, size = nodes_of(doc, code, b.num_rows)
-                fresh = np.zeros(b.num_rows, dtype=bool)
-                for i, x in enumerate(digest.tolist()):
-                    if size[i] and x not in seen:
-                        fresh[i] = True
-                        if len(seen) < SEEN:
-                            seen.add(x)
-                kd, key = block_keys(doc, code, np.where(fresh, size, 0), late.value, num, den)
-                if common:
-                    held.append(key)
-                    if len(held) == WINDOW_SLICES:
-                        yield repeated(held)
-                        held = []
-                elif passed is None:
+                kd, key = block_keys(doc, code, np.where(_fresh(digest, size, seen), size, 0), late.value, num, den)
+                if passed is None:
                     yield pa.RecordBatch.from_arrays([_signed(key)], ["key"])
                 else:
                     bit = (key & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
                     of = ((passed.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                     yield pa.RecordBatch.from_arrays([_signed(key[of]), _signed(digest[kd[of]]), pa.array(size[kd[of]])], ["key", "node", "size"])
-            if held:
-                yield repeated(held)
 
-        schema = "key bigint, n bigint" if common else "key bigint" if sieve is None else "key bigint, node bigint, size bigint"
-        return in_arrow(self.rows.select("text"), run, schema)
+        return in_arrow(self.rows.select("text"), run, "key bigint" if sieve is None else "key bigint, node bigint, size bigint")
 
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
+    def candidates(self, common: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``key, node, size`` of buckets with more than ``HOT`` nodes, and all pairs ``a, b`` with the number of keys they share.
 
         A bucket of at most ``HOT`` nodes gives all its pairs, a larger one those with its smallest node.
         """
-        none = np.zeros(0, dtype=np.uint64)
-        often = (self._keys(none, None, True).groupBy("key").agg(F.sum("n").alias("n")).filter(f"n > {HOT}")
+        often = (common.groupBy("key").agg(F.sum("n").alias("n")).filter(f"n > {HOT}")
                  .orderBy(F.desc("n"), "key").limit(MAX_LATE).toArrow())
         hot = np.sort(often["key"].to_numpy().view(np.uint64))
         bit = F.col("key").bitwiseAND(SIEVE_BITS - 1)
-        shared = self._keys(hot, None, False).groupBy("key").count().filter("count > 1")
+        shared = self._keys(hot, None).groupBy("key").count().filter("count > 1")
         bits = shared.groupBy(F.shiftright(bit, 6).alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))  # at most SIEVE_BITS / 64 rows
         table = bits.toArrow()
         sieve = np.zeros(SIEVE_BITS // 64, dtype=np.uint64)
         sieve[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-        rows = self._keys(hot, sieve, False).repartition("key").sortWithinPartitions("key", "node")
+        rows = self._keys(hot, sieve).repartition("key").sortWithinPartitions("key", "node")
         found = stored(in_arrow(rows, self._buckets(), "key bigint, a bigint, b bigint, n bigint"), "join-buckets")
         pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
         members = found.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("n").alias("size"))
@@ -378,82 +448,109 @@ class _Join:
         split = placed.groupBy("key").agg(F.mode("comp").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
         return stored(placed.join(split.select("key", "main"), "key"), "join-open")
 
-    def inside(self, open_: DataFrame, sketches: DataFrame, only_nearest: bool) -> DataFrame:
-        """``a, b, distance`` of nodes ``a`` outside their bucket's main component and nodes ``b`` of other components in the bucket whose
-        sketches do not rule them out; ``only_nearest``: of each ``a``, in one of its buckets, the nearest (ties: smallest ``b``).
+    def inside(self, open_: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Blocks of nodes ``role = 0`` outside their bucket's main component and members ``role = 1`` of the bucket, without the rows that have
+        no partner of another component in their block whose sketch does not rule it out: ``key, chunk, role, node, size, comp, out, sketch, earlier``.
 
-        Of buckets with the same members only one is searched for all.  Outside nodes are dealt into chunks by hash, past each of
+        Of buckets with the same members only one is searched.  Outside nodes are dealt into chunks by hash, past each of
         which the other members stream.
         """
         num, den = self.num, self.den
-        hashed = F.xxhash64("node")
-        if only_nearest:  # each outside node in one of its buckets
-            pick = open_.filter("comp <> main").groupBy("node").agg(F.min("key").alias("key"))
-            open_ = open_.join(pick.select("key").distinct(), "key", "left_semi")
-            searched = pick.select("key", "node")
+        hashed, outer = F.xxhash64("node"), F.col("comp") != F.col("main")
         same = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(hashed.bitwiseAND((1 << 40) - 1)).alias("h0"), F.expr("bit_xor(xxhash64(node))").alias("h1"),
-                                        F.count_if(F.col("comp") != F.col("main")).alias("out"))
-        one = same if only_nearest else same.groupBy("m", "h0", "h1").agg(F.min(F.struct("key", "out")).alias("k")).select("k.key", "k.out")
-        one = one.select("key", F.ceil(F.col("out") / CHUNK).cast("int").alias("chunks"))
-        rows = open_.join(one, "key").join(sketches.select("node", "sketch"), "node")
-        outside = rows.filter("comp <> main")
-        if only_nearest:
-            outside = outside.join(searched, ["key", "node"], "left_semi")
-        outside = outside.select("key", F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"),
-                                                     "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
+                                        F.greatest(F.ceil(F.count_if(outer) / CHUNK), F.ceil(F.sum(F.when(outer, F.col("size"))) / HELD_GRAMS)).cast("int").alias("chunks"))
+        one = same.groupBy("m", "h0", "h1").agg(F.min(F.struct("key", "chunks")).alias("k")).select("k.key", "k.chunks")
+        rows = open_.join(one, "key")
+        known = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN_BUCKETS).alias("keys"))
+        rows = (rows.join(known.join(sketches.select("node", "sketch"), "node"), "node")
+                .withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).drop("keys"))
+        outside = rows.filter(outer).select("key", F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"),
+                                            "node", "size", "comp", F.lit(True).alias("out"), "sketch", "earlier")
         others = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"),
-                             "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out"), "sketch")
+                             "node", "size", "comp", outer.alias("out"), "sketch", "earlier")
         both = outside.unionByName(others).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role", "node")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
+            held: list[pa.RecordBatch] = []
             table: _Sketches | None = None
-            best: dict[int, tuple[int, int]] = {}
-            now = None
-
-            def done() -> pa.RecordBatch:
-                at = list(best)
-                return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([best[x][1] for x in at], pa.int64()),
-                                                   pa.array([best[x][0] for x in at], pa.int64())], ["a", "b", "distance"])
+            met = np.zeros(0, dtype=bool)
+
+            def partnered() -> pa.RecordBatch:
+                return pa.Table.from_batches(held).filter(pa.array(met)).combine_chunks().to_batches()[0]
+
+            for fresh, role, b in _blocks(batches):
+                if fresh:
+                    if met.any():
+                        yield partnered()
+                    held, table, met = [], None, np.zeros(0, dtype=bool)
+                if role == 0:
+                    held.append(b)
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    table = _Sketches.of(held)
+                    met = np.zeros(len(table.node), dtype=bool)
+                with_partner = np.zeros(b.num_rows, dtype=bool)
+                for c in range(0, b.num_rows, PASSING):
+                    a, o = table.meet(_Sketches.of([b.slice(c, PASSING)]), num, den)
+                    met[a] = True
+                    with_partner[c + o] = True
+                if with_partner.any():
+                    yield b.filter(pa.array(with_partner))
+            if met.any():
+                yield partnered()
+
+        return in_arrow(both, run, _BLOCK)
+
+    def joined(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links ``a, b`` by their whole sets that join all members of a block which its links connect, each of them
+        between components that the block's earlier links leave apart."""
+        num, den = self.num, self.den
+        rows = blocks.join(sets.select("node", "grams"), "node").select(*blocks.columns, "grams")
+        rows = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role", "node")
 
-            for b in batches:
-                key, chunk, role, node, size, comp, out = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-                bits = b.column(7).to_pylist()
-                edge = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
-                for part in np.split(np.arange(b.num_rows), edge):
-                    if not len(part):
-                        continue
-                    i = part[0]
-                    if (key[i], chunk[i]) != now:
-                        if best:
-                            yield done()
-                        now, held, table, best = (key[i], chunk[i]), [], None, {}
-                    mine = (node[part], size[part], comp[part], out[part], [bits[j] for j in part])
-                    if role[i] == 0:
-                        held.append(mine)
-                        continue
-                    if not held:
-                        continue
-                    if table is None:
-                        table = _Sketches(*(np.concatenate(x) for x in list(zip(*held))[:3]), [y for x in held for y in x[4]])
-                    for c in range(0, len(part), PASSING):
-                        z = slice(c, c + PASSING)
-                        passing = _Sketches(*(x[z] for x in mine[:3]), mine[4][z])
-                        a, o, apart = table.near(passing, num, den)
-                        if only_nearest:
-                            for x, y, d in zip(table.node[a].tolist(), passing.node[o].tolist(), apart.tolist()):
-                                if x not in best or (d, y) < best[x]:
-                                    best[x] = (d, y)
-                        else:
-                            once = ~mine[3][z][o] | (table.node[a] < passing.node[o])  # two outside nodes meet twice
-                            yield pa.RecordBatch.from_arrays([pa.array(table.node[a][once]), pa.array(passing.node[o][once]), pa.array(apart[once])], ["a", "b", "distance"])
-            if best:
-                yield done()
-
-        found = in_arrow(both, run, "a bigint, b bigint, distance bigint")
-        if only_nearest:
-            return found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
-        return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            table: _Sketches | None = None
+            grams: list[np.ndarray] = []
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            for fresh, role, b in _blocks(batches):
+                if fresh:
+                    held, table, grams, up = [], None, [], {}
+                if role == 0:
+                    held.append(b)
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    table = _Sketches.of(held)
+                    grams = [_hashes(x) for h in held for x in h.column(9)]
+                links = []
+                for c in range(0, b.num_rows, PASSING):
+                    part = b.slice(c, PASSING)
+                    passing = _Sketches.of([part])
+                    theirs: dict[int, np.ndarray] = {}
+                    for i, j in zip(*(x.tolist() for x in table.meet(passing, num, den))):
+                        p, q = root(int(table.comp[i])), root(int(passing.comp[j]))
+                        if p == q:
+                            continue
+                        if j not in theirs:
+                            theirs[j] = _hashes(part.column(9)[j])
+                        if _alike(grams[i], theirs[j], num, den):
+                            up[max(p, q)] = min(p, q)
+                            links.append((int(table.node[i]), int(passing.node[j])))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+        return in_arrow(rows, run, "a bigint, b bigint").distinct()
 
     def grams(self, wanted: DataFrame, whole: bool) -> DataFrame:
         """``node`` and its set (``whole``; 48 bits of each hash) or ``size, sketch``, from one document (``id``) of each wanted node."""
@@ -477,21 +574,19 @@ class _Join:
         return found.dropDuplicates(["node"]) if self.repeats else found
 
     def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs that their sketches do not rule out, with the sketches' distance."""
+        """Pairs ``a, b, n`` that their sketches do not rule out."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                apart = [sketch_distance(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                keep = [d * (den + num) <= (den - num) * (s + t)
-                        for d, s, t in zip(apart, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart, pa.int64())], ["a", "b", "distance"])
-                yield out.filter(pa.array(keep, pa.bool_()))
+                apart = sketch_distances(b.column(3).to_pylist(), b.column(4).to_pylist())
+                keep = apart * (den + num) <= (den - num) * (b.column(5).to_numpy() + b.column(6).to_numpy())
+                yield b.select([0, 1, 2]).filter(pa.array(keep))
 
         a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("xa"), F.col("size").alias("sa"))
         b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("xb"), F.col("size").alias("sb"))
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "xa", "xb", "sa", "sb")
-        return in_arrow(both, run, "a bigint, b bigint, distance bigint")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "xa", "xb", "sa", "sb")
+        return in_arrow(both, run, "a bigint, b bigint, n bigint")
 
     def links(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs that are similar, by their whole sets; only the sets of these pairs are built and moved."""
@@ -501,11 +596,7 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = []
-                for x, y in zip(b.column(2), b.column(3), strict=True):
-                    u, v = (np.frombuffer(s.as_buffer(), dtype=np.dtype("V6")) for s in (x, y))
-                    both = len(np.intersect1d(_wide(u), _wide(v)))
-                    keep.append(den * both >= num * (len(u) + len(v) - both))
+                keep = [_alike(_hashes(x), _hashes(y), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
         def side(end: str, name: str) -> DataFrame:
@@ -515,12 +606,19 @@ class _Join:
         return in_arrow(side("a", "xa").join(side("b", "xb"), ["a", "b"]).select("a", "b", "xa", "xb"), run, "a bigint, b bigint")
 
 
-def _wide(x: np.ndarray) -> np.ndarray:
+def _hashes(grams: pa.BinaryScalar) -> np.ndarray:
+    """A set as ``grams`` gives it, as sorted numbers."""
+    x = np.frombuffer(grams.as_buffer(), dtype=np.uint8).reshape(-1, 6)
     out = np.zeros((len(x), 8), dtype=np.uint8)
-    out[:, :6] = x.view(np.uint8).reshape(-1, 6)
+    out[:, :6] = x
     return out.view("<u8").ravel()
 
 
+def _alike(u: np.ndarray, v: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(u, v))
+    return den * both >= num * (len(u) + len(v) - both)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not known to be connected."""
     a = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
@@ -541,36 +639,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is in its copies' component; an empty table gives an empty result; other columns are ignored.
     """
     job = _Join(docs, id_col, text_col, n, num, den, extra or [])
-    rows = stored(job.nodes(), "join-rows")
+    rows, common = job.nodes()
     job.repeats = not rows.groupBy("id", "node").count().filter("count > 1").isEmpty()
     spots = rows.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"))
-    members, pairs = job.candidates()
+    members, pairs = job.candidates(common)
     known = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(spots, "node"), "join-nodes")
     sketches = stored(job.grams(known, False), "join-sketches")
+    pairs = stored(job.near(pairs, sketches), "join-near")
 
     # each node against the one it shares most keys with; then what is left between components
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     edges = stored(job.links(best, known), "join-edges")
     labels = stored(components(edges), "join-labels")
-    widened = False
-    for step in ("rest", "nearest", "nearest", "all"):
-        if step == "rest":
-            todo = _apart(pairs, labels).select("a", "b")
-        else:
-            open_ = job.open_buckets(members, labels)
-            if open_.isEmpty():
-                break
-            if not widened:  # nodes without any pair so far; buckets only close from here on
-                lone = stored(open_.select("node").distinct().join(known, "node", "left_anti").join(spots, "node"), "join-nodes")
-                if not lone.isEmpty():
-                    sketches = sketches.unionByName(stored(job.grams(lone, False), "join-sketches"))
-                    known = known.unionByName(lone)
-                widened = True
-        near = job.near(todo, sketches) if step == "rest" else job.inside(open_, sketches, only_nearest=step == "nearest")
-        more = stored(job.links(near.select("a", "b"), known), "join-edges")
+    more = stored(job.links(_apart(pairs, labels).select("a", "b"), known), "join-edges")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        labels = stored(components(edges), "join-labels")
+    open_ = job.open_buckets(members, labels)
+    if not open_.isEmpty():
+        lone = stored(open_.select("node").distinct().join(known, "node", "left_anti").join(spots, "node"), "join-nodes")  # without any pair so far
+        if not lone.isEmpty():
+            sketches = sketches.unionByName(stored(job.grams(lone, False), "join-sketches"))
+            known = known.unionByName(lone)
+        blocks = stored(job.inside(open_, sketches), "join-blocks")
+        sets = job.grams(known.join(blocks.select("node").distinct(), "node", "left_semi"), True)
+        more = stored(job.joined(blocks, sets), "join-edges")
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = stored(components(edges), "join-labels")
+            labels = stored(components(edges.unionByName(more)), "join-labels")
     smallest = stored(spots.join(labels, "node").groupBy("comp").agg(F.min("id").alias("least")), "join-smallest")
     placed = labels.join(smallest, "comp").select("node", "least")
     alone = spots.select("node", F.col("id").alias("own"))

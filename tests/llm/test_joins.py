@@ -124,6 +124,42 @@ def test_short_copies_among_longer_rows_with_the_same_passage(docs_of):
     assert got == brute_components(rows)
 
 
+def test_blocks_hand_on_rows_by_member_not_by_pair(docs_of, monkeypatch):
+    """Rows that share a passage just short of a link: no table of pairs that only their sketches bring together."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(84))
+
+    def own(n):
+        return " ".join(f"u{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows = [(i, passage + " " + own(16)) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows[50:53]] + [(2000 + i, passage + " " + own(3)) for i in range(3)]
+    made, stored = {}, ngram_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(rows)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert max(made["join-checks"], made.get("join-blocks", 0), made["join-edges"]) <= 10 * len(rows), made
+
+
+def test_keys_and_sketches_at_once_match_one_by_one():
+    """The first keys of a document, and distances of pairs of sketches of mixed lengths."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    doc = np.sort(rng.integers(0, 40, 1500))
+    key, late, most = rng.integers(0, 2 ** 63, 1500).astype(np.uint64) * np.uint64(2), rng.random(1500) < 0.3, rng.integers(0, 60, 40)
+    got = ngram_join._leading(doc, key, late, most)
+    for d in range(40):
+        order = sorted(np.flatnonzero(doc == d).tolist(), key=lambda i: (late[i], key[i]))
+        assert set(np.flatnonzero(got & (doc == d)).tolist()) == set(order[:most[d] + 1])
+    sets = [np.unique(words.mix(rng.integers(0, 400, int(rng.integers(1, 700))).astype(np.uint64))) for _ in range(60)]
+    a, b = [ngram_join.sketch(x) for x in sets[:30]], [ngram_join.sketch(x) for x in sets[30:]]
+    assert ngram_join.sketch_distances(a, b).tolist() == [ngram_join.sketch_distance(x, y) for x, y in zip(a, b)]
+
+
 def test_links_at_the_threshold_share_a_key():
     """Pairs at the smallest similarity allowed are always candidates, for any sizes."""
     import numpy as np
