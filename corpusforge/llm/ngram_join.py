@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ MAX_LATE = 1 << 16
 # Slices of text after which a task reports the keys it met more than once.
 WINDOW_SLICES = 16
 # Rows of sorted keys that a task holds at a time.
-GROUP_ROWS = 200_000
+GROUP_ROWS = 50_000
 # Keys met once are dropped at the source by a bit map of this size.
 SIEVE_BITS = 1 << 26
 # Nodes that a task remembers to have shown, at most; a node beyond that may come twice.
@@ -288,6 +289,7 @@ class _Join:
         self.kind = self.rows.schema["id"].dataType.simpleString()
         self.n, self.num, self.den = n, num, den
         self.repeats = False  # whether some id and text come in several rows
+        self.sent: list[Broadcast] = []  # what the tasks that give keys need
 
     def nodes(self) -> tuple[DataFrame, DataFrame]:
         """``id, node, size`` of every row; ``key, n`` of the keys that come more than once within ``WINDOW_SLICES`` slices."""
@@ -327,6 +329,7 @@ class _Join:
         n, num, den = self.n, self.num, self.den
         late = self.rows.sparkSession.sparkContext.broadcast(hot)
         passed = None if sieve is None else self.rows.sparkSession.sparkContext.broadcast(sieve)
+        self.sent += [late] if passed is None else [late, passed]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -360,6 +363,8 @@ class _Join:
         sieve[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
         rows = self._keys(hot, sieve).repartition("key").sortWithinPartitions("key", "node")
         found = stored(in_arrow(rows, self._buckets(), "key bigint, a bigint, b bigint, n bigint"), "join-buckets")
+        for x in self.sent:
+            x.unpersist()
         pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
         members = found.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("n").alias("size"))
         return members, stored(pairs, "join-pairs")
