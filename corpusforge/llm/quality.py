@@ -28,6 +28,8 @@ STATS = 9
 # At most so many labelled rows train the network (those with the smallest hash of their id).
 MAX_TRAIN = 20_000
 HIDDEN = 24
+# Text worked on at a time, as its words take some fifty times its size.
+TEXT_BYTES = 1 << 18
 EPOCHS = 60
 # Share of the training rows kept back for the temperature.
 CALIBRATION = 0.15
@@ -69,22 +71,26 @@ def _entries(data: np.ndarray, offsets: np.ndarray) -> tuple[words.Words, np.nda
     return w, entry, shape
 
 
+def neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """How often each entry stands right before each other one in the texts of the first column."""
+    pairs = np.zeros(ENTRIES * ENTRIES)
+    for b in slices(batches, 0, TEXT_BYTES):
+        w, entry, shape = _entries(*text_buffer(b.column(0)))
+        near = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+        for left in (entry, shape):
+            for right in (entry, shape):
+                np.add.at(pairs, left[near] * ENTRIES + right[near + 1], 1.0)
+    return pairs.reshape(ENTRIES, ENTRIES)
+
+
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit context vectors of all entries, from every pair of adjacent words of every document."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = [f"d{i}" for i in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((ENTRIES, DIM))
-        pairs = np.zeros(ENTRIES * ENTRIES)
-        for b in slices(batches, 0):
-            w, entry, shape = _entries(*text_buffer(b.column(0)))
-            near = np.flatnonzero(w.doc[1:] == w.doc[:-1])
-            for left in (entry, shape):
-                for right in (entry, shape):
-                    np.add.at(pairs, left[near] * ENTRIES + right[near + 1], 1.0)
-        square = pairs.reshape(ENTRIES, ENTRIES)
-        total += square @ index + square.T @ index
+        index, square = index_vectors(), neighbours(batches)
+        total = square @ index + square.T @ index
         out = pa.RecordBatch.from_arrays([pa.array(np.arange(ENTRIES)), *(pa.array(c) for c in total.T)], ["entry", *names])
         yield out
 
@@ -104,7 +110,7 @@ def features(docs: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = table.value
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, TEXT_BYTES):
             data, offsets = text_buffer(b.column(1))
             n = b.num_rows
             w, entry, shape = _entries(data, offsets)

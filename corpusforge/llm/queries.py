@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm import (bpe_codec, decontaminate, exact_dedup, hard_negatives, html_extract, ngram_join, pair_index, pii, quality,
                              rotated_clusters, sharding, toxicity, warc)
-from corpusforge.llm.common import read
+from corpusforge.llm.common import read, stored
 
 # Scores from here on count as label 1.
 THRESHOLD = 0.3
@@ -23,7 +23,8 @@ def codec() -> bpe_codec.Codec:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     c = codec()
-    both = bpe_codec.decode(bpe_codec.encode(docs, c), c)
+    # in one stage both steps would hold a Python worker per task each, and the workers, which change places, the tables of both
+    both = bpe_codec.decode(stored(bpe_codec.encode(docs, c), "token-ids", "zstd"), c)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

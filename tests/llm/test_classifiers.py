@@ -1,8 +1,10 @@
 """Quality and toxicity: restored words, held-out accuracy, edges; the pipeline against plain stages."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -106,3 +108,17 @@ def test_pipeline_stages(spark):
     bad = {r.doc_id for r in decontaminate.contamination(two, read(spark, sf, "benchmark")).collect() if r.contaminated}
     assert {r.doc_id for r in four.collect()} == {r.doc_id for r in two.collect()} - bad
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
+
+
+def test_memory_of_the_neighbour_counts():
+    """Little beside the counts themselves, whatever the batch holds; the counts do not depend on how it is cut."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    got = quality.neighbours(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - got.nbytes < 30e6
+    assert np.array_equal(got, quality.neighbours(iter([batch.slice(i, 1) for i in range(len(texts))])))
+    assert got.sum() == 4 * 799 * len(texts)  # letters and digits are words of their own

@@ -231,3 +231,14 @@ def test_pages_against_their_article_elements(spark):
         blocks = re.split(r"</?(?:p|h\d|div|section|blockquote|li|br ?/?)[^>]*>", found[0])
         want = [x for x in (" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks) if x]
         assert html_extract.main_text(r.html).split("\n") == want
+
+
+def test_ids_are_written_before_they_are_decoded(docs_of):
+    """One Python step in the stage, so a task holds one worker; rows and digests are those of the two steps."""
+    docs = docs_of([(1, "some words"), (2, None), (None, "\u00e9\u4e2d"), (1, "some words"), (4, "")])
+    got = queries.encoded_digests(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    c = queries.codec()
+    plain = bpe_codec.decode(bpe_codec.encode(docs, c), c).collect()
+    want = [(r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in plain]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
