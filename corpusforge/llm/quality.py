@@ -71,6 +71,16 @@ def _entries(data: np.ndarray, offsets: np.ndarray) -> tuple[words.Words, np.nda
     return w, entry, shape
 
 
+def _all_entries(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, ...]:
+    """Row, hash, entry and shape of every word of a batch, whose texts are read ``TEXT_BYTES`` at a time."""
+    parts, at = [], 0
+    for b in slices(iter([batch]), column, TEXT_BYTES):
+        w, entry, shape = _entries(*text_buffer(b.column(column)))
+        parts.append((w.doc + at, w.code, entry, shape))
+        at += b.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How often each entry stands right before each other one in the texts of the first column."""
     pairs = np.zeros(ENTRIES * ENTRIES)
@@ -110,24 +120,24 @@ def features(docs: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = table.value
-        for b in slices(batches, 1, TEXT_BYTES):
-            data, offsets = text_buffer(b.column(1))
+        for b in slices(batches, 1):
+            _, offsets = text_buffer(b.column(1))
             n = b.num_rows
-            w, entry, shape = _entries(data, offsets)
-            count = np.maximum(np.bincount(w.doc, minlength=n), 1).astype(float)
+            doc, code, entry, shape = _all_entries(b, 1)
+            count = np.maximum(np.bincount(doc, minlength=n), 1).astype(float)
             pooled = np.empty((n, 2 * DIM), dtype=np.float32)
             for at in range(0, n, 256):
-                lo, hi = np.searchsorted(w.doc, [at, min(n, at + 256)])
-                row = (w.doc[lo:hi] - at) * ENTRIES
+                lo, hi = np.searchsorted(doc, [at, min(n, at + 256)])
+                row = (doc[lo:hi] - at) * ENTRIES
                 size = min(256, n - at) * ENTRIES
                 seen = np.bincount(row + entry[lo:hi], minlength=size) + np.bincount(row + shape[lo:hi], minlength=size)
                 pooled[at:at + 256] = seen.reshape(-1, ENTRIES).astype(np.float32) @ vectors
             pooled /= count[:, None]
             size = np.maximum(np.diff(offsets), 1).astype(float)
-            _, first = np.unique(w.code + words.mix(w.doc), return_index=True)
-            shares = [np.bincount(w.doc[shape == s], minlength=n) / count for s in (2, 4, 5, 6, 7)]
-            stats = np.column_stack([np.log1p(np.diff(offsets)) / 8, np.bincount(w.doc, minlength=n) / size * 4,
-                                     np.bincount(w.doc[first], minlength=n) / count, *shares,
+            _, first = np.unique(code + words.mix(doc), return_index=True)
+            shares = [np.bincount(doc[shape == s], minlength=n) / count for s in (2, 4, 5, 6, 7)]
+            stats = np.column_stack([np.log1p(np.diff(offsets)) / 8, np.bincount(doc, minlength=n) / size * 4,
+                                     np.bincount(doc[first], minlength=n) / count, *shares,
                                      np.linalg.norm(pooled, axis=1)])
             x = np.hstack([pooled, stats]).astype(np.float32)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
