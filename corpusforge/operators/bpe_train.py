@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.session import map_arrow, materialize
+from corpusforge.session import discard, map_arrow, materialize, release, stored
 
 # Pairs whose counts the driver keeps, at most.
 INDEX = 200_000
@@ -35,6 +35,8 @@ TOP, MOST = 1024, 8192
 BLOCK_WORDS, BLOCK_SYMBOLS = 20_000, 1 << 20
 # Rounds after which the blocks are written anew.
 CHECKPOINT_EVERY = 12
+# Keys that a task sums before it hands them on, about.
+SUMMED_AT_ONCE = 1 << 21
 _END = -1
 
 
@@ -190,6 +192,34 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights[:0]
 
 
+class Summed:
+    """Sums by key over the blocks of a task, so that a key is handed on once and not by each block that has it."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.least = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sums to hand on now: none as long as there is room."""
+        self.held.append((keys, n))
+        self.size += len(keys)
+        if self.size < SUMMED_AT_ONCE + self.least:
+            return []
+        keys, n = self._sums()
+        if len(keys) >= SUMMED_AT_ONCE:
+            return [(keys, n)]
+        self.held, self.size, self.least = [(keys, n)], len(keys), len(keys)
+        return []
+
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size, self.least = [], 0, 0
+        return _summed(keys, n)
+
+    def rest(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._sums()] if self.held else []
+
+
 def _pair_codes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs, and their codes."""
     at = np.flatnonzero((symbols[:-1] != _END) & (symbols[1:] != _END))
@@ -256,10 +286,16 @@ def _tasks(blocks: DataFrame) -> int:
 def _counted(blocks: DataFrame, steps: Steps) -> DataFrame:
     """``code, n`` of every pair; a code is the left symbol times 2**32 plus the right one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Summed()
+
+        def rows(found):
+            for code, n in found:
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
         for symbols, freq in _blocks(batches, steps):
             at, code = _pair_codes(symbols)
-            code, n = _summed(code, _weights(symbols, freq)[at])
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+            yield from rows(sums.add(*_summed(code, _weights(symbols, freq)[at])))
+        yield from rows(sums.rest())
 
     return _sums(map_arrow(blocks, run, "code bigint, n bigint"), blocks, "code")
 
@@ -273,16 +309,24 @@ def _round(blocks: DataFrame, steps: Steps, merges: list[tuple[int, int, int]],
     ordered = codes[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        changed, near = Summed(), Summed()
+
+        def rows(what, found):
+            for key, n in found:
+                key, n = key[n != 0], n[n != 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int8)), pa.array(key), pa.array(n)], ["what", "key", "n"])
+
         for symbols, freq in _blocks(batches, steps):
             touched, weight = _touched(symbols, freq, merges)
             if len(touched):
                 after = merge_block(touched, merges)
                 (at0, code0), (at1, code1) = _pair_codes(touched), _pair_codes(after)
                 code, n = _summed(np.concatenate([code0, code1]), np.concatenate([-_weights(touched, weight)[at0], _weights(after, weight)[at1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(np.count_nonzero(n), np.int8)), pa.array(code[n != 0]), pa.array(n[n != 0])], ["what", "key", "n"])
+                yield from rows(0, changed.add(code[n != 0], n[n != 0]))
             if len(ordered):
-                key, n = _triple_keys(merge_block(symbols, merges), freq, ordered, order, True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array(n)], ["what", "key", "n"])
+                yield from rows(1, near.add(*_triple_keys(merge_block(symbols, merges), freq, ordered, order, True)))
+        yield from rows(0, changed.rest())
+        yield from rows(1, near.rest())
 
     out = _sums(map_arrow(blocks, run, "what tinyint, key bigint, n bigint"), blocks, "what", "key")
     new = (F.col("key") >= first_new << 32) | (F.col("key").bitwiseAND(0xFFFFFFFF) >= first_new)
@@ -341,9 +385,15 @@ def _triples(blocks: DataFrame, steps: Steps, pairs: list[tuple[int, int, int]],
     ordered = codes[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Summed()
+
+        def rows(found):
+            for key, n in found:
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
         for symbols, freq in _blocks(batches, steps):
-            key, n = _triple_keys(symbols, freq, ordered, order, closed)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            yield from rows(sums.add(*_triple_keys(symbols, freq, ordered, order, closed)))
+        yield from rows(sums.rest())
 
     found = _sums(map_arrow(blocks, run, "key bigint, n bigint"), blocks, "key")
     if not closed:
@@ -422,7 +472,7 @@ def train(words: DataFrame, chars: list[str], budget: int, merges_per_round: int
     ``words``: distinct ``(word, freq)``; ``chars``: all their characters.
     """
     names, number = list(chars), {c: i for i, c in enumerate(chars)}
-    blocks = materialize(pack(words, chars))
+    first = blocks = materialize(pack(words, chars))
     merges: list[tuple[str, str]] = []
     rounds = 0
     steps: Steps = []
@@ -463,8 +513,13 @@ def train(words: DataFrame, chars: list[str], budget: int, merges_per_round: int
             triples = None
         steps = [*steps, step]
         if len(steps) == CHECKPOINT_EVERY:
-            blocks, steps = materialize(_merged(blocks, steps)), []
-    blocks = materialize(_merged(blocks, steps))
+            before, blocks, steps = blocks, stored(_merged(blocks, steps), "blocks"), []
+            if before is not first:
+                discard(before)
+            release(words.sparkSession)
+    before, blocks = blocks, materialize(_merged(blocks, steps))
+    if before is not first:
+        discard(before)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for symbols, freq in _blocks(batches, []):
