@@ -32,3 +32,27 @@ def test_the_pool_is_counted_once(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, models[1].counts.collect())) == sorted(map(tuple, want.counts.collect()))
     resumed = selection.run_selection(trusted, cands, None, rounds=3, run_id="grown", out_dir=str(tmp_path / "run"), resume=True)
     assert len(fits) == 2 and resumed.stats[:2] == run.stats and len(resumed.stats) == 3
+
+
+def test_only_rare_tokens_are_shuffled_to_large_counts(spark):
+    """Past the broadcast limit the frequent types are still looked up in place, and the losses are the same."""
+    tokens = [[f"w{i % 400}", *["the", "of", "."] * 8] for i in range(500)]
+    df = spark.createDataFrame([("s", i, i, t) for i, t in enumerate(tokens)], SCHEMA)
+    odd = spark.createDataFrame([("s", 1000, 0, []), ("s", 1001, 0, None), ("s", 1002, 0, ["new", "the", None, "s:1002"]), (None, None, 0, ["w1", "of"])], SCHEMA)
+    rows = df.unionByName(odd)
+    want = {(r["source"], r["pair_id"]): r for r in lm.score_unigram(lm.fit_unigram(df), rows, ["source", "pair_id"]).collect()}
+    for limit, hot in (("2000", True), ("0", False)):
+        spark.conf.set("corpusforge.broadcast.maxBytes", limit)
+        try:
+            model = lm.fit_unigram(df)
+            assert not model.broadcastable
+            scored = lm.score_unigram(model, rows, ["source", "pair_id"])
+            frequent = {r["token"] for r in model.frequent.collect()} if hot else set()
+            assert hot and {"the", "of", "."} <= frequent and "w1" not in frequent or model.frequent is None
+            got = scored.collect()
+        finally:
+            spark.conf.unset("corpusforge.broadcast.maxBytes")
+        assert len(got) == len(want)
+        for r in got:
+            w = want[r["source"], r["pair_id"]]
+            assert (r["n_tok"], r["loss"]) == (w["n_tok"], w["loss"]) and (w["n_tok"] is None) == (r["sum_nll"] is None)
